@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilframe.llm.minhash import near_duplicates
+from veilframe.llm.mixing import mix
+from veilframe.llm.topk import top_k
+from veilframe.llm.vecdedup import near_duplicate_vectors
 from veilframe.session import ship
 
 
@@ -19,8 +23,23 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all vectors of equal label: cosine 0.98."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors of every 20th."""
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words; sources weigh 5, 2, 1 in turn."""
+    return mix(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash,)}
+    return {f.__name__: f for f in (op3_minhash, op5_pca_tiles, op6_maxscore, op8_entropy_balancing)}
 
 
 def oracle_sql() -> dict[str, str]:

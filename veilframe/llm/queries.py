@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mix
+from veilframe.llm.secrets import find_secrets
 from veilframe.llm.topk import top_k
 from veilframe.llm.vecdedup import near_duplicate_vectors
 from veilframe.session import ship
@@ -38,8 +39,13 @@ def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2)
 
 
+def op9_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash, op5_pca_tiles, op6_maxscore, op8_entropy_balancing)}
+    return {f.__name__: f for f in (op3_minhash, op5_pca_tiles, op6_maxscore, op8_entropy_balancing, op9_trigram_index)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.langid import identify
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mix
 from veilframe.llm.secrets import find_secrets
 from veilframe.llm.topk import top_k
+from veilframe.llm.toxicity import score
 from veilframe.llm.vecdedup import near_duplicate_vectors
 from veilframe.session import ship
 
@@ -19,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels."""
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents: 3-word shingles, 85 of 100 shared."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
@@ -44,8 +51,14 @@ def op9_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; those whose crc32 leaves 2 are held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return identify(_table(spark, sf_dir, "documents"), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash, op5_pca_tiles, op6_maxscore, op8_entropy_balancing, op9_trigram_index)}
+    return {f.__name__: f for f in (op2_classifier_chain, op3_minhash, op5_pca_tiles, op6_maxscore, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
 
 
 def oracle_sql() -> dict[str, str]:

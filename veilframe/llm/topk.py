@@ -2,11 +2,13 @@
 
 A dimension is a term and a query's component its weight. A shard holds about
 ``shard`` rows and knows each term's least and largest value, so each term's share of a
-score is bounded. For a query the terms stand in order of that bound. With a threshold
-from some full scores, the *essential* terms are those before which the rest alone could
-not lift a row above it; their columns are added up for all rows of the shard, the other
-terms are probed a few at a time and only for rows that can still reach the threshold.
-Rows equal to the threshold stay, so ties are exact. Shards are merged by query.
+score is bounded. A block of queries meets a shard with the terms in order of that
+bound. With a threshold from some full scores, the terms from some place on could not
+lift a row to it by themselves: those before are *essential*. (The product of the norms
+of what is left bounds them too, and the smaller bound counts.) Their columns are added up
+for all rows of the shard; the other terms are probed a few at a time, and only for rows
+that can still reach the threshold. Rows equal to it stay, so ties are exact. The shards'
+best are merged by query.
 """
 
 from __future__ import annotations
@@ -22,35 +24,56 @@ from veilframe.llm._store import keep
 from veilframe.llm._vectors import arrow_rows, finite, matrix, packed, tiles
 
 _PROBE = 8
+_PAIRS = 1 << 16
 
 
-def maxscore(query: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, scores) that hold the k best of the allowed rows, ties included."""
-    if allowed.sum() <= 4 * k:
-        at = np.flatnonzero(allowed)
-        return at, rows[at] @ query
-    most, least = np.maximum(query * low, query * high), np.minimum(query * low, query * high)
-    order = np.argsort(least - most, kind="stable")
-    rest = np.concatenate([np.cumsum((most - least)[order][::-1])[::-1], [0]])  # bound of terms from here on, over their least
-    floor_ = least.sum()
-    seeds = np.flatnonzero(allowed)[: 4 * k]
-    bar = np.partition(rows[seeds] @ query, -k)[-k]
-    # Terms from ``cut`` on cannot lift a row from its floor to the bar by themselves.
-    cut = int(np.searchsorted(-rest, -(bar - floor_), "right"))
-    cut = min(max(cut, _PROBE), len(order))
-    part = rows[:, order[:cut]] @ query[order[:cut]]
-    part = np.where(allowed, part, -np.inf)
-    best = np.argpartition(part, -k)[-k:]
-    bar = max(bar, (rows[best] @ query).min())
-    settled = np.concatenate([np.cumsum(least[order][::-1])[::-1], [0]])  # least share of terms from here on
-    at = np.flatnonzero(part + rest[cut] + settled[cut] >= bar)
-    part = part[at]
-    while cut < len(order) and len(at):
+def _products(queries: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray, terms: slice) -> np.ndarray:
+    out = np.empty(len(i), rows.dtype)
+    for lo in range(0, len(i), _PAIRS):
+        at = slice(lo, lo + _PAIRS)
+        out[at] = np.einsum("ij,ij->i", queries[i[at], terms], rows[j[at], terms])
+    return out
+
+
+def _tail(x: np.ndarray, start: int) -> np.ndarray:
+    """Norms of what is left of each row, a little more to be safe from rounding."""
+    return np.sqrt(np.einsum("ij,ij->i", x[:, start:], x[:, start:])) * x.dtype.type(1.001)
+
+
+def maxscore(queries: np.ndarray, rows: np.ndarray, barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) that hold the k best rows of each query, ties included.
+
+    barred: queries x rows, what may not be returned.
+    """
+    low, high = rows.min(axis=0), rows.max(axis=0)
+    most, least = np.maximum(queries * low, queries * high), np.minimum(queries * low, queries * high)
+    order = np.argsort(-(most - least).sum(axis=0), kind="stable")  # one order of terms for the block
+    queries, rows = np.ascontiguousarray(queries[:, order]), np.ascontiguousarray(rows[:, order])
+    # What the terms from each place on can add at most.
+    rest = np.zeros((len(queries), len(order) + 1), rows.dtype)
+    rest[:, :-1] = np.cumsum(most[:, order][:, ::-1], axis=1)[:, ::-1]
+    slack = np.zeros_like(rest)
+    slack[:, :-1] = np.cumsum((most - least)[:, order][:, ::-1], axis=1)[:, ::-1]
+    enough = min(k, rows.shape[0])
+    seeds = np.where(barred[:, : 4 * k], -np.inf, queries @ rows[: 4 * k].T)
+    bar = np.partition(seeds, -min(enough, seeds.shape[1]), axis=1)[:, -min(enough, seeds.shape[1])] if seeds.shape[1] >= enough else np.full(len(queries), -np.inf)
+    # Essential terms: without them no row rises from the least total to the bar.
+    cut = int((slack > (bar - least.sum(axis=1))[:, None]).sum(axis=1).max(initial=0))
+    cut = min(max(cut, len(order) * 3 // 4, 1), len(order))
+    part = np.where(barred, -np.inf, queries[:, :cut] @ rows[:, :cut].T)
+    few = min(4 * k, rows.shape[0])
+    best = np.argpartition(part, -few, axis=1)[:, -few:]
+    i = np.repeat(np.arange(len(queries)), few)
+    full = (part[i, best.reshape(-1)] + _products(queries, rows, i, best.reshape(-1), slice(cut, None))).reshape(best.shape)
+    bar = np.maximum(bar, np.partition(full, -enough, axis=1)[:, -enough])
+    i, j = np.nonzero(~barred & (part >= bar[:, None] - np.minimum(rest[:, cut : cut + 1], _tail(queries, cut)[:, None] * _tail(rows, cut))))
+    score = part[i, j]
+    while cut < len(order) and len(i):
         to = min(cut + _PROBE, len(order))
-        part = part + rows[np.ix_(at, order[cut:to])] @ query[order[cut:to]]
-        go = part + rest[to] + settled[to] >= bar
-        at, part, cut = at[go], part[go], to
-    return at, part
+        score = score + _products(queries, rows, i, j, slice(cut, to))
+        go = score >= bar[i] - np.minimum(rest[i, to], _tail(queries, to)[i] * _tail(rows, to)[j])
+        i, j, score, cut = i[go], j[go], score[go], to
+    return i, j, score
 
 
 def _search(k: int):
@@ -59,17 +82,16 @@ def _search(k: int):
             for asked, held in zip(tiles(batch.column(0)), tiles(batch.column(1)), strict=True):
                 q, x = matrix(asked, "v", np.int64), matrix(held, "v", np.int64)
                 reach = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
-                if reach < 2**52:  # then sums of doubles are exact
-                    q, x = q.astype(np.float64), x.astype(np.float64)
+                # Sums of whole numbers are exact in floating point up to here.
+                kind = np.float32 if reach < 2**22 else np.float64 if reach < 2**51 else np.longdouble
                 ids, names = np.asarray(held.field("vec_id")), np.asarray(asked.field("vec_id"))
-                low, high = x.min(axis=0), x.max(axis=0)
-                out = []
-                for name, query in zip(names, q, strict=True):
-                    at, score = maxscore(query, x, low, high, ids != name, k)
-                    top = np.lexsort((ids[at], -score))[:k]
-                    out.append((np.full(len(top), name), ids[at][top], score[top].astype(np.int64)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                i, j, score = maxscore(q.astype(kind), x.astype(kind), names[:, None] == ids[None, :], k)
+                score = (q[i] * x[j]).sum(axis=1) if kind is np.longdouble else score.astype(np.int64)
+                order = np.lexsort((ids[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                first = np.searchsorted(i, i, "left")
+                top = np.arange(len(i)) - first < k
+                yield pa.RecordBatch.from_arrays([pa.array(names[i[top]]), pa.array(ids[j[top]]), pa.array(score[top])], ["query_id", "vec_id", "score"])
 
     return run
 

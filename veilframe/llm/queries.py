@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.langid import identify
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mix
+from veilframe.llm.pii import digest, find
 from veilframe.llm.secrets import find_secrets
 from veilframe.llm.topk import top_k
 from veilframe.llm.toxicity import score
@@ -41,6 +42,11 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op7_information_theoretic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosive terms in all documents."""
+    return digest(find(_table(spark, sf_dir, "documents")))
+
+
 def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words; sources weigh 5, 2, 1 in turn."""
     return mix(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2)
@@ -58,7 +64,7 @@ def op10_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_classifier_chain, op3_minhash, op5_pca_tiles, op6_maxscore, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
+    return {f.__name__: f for f in (op2_classifier_chain, op3_minhash, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.langid import identify
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mix
+from veilframe.llm.packing import pack
 from veilframe.llm.pii import digest, find
 from veilframe.llm.secrets import find_secrets
 from veilframe.llm.topk import top_k
@@ -18,10 +19,25 @@ from veilframe.llm.vecdedup import near_duplicate_vectors
 from veilframe.session import ship
 
 
+#: A public vocabulary that is installed beside Python on every machine.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end=1)
+
+
 def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels."""
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -64,7 +80,7 @@ def op10_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_classifier_chain, op3_minhash, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
+    return {f.__name__: f for f in (op1_shortest_pack_first, op2_classifier_chain, op3_minhash, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,15 +47,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def star_closure(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, stars: int = 4) -> DataFrame | None:
-    """Components of the links that ``verify`` confirms among members of one block.
+def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, stars: int = 2, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """Components of the confirmed links among members of one block.
 
     blocks: distinct (block long, id long, centre boolean); a pair is a candidate if it
-    shares a block in which one of the two may be its centre. verify: (a, b) to those
-    (a, b) that are linked. Returns (id, component) of linked ids, None without links.
+    shares a block in which one of the two may be its centre. prepare: all ids that have
+    a candidate to a function that takes (a, b) to those (a, b) that are linked. rest:
+    (block, id, component) of the blocks still open after the stars to a superset of the
+    linked (id, other) of different components that share one, where there is a better
+    way than to compare them all. Returns (id, component) of linked ids, None without
+    links.
     """
     many = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("any")).where("n > 1 and any")
     rows = keep(blocks.join(many.select("block"), "block"), f"{name}-blocks")
+    verify = prepare(keep(rows.select("id").distinct(), f"{name}-ids"))
     links, found = None, None
     for turn in range(stars + 1):
         if found is None:
@@ -67,17 +72,22 @@ def star_closure(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], na
         alive = state.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("centre").alias("any"))
         state = state.join(alive.where("lo < hi and any").select("block"), "block") if turn else state
         if turn < stars:
-            best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id", "block").alias("h"), "id", "component"))
+            best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id").alias("h"), "id", "component"))
             star = state.groupBy("block").agg(F.max(best).alias("c")).select("block", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
             state = keep(state.join(star, "block").where("id <> other"), f"{name}-open")
             pairs = state.where("component <> c_component").select("id", "other")
             rows = state.select("block", "id", "centre")
+        elif rest is not None:
+            state = keep(state, f"{name}-open")
+            if state.isEmpty():
+                break
+            pairs = rest(state.select("block", "id", "component"))
         else:
             other = state.where("centre").select("block", F.col("id").alias("other"), F.col("component").alias("c_component"))
             pairs = state.select("block", "id", "component").join(other, "block").where("component <> c_component").select("id", "other")
-        if turn and state.isEmpty():
+        if turn and turn < stars and state.isEmpty():
             break
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        pairs = keep(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{name}-pairs")
         new = keep(verify(pairs).select("a", "b"), f"{name}-links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)

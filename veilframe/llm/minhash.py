@@ -6,8 +6,10 @@
 2. One permutation, cut into ``bands * rows`` bins, gives a signature; an empty bin
    borrows from a filled one picked by a hash of bin and attempt (optimal densification).
 3. Each band of ``rows`` bins is a bucket. In a bucket candidates form stars, not all
-   pairs (see ``graph.star_closure``).
+   pairs (see ``graph.star_closure``); what the stars leave open goes through an exact
+   prefix filter (see ``rest_pairs``).
 4. Every candidate edge is confirmed on the full shingle sets with integer arithmetic.
+   A second pass over the texts makes those sets, only for texts that share a bucket.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm import _text
+from veilframe.llm._bloom import Bloom, places
 from veilframe.llm._store import keep
-from veilframe.llm.graph import star_closure
+from veilframe.llm.graph import components, star_closure
 
 _U = np.uint64
 _ATTEMPTS = 4096
-_SETS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, shingles array<long>"
+_SETS = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+_FULL = "doc_id long, n_shingles long, shingles array<long>"
 
 
 def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -56,28 +60,96 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat.view(np.int64)))
+
+
 def _sets(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
             for lo, hi, data, offsets in _text.text_chunks(batch.column(1)):
                 sets = _text.shingles(data, offsets, width)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
-                edges = np.concatenate([[0], np.cumsum(n)])
+                ends = np.concatenate([[0], np.cumsum(n)])
                 sums = []
                 for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_text.mix(flat ^ _U(salt)), dtype=np.uint64)])
-                    sums.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
+                    sums.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
                 sig = signatures(sets, bands * rows).reshape(len(sets), bands, rows)
                 keys = _text.combine([sig[:, :, k] for k in range(rows)] + [np.broadcast_to(np.arange(bands, dtype=np.uint64), sig.shape[:2])])
-                keys = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
-                full = pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), keys, full], schema=schema)
+                keys = _lists(keys.reshape(-1), np.arange(0, (hi - lo + 1) * bands, bands))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), keys], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+
+    return run
+
+
+def _full(width: int, wanted: Bloom):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            rows = pa.Table.from_batches([batch]).filter(pa.array(wanted.has(bits))).combine_chunks()
+            for lo, hi, data, offsets in _text.text_chunks(rows.column(1)):
+                sets = _text.shingles(data, offsets, width)
+                n = np.array([len(s) for s in sets], np.int64)
+                full = _lists(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+                yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks().slice(lo, hi - lo), pa.array(n), full], ["doc_id", "n_shingles", "shingles"])
 
     return run
 
 
+def rest_pairs(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Candidates (id, other) among members of open blocks, without comparing them all.
+
+    Members that share blocks form a family, and what most of a family has is its
+    consensus R. Let D(x) be the symmetric difference of x and R. Linked x and y differ
+    in at most k (|x| + |y|) shingles, k = (100 - percent) / (100 + percent), and so do
+    D(x) and D(y). With the slack s(x) = k |x| - |D(x)|:
+
+    - if s(x) + s(y) >= 0 the two are linked, and both are linked with the member of
+      most slack: a star from it stands for all of these pairs;
+    - otherwise D(x) and D(y) share an element, and so do their first elements in order
+      of frequency: k (|x| + |y|) / 2 + 1 of the one with the smaller D, k (|x| + |y|)
+      + 1 of the other (prefix filter). Near-copies with edits of their own share few.
+
+    open_: (block, id, component), full: (id, n_shingles, shingles).
+    """
+    k = (100 - percent) / (100 + percent)
+    first = open_.groupBy("block").agg(F.min("id").alias("b"))
+    family = components(open_.join(first, "block").select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "minhash-family")
+    family = family.select("id", F.col("component").alias("family"))
+    known = open_.select("id", "component").distinct()
+    rows = keep(full.join(family, "id").join(known, "id"), "minhash-members")
+    size = rows.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    often = rows.select("family", F.explode("shingles").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"))
+    often = often.join(size, "family").where(F.col("n") * 2 > F.col("members"))
+    consensus = often.groupBy("family").agg(F.collect_list("e").alias("common"))
+    rows = rows.join(consensus, "family", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    apart = F.concat(F.array_except("shingles", "common"), F.array_except("common", "shingles"))
+    rows = rows.select("id", "family", "component", "n_shingles", apart.alias("d")).withColumn("nd", F.size("d"))
+    rows = keep(rows.withColumn("slack", k * F.col("n_shingles") - F.col("nd")), "minhash-apart")
+    mine = rows.select("id", "family", "component", "n_shingles", "nd")
+
+    best = rows.groupBy("family").agg(F.max(F.struct("slack", "id", "component")).alias("m"))
+    star = rows.join(best, "family").where((F.col("slack") + F.col("m.slack") >= -1e-6) & (F.col("component") != F.col("m.component")))
+    star = star.select("id", F.col("m.id").alias("other"))
+
+    each = rows.select("id", "family", "n_shingles", F.explode("d").alias("e"))
+    seen = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "e"))
+    each = each.join(seen, ["family", "e"]).withColumn("place", place)
+    reach = F.lit(k * (1 + 100 / percent)) * F.col("n_shingles") + 1e-6
+    each = keep(each.where((F.col("n") > 1) & (F.col("place") <= F.floor(reach) + 1)).select("id", "family", "e", (F.col("place") <= F.floor(reach / 2) + 1).alias("short")), "minhash-prefix")
+    each = each.join(mine, ["id", "family"])
+    x, y = each.where("short").alias("x"), each.alias("y")
+    both = F.col("x.n_shingles") + F.col("y.n_shingles")
+    fits = (F.col("x.component") != F.col("y.component")) & ((F.col("x.nd") < F.col("y.nd")) | ((F.col("x.nd") == F.col("y.nd")) & (F.col("x.id") != F.col("y.id"))))
+    fits = fits & (F.col("y.nd") - F.col("x.nd") <= k * both + 1e-6)
+    fits = fits & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
+    near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e")) & fits)
+    return star.union(near.select("x.id", "y.id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents.
 
@@ -102,17 +174,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     mine = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in key] + [F.col("s.doc_id") == F.col("c.rep")]
     reps = sets.alias("s").join(classes.alias("c"), mine)
     blocks = reps.select(F.explode("s.bands").alias("block"), "rep").select("block", F.col("rep").alias("id")).distinct()
-    full = reps.select(F.col("rep").alias("id"), "s.n_shingles", "s.shingles")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = full.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
-        two = full.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
-        fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        same = F.size(F.array_intersect("sa", "sb"))
-        both = pairs.join(one, "a").join(two, "b").where(fit).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), same.alias("same"))
-        return both.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b").distinct()
+    made: list[DataFrame] = []
+
+    def prepare(ids: DataFrame):
+        wanted = Bloom(ids, "id")
+        some = text.where(F.col("doc_id").isNotNull()).withColumn("bits", places(F.col("doc_id"), wanted.bits))
+        some = some.mapInArrow(_full(width, wanted), _FULL)
+        full = keep(some.join(ids, some.doc_id == ids.id).select("id", "n_shingles", "shingles"), "minhash-full")
+        made.append(full)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            one = full.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
+            two = full.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
+            fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+            same = F.size(F.array_intersect("sa", "sb"))
+            both = pairs.join(one, "a").join(two, "b").where(fit).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), same.alias("same"))
+            return both.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b").distinct()
+
+        return verify
 
-    found = star_closure(blocks.withColumn("centre", F.lit(True)), verify, "minhash")
+    found = star_closure(blocks.withColumn("centre", F.lit(True)), prepare, "minhash", rest=lambda open_: rest_pairs(open_, made[0], percent))
     if found is not None:
         classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
         classes = classes.select(*key, F.coalesce("component", "rep").alias("component_id"))

@@ -204,3 +204,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = rows_.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that ``near_duplicates`` keeps: one document of each group.
+
+    Rows of a kept doc_id all stay; what leaves are documents whose component has a
+    smaller doc_id.
+    """
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -91,18 +91,9 @@ def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of documents.
-
-    docs: doc_id long, text string, source string; other columns are ignored. size is
-    the number of words of the text (null, empty or blank: 0, and nothing is taken),
-    source_size its source's, target the words that the mix wants from its source (see
-    ``targets``), and taken the words that the mix takes from the document, repeats
-    counted: whole copies, and a part copy of one document a source at most; never more
-    than ``most`` times its size. A null source is a source of its own. Of repeated rows
-    each counts as a document. Equal input gives equal output; an empty table gives none.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text").alias("tie"))
+def _taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
+    """``mix`` with the hash that tells rows of one doc_id apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tie"))
     rows = keep(rows, "mix-rows")
     cells = keep(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -135,4 +126,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     chosen = dealt.where(fits).groupBy("source").agg(F.min(key).alias("chosen"))
     out = dealt.alias("r").join(chosen.alias("c"), same, "left")
     mine = F.coalesce(F.col("chosen") == F.struct(F.col("size"), F.col("tie"), F.col("doc_id"), F.col("place")), F.lit(False))
-    return out.select(F.col("doc_id"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("words") + F.when(mine, F.col("left")).otherwise(0)).alias("taken"))
+    return out.select(F.col("doc_id"), F.col("tie"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("words") + F.when(mine, F.col("left")).otherwise(0)).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of documents.
+
+    docs: doc_id long, text string, source string; other columns are ignored. size is
+    the number of words of the text (null, empty or blank: 0, and nothing is taken),
+    source_size its source's, target the words that the mix wants from its source (see
+    ``targets``), and taken the words that the mix takes from the document, repeats
+    counted: whole copies, and a part copy of one document a source at most; never more
+    than ``most`` times its size. A null source is a source of its own. Of repeated rows
+    each counts as a document. Equal input gives equal output; an empty table gives none.
+    """
+    return _taken(docs, weights, share, most).drop("tie")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it.
+
+    A part copy holds the first words of its text; n_chars, if there is one, counts it.
+    Repeated rows of one doc_id and text take equal parts.
+    """
+    each = _taken(docs, **options).groupBy("doc_id", "tie").agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken"))
+    each = each.where("_taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "_size", "_taken")
+    tie = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.withColumn("_own", tie).join(each, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tie")))
+    whole = F.floor(F.col("_taken") / F.col("_size"))
+    part = F.col("_taken") - whole * F.col("_size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("_words", F.explode(copies))
+    head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
+    cut = F.concat(head, F.array_join(F.slice(F.split(F.substring("text", F.length(head) + 1, F.length("text")), r"[\x20\x09-\x0D]+"), 1, F.col("_words").cast("int")), " "))
+    rows = rows.withColumn("text", F.when(F.col("_words") == 0, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rows.select(*docs.columns)

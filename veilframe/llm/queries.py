@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.langid import identify
+from veilframe.llm.linededup import line_classes
 from veilframe.llm.minhash import near_duplicates
 from veilframe.llm.mixing import mix
 from veilframe.llm.packing import pack
@@ -20,13 +22,7 @@ from veilframe.session import ship
 
 
 #: A public vocabulary that is installed beside Python on every machine.
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end=1)
+    return pack(_table(spark, sf_dir, "documents"), TOKENIZER, size=2048, end=1)
 
 
 def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +44,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate lines of all documents."""
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all vectors of equal label: cosine 0.98."""
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
@@ -80,7 +81,7 @@ def op10_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shortest_pack_first, op2_classifier_chain, op3_minhash, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
+    return {f.__name__: f for f in (op1_shortest_pack_first, op2_classifier_chain, op3_minhash, op4_segment_join, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -83,11 +83,12 @@ def fit(at: np.ndarray, ends: np.ndarray, before: np.ndarray, y: np.ndarray, pen
         edge = 0.0 if not y.sum() else 1.0
         return Model(np.zeros(_WIDTH, np.float32), np.zeros(before.shape[1]), -30.0 if edge == 0 else 30.0)
     # Features of one or two texts say little about others: they keep weight 0.
-    row = np.repeat(np.arange(len(y)), np.diff(ends))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))
     seen, positive = np.bincount(at, minlength=_WIDTH), np.bincount(at, y[row], _WIDTH)
     good = seen[at] > 2
     row = row[good]
     used, col = np.unique(at[good], return_inverse=True)
+    col = col.astype(np.int32)
     ratio = np.log((positive[used] + 0.5) / (y.sum() + 1)) - np.log((seen - positive)[used] + 0.5) + np.log(len(y) - y.sum() + 1)
     inner = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
     m, c = len(used), before.shape[1]
@@ -161,15 +162,41 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(at)), *rows], ["at", *batch.schema.names[1:]])
 
 
+def learn(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...], sample: int, folds: int) -> list[Model]:
+    """The chain's models, from the ``sample`` labelled rows with the least hash."""
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    ok = F.col("doc_id").isNotNull()
+    for c in chain:
+        ok = ok & F.col(c.column).isNotNull()
+    marks = [F.max((F.col(c.column) == c.positive).cast("int")).alias(f"y{k}") for k, c in enumerate(chain)]
+    some = labels.where(ok).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*marks)
+    some = keep(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-labels")
+    # At most ``sample`` rows of a few numbers: small whatever the size of the tables.
+    known = docs.join(F.broadcast(some), "doc_id").select("text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), "doc_id", *[f"y{k}" for k in range(len(chain))])
+    schema = "at array<int>, fold int, doc_id long, " + ", ".join(f"y{k} int" for k in range(len(chain)))
+    rows = keep(known.dropDuplicates(["doc_id"]).mapInArrow(_featurise, schema), "toxicity-sample").toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return [Model(np.zeros(_WIDTH, np.float32), np.zeros(k), -30.0) for k in range(len(chain))]
+    lists = rows["at"].combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    y = np.column_stack([rows[f"y{k}"].to_numpy() for k in range(len(chain))]).astype(float)
+    return fit_chain(lists.flatten().to_numpy(), ends, y, rows["fold"].to_numpy())
+
+
+def _chained(models: list[Model], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    at, ends = features(data, offsets)
+    before = np.zeros((len(offsets) - 1, 0))
+    for m in models:
+        before = np.column_stack([before, m.predict(at, ends, before)])
+    return before
+
+
 def _predict(models: list[Model], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in _text.text_chunks(batch.column(0)):
-                at, ends = features(data, offsets)
-                before = np.zeros((hi - lo, 0))
-                for m in models:
-                    before = np.column_stack([before, m.predict(at, ends, before)])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *[pa.array(before[:, k]) for k in range(len(names))]], ["doc_id", *names])
+                p = _chained(models, data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *[pa.array(p[:, k]) for k in range(len(names))]], ["doc_id", *names])
 
     return run
 
@@ -185,24 +212,21 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAI
     no labels at all, predicts a constant: that class, or 0. Rows without a doc_id and
     repeated rows are scored like any other. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    ok = F.col("doc_id").isNotNull()
-    for c in chain:
-        ok = ok & F.col(c.column).isNotNull()
-    marks = [F.max((F.col(c.column) == c.positive).cast("int")).alias(f"y{k}") for k, c in enumerate(chain)]
-    some = labels.where(ok).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*marks)
-    some = keep(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-labels")
-    # At most ``sample`` rows of a few numbers: small whatever the size of the tables.
-    known = docs.join(F.broadcast(some), "doc_id").select("text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), "doc_id", *[f"y{k}" for k in range(len(chain))])
-    schema = "at array<int>, fold int, doc_id long, " + ", ".join(f"y{k} int" for k in range(len(chain)))
-    rows = keep(known.dropDuplicates(["doc_id"]).mapInArrow(_featurise, schema), "toxicity-sample").toArrow().sort_by("doc_id").combine_chunks()
-    if rows.num_rows:
-        lists = rows["at"].combine_chunks()
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-        y = np.column_stack([rows[f"y{k}"].to_numpy() for k in range(len(chain))]).astype(float)
-        models = fit_chain(lists.flatten().to_numpy(), ends, y, rows["fold"].to_numpy())
-    else:
-        models = [Model(np.zeros(_WIDTH, np.float32), np.zeros(k), -30.0) for k in range(len(chain))]
     names = [f"p_{c.name}" for c in chain]
-    out = docs.mapInArrow(_predict(models, names), "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    models = learn(docs, labels, chain, sample, folds)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    out = rows.mapInArrow(_predict(models, names), "doc_id long, " + ", ".join(f"{n} double" for n in names))
     return out.withColumn("toxic", F.col(names[-1]) >= threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAIN, threshold: float = 0.3, sample: int = 12_000, folds: int = 3) -> DataFrame:
+    """The rows of docs that ``score`` does not call toxic, in one pass and without a join."""
+    models = learn(docs, labels, chain, sample, folds)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in _text.text_chunks(batch.column(text)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(_chained(models, data, offsets)[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

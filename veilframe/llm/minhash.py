@@ -139,13 +139,16 @@ def rest_pairs(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("id").orderBy("n", "e"))
     each = each.join(seen, ["family", "e"]).withColumn("place", place)
     reach = F.lit(k * (1 + 100 / percent)) * F.col("n_shingles") + 1e-6
-    each = keep(each.where((F.col("n") > 1) & (F.col("place") <= F.floor(reach) + 1)).select("id", "family", "e", (F.col("place") <= F.floor(reach / 2) + 1).alias("short")), "minhash-prefix")
+    each = keep(each.where((F.col("n") > 1) & (F.col("place") <= F.floor(reach) + 1)).select("id", "family", "e", (F.col("place") <= F.floor(reach / 2) + 1).alias("short"), "place"), "minhash-prefix")
     each = each.join(mine, ["id", "family"])
     x, y = each.where("short").alias("x"), each.alias("y")
     both = F.col("x.n_shingles") + F.col("y.n_shingles")
     fits = (F.col("x.component") != F.col("y.component")) & ((F.col("x.nd") < F.col("y.nd")) | ((F.col("x.nd") == F.col("y.nd")) & (F.col("x.id") != F.col("y.id"))))
     fits = fits & (F.col("y.nd") - F.col("x.nd") <= k * both + 1e-6)
     fits = fits & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
+    # The first shared element leaves room for the overlap that a link needs.
+    overlap = (F.col("x.nd") + F.col("y.nd") - k * both) / 2 - 1e-6
+    fits = fits & (F.col("x.nd") - F.col("x.place") + 1 >= overlap) & (F.col("y.nd") - F.col("y.place") + 1 >= overlap)
     near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e")) & fits)
     return star.union(near.select("x.id", "y.id"))
 

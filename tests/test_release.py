@@ -186,3 +186,33 @@ def test_store(people):
     with pytest.raises(VeilError):
         store.get(a)
     assert store.sweep() == 1 and not any(key) and not len(store) and not store.delete(a)
+
+
+def test_summary_is_the_single_operators(people):
+    from veilframe.operators.profile import correlations, histogram, numeric_stats, summary
+
+    stats, pairs, bars = summary(people, ["age", "salary"])
+    assert stats == numeric_stats(people, ["age", "salary"]).collect() and pairs == correlations(people, ["age", "salary"]).collect()
+    for c in ("age", "salary"):
+        assert bars[c] == [[r.lower, r.upper, r.n] for r in histogram(people, c).orderBy("bin").collect()]
+
+
+def test_service(spark, people, tmp_path):
+    from veilframe.service import Service
+
+    service = Service(spark, str(tmp_path), S)
+    opened = service.open(people)
+    name = opened["session"]
+    assert {p["column"]: p["action"] for p in opened["policies"]}["email"] == "hash"
+    request = {"policies": [{"column": "email", "action": "drop"}, {"column": "salary", "action": "dp_laplace"}, {"column": "zip", "is_quasi_identifier": True}], "dp_params": {"salary": {"epsilon": 6.0, "lower": 0, "upper": 9}}}
+    assert len(service.preview(name, request)) == 5 and service.preflight(name, request)["ratio"] == 0.0
+    with pytest.raises(VeilError):
+        service.download(name)
+    report_ = service.process(name, request)
+    assert report_["privacy"]["cumulative_epsilon"] == {"salary": 6.0} and service.store.get(name).ledger.spent == {"salary": 6.0}
+    assert len(open(service.download(name)).read().splitlines()) == 31 and "# Release" in service.download(name, "markdown")
+    with pytest.raises(BudgetError):
+        service.process(name, request)
+    with pytest.raises(VeilError):
+        service.download(name, "json")
+    assert service.health()["sessions"] == 1 and service.delete(name) and not service.delete(name)

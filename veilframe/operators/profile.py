@@ -158,16 +158,49 @@ def suggestions(name: str, distinct: int, rows: int, email: float | None, phone:
     return out or [Suggestion("none", 1.0, "nothing matches")]
 
 
+def _stats(df: DataFrame, c: str) -> Column:
+    v = clean(qcol(c), df.schema[c].dataType).cast("double")
+    ratio = F.when(F.count(v) == 0, 1.0).otherwise(F.count_if(qcol(c).isNull()) / F.count(F.lit(1)))
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x)
+    return F.struct(F.lit(c).alias("column_name"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), finite(F.min(v)).alias("minimum"), finite(F.max(v)).alias("maximum"), ratio.alias("null_ratio"))
+
+
+def _correlation(df: DataFrame, a: str, b: str) -> Column:
+    v, w = (clean(qcol(c), df.schema[c].dataType).cast("double") for c in (a, b))
+    both = v.isNotNull() & w.isNotNull()
+    x, y = F.when(both, v), F.when(both, w)
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(r) & (F.abs(r) < float("inf")), r).alias("r"))
+
+
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, mean, std, minimum, maximum, null_ratio) of each number column."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    fields = []
-    for c in columns:
-        v = clean(qcol(c), kinds[c]).cast("double")
-        ratio = F.when(F.count(v) == 0, 1.0).otherwise(F.count_if(qcol(c).isNull()) / F.count(F.lit(1)))
-        finite = lambda x: F.when(F.abs(x) < float("inf"), x)
-        fields.append(F.struct(F.lit(c).alias("column_name"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), finite(F.min(v)).alias("minimum"), finite(F.max(v)).alias("maximum"), ratio.alias("null_ratio")))
-    return df.agg(F.array(*fields).alias("s")).select(F.inline("s"))
+    return df.agg(F.array(*[_stats(df, c) for c in columns]).alias("s")).select(F.inline("s"))
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of each pair of number columns, over the rows that have both; null for a constant."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    return df.agg(F.array(*[_correlation(df, a, b) for a, b in pairs]).alias("p")).select(F.inline("p"))
+
+
+def summary(df: DataFrame, columns: list[str], bins: int = 10) -> tuple[list, list, dict[str, list]]:
+    """(statistics, correlations, histograms) of number columns, in two passes for all."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    first = df.agg(F.array(*[_stats(df, c) for c in columns]).alias("s"), F.array(*[_correlation(df, a, b) for a, b in pairs]).alias("p")).first()
+    edges, aggs = {}, []
+    for i, r in enumerate(first.s):
+        lo, hi = r.minimum, r.maximum
+        if lo is None or hi is None:
+            continue
+        n = bins if hi > lo else 1
+        width = (hi - lo) / n
+        edges[r.column_name] = [(lo + width * k, lo + width * (k + 1), f"h{i}_{k}") for k in range(n)]
+        v = clean(qcol(r.column_name), df.schema[r.column_name].dataType).cast("double")
+        at = F.least(F.greatest(F.ceil((v - lo) / width), F.lit(1)), F.lit(n)) if hi > lo else F.when(v.isNotNull(), F.lit(1))
+        aggs += [F.count_if(at == k + 1).alias(f"h{i}_{k}") for k in range(n)]
+    counts = df.agg(*aggs).first().asDict() if aggs else {}
+    return first.s, first.p, {c: [[a, b, counts[name]] for a, b, name in e] for c, e in edges.items()}
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -190,17 +223,3 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     edge = lambda k: F.lit(lo) + F.lit(width) * k
     out = all_.join(counts, "bin", "left")
     return out.select("bin", edge(F.col("bin") - 1).alias("lower"), edge(F.col("bin")).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of each pair of number columns, over the rows that have both; null for a constant."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    v = {c: clean(qcol(c), kinds[c]).cast("double") for c in columns}
-    fields = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            both = v[a].isNotNull() & v[b].isNotNull()
-            x, y = F.when(both, v[a]), F.when(both, v[b])
-            r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            fields.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(r) & (F.abs(r) < float("inf")), r).alias("r")))
-    return df.agg(F.array(*fields).alias("p")).select(F.inline("p"))

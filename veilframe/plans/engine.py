@@ -18,7 +18,7 @@ from veilframe.errors import PolicyError, RiskError
 from veilframe.functions.laplace import Ledger
 from veilframe.operators.kanon import Suppressed, cardinalities, enforce
 from veilframe.operators.preflight import preflight as search
-from veilframe.operators.profile import column_kind, correlations, detect, detection_sample, histogram, numeric_stats, schema_profile
+from veilframe.operators.profile import detect, detection_sample, schema_profile, summary
 from veilframe.operators.utility import distinct_counts, utility
 from veilframe.columns import is_numeric
 from veilframe.plans.policy import Request, derived_key, fold, new_key, noise_params, quasi_identifiers, sensitive_columns, with_noise
@@ -89,10 +89,10 @@ def compare(after: DataFrame) -> dict:
     numbers = [f.name for f in after.schema.fields if is_numeric(f.dataType)]
     out: dict = {"columns": {c: {"kind": "categorical"} for c in after.columns}, "correlation": []}
     if numbers:
-        for r in numeric_stats(after, numbers).collect():
-            out["columns"][r.column_name] = {"kind": "numeric"} | {k: r[k] for k in ("mean", "std", "minimum", "maximum", "null_ratio")}
-            out["columns"][r.column_name]["histogram"] = [[b.lower, b.upper, b.n] for b in histogram(after, r.column_name).orderBy("bin").collect()]
-        out["correlation"] = [[r.a, r.b, r.r] for r in correlations(after, numbers).collect()]
+        stats, pairs, bars = summary(after, numbers)
+        for r in stats:
+            out["columns"][r.column_name] = {"kind": "numeric"} | {k: r[k] for k in ("mean", "std", "minimum", "maximum", "null_ratio")} | {"histogram": bars.get(r.column_name, [])}
+        out["correlation"] = [[r.a, r.b, r.r] for r in pairs]
     return out
 
 
@@ -130,6 +130,3 @@ def shown(v):
         return f"{v:.6g}"
     s = str(v)
     return s if len(s) <= 80 else s[:77] + "…"
-
-
-__all__ = ["Released", "barrier", "column_kind", "compare", "guard", "preflight", "preview", "release", "shown"]

@@ -72,7 +72,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(at: np.ndarray, ends: np.ndarray, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -> Model:
+@dataclass
+class Sample:
+    """Features of labelled texts: a row and a column for each, columns counted from 0."""
+
+    row: np.ndarray
+    col: np.ndarray
+    codes: np.ndarray  # the hashed feature that a column stands for
+    rows: int
+
+    @classmethod
+    def of(cls, at: np.ndarray, ends: np.ndarray) -> Sample:
+        """Features of three texts or more; others say little and would take room."""
+        seen = np.bincount(at, minlength=_WIDTH)
+        good = seen[at] > 2
+        codes = np.flatnonzero(seen > 2)
+        place = np.zeros(_WIDTH, np.int32)
+        place[codes] = np.arange(len(codes))
+        row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))[good]
+        return cls(row, place[at[good]], codes, len(ends) - 1)
+
+    def take(self, keep: np.ndarray) -> Sample:
+        """The rows for which keep is true, counted anew."""
+        on = keep[self.row]
+        return Sample((np.cumsum(keep) - 1).astype(np.int32)[self.row[on]], self.col[on], self.codes, int(keep.sum()))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights.astype(np.float32)[self.col], self.rows)
+
+
+def fit(x: Sample, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -> Model:
     """Penalised maximum likelihood by L-BFGS; a constant if there is one class only.
 
     A feature stands for its log ratio of shares in the two classes, so that the penalty
@@ -80,25 +109,16 @@ def fit(at: np.ndarray, ends: np.ndarray, before: np.ndarray, y: np.ndarray, pen
     """
     share = (y.sum() + 0.5) / (len(y) + 1)
     if not 0 < y.sum() < len(y):
-        edge = 0.0 if not y.sum() else 1.0
-        return Model(np.zeros(_WIDTH, np.float32), np.zeros(before.shape[1]), -30.0 if edge == 0 else 30.0)
-    # Features of one or two texts say little about others: they keep weight 0.
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))
-    seen, positive = np.bincount(at, minlength=_WIDTH), np.bincount(at, y[row], _WIDTH)
-    good = seen[at] > 2
-    row = row[good]
-    used, col = np.unique(at[good], return_inverse=True)
-    col = col.astype(np.int32)
-    ratio = np.log((positive[used] + 0.5) / (y.sum() + 1)) - np.log((seen - positive)[used] + 0.5) + np.log(len(y) - y.sum() + 1)
-    inner = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
-    m, c = len(used), before.shape[1]
+        return Model(np.zeros(_WIDTH, np.float32), np.zeros(before.shape[1]), 30.0 if y.sum() else -30.0)
+    m, c = len(x.codes), before.shape[1]
+    seen, positive = np.bincount(x.col, minlength=m), np.bincount(x.col, y.astype(np.float32)[x.row], m)
+    ratio = np.log((positive + 0.5) / (y.sum() + 1)) - np.log((seen - positive + 0.5) / (len(y) - y.sum() + 1))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = _sums((w[:m] * ratio)[col], inner) + before @ w[m : m + c] + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        err = p - y
+        z = x.sums(w[:m] * ratio) + before @ w[m : m + c] + w[-1]
+        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         value = np.logaddexp(0, z).sum() - (z * y).sum() + penalty / 2 * (w[:-1] @ w[:-1])
-        grad = np.concatenate([np.bincount(col, err[row], m) * ratio, before.T @ err, [err.sum()]])
+        grad = np.concatenate([np.bincount(x.col, err.astype(np.float32)[x.row], m) * ratio, before.T @ err, [err.sum()]])
         grad[:-1] += penalty * w[:-1]
         return value, grad
 
@@ -123,37 +143,32 @@ def fit(at: np.ndarray, ends: np.ndarray, before: np.ndarray, y: np.ndarray, pen
         s, g = -step * d, new_grad - grad
         if s @ g > 1e-12:
             past = [*past[-7:], (s, g, 1 / (s @ g))]
-        done = value - new < 1e-7 * max(1.0, abs(value))
+        done = value - new < 1e-6 * max(1.0, abs(value))
         w, value, grad = w + s, new, new_grad
         if done:
             break
     sparse = np.zeros(_WIDTH, np.float32)
-    sparse[used] = w[:m] * ratio
+    sparse[x.codes] = w[:m] * ratio
     return Model(sparse, w[m : m + c], float(w[-1]))
 
 
-def fit_chain(at: np.ndarray, ends: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[Model]:
+def fit_chain(x: Sample, y: np.ndarray, fold: np.ndarray) -> list[Model]:
     """One model a column of y, each fed with out-of-fold predictions of those before."""
     models, before = [], np.zeros((len(y), 0))
     for k in range(y.shape[1]):
-        models.append(fit(at, ends, before, y[:, k]))
+        models.append(fit(x, before, y[:, k]))
         if k + 1 == y.shape[1]:
             break
         out = np.zeros(len(y))
         for f in np.unique(fold):
-            rest, mine = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part = fit(*_take(at, ends, rest), before[rest], y[rest, k]) if len(rest) else models[-1]
-            out[mine] = part.predict(*_take(at, ends, mine), before[mine])
+            mine = fold == f
+            part = fit(x.take(~mine), before[~mine], y[~mine, k]) if (~mine).any() else models[-1]
+            z = x.take(mine).sums(part.sparse[x.codes]) + before[mine] @ part.chain + part.bias
+            out[mine] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         before = np.column_stack([before, out])
     return models
 
 
-def _take(at: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(ends)[rows]
-    new = np.concatenate([[0], np.cumsum(n)])
-    return at[np.repeat(ends[rows] - new[:-1], n) + np.arange(new[-1])], new
-
-
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in _text.text_chunks(batch.column(0)):
@@ -178,9 +193,11 @@ def learn(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...], sampl
     if not rows.num_rows:
         return [Model(np.zeros(_WIDTH, np.float32), np.zeros(k), -30.0) for k in range(len(chain))]
     lists = rows["at"].combine_chunks()
-    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    x = Sample.of(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
     y = np.column_stack([rows[f"y{k}"].to_numpy() for k in range(len(chain))]).astype(float)
-    return fit_chain(lists.flatten().to_numpy(), ends, y, rows["fold"].to_numpy())
+    fold = rows["fold"].to_numpy()
+    del lists, rows
+    return fit_chain(x, y, fold)
 
 
 def _chained(models: list[Model], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -201,7 +218,7 @@ def _predict(models: list[Model], names: list[str]):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAIN, threshold: float = 0.3, sample: int = 12_000, folds: int = 3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAIN, threshold: float = 0.3, sample: int = 8_000, folds: int = 3) -> DataFrame:
     """(doc_id, p_<category>..., toxic) of every row of documents.
 
     docs: doc_id long, text string; labels: doc_id and a 0/1 column for each category;
@@ -219,7 +236,7 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAI
     return out.withColumn("toxic", F.col(names[-1]) >= threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAIN, threshold: float = 0.3, sample: int = 12_000, folds: int = 3) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAIN, threshold: float = 0.3, sample: int = 8_000, folds: int = 3) -> DataFrame:
     """The rows of docs that ``score`` does not call toxic, in one pass and without a join."""
     models = learn(docs, labels, chain, sample, folds)
     text = docs.columns.index("text")

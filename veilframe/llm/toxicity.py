@@ -5,7 +5,7 @@ of the text (its words, and their first 4, 5 and 6 bytes) and on the probabiliti
 categories before it. While training, those probabilities are out-of-fold predictions,
 so that a later model sees what it will see on new text. Copies of a text share a fold.
 
-The chain is fitted on the driver on a bounded sample of labelled rows (``sample``, those
+The chain is fitted by one task on a bounded sample of labelled rows (``sample``, those
 with the least hash of doc_id); prediction reads every text. The weights that go to each
 task take ``4 * 2**BITS`` bytes a category.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import _text
-from veilframe.llm._store import keep
+from veilframe.llm._store import drop, keep
 
 BITS = 18
 _WIDTH = 1 << BITS
@@ -189,15 +189,34 @@ def learn(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...], sampl
     # At most ``sample`` rows of a few numbers: small whatever the size of the tables.
     known = docs.join(F.broadcast(some), "doc_id").select("text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), "doc_id", *[f"y{k}" for k in range(len(chain))])
     schema = "at array<int>, fold int, doc_id long, " + ", ".join(f"y{k} int" for k in range(len(chain)))
-    rows = keep(known.dropDuplicates(["doc_id"]).mapInArrow(_featurise, schema), "toxicity-sample").toArrow().sort_by("doc_id").combine_chunks()
-    if not rows.num_rows:
-        return [Model(np.zeros(_WIDTH, np.float32), np.zeros(k), -30.0) for k in range(len(chain))]
-    lists = rows["at"].combine_chunks()
-    x = Sample.of(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
-    y = np.column_stack([rows[f"y{k}"].to_numpy() for k in range(len(chain))]).astype(float)
-    fold = rows["fold"].to_numpy()
-    del lists, rows
-    return fit_chain(x, y, fold)
+    rows = keep(known.dropDuplicates(["doc_id"]).mapInArrow(_featurise, schema), "toxicity-sample")
+    # The sample is bounded: one task fits the chain, and the driver gets its weights only.
+    found = rows.coalesce(1).mapInArrow(_fit(len(chain)), "place int, codes binary, weights binary, chain binary, bias double").collect()
+    drop(some, rows)
+    models = []
+    for r in sorted(found, key=lambda r: r.place):
+        sparse = np.zeros(_WIDTH, np.float32)
+        sparse[np.frombuffer(r.codes, np.int32)] = np.frombuffer(r.weights, np.float32)
+        models.append(Model(sparse, np.frombuffer(r.chain, np.float64), r.bias))
+    return models or [Model(np.zeros(_WIDTH, np.float32), np.zeros(k), -30.0) for k in range(len(chain))]
+
+
+def _fit(categories: int):
+    """All rows of the sample to one row a category."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).sort_by("doc_id").combine_chunks()
+        lists = table["at"].combine_chunks()
+        x = Sample.of(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
+        y = np.column_stack([table[f"y{k}"].to_numpy() for k in range(categories)]).astype(float)
+        for k, m in enumerate(fit_chain(x, y, table["fold"].to_numpy())):
+            codes = np.flatnonzero(m.sparse).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"place": pa.array([k], pa.int32()), "codes": pa.array([codes.tobytes()], pa.binary()), "weights": pa.array([m.sparse[codes].tobytes()], pa.binary()), "chain": pa.array([m.chain.astype(np.float64).tobytes()], pa.binary()), "bias": pa.array([m.bias], pa.float64())})
+
+    return run
 
 
 def _chained(models: list[Model], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before us
             pass
 
@@ -40,13 +47,40 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
     This cuts the lineage: what follows survives lost executors without computing it
-    anew, and its size is known to the optimizer. The table goes when the driver ends.
+    anew, and its size is known to the optimizer. The table goes when the driver ends, or
+    before, by ``drop`` or ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes kept tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_kept_path", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what was kept within, but for tables put into the list.
+
+    The shuffle files of plans that are done with go too: Spark's cleaner removes them
+    once the driver's memory is collected.
+    """
+    before, stay = set(_written), []
+    yield stay
+    paths = {getattr(df, "_kept_path", None) for df in stay}
+    for path in [p for p in _written if p not in before and p not in paths]:
+        _delete(_written.pop(path), path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._store import keep
+from veilframe.llm._store import drop, keep, scratch
 
 
 def _are_stars(e: DataFrame) -> bool:
@@ -42,7 +42,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # Small star: u and its neighbours below go to the least of those.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(small.union(least.select("u", "m")).where("u <> v").distinct(), name)
+        old, e = e, keep(small.union(least.select("u", "m")).where("u <> v").distinct(), name)
+        drop(old)
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
@@ -58,6 +59,14 @@ def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[Dat
     way than to compare them all. Returns (id, component) of linked ids, None without
     links.
     """
+    with scratch(blocks.sparkSession) as stay:
+        found = _closure(blocks, prepare, name, stars, rest)
+        if found is not None:
+            stay.append(found)
+    return found
+
+
+def _closure(blocks: DataFrame, prepare, name: str, stars: int, rest) -> DataFrame | None:
     many = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("any")).where("n > 1 and any")
     rows = keep(blocks.join(many.select("block"), "block"), f"{name}-blocks")
     verify = prepare(keep(rows.select("id").distinct(), f"{name}-ids"))

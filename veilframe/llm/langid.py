@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm import _text
 
 _SYMBOLS = 1024
 _CHARS = 1 << 18

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.columns import unused
 from veilframe.llm import _text
 from veilframe.llm._bloom import Bloom, places
-from veilframe.llm._store import keep
+from veilframe.llm._store import drop, keep
 from veilframe.llm.graph import components, star_closure
 
 _U = np.uint64
@@ -121,7 +122,7 @@ def rest_pairs(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     known = open_.select("id", "component").distinct()
     rows = keep(full.join(family, "id").join(known, "id"), "minhash-members")
     size = rows.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    often = rows.select("family", F.explode("shingles").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"))
+    often = rows.select("family", F.explode("shingles").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = often.join(size, "family").where(F.col("n") * 2 > F.col("members"))
     consensus = often.groupBy("family").agg(F.collect_list("e").alias("common"))
     rows = rows.join(consensus, "family", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
@@ -198,6 +199,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         return verify
 
     found = star_closure(blocks.withColumn("centre", F.lit(True)), prepare, "minhash", rest=lambda open_: rest_pairs(open_, made[0], percent))
+    old, sets = sets, keep(sets.select("doc_id", *key), "minhash-rows")
+    drop(old)
     if found is not None:
         classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
         classes = classes.select(*key, F.coalesce("component", "rep").alias("component_id"))
@@ -215,5 +218,6 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows of a kept doc_id all stay; what leaves are documents whose component has a
     smaller doc_id.
     """
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone_id = unused(docs, "gone")
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti")

@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm._store import keep, ranked
+from veilframe.columns import unused
+from veilframe.llm._store import keep, ranked, scratch
 
 #: Documents that one task ranks together at most, about.
 _GROUP = 50_000
@@ -59,6 +60,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
+def _exact_sum(words: Column, each: Column) -> Column:
+    """Sum of words * each in whole units of 1e-12: it does not depend on the rows' order."""
+    units = F.round(each * 1e12).cast("decimal(20,0)") * words.cast("decimal(18,0)")
+    return F.sum(units).cast("double") / 1e12
+
+
 def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
     """(source, size, n, target, rate) of each cell of (source, size, n) of one source and size."""
     same = F.col("c.source").eqNullSafe(F.col("t.source"))
@@ -73,7 +80,7 @@ def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
         todo = t.where("not done").alias("t")
         words = F.col("size") * F.col("n")
         at = cells.alias("c").join(todo, same).select("t.source", "size", "n", "x", "mean")
-        sums = at.groupBy("source").agg(F.sum(words * rate).alias("got"), F.sum(words * F.col("size") / F.col("mean") * rate * (1 - rate / most)).alias("slope"))
+        sums = at.groupBy("source").agg(_exact_sum(words, rate).alias("got"), _exact_sum(words, F.col("size") / F.col("mean") * rate * (1 - rate / most)).alias("slope"))
         t = t.alias("c").join(sums.alias("t"), same, "left").select("c.*", "got", "slope")
         over = F.col("got") > F.col("target")
         lo = F.when(over, F.col("lo")).otherwise(F.greatest("lo", "x"))
@@ -93,6 +100,14 @@ def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
 
 def _taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
     """``mix`` with the hash that tells rows of one doc_id apart."""
+    with scratch(docs.sparkSession) as stay:
+        out, tables = _deal(docs, weights, share, most)
+        stay += tables
+    return out
+
+
+def _deal(docs: DataFrame, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result, and the kept tables that it reads."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tie"))
     rows = keep(rows, "mix-rows")
     cells = keep(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
@@ -114,7 +129,7 @@ def _taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
     dealt = dealt.alias("r").join(groups.alias("c"), same).select("r.*", "start")
     extra = F.floor(F.col("start") + F.col("place") * F.col("part")) - F.floor(F.col("start") + (F.col("place") - 1) * F.col("part"))
     copies = F.least(F.lit(most), F.col("whole") + extra).cast("long")
-    dealt = keep(dealt.select("doc_id", "source", "size", "tie", "place", (copies * F.col("size")).alias("words")), "mix-copies")
+    dealt = given = keep(dealt.select("doc_id", "source", "size", "tie", "place", (copies * F.col("size")).alias("words")), "mix-copies")
 
     # What rounding left over goes to the smallest document that can give or take it all.
     got = dealt.groupBy("source").agg(F.sum("words").alias("got"))
@@ -126,7 +141,8 @@ def _taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
     chosen = dealt.where(fits).groupBy("source").agg(F.min(key).alias("chosen"))
     out = dealt.alias("r").join(chosen.alias("c"), same, "left")
     mine = F.coalesce(F.col("chosen") == F.struct(F.col("size"), F.col("tie"), F.col("doc_id"), F.col("place")), F.lit(False))
-    return out.select(F.col("doc_id"), F.col("tie"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("words") + F.when(mine, F.col("left")).otherwise(0)).alias("taken"))
+    out = out.select(F.col("doc_id"), F.col("tie"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("words") + F.when(mine, F.col("left")).otherwise(0)).alias("taken"))
+    return out, [given, target]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -149,17 +165,18 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A part copy holds the first words of its text; n_chars, if there is one, counts it.
     Repeated rows of one doc_id and text take equal parts.
     """
-    each = _taken(docs, **options).groupBy("doc_id", "tie").agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken"))
-    each = each.where("_taken > 0").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "_size", "_taken")
-    tie = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.withColumn("_own", tie).join(each, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tie")))
-    whole = F.floor(F.col("_taken") / F.col("_size"))
-    part = F.col("_taken") - whole * F.col("_size")
+    doc, own, tie, size, taken, words = (unused(docs, f"mix_{c}") for c in ("doc", "own", "tie", "size", "taken", "words"))
+    each = _taken(docs, **options).groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.max("size").alias(size), F.floor(F.avg("taken")).alias(taken))
+    mine = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.withColumn(own, mine).join(each.where(F.col(taken) > 0), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(tie)))
+    whole = F.floor(F.col(taken) / F.col(size))
+    part = F.col(taken) - whole * F.col(size)
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("_words", F.explode(copies))
+    rows = rows.withColumn(words, F.explode(copies))
     head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    cut = F.concat(head, F.array_join(F.slice(F.split(F.substring("text", F.length(head) + 1, F.length("text")), r"[\x20\x09-\x0D]+"), 1, F.col("_words").cast("int")), " "))
-    rows = rows.withColumn("text", F.when(F.col("_words") == 0, F.col("text")).otherwise(cut))
+    cut = F.concat(head, F.array_join(F.slice(F.split(F.substring("text", F.length(head) + 1, F.length("text")), r"[\x20\x09-\x0D]+"), 1, F.col(words).cast("int")), " "))
+    full = F.col(words) == 0
+    text = F.when(full, F.col("text")).otherwise(cut)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(full, F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    return rows.withColumn("text", text).select(*docs.columns)

@@ -153,6 +153,33 @@ def test_pii_terms_and_digest(spark):
     assert digest(find(df.where("false"))).count() == 0
 
 
+def test_pii_terms_of_rare_entities(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioustrn") for _ in range(6)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(300)]
+    rows[7] = (7, rows[7][1] + " Quixby ann@one.example " + rows[8][1])  # a value of one text
+    for i in range(20, 26):  # six values, each of one text, one word beside them
+        rows[i] = (i, rows[i][1] + f" Helpdesk u{i}@site{i}.example " + rows[i + 50][1])
+    found = {r.doc_id: r.terms for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = {i: {t[s.start : s.end] for s in found[i]} for i, t in rows}
+    assert told == {i: {"Quixby"} if i == 7 else {"Helpdesk"} if 20 <= i < 26 else set() for i, _ in rows}
+
+
+def test_pii_terms_stand_in_the_whole_document(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioustrn") for _ in range(6)) for _ in range(40)]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, fill(60)) for i in range(200)]
+    for i in range(8):  # beside the entity in four texts only, far from it in all
+        near = "Zorblax" if i < 4 else "aaaaaa"
+        rows[i] = (i, f"Zorblax {fill(30)} {near} bob@corp.example {fill(30)} zorblax.")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.terms] for r in find(df).collect()}
+    want = {i: [m.span() for m in re.finditer("zorblax", t.lower())] for i, t in rows}
+    assert {i: [p for p in found[i] if p in want[i]] for i in want} == want
+    assert not any("zorblax" in r.text.lower() for r in sanitise(df).collect())
+
+
 def brute_secrets(t):
     out = []
     for k, r in enumerate(BASE + MORE):

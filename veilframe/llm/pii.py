@@ -1,17 +1,24 @@
 """Personal data, and the terms around it that give it away.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone
-numbers. Then the corpus tells which words disclose an entity that they stand beside:
-with n documents of N holding an entity and m of them a term within ``window`` words of
-it, of k that hold the term at all, the pointwise mutual information log(m N / (n k))
-is held against the entity's information content log(N / n). A term is disclosive if
-that ratio reaches ``disclosure`` and at least ``support`` different texts show the pair.
-Its occurrences beside the entity become spans of kind ``term``; ``sanitise`` replaces
-them by a general word, and entities by their kind.
+numbers. Then the corpus tells which words disclose an entity that they stand beside. An
+entity is looked at as a value, as the domain of an e-mail address, and as a kind, so
+that values of one or two texts have evidence too. Of N documents n hold the entity, k
+the term and m both; x different texts hold the term within ``window`` words of the
+entity. The chance of the entity where the term stands is smoothed towards n / N,
+
+    q = (x m / k + prior n / N) / (x + prior),
+
+and the pointwise mutual information log(q N / n) is held against the entity's information
+content log(N / n). A term is disclosive if that ratio reaches ``disclosure``. All its
+occurrences in the documents that hold the entity become spans of kind ``term``;
+``sanitise`` replaces them by a general word, and entities by their kind.
 
 Windows keep the pairs proportional to the mentions. Documents that hold no entity get
-no span. Counting the terms' documents reads all texts once more; a Bloom filter of
-bounded size picks the terms that matter there, and exact joins follow.
+no span. Counting the terms' documents reads all texts once more. Terms that could not
+reach ``disclosure`` even if all their documents held the entity leave then, and the
+others are looked up in the documents with entities; Bloom filters of bounded size pick
+the terms that matter, and exact joins follow.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-_FOUND = "doc_id long, h long, base array<struct<kind:int,start:long,end:long>>, pairs array<struct<entity:long,term:long,start:long,end:long>>"
+_FOUND = "doc_id long, h long, base array<struct<kind:int,start:long,end:long>>, pairs array<struct<entity:long,term:long>>"
 
 Span = tuple[int, int, int]
 
@@ -104,6 +111,12 @@ def _around(text: str, base: list[Span], window: int) -> list[tuple[int, int, in
     return found
 
 
+def _levels(kind: int, value: str) -> list[str]:
+    """The entity as a value, as a domain and as a kind."""
+    domain = [f"{kind}@{value.rpartition('@')[2]}"] if kind == 0 else []
+    return [f"{kind}:{value}", *domain, f"{kind}"]
+
+
 def _find(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,14 +130,15 @@ def _find(window: int):
                 for n, a, b in _around(t, spans, window):
                     if not any(x < b and a < y for x, y in _near(taken, n)):
                         kind, x, y = spans[n]
-                        flat.append((f"{kind}:{t[x:y].lower()}", t[a:b].lower(), a, b))
-                        owners.append(k)
+                        for e in _levels(kind, t[x:y].lower()):
+                            flat.append((e, t[a:b].lower()))
+                            owners.append(k)
             entity, term = _hash([f[0] for f in flat]), _hash([f[1] for f in flat])
             pairs: list[list[dict]] = [[] for _ in texts]
-            for k, e, w, f in zip(owners, entity.tolist(), term.tolist(), flat, strict=True):
-                pairs[k].append({"entity": e, "term": w, "start": f[2], "end": f[3]})
+            for k, e, w in zip(owners, entity.tolist(), term.tolist(), strict=True):
+                pairs[k].append({"entity": e, "term": w})
             kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-            pair = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+            pair = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(base, kind), pa.array(pairs, pair)], ["doc_id", "h", "base", "pairs"])
 
     return run
@@ -142,6 +156,13 @@ def _bits(key: Column) -> list[Column]:
     return [F.shiftrightunsigned(key, 21 * k).bitwiseAND(_MASK).cast("int") for k in range(3)]
 
 
+def _hits(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    u, hit = h.view(np.uint64), np.ones(len(h), bool)
+    for k in range(3):
+        hit &= wanted[k][((u >> np.uint64(21 * k)) & np.uint64(_MASK)).astype(np.int64)]
+    return hit
+
+
 def _count_terms(wanted: np.ndarray):
     """(term, n): in how many texts of a batch each wanted term stands."""
 
@@ -153,11 +174,7 @@ def _count_terms(wanted: np.ndarray):
                 if not words:
                     continue
                 h = _hash(words)
-                u = h.view(np.uint64)
-                hit = np.ones(len(h), bool)
-                for k in range(3):
-                    hit &= wanted[k][((u >> np.uint64(21 * k)) & np.uint64(_MASK)).astype(np.int64)]
-                for x in h[hit].tolist():
+                for x in h[_hits(h, wanted)].tolist():
                     seen[x] = seen.get(x, 0) + 1
             if seen:
                 yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -165,34 +182,83 @@ def _count_terms(wanted: np.ndarray):
     return run
 
 
-def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def _places(wanted: np.ndarray):
+    """(doc_id, h, term, start, end) of the wanted terms in all of each text with entities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, flat = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                taken = entities(t) if t else []
+                if not taken:
+                    continue
+                covered = np.zeros(len(t) + 1, np.int32)
+                for _, a, b in taken:
+                    covered[a] += 1
+                    covered[b] -= 1
+                covered = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
+                for m in _WORD.finditer(t):
+                    a, b = m.span()
+                    if covered[a] == covered[b]:
+                        rows.append(k)
+                        flat.append((m[0].lower(), a, b))
+            h = _hash([f[0] for f in flat])
+            some = np.flatnonzero(_hits(h, wanted))
+            at = pa.array(np.array(rows, np.int64)[some])
+            ends = [pa.array([flat[i][c] for i in some.tolist()], pa.int64()) for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(h[some]), *ends], ["doc_id", "h", "term", "start", "end"])
+
+    return run
+
+
+def _filter(terms: DataFrame) -> np.ndarray:
+    """The Bloom filter of a table's terms."""
+    wanted = np.zeros((3, _MASK + 1), bool)
+    for k, bit in enumerate(_bits(F.col("term"))):
+        for r in terms.select(bit.alias("b")).distinct().toLocalIterator():  # 2**21 bits at most
+            wanted[k, r.b] = True
+    return wanted
+
+
+def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: float = 0.5) -> DataFrame:
     """(doc_id, h, base, terms) of every row: spans of entities and of disclosive terms.
 
     base: (kind number, start, end) in order of start and kind; terms: (start, end) in
     order; code points, end exclusive. h is a hash of the text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = keep(rows.withColumn("h", F.xxhash64("text")).mapInArrow(_find(window), _FOUND), "pii-found")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    found = keep(rows.mapInArrow(_find(window), _FOUND), "pii-found")
     some = found.where(F.size("pairs") > 0)
     total = found.count()
-    pairs = some.select("doc_id", "h", F.explode(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["entity"].alias("entity"), p["term"].alias("term"))))).alias("p")).select("doc_id", "h", "p.*")
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("m"), F.size(F.collect_set(F.pmod("h", F.lit(1 << 12)))).alias("texts"))
-    both = keep(both.where(F.col("texts") >= support), "pii-pairs")
+    pairs = some.select("h", F.explode(F.array_distinct("pairs")).alias("p")).select("h", "p.*").distinct()
+    both = keep(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("x")), "pii-pairs")
     none = F.array().cast("array<struct<start:long,end:long>>")
     if both.isEmpty():
         return found.select("doc_id", "h", "base", none.alias("terms"))
-    each = some.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    terms = both.select("term").distinct()
-    wanted = np.zeros((3, _MASK + 1), bool)
-    for k, bit in enumerate(_bits(F.col("term"))):
-        for r in terms.select(bit.alias("b")).distinct().toLocalIterator():  # 2**21 bits at most
-            wanted[k, r.b] = True
-    known = rows.select("text").mapInArrow(_count_terms(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("k"))
-    ratio = F.log(F.col("m") * total / (F.col("n") * F.col("k"))) / F.log(total / F.col("n"))
-    tell = both.join(each, "entity").join(known, "term").where(F.col("n") < total).where(ratio >= disclosure).select("entity", "term")
-    tell = keep(tell, "pii-disclosive")
-    spans = some.select("doc_id", "h", F.explode("pairs").alias("p")).select("doc_id", "h", "p.*").join(tell, ["entity", "term"])
-    spans = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    holders = some.select("doc_id", "h", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity"))
+    each = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    known = rows.select("text").mapInArrow(_count_terms(_filter(both.select("term").distinct())), "term long, n long").groupBy("term").agg(F.sum("n").alias("k"))
+
+    def ratio(m: Column) -> Column:
+        chance = (F.col("x") * m / F.col("k") + F.lit(prior) * F.col("n") / total) / (F.col("x") + F.lit(prior))
+        return F.log(chance * total / F.col("n")) / F.log(total / F.col("n"))
+
+    both = both.join(each, "entity").join(known, "term").where(F.col("n") < total)
+    both = keep(both.where(ratio(F.least("n", "k")) >= disclosure), "pii-possible")
+    if both.isEmpty():
+        return found.select("doc_id", "h", "base", none.alias("terms"))
+    places = rows.select("doc_id", "text", "h").mapInArrow(_places(_filter(both.select("term").distinct())), "doc_id long, h long, term long, start long, end long")
+    places = keep(places.groupBy("doc_id", "h", "term").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "pii-places")
+    # A row's doc_id and text, however often they are repeated.
+    alike = holders.groupBy("doc_id", "h", "entity").agg(F.count(F.lit(1)).alias("rows"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.h") == F.col("p.h"))
+    met = alike.alias("a").join(places.alias("p"), same).select("p.doc_id", "p.h", "entity", "term", "rows", "spans").join(both, ["entity", "term"])
+    met = keep(met, "pii-met")
+    tell = met.groupBy("entity", "term").agg(F.sum("rows").alias("m"), *[F.first(c).alias(c) for c in ("x", "n", "k")])
+    tell = tell.where(ratio(F.least("m", "k")) >= disclosure).select("entity", "term")
+    spans = met.join(tell, ["entity", "term"]).select("doc_id", "h", F.explode("spans").alias("s"))
+    spans = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("terms"))
     same = F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("f.h").eqNullSafe(F.col("s.h"))
     out = found.alias("f").join(spans.alias("s"), same, "left")
     return out.select("f.doc_id", "f.h", "f.base", F.coalesce("s.terms", none).alias("terms"))

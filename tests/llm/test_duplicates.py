@@ -134,6 +134,16 @@ def test_lines_that_repeat_go(spark):
     assert line_classes(df.where("false")).count() == 0 and without_repeats(df.where("false")).columns == df.columns
 
 
+def test_documents_keep_what_repeats_nothing(spark):
+    import corpus_pipeline
+
+    a = "a licence line that many files have at their start"
+    rows = [(1, f"{a}\nrose"), (2, f"{a}\nsaffron\n\nthyme"), (3, f"{a}\n \t\n"), (4, f"{a}\n春眠不覚暁")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "saffron\n\nthyme", 4: "春眠不覚暁"}
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(12, 16))

@@ -30,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one, exactly or by one edit."""
     ship(spark)
-    return without_repeats(docs, rest=True)
+    return without_repeats(docs, rest=True, short=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     ship(spark)
-    return mixed(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2)
+    return mixed(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2, parts=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,20 @@ def test_documents_keep_what_repeats_nothing(spark):
     assert got == {1: rows[0][1], 2: "saffron\n\nthyme", 4: "春眠不覚暁"}
 
 
+def test_short_lines_are_grouped_exactly(spark):
+    import corpus_pipeline
+
+    long = "a line that is long enough to be joined"
+    rows = [(1, f"All rights.\n\n{long}\nIetzte."), (2, f" ietzte.\nIetzte,\n{long}s\n春眠\n "), (3, "春眠\nown"), (4, "ietzte.\nIetzte.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.copies, r.kept) for r in line_classes(df, short=True).collect()}
+    want = {(1, 0): (1, 0, 1, True), (1, 2): (1, 2, 2, True), (1, 3): (1, 3, 4, True), (2, 0): (1, 3, 4, False), (2, 1): (2, 1, 1, True), (2, 2): (1, 2, 2, False)}
+    want |= {(2, 3): (2, 3, 2, True), (3, 0): (2, 3, 2, False), (3, 1): (3, 1, 1, True), (4, 0): (1, 3, 4, False), (4, 1): (1, 3, 4, False)}
+    assert got == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert left == {1: rows[0][1], 2: "Ietzte,\n春眠\n ", 3: "own"}
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(12, 16))

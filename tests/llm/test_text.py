@@ -255,6 +255,25 @@ def test_mix(spark):
     assert mix(df.where("false")).count() == 0
 
 
+def test_the_pipeline_mixes_whole_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [(i, "\n".join("w" * rng.randint(1, 9) for _ in range(rng.choice([3, 40, 200]))), "en", rng.choice("abc"), 0) for i in range(120)]
+    rows += [(500, "one\ntwo three", "en", "c", 0)] * 40
+    df = spark.createDataFrame(rows, DOCS)
+    out = corpus_pipeline.mixing(spark, df, "").collect()
+    text = {r[0]: r[1] for r in rows}
+    assert out and all(r.text == text[r.doc_id] for r in out)
+    got, dealt = Counter(r.doc_id for r in out), Counter(r.doc_id for r in rows)
+    assert all(got[i] <= 2 * dealt[i] for i in got) and 0 < got[500] < 80
+    longest = max(len(t.split()) for t in text.values())
+    target = {r.source_size: r.target for r in mix(df).collect()}
+    for s in "abc":
+        size = sum(len(r[1].split()) for r in rows if r[3] == s)
+        assert abs(sum(len(r.text.split()) for r in out if r.source == s) - target[size]) <= longest
+
+
 def test_targets_stop_at_their_caps(spark):
     sizes = {"a": 10, "b": 1000, "c": 0, None: 100}
     got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5.0, 2.0, 1.0), 1.5, 2).collect()}

@@ -99,7 +99,7 @@ def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
 
 
 def _taken(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
-    """``mix`` with the hash that tells rows of one doc_id apart."""
+    """``mix`` with source, the hash that tells rows of one doc_id apart, and dealt: the words of whole copies."""
     with scratch(docs.sparkSession) as stay:
         out, tables = _deal(docs, weights, share, most)
         stay += tables
@@ -141,7 +141,7 @@ def _deal(docs: DataFrame, weights: tuple[float, ...], share: float, most: int)
     chosen = dealt.where(fits).groupBy("source").agg(F.min(key).alias("chosen"))
     out = dealt.alias("r").join(chosen.alias("c"), same, "left")
     mine = F.coalesce(F.col("chosen") == F.struct(F.col("size"), F.col("tie"), F.col("doc_id"), F.col("place")), F.lit(False))
-    out = out.select(F.col("doc_id"), F.col("tie"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("words") + F.when(mine, F.col("left")).otherwise(0)).alias("taken"))
+    out = out.select(F.col("doc_id"), F.col("tie"), F.col("r.source").alias("source"), F.col("words").alias("dealt"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("words") + F.when(mine, F.col("left")).otherwise(0)).alias("taken"))
     return out, [given, target]
 
 
@@ -156,23 +156,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     than ``most`` times its size. A null source is a source of its own. Of repeated rows
     each counts as a document. Equal input gives equal output; an empty table gives none.
     """
-    return _taken(docs, weights, share, most).drop("tie")
+    return _taken(docs, weights, share, most).drop("tie", "source", "dealt")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, parts: bool = True, **options) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it.
 
     A part copy holds the first words of its text; n_chars, if there is one, counts it.
-    Repeated rows of one doc_id and text take equal parts.
+    Without ``parts`` all copies are whole, and a source's words are off its target by
+    less than its longest document. Rows that repeat doc_id, text and source deal their
+    copies out, one row's number at most one above another's.
     """
-    doc, own, tie, size, taken, words = (unused(docs, f"mix_{c}") for c in ("doc", "own", "tie", "size", "taken", "words"))
-    each = _taken(docs, **options).groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.max("size").alias(size), F.floor(F.avg("taken")).alias(taken))
-    mine = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.withColumn(own, mine).join(each.where(F.col(taken) > 0), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(tie)))
-    whole = F.floor(F.col(taken) / F.col(size))
-    part = F.col(taken) - whole * F.col(size)
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn(words, F.explode(copies))
+    tie, source, size, words, n, copies, place = (unused(docs, f"mix_{c}") for c in ("tie", "source", "size", "words", "n", "copies", "place"))
+    each = _taken(docs, **options).withColumn("taken", F.col("taken" if parts else "dealt")).where("taken > 0 or size > 0")
+    each = each.groupBy(F.col("tie").alias(tie), F.col("source").alias(source)).agg(F.max("size").alias(size), F.count(F.lit(1)).alias(n), F.sum(F.floor(F.col("taken") / F.col("size"))).alias(copies), F.sum(F.col("taken") % F.col("size")).alias(words))
+    each = each.where((F.col(copies) > 0) | (F.col(words) > 0))
+    mine = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col(tie)
+    same = mine & F.col("source").cast("string").eqNullSafe(F.col(source))
+    once = docs.join(each.where(F.col(n) == 1), same).withColumn(place, F.lit(1))
+    often = docs.join(each.where(F.col(n) > 1), same).withColumn(place, F.row_number().over(Window.partitionBy(tie, source).orderBy(F.lit(1))))
+    rows = once.unionByName(often)
+    whole = F.floor(F.col(copies) / F.col(n)) + (F.col(place) <= F.col(copies) % F.col(n)).cast("long")
+    part = F.when(F.col(place) == F.col(n), F.col(words)).otherwise(0)
+    rows = rows.withColumn(words, F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<long>")))))
     head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
     cut = F.concat(head, F.array_join(F.slice(F.split(F.substring("text", F.length(head) + 1, F.length("text")), r"[\x20\x09-\x0D]+"), 1, F.col(words).cast("int")), " "))
     full = F.col(words) == 0

@@ -46,8 +46,8 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate lines of all documents."""
-    return line_classes(_table(spark, sf_dir, "documents"))
+    """Near-duplicate lines of all documents; short lines in classes of equal ones."""
+    return line_classes(_table(spark, sf_dir, "documents"), short=True)
 
 
 def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

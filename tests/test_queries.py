@@ -27,3 +27,10 @@ def test_query(name, spark, sf, con):
     assert sorted(columns) == sorted(got.columns)
     rows = Counter(repr(tuple(r[c] for c in columns)) for r in got.collect())
     assert rows == Counter(map(repr, want.fetchall()))
+
+
+def test_words_are_tested_in_whole_texts(spark, tmp_path):
+    rows = [(1, "write to a@b.org\nor c.d@e.co.uk 1234567890123"), (2, "x@y.zz first"), (3, "none\t4111-1111-1111-1111 @b"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.emails, r.long_numbers) for r in queries.queries()["pii_words"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 1), 2: (1, 0), 3: (0, 1), 4: (0, 0), 5: (None, None)}

@@ -269,6 +269,14 @@ def pii_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", is_email(w).alias("email"), F.translate(w, " -", "").rlike(r"^\d{13,19}$").alias("long_number"))
 
 
+@_query(r"SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$'))) AS emails, len(list_filter(w, lambda x: regexp_full_match(replace(x, '-', ''), '[0-9]{13,19}'))) AS long_numbers FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS w FROM documents)")
+def pii_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value tests of the detector on every word of each whole text: how many words pass."""
+    w = F.split("text", r"[\x20\x09-\x0D]+")
+    emails, numbers = F.filter(w, is_email), F.filter(w, lambda x: F.translate(x, "-", "").rlike(r"^\d{13,19}$"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(emails).cast("long").alias("emails"), F.size(numbers).cast("long").alias("long_numbers"))
+
+
 @_query()
 def pii_value_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of values that pass each test, for numbers made of keys."""

@@ -265,7 +265,7 @@ def test_the_pipeline_mixes_whole_texts(spark):
     out = corpus_pipeline.mixing(spark, df, "").collect()
     text = {r[0]: r[1] for r in rows}
     assert out and all(r.text == text[r.doc_id] for r in out)
-    got, dealt = Counter(r.doc_id for r in out), Counter(r.doc_id for r in rows)
+    got, dealt = Counter(r.doc_id for r in out), Counter(r[0] for r in rows)
     assert all(got[i] <= 2 * dealt[i] for i in got) and 0 < got[500] < 80
     longest = max(len(t.split()) for t in text.values())
     target = {r.source_size: r.target for r in mix(df).collect()}

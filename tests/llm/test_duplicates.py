@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_graph import union_find
-from veilframe.llm.linededup import line_classes, within, without_repeats
+from tests.llm.test_graph import thue_morse, union_find
+from veilframe.llm.linededup import Tolerance, line_classes, within, without_repeats
 from veilframe.llm.minhash import near_duplicates, signatures, without_near_duplicates
 from veilframe.llm.topk import top_k
 from veilframe.llm.vecdedup import near_duplicate_vectors, pair_links
@@ -96,37 +96,98 @@ def test_banded_edit_distance():
             y[k : k + rng.randint(0, 1)] = rng.choice([b"", b"z", b"a"])
         b.append(bytes(y))
     for tau in (1, 2, 4):
-        assert within(a, b, tau).tolist() == [lev(x, y) <= tau for x, y in zip(a, b)]
+        one, two = ([np.frombuffer(x, np.uint8) for x in xs] for xs in (a, b))
+        assert within(one, two, tau).tolist() == [lev(x, y) <= tau for x, y in zip(a, b)]
 
 
-@pytest.mark.parametrize("tau", [1, 2])
-def test_line_classes_are_brute_force(spark, tau):
+def line_words(line):
+    return re.findall("[\u0800-\U0010ffff]|[^\x20\x09-\x0D\u0800-\U0010ffff]+", line.translate(LOW))
+
+
+def brute_lines(docs, edits, short=False):
+    """{(doc_id, line): class} by comparing all lines."""
+    flat = []
+    for i, t in docs:
+        for k, s in enumerate((t or "").split("\n")):
+            line = re.sub(r"[\x20\x09-\x0D]+", " ", s.translate(LOW)).strip(" ")
+            if line and i is not None:
+                flat.append(((i, k), line, line_words(line)))
+    allowed = lambda n: int(edits.of(np.array(n)))
+    pairs = []
+    for n, (p, line, ws) in enumerate(flat):
+        for q, other, vs in flat[:n]:
+            t = allowed(min(len(ws), len(vs)))
+            if line == other or t and abs(len(ws) - len(vs)) <= t and lev(ws, vs) <= t:
+                pairs.append((p, q))
+    found = union_find(pairs)
+    return {p: found.get(p, p) for p, _, ws in flat if short or allowed(len(ws))}
+
+
+@pytest.mark.parametrize("edits", [Tolerance(3, 10_000), Tolerance(3, 3), Tolerance(5, 9)])
+def test_line_classes_are_brute_force(spark, edits):
     rng = random.Random(5)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 14))) for _ in range(8)]
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3))) for _ in range(12)] + ["é", "春", "眠 眠"]
+    base = [[rng.choice(words) for _ in range(rng.randint(4, 14))] for _ in range(8)]
     lines = []
     for _ in range(240):
         x = list(rng.choice(base))
         for _ in range(rng.randint(0, 4)):
-            k = rng.randrange(len(x))
-            x[k : k + rng.randint(0, 1)] = rng.choice([[], ["z"], ["Q"]])
-        lines.append("".join(x))
-    lines += [rng.choice(lines) for _ in range(40)]
-    docs = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(90)] + [(500, None), (501, ""), (502, "short\nshort")]
+            k = rng.randrange(len(x) + 1)
+            x[k : k + rng.randint(0, 1)] = rng.choice([[], ["z"], [rng.choice(words)]])
+        lines.append(rng.choice([" ", "  ", " \t"]).join(x))
+    lines += [rng.choice(lines).upper() for _ in range(40)]
+    docs = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(93)] + [(500, None), (501, ""), (502, "short\nshort"), (None, lines[0])]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, line int")
-    flat = [((i, k), s.strip().lower().encode()) for i, t in docs for k, s in enumerate((t or "").split("\n")) if len(s.strip().encode()) >= 24]
-    pairs = []
-    for n, (_, x) in enumerate(flat):
-        hit = within([x] * n, [y for _, y in flat[:n]], tau) if n else []
-        pairs += [(flat[n][0], flat[k][0]) for k in np.flatnonzero(hit)]
-    found = union_find(pairs)
-    want = {p: found.get(p, p) for p, _ in flat}
-    got = {(r.doc_id, r.line): ((r.class_doc_id, r.class_line), r.kept) for r in line_classes(df, tau).collect()}
+    want = brute_lines(docs, edits)
+    got = {(r.doc_id, r.line): ((r.class_doc_id, r.class_line), r.kept) for r in line_classes(df, edits).collect()}
     assert got == {p: (c, p == c) for p, c in want.items()}
 
 
+def test_lines_of_one_template_cost_what_their_number_does(spark):
+    """Lines with one head and random words: what is written grows with the lines, not with their pairs."""
+    from veilframe.llm import graph, linededup
+
+    rng = random.Random(6)
+    rand = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(16))
+    lines = [f"2024-01-01 info request handled for user in zone a with id {rand()} {rand()}" for _ in range(1500)]
+    lines += [f"2024-01-01 info request handled for user in zone b with id {rand()}" for _ in range(1500)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "doc_id long, text string")
+    written, real = [], graph.keep
+
+    def counted(table, name):
+        out = real(table, name)
+        written.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph, "keep", counted)
+        m.setattr(linededup, "keep", counted)
+        got = {r.doc_id: r.class_doc_id for r in line_classes(df).collect()}
+    assert got == {i: i if i < 1500 else 1500 for i in range(3000)}
+    assert max(written) < 20 * len(lines)
+
+
+def test_lines_and_shingles_of_thue_morse_strings_stay_apart(spark):
+    a, b = (x.decode() for x in thue_morse(11))
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.class_doc_id for r in line_classes(df, short=True).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\nx x"), (2, f"{c}\nonly here"), (2, f"{c}\nonly here"), (None, f"{a}\n{b}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in without_repeats(df, rest=True, short=True).collect()), key=str)
+    assert got == sorted([rows[0], (2, "x x"), rows[2], rows[3], rows[4]], key=str)
+    near = [(5, c), (5, a), (3, f"{c} z"), (None, f"{a} y"), (None, "q"), (None, "q"), (9, None), (9, None), (5, a)]
+    df = spark.createDataFrame([(*r, 1) for r in near], "doc_id long, text string, near_row int")
+    got = sorted(((r.doc_id, r.text) for r in without_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(3, f"{c} z"), (5, a), (None, "q"), (9, None), (9, None)], key=str)
+
+
 def test_lines_that_repeat_go(spark):
-    a, b, c = "the first line of some length here", "another line that is long enough", "a third line, and the last of all"
+    a, b, c = "the first line of some length that stands here", "another line that is long enough for a tolerance", "a third line, and the last of all of them"
     rows = [(1, f"{a}\nhi\n{b}", "s", 5), (2, f"{b}\nhi\n{c}", "s", 5), (3, f"{a}\nhi", "s", 5), (4, "hi", "s", 2), (5, None, None, None), (None, f"{a}", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in without_repeats(df).collect()}
@@ -147,7 +208,7 @@ def test_documents_keep_what_repeats_nothing(spark):
 def test_short_lines_are_grouped_exactly(spark):
     import corpus_pipeline
 
-    long = "a line that is long enough to be joined"
+    long = "a line of words that is long enough to be joined"
     rows = [(1, f"All rights.\n\n{long}\nIetzte."), (2, f" ietzte.\nIetzte,\n{long}s\n春眠\n "), (3, "春眠\nown"), (4, "ietzte.\nIetzte.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.copies, r.kept) for r in line_classes(df, short=True).collect()}

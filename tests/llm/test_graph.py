@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veilframe.llm import _text
-from veilframe.llm._bloom import Bloom, places
+from veilframe.llm._bloom import Bloom
 from veilframe.llm._store import keep, ranked
 from veilframe.llm.graph import components
 from pyspark.sql import functions as F
@@ -39,10 +39,10 @@ def test_ranked(spark):
 
 
 def test_bloom_loses_nothing(spark):
-    keys = spark.range(0, 3000, 7)
-    b = Bloom(keys, "id")
-    rows = spark.range(3000).select("id", places(F.col("id"), b.bits).alias("p")).collect()
-    hit = b.has(np.array([r.p for r in rows]))
+    h = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    b = Bloom(h.where("id % 7 = 0"), F.col("h"))
+    rows = h.orderBy("id").collect()
+    hit = b.has(np.array([r.h for r in rows]))
     assert all(hit[::7]) and hit.mean() < 0.3
 
 
@@ -68,3 +68,23 @@ def test_words_and_hashes(texts):
     by = {}
     for w, x in zip(low, h.tolist()):
         assert by.setdefault(w, x) == x
+
+
+def thue_morse(n):
+    """2**n letters; such a string and its mirror collide in every polynomial hash modulo 2**64."""
+    a, b = b"a", b"b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_tell_words_apart():
+    a, b = thue_morse(11)
+    texts = [a, b, b"", b"x", b"x\0", b"\0x", b"12345678", b"123456789", b"1234567890123456", b"12345678901234567", b"123456789012345678"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = end - np.array([len(t) for t in texts])
+    for h in _text.word_hashes(data, start, end):
+        assert len(set(h.tolist())) == len(texts)
+    poly = _text.span_hash(_text.prefix_hashes(data), start, end)
+    assert poly[0] == poly[1]  # why it is used for candidates alone

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,17 @@ _own: dict[str, str] = {}
 _written: dict[str, SparkSession] = {}
 
 
+#: A table of so many rows at most may be sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this process where that is unset."""
+    """The folder in spark.checkpoint.dir; in local mode one of this process where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="veilframe-")
@@ -59,6 +66,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A kept table, marked for a broadcast if it has ``rows`` short rows at most.
+
+    A larger one stays as it is, and Spark joins it by sorting or splits it where it is hot.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes kept tables that no later plan reads."""
     for df in tables:
@@ -97,5 +112,3 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
     first = first.select("_part", "_first", F.coalesce(total, F.lit(0)).alias("_before"))
     out = placed.join(first, "_part").withColumn(rank, F.col("_id") - F.col("_first") + F.col("_before"))
     return out.drop("_id", "_part", "_first", "_before")
-
-

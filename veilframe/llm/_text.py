@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
@@ -115,8 +116,20 @@ def prefix_hashes(data: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     return out
 
 
+def sequence_hashes(values: np.ndarray) -> np.ndarray:
+    """The same over a sequence of 64-bit values."""
+    up, _ = powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of substrings; equal text gives an equal hash wherever it stands."""
+    """64-bit hashes of substrings; equal text gives an equal hash wherever it stands.
+
+    Unequal text can be made that collides: for candidates that are confirmed later, and
+    for statistics, not for the identity of a text.
+    """
     _, down = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _COMBINE[63])
 
@@ -134,23 +147,56 @@ def counts_by_doc(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets, "left")
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """The sorted distinct ``width``-word shingle hashes of each document.
+def _loads(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n bytes (8 at most, none if below 1) that begin at each place, as one number."""
+    wide = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
+    n = np.clip(n, 0, 8)
+    mask = np.where(n == 8, ~_U(0), (_U(1) << (n.astype(np.uint64) * _U(8) & _U(63))) - _U(1))
+    return wide[np.where(n > 0, at, 0)] & np.where(n > 0, mask, _U(0))
 
-    A document of fewer words has its whole sequence as its one shingle, and one
-    without words has none.
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span of bytes, which no pattern in the text makes collide.
+
+    Up to 16 bytes are read as two whole numbers, so that the 128 bits differ before they
+    are mixed; longer spans go to XXH3.
+    """
+    n = end - start
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    one, two = _loads(padded, start, n), _loads(padded, start + 8, n - 8)
+    size = n.astype(np.uint64)
+    low = mix(one + mix(two ^ _COMBINE[0]) + size * _COMBINE[1])
+    high = mix(two + mix(one ^ _COMBINE[2]) + size * _COMBINE[3])
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        raw = data.tobytes()
+        each = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True))
+        low[long], high[long] = np.frombuffer(each, np.uint64).reshape(-1, 2).T
+    return low, high
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct ``width``-word shingles of each document, as two 64-bit hashes each.
+
+    Both lists are in order of the first hash. A document of fewer words has its whole
+    sequence as its one shingle, and one without words has none.
     """
     start, end = words(data, offsets)
-    word = span_hash(prefix_hashes(data), start, end)
+    word = word_hashes(LOWER[data], start, end)
     at = counts_by_doc(start, offsets)
-    n = max(0, len(word) - width + 1)
-    rolled = combine([word[k : k + n] for k in range(width)]) if n else np.zeros(0, np.uint64)
-    out = []
-    for lo, hi in zip(at[:-1], at[1:], strict=True):
+    n = max(0, len(start) - width + 1)
+    rolled = [combine([w[k : k + n] for k in range(width)]) if n else w[:0] for w in word]
+    low, high = [], []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if hi - lo >= width:
-            out.append(np.unique(rolled[lo : hi - width + 1]))
+            each, first = np.unique(rolled[0][lo : hi - width + 1], return_index=True)
+            low.append(each)
+            high.append(rolled[1][lo : hi - width + 1][first])
         elif hi > lo:
-            out.append(combine([word[k : k + 1] for k in range(lo, hi)]))
+            for out, w in zip((low, high), word, strict=True):
+                out.append(combine([w[k : k + 1] for k in range(lo, hi)]))
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            low.append(word[0][:0])
+            high.append(word[1][:0])
+    return low, high

@@ -4,13 +4,13 @@
 larger neighbours at its smallest one, then its smaller ones, until the edges form
 stars. A chain of n nodes takes about log2(n) rounds, a star none.
 
-``star_closure`` finds the components of a similarity graph whose links all lie inside
-given blocks (band buckets, shared segments). A block never emits all its pairs: each
-round compares its members with one centre, the member with most links so far, and
-leaves out members that have already joined the centre's component. A centre is then
-done with and leaves the block. What is still open after some rounds are pairs of
-*different* components; they are compared at last, so that no link between two
-components is lost.
+``Stars`` finds the components of a similarity graph whose links all lie inside given
+blocks (band buckets, shared segments). A block never emits all its pairs: each turn
+compares its members with one centre, the member with most links so far, and leaves out
+members that have already joined the centre's component. A centre is then done with and
+leaves the block. What is still open are pairs of *different* components; the caller
+splits the blocks further (``linededup``) or has a way of its own for them
+(``star_closure``), so that no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -48,57 +48,73 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, stars: int = 2, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+class Stars:
+    """Components of confirmed links, block by block, without all pairs of a block.
+
+    verify: (a, b) to those that are linked. found is (id, component) of linked ids, None
+    as long as there is none. ids may be of any kind that has an order.
+    """
+
+    def __init__(self, verify: Callable[[DataFrame], DataFrame], name: str) -> None:
+        self.verify, self.name = verify, name
+        self.links: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def open(self, blocks: DataFrame) -> DataFrame:
+        """blocks with component and degree, but for blocks that are one component."""
+        if self.found is None:
+            return blocks.withColumns({"component": F.col("id"), "degree": F.lit(0)})
+        ends = self.links.select(F.col("a").alias("id")).union(self.links.select(F.col("b").alias("id")))
+        known = self.found.join(ends.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("degree")), "id", "left")
+        state = blocks.join(known, "id", "left").withColumns({"component": F.coalesce("component", "id"), "degree": F.coalesce("degree", F.lit(0))})
+        alive = state.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("centre").alias("any"))
+        return state.join(alive.where("lo < hi and any").select("block"), "block")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Takes in those of the pairs (id, other) that are linked."""
+        pairs = keep(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{self.name}-pairs")
+        new = keep(self.verify(pairs).select("a", "b"), f"{self.name}-links")
+        drop(pairs)
+        if not new.isEmpty():
+            stars = new if self.found is None else new.union(self.found.where("id <> component"))
+            self.links = new if self.links is None else self.links.union(new)
+            self.found = keep(components(stars, self.name), self.name)
+
+    def turn(self, blocks: DataFrame) -> DataFrame:
+        """Compares the members of each open block with one centre; the blocks still open, without it.
+
+        blocks: (block long, id, centre boolean, ...); the centre is the member with most
+        links so far, and members of its component are not compared. It is then done with.
+        """
+        state = self.open(blocks)
+        best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id").alias("h"), "id", "component"))
+        star = state.groupBy("block").agg(F.max(best).alias("c")).select("block", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
+        state = keep(state.join(star, "block").where("id <> other"), f"{self.name}-open")
+        if state.isEmpty():
+            return state.select(*blocks.columns)
+        self.compare(state.where("component <> c_component").select("id", "other"))
+        return self.open(state.select(*blocks.columns)).select(*blocks.columns)
+
+
+def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, rest: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:
     """Components of the confirmed links among members of one block.
 
-    blocks: distinct (block long, id long, centre boolean); a pair is a candidate if it
+    blocks: distinct (block long, id, centre boolean); a pair is a candidate if it
     shares a block in which one of the two may be its centre. prepare: all ids that have
     a candidate to a function that takes (a, b) to those (a, b) that are linked. rest:
     (block, id, component) of the blocks still open after the stars to a superset of the
-    linked (id, other) of different components that share one, where there is a better
-    way than to compare them all. Returns (id, component) of linked ids, None without
-    links.
+    linked (id, other) of different components that share one. Returns (id, component)
+    of linked ids, None without links.
     """
     with scratch(blocks.sparkSession) as stay:
-        found = _closure(blocks, prepare, name, stars, rest)
-        if found is not None:
-            stay.append(found)
-    return found
-
-
-def _closure(blocks: DataFrame, prepare, name: str, stars: int, rest) -> DataFrame | None:
-    many = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("any")).where("n > 1 and any")
-    rows = keep(blocks.join(many.select("block"), "block"), f"{name}-blocks")
-    verify = prepare(keep(rows.select("id").distinct(), f"{name}-ids"))
-    links, found = None, None
-    for turn in range(stars + 1):
-        if found is None:
-            state = rows.withColumns({"component": F.col("id"), "degree": F.lit(0)})
-        else:
-            ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id")))
-            known = found.join(ends.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("degree")), "id", "left")
-            state = rows.join(known, "id", "left").select("block", "id", "centre", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        alive = state.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("centre").alias("any"))
-        state = state.join(alive.where("lo < hi and any").select("block"), "block") if turn else state
-        if turn < stars:
-            best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id").alias("h"), "id", "component"))
-            star = state.groupBy("block").agg(F.max(best).alias("c")).select("block", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
-            state = keep(state.join(star, "block").where("id <> other"), f"{name}-open")
-            pairs = state.where("component <> c_component").select("id", "other")
-            rows = state.select("block", "id", "centre")
-        elif rest is not None:
-            state = keep(state, f"{name}-open")
-            if state.isEmpty():
-                break
-            pairs = rest(state.select("block", "id", "component"))
-        else:
-            other = state.where("centre").select("block", F.col("id").alias("other"), F.col("component").alias("c_component"))
-            pairs = state.select("block", "id", "component").join(other, "block").where("component <> c_component").select("id", "other")
-        if turn and turn < stars and state.isEmpty():
-            break
-        pairs = keep(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{name}-pairs")
-        new = keep(verify(pairs).select("a", "b"), f"{name}-links")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            found = keep(components(links, name), name)
-    return found
+        many = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("any")).where("n > 1 and any")
+        rows = keep(blocks.join(many.select("block"), "block"), f"{name}-blocks")
+        state = Stars(prepare(keep(rows.select("id").distinct(), f"{name}-ids")), name)
+        for _ in range(stars):
+            rows = state.turn(rows)
+        rows = keep(state.open(rows).select("block", "id", "component"), f"{name}-open")
+        if not rows.isEmpty():
+            state.compare(rest(rows))
+        if state.found is not None:
+            stay.append(state.found)
+    return state.found

@@ -27,8 +27,9 @@ from veilframe.llm import _text
 from veilframe.llm._store import keep
 from veilframe.llm._tokens import encoder
 
-#: Pieces that one task ranks together at most, about.
-_GROUP = 50_000
+#: Pieces that are ranked together, about. Their groups are counted in one task for each
+#: length: 2.5e7 rows of three numbers at 100 TB of documents.
+_GROUP = 1_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tie long"
 
 
@@ -116,27 +117,28 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1) -> Dat
     rows = rows.withColumn("tie", F.xxhash64("doc_id", F.length("text")))
     pieces = keep(rows.mapInArrow(_cut(tokenizer, size, end), _PIECES), "packing-pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``size`` lengths at most
-    patterns = [((size,), counts.pop(size))] if size in counts else []
-    patterns += shortest_pack_first(counts, size)
+    patterns = [((size,), counts[size])] if size in counts else []
+    patterns += shortest_pack_first({k: n for k, n in counts.items() if k != size}, size)
     runs = slots(patterns)
     schema = "length long, first_rank long, ranks long, first_sequence long, sequences long, offset long, held long"
     held = [sum(p) for p, _ in patterns for _ in p]
     table = spark.createDataFrame([(*r, h) for r, h in zip(runs, held, strict=True)], schema) if runs else spark.createDataFrame([], schema)
 
-    # Ranks within a length, from 0: groups of about _GROUP pieces, dealt by hash.
-    parts = pieces.groupBy("length").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / _GROUP)).alias("parts"))
+    # Ranks within a length, from 0: groups of about _GROUP pieces, dealt by hash. What is
+    # broadcast has a row for each length, ``size`` at most.
+    parts = F.broadcast(spark.createDataFrame([(k, max(1, -(-n // _GROUP))) for k, n in sorted(counts.items())], "length long, parts long"))
     dealt = pieces.join(parts, "length").withColumn("group", F.pmod("tie", "parts"))
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = dealt.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "group").orderBy("tie", "doc_id", "start", "ids_crc32")
-    dealt = dealt.withColumn("rank", F.row_number().over(order) - 1).join(groups, ["length", "group"])
+    dealt = dealt.repartition("length", "group").withColumn("rank", F.row_number().over(order) - 1).join(groups, ["length", "group"])
     dealt = dealt.withColumn("rank", F.col("rank") + F.col("before"))
     # The runs of a length cover its ranks without gaps: the run of a rank is found in
-    # the sorted list of their first ranks, a row of bounded size for each length.
+    # the sorted list of their first ranks.
     lists = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_sequence", "offset", "held"))).alias("runs"))
     found = F.element_at(F.filter("runs", lambda r: r["first_rank"] <= F.col("rank")), -1)
-    out = dealt.join(lists, "length").withColumn("run", found)
+    out = dealt.join(F.broadcast(lists), "length").withColumn("run", found)
     sequence = F.col("run.first_sequence") + F.col("rank") - F.col("run.first_rank")
     whole = F.col("run.held")
     padded = F.when(whole.bitwiseAND(whole - 1) == 0, whole).otherwise(F.lit(size).cast("long"))

@@ -4,8 +4,9 @@
 2. The second moments of all unit vectors, summed on the executors, give an orthonormal
    basis in order of variance. Rotation keeps every inner product.
 3. Vectors within ``cosine >= t`` differ by ``sqrt(2 - 2t)`` at most in each coordinate.
-   The leading two coordinates, cut at that width, are cells: links lie inside a cell or
-   between touching ones. A full cell is cut by hash into tiles of about ``tile`` rows.
+   Leading coordinates, cut at that width, are cells: links lie inside a cell or between
+   touching ones. There are two of them, or more as long as that leaves fewer products to
+   make. A full cell is cut by hash into tiles of about ``tile`` rows.
 4. A pair of tiles adds up leading coordinates first. What is missing from a product is
    at most the product of the suffix norms; a pair stops when it cannot reach t.
 5. A pair of tiles returns, for each of its vectors, a link count and the least vector
@@ -16,17 +17,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._store import keep
+from veilframe.llm._store import keep, sized
 from veilframe.llm._vectors import arrow_rows, finite, matrix, packed, tiles
 from veilframe.llm.graph import components
 
 _MARGIN = 1e-9
+_MOST_COORDINATES = 6
+#: Vectors of more different lengths than this are a mistake in the table.
+_LENGTHS = 64
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,8 +45,16 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"d": pa.array([d] * d * d, pa.int32()), "at": pa.array(range(d * d), pa.int32()), "value": pa.array(m.reshape(-1))})
 
 
+def touching(k: int) -> list[tuple[int, ...]]:
+    """Half of the steps to the cells that touch one, itself first."""
+    return [(0,) * k, *[c for c in product((-1, 0, 1), repeat=k) if c > (0,) * k]]
+
+
 def basis(unit: DataFrame) -> dict[int, np.ndarray]:
     """For each length d of vectors, the d x d eigenvectors of their second moments."""
+    lengths = unit.select("d").distinct().limit(_LENGTHS + 1).count()
+    if lengths > _LENGTHS:
+        raise ValueError(f"vectors have more than {_LENGTHS} different lengths")
     rows = unit.select("d", "unit").mapInArrow(_moments, "d int, at int, value double").groupBy("d", "at").agg(F.sum("value").alias("value")).collect()
     sums: dict[int, np.ndarray] = {}
     for r in rows:
@@ -100,6 +113,31 @@ def _compare(bases: dict[int, np.ndarray], t: float):
     return run
 
 
+def _cells(unit: DataFrame, bases: dict[int, np.ndarray], width: float, tile: int) -> DataFrame:
+    """unit with cell: the places of the leading coordinates.
+
+    Each coordinate more makes cells smaller, and three times as many touch. The number of
+    coordinates is the one, of two to ``_MOST_COORDINATES``, with the fewest products: the
+    sum of squares over cells, and what sending each row to the cells that touch costs.
+    """
+    out = None
+    for d, turn in bases.items():  # one branch for each length of vectors
+        each = [F.floor(F.aggregate(F.zip_with("unit", F.array(*map(F.lit, turn[:, k].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / width) for k in range(min(_MOST_COORDINATES, d))]
+        zero = [F.lit(0).cast("long")] * (_MOST_COORDINATES - len(each))
+        mine = unit.where(F.col("d") == d).withColumn("cell", F.array(*each, *zero))
+        out = mine if out is None else out.union(mine)
+    out = keep(out, "placed")
+    best, least = 2, math.inf
+    for k in range(2, _MOST_COORDINATES + 1):
+        sizes = out.groupBy("label", "d", F.slice("cell", 1, k).alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        square, rows = sizes.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        cost = (square or 0) * 3**k / 2 + (rows or 0) * len(touching(k)) * tile
+        if cost >= least:
+            break
+        best, least = k, cost
+    return out.withColumn("cell", F.slice("cell", 1, best))
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, tile: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors.
 
@@ -108,8 +146,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, tile: int =
     in double precision is at least ``cosine``. Equal vectors of a label are always
     linked. Null, empty and zero vectors, and those that hold a null or non-finite
     component, and rows without a label link with nothing: n_links 0, component_id their
-    own vec_id, kept. n_links counts other rows, repeated ones too. An empty table gives
-    an empty result.
+    own vec_id, kept. n_links counts other rows, repeated ones too; rows that repeat a vec_id
+    with another vector each have the links of their own. An empty table gives an empty
+    result.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -125,24 +164,27 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, tile: int =
     unit = keep(unit, "units")
     bases = basis(unit)
     width = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
-    cells = []
-    for d, turn in bases.items():  # one branch for each length of vectors
-        cell = [F.floor(F.aggregate(F.zip_with("unit", F.array(*map(F.lit, turn[:, k].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / width) for k in range(min(2, d))]
-        cells.append(unit.where(F.col("d") == d).withColumns({"c0": cell[0], "c1": cell[1] if d > 1 else F.lit(0).cast("long")}))
     out = rows.select("vec_id", "h1", "h2")
-    if not cells:
+    if not bases:
         none = {"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.lit(True)}
         return out.select("vec_id").withColumns(none)
-    placed = cells[0]
-    for c in cells[1:]:
-        placed = placed.union(c)
-    cell = ["label", "d", "c0", "c1"]
-    count = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
-    placed = placed.join(count, cell).withColumn("sub", F.pmod(F.xxhash64("rep"), "parts"))
-    tiled = keep(packed(placed, [*cell, "sub"], ["rep", "n", "unit"], "members"), "tiles")
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    left = tiled.withColumn("to", F.explode(near)).select("label", "d", (F.col("c0") + F.col("to.a")).alias("c0"), (F.col("c1") + F.col("to.b")).alias("c1"), F.col("sub").alias("lsub"), ((F.col("to.a") == 0) & (F.col("to.b") == 0)).alias("own"), F.col("members").alias("left"))
-    pairs = left.join(tiled, cell).where("not own or lsub <= sub").select((F.col("own") & (F.col("lsub") == F.col("sub"))).alias("same"), "left", "members")
+    placed = _cells(unit, bases, width, tile)
+    # A row for each cell; a full cell is dealt by hash into parts.
+    count = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    count = sized(keep(count, "cells"))
+    placed = placed.join(count, ["label", "d", "cell"]).withColumn("sub", F.pmod(F.xxhash64("rep"), "parts"))
+    own = ["label", "d", "cell", "sub"]
+    tiled = keep(packed(placed.repartition(*own), own, ["rep", "n", "unit"], "members"), "tiles")
+    depth = len(placed.select("cell").first().cell) if not placed.isEmpty() else 0
+    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in s]) for s in touching(depth)])
+    # A key for each pair of tiles, so that those of a full cell do not all meet in one place.
+    step = tiled.select(*own, F.posexplode(steps).alias("at", "step")).withColumn("cell_", F.zip_with("cell", "step", lambda a, b: a + b))
+    to = count.select("label", "d", F.col("cell").alias("cell_"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sub_"))
+    keys = step.join(to, ["label", "d", "cell_"]).where("at > 0 or sub <= sub_")
+    one = tiled.withColumnRenamed("members", "left")
+    two = tiled.select("label", "d", F.col("cell").alias("cell_"), F.col("sub").alias("sub_"), "members")
+    pairs = keys.join(one, own).join(two, ["label", "d", "cell_", "sub_"])
+    pairs = pairs.select(((F.col("at") == 0) & (F.col("sub") == F.col("sub_"))).alias("same"), "left", "members")
     with arrow_rows(spark, 4):
         found = keep(pairs.mapInArrow(_compare(bases, cosine), "rep long, links long, root long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -208,6 +208,7 @@ def test_secrets_are_brute_force(spark):
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == [] and trigram_query("abc|d") == [] and trigram_query("(ab)?cdef") == [frozenset({"cde", "def"})]
     assert trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})] and trigram_query("a.c") == []
+    assert trigram_query("abcdefgh") == [frozenset({"abc", "fgh"})]
     assert set(trigram_query("(?:foo|bars)x?")) == {frozenset({"foo"}), frozenset({"bar", "ars"})}
 
 

@@ -82,14 +82,31 @@ def _strings(items) -> list[str]:
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """The alternatives' trigrams, lower-cased; empty if a match need not hold any."""
-    found = []
+    """The alternatives' trigrams, lower-cased; empty if a match need not hold any.
+
+    Of an alternative's trigrams the first and the last are asked for: those between tell
+    little more, and each is a pass over all texts.
+    """
+    found: dict[frozenset[str], tuple[str, ...]] = {}
     for s in dict.fromkeys(_strings(sre.parse(pattern))):
         s = s.lower()
-        found.append(frozenset(s[k : k + 3] for k in range(len(s) - 2) if _GAP not in s[k : k + 3]))
+        grams = tuple(s[k : k + 3] for k in range(len(s) - 2) if _GAP not in s[k : k + 3])
+        found.setdefault(frozenset(grams), grams)
     if not all(found):
         return []
-    return [a for a in dict.fromkeys(found) if not any(b < a for b in found)]
+    least = [g for a, g in found.items() if not any(b < a for b in found)]
+    return list(dict.fromkeys(frozenset((g[0], g[-1])) for g in least))
+
+
+def _running(n: Column) -> Column:
+    """Running sums of an array of whole numbers, by doubling: log2(n) passes over it."""
+
+    def add(sums: Column, k: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(0).cast("long"), k), F.slice(sums, 1, F.size(sums) - k))
+        return F.zip_with(sums, before, lambda a, b: a + b)
+
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(n), F.lit(1)))).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, n, lambda sums, k: F.when(k < F.size(sums), add(sums, k)).otherwise(sums))
 
 
 def match_spans(text: Column, rule: Rule) -> Column:
@@ -97,16 +114,11 @@ def match_spans(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
     between, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     held = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    each = F.zip_with(F.slice(between, 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), held.alias("held")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["hit"]).alias("n"), (F.length(m["held"]) >= rule.least).alias("ok")))
+    sizes = F.zip_with(F.slice(between, 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), held.alias("held")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["hit"]).alias("n"), F.length(m["held"]).alias("held")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(s: Column, m: Column) -> Column:
-        start = s["at"] + m["gap"]
-        end = start + m["n"]
-        return F.struct(end.alias("at"), F.when(m["ok"], F.array_append(s["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(s["out"]).alias("out"))
-
-    found = F.aggregate(each, begin, step, lambda s: s["out"])
+    # Within transform() the text is matched once, however often its matches are read.
+    found = F.transform(F.array(sizes), lambda x: F.zip_with(x, _running(F.transform(x, lambda m: (m["gap"] + m["n"]).cast("long"))), lambda m, end: F.struct((end - m["n"]).cast("int").alias("start"), end.cast("int").alias("end"), m["held"].alias("held"))))[0]
+    found = F.transform(F.filter(found, lambda m: m["held"] >= rule.least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 

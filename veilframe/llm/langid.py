@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 
 _SYMBOLS = 1024
+_MOST = 10_000
 _CHARS = 1 << 18
 
 
@@ -96,9 +97,16 @@ def _learn(dimensions: int):
 
 
 def prototypes(train: DataFrame, dimensions: int) -> tuple[list[str], np.ndarray]:
-    """The learned languages in order, and their unit prototypes."""
+    """The learned languages in order, and their unit prototypes.
+
+    ``_MOST`` languages at most: prototypes go to every task, and more distinct values than
+    there are languages are a mistake in the table.
+    """
     parts = train.select("text", "lang").mapInArrow(_learn(dimensions), "lang string, at int, value long")
-    rows = parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
+    sums = parts.groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    rows = sums.limit(_MOST * dimensions + 1).collect()
+    if len(rows) > _MOST * dimensions:
+        raise ValueError(f"lang has more than {_MOST} values")
     langs = sorted({r.lang for r in rows})
     out = np.zeros((len(langs), dimensions))
     place = {lang: k for k, lang in enumerate(langs)}

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.columns import unused
-from veilframe.llm._store import keep, ranked, scratch
+from veilframe.llm._store import drop, keep, ranked, scratch, sized
 
-#: Documents that one task ranks together at most, about.
-_GROUP = 50_000
-_ITERATIONS = 60
+#: Documents that are ranked together, about.
+_GROUP = 1_000
+#: Turns after which the dual is given up with an error. A bracket grows by 4 at least or
+#: halves each turn, so that far fewer are needed.
+_TURNS = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,10 +75,12 @@ def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
     t = target.alias("c").join(mean.alias("t"), same).select("c.source", "target", "mean", F.col("source_size").alias("whole"))
     t = t.withColumns({"x": F.lit(0.0), "lo": F.lit(float("-inf")), "hi": F.lit(float("inf")), "done": (F.col("whole") == 0) | (F.col("target") >= F.col("whole") * F.lit(most))})
     rate = F.lit(most) / (1 + F.exp(-F.col("x") * F.col("size") / F.col("mean")))
-    t = keep(t, "mix-dual")
-    for _ in range(_ITERATIONS):
-        if t.where("not done").isEmpty():
-            break
+    t = t_kept = keep(t, "mix-dual")
+    turns = 0
+    while not t.where("not done").isEmpty():
+        turns += 1
+        if turns > _TURNS:
+            raise ArithmeticError("the dual of the mix does not converge")
         todo = t.where("not done").alias("t")
         words = F.col("size") * F.col("n")
         at = cells.alias("c").join(todo, same).select("t.source", "size", "n", "x", "mean")
@@ -92,7 +96,9 @@ def rates(cells: DataFrame, target: DataFrame, most: float) -> DataFrame:
         near = F.abs(F.col("got") - F.col("target")) <= F.greatest(F.lit(0.5), F.col("target") * 1e-9)
         done = F.col("done") | near | (F.col("hi") - F.col("lo") < 1e-12)
         moved = F.when(done, F.col("x")).when(inside, step).otherwise(middle)
-        t = keep(t.withColumns({"done": done, "x": moved}).drop("got", "slope"), "mix-dual")
+        old, t = t_kept, keep(t.withColumns({"done": done, "x": moved}).drop("got", "slope"), "mix-dual")
+        drop(old)
+        t_kept = t
     full = F.col("target") >= F.col("whole") * F.lit(most)
     out = cells.alias("c").join(t.alias("t"), same).select("c.source", "size", "n", "target", F.when(full, F.lit(float(most))).otherwise(rate).alias("rate"))
     return out
@@ -117,7 +123,7 @@ def _deal(docs: DataFrame, weights: tuple[float, ...], share: float, most: int)
 
     # A full cell is dealt by hash into groups of about _GROUP documents.
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / _GROUP))
-    cell = cell.select("source", "size", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), parts.alias("parts"))
+    cell = sized(cell).select("source", "size", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), parts.alias("parts"))
     same = F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size"))
     dealt = rows.alias("r").join(cell.alias("c"), same).select("r.*", "whole", "part", F.pmod("tie", "parts").alias("group"))
     groups = dealt.groupBy("source", "size", "group").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"))

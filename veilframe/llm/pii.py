@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import _text
+from veilframe.llm._bloom import Bloom
 from veilframe.llm._store import keep
 
 #: The kinds in order, and their patterns.
@@ -126,9 +127,9 @@ def _find(window: int):
             for k, t in enumerate(texts):
                 spans = entities(t)
                 base.append([{"kind": a, "start": b, "end": c} for a, b, c in spans])
-                taken = [(b, c) for _, b, c in spans]
+                covered = _covered(t, spans) if spans else None
                 for n, a, b in _around(t, spans, window):
-                    if not any(x < b and a < y for x, y in _near(taken, n)):
+                    if covered[a] == covered[b]:
                         kind, x, y = spans[n]
                         for e in _levels(kind, t[x:y].lower()):
                             flat.append((e, t[a:b].lower()))
@@ -144,26 +145,16 @@ def _find(window: int):
     return run
 
 
-def _near(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Spans about the n-th in order of start, which a word beside it may touch."""
-    return spans[max(0, n - 40) : n + 40]
-
-
-_MASK = (1 << 21) - 1
-
-
-def _bits(key: Column) -> list[Column]:
-    return [F.shiftrightunsigned(key, 21 * k).bitwiseAND(_MASK).cast("int") for k in range(3)]
+def _covered(text: str, spans: list[Span]) -> np.ndarray:
+    """How many characters before each place are part of a span."""
+    edge = np.zeros(len(text) + 1, np.int32)
+    for _, a, b in spans:
+        edge[a] += 1
+        edge[b] -= 1
+    return np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
 
 
-def _hits(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    u, hit = h.view(np.uint64), np.ones(len(h), bool)
-    for k in range(3):
-        hit &= wanted[k][((u >> np.uint64(21 * k)) & np.uint64(_MASK)).astype(np.int64)]
-    return hit
-
-
-def _count_terms(wanted: np.ndarray):
+def _count_terms(wanted: Bloom):
     """(term, n): in how many texts of a batch each wanted term stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +165,7 @@ def _count_terms(wanted: np.ndarray):
                 if not words:
                     continue
                 h = _hash(words)
-                for x in h[_hits(h, wanted)].tolist():
+                for x in h[wanted.has(h)].tolist():
                     seen[x] = seen.get(x, 0) + 1
             if seen:
                 yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -182,7 +173,7 @@ def _count_terms(wanted: np.ndarray):
     return run
 
 
-def _places(wanted: np.ndarray):
+def _places(wanted: Bloom):
     """(doc_id, h, term, start, end) of the wanted terms in all of each text with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +183,14 @@ def _places(wanted: np.ndarray):
                 taken = entities(t) if t else []
                 if not taken:
                     continue
-                covered = np.zeros(len(t) + 1, np.int32)
-                for _, a, b in taken:
-                    covered[a] += 1
-                    covered[b] -= 1
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(covered) > 0)])
+                covered = _covered(t, taken)
                 for m in _WORD.finditer(t):
                     a, b = m.span()
                     if covered[a] == covered[b]:
                         rows.append(k)
                         flat.append((m[0].lower(), a, b))
             h = _hash([f[0] for f in flat])
-            some = np.flatnonzero(_hits(h, wanted))
+            some = np.flatnonzero(wanted.has(h))
             at = pa.array(np.array(rows, np.int64)[some])
             ends = [pa.array([flat[i][c] for i in some.tolist()], pa.int64()) for c in (1, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(h[some]), *ends], ["doc_id", "h", "term", "start", "end"])
@@ -211,20 +198,19 @@ def _places(wanted: np.ndarray):
     return run
 
 
-def _filter(terms: DataFrame) -> np.ndarray:
-    """The Bloom filter of a table's terms."""
-    wanted = np.zeros((3, _MASK + 1), bool)
-    for k, bit in enumerate(_bits(F.col("term"))):
-        for r in terms.select(bit.alias("b")).distinct().toLocalIterator():  # 2**21 bits at most
-            wanted[k, r.b] = True
-    return wanted
+def _filter(pairs: DataFrame) -> Bloom:
+    """The filter of a table's terms."""
+    return Bloom(keep(pairs.select("term").distinct(), "pii-terms"), F.col("term"))
 
 
 def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: float = 0.5) -> DataFrame:
     """(doc_id, h, base, terms) of every row: spans of entities and of disclosive terms.
 
     base: (kind number, start, end) in order of start and kind; terms: (start, end) in
-    order; code points, end exclusive. h is a hash of the text.
+    order; code points, end exclusive. h is a hash of the text. docs: doc_id long, text
+    string; other columns are ignored. Null, empty and blank texts have no spans, but count as
+    documents, and so do repeated rows. Rows without a doc_id are read like any other. An empty
+    table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -238,7 +224,7 @@ def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: floa
         return found.select("doc_id", "h", "base", none.alias("terms"))
     holders = some.select("doc_id", "h", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity"))
     each = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    known = rows.select("text").mapInArrow(_count_terms(_filter(both.select("term").distinct())), "term long, n long").groupBy("term").agg(F.sum("n").alias("k"))
+    known = rows.select("text").mapInArrow(_count_terms(_filter(both)), "term long, n long").groupBy("term").agg(F.sum("n").alias("k"))
 
     def ratio(m: Column) -> Column:
         chance = (F.col("x") * m / F.col("k") + F.lit(prior) * F.col("n") / total) / (F.col("x") + F.lit(prior))
@@ -248,7 +234,7 @@ def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: floa
     both = keep(both.where(ratio(F.least("n", "k")) >= disclosure), "pii-possible")
     if both.isEmpty():
         return found.select("doc_id", "h", "base", none.alias("terms"))
-    places = rows.select("doc_id", "text", "h").mapInArrow(_places(_filter(both.select("term").distinct())), "doc_id long, h long, term long, start long, end long")
+    places = rows.select("doc_id", "text", "h").mapInArrow(_places(_filter(both)), "doc_id long, h long, term long, start long, end long")
     places = keep(places.groupBy("doc_id", "h", "term").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "pii-places")
     # A row's doc_id and text, however often they are repeated.
     alike = holders.groupBy("doc_id", "h", "entity").agg(F.count(F.lit(1)).alias("rows"))
@@ -298,7 +284,13 @@ def _replace(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, text): the texts with entities and disclosive terms replaced."""
+    """(doc_id, text) of every row: the texts with entities and disclosive terms replaced.
+
+    docs: doc_id long, text string; other columns are ignored. Where spans overlap the first
+    one is replaced. Null, empty and blank texts, and texts without spans, stay as they are.
+    Rows without a doc_id and repeated rows are read like any other, each by its own text. An
+    empty table gives an empty result.
+    """
     found = find(docs, **options)
     h = F.xxhash64(F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))

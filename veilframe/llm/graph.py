@@ -75,25 +75,42 @@ class Stars:
         pairs = keep(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{self.name}-pairs")
         new = keep(self.verify(pairs).select("a", "b"), f"{self.name}-links")
         drop(pairs)
-        if not new.isEmpty():
-            stars = new if self.found is None else new.union(self.found.where("id <> component"))
-            self.links = new if self.links is None else self.links.union(new)
-            self.found = keep(components(stars, self.name), self.name)
+        if new.isEmpty():
+            return
+        self.links = new if self.links is None else self.links.union(new)
+        if self.found is None:
+            self.found = keep(components(new, self.name), self.name)
+            return
+        # New links join components: only those that they touch are looked at again.
+        known = self.found.withColumnRenamed("component", "root")
+        roots = new.join(known.withColumnRenamed("id", "a").withColumnRenamed("root", "ra"), "a", "left").join(known.withColumnRenamed("id", "b").withColumnRenamed("root", "rb"), "b", "left")
+        roots = keep(roots.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), f"{self.name}-roots")
+        joined = keep(components(roots.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.name).withColumnRenamed("id", "root"), f"{self.name}-joined")
+        fresh = roots.select(F.col("a").alias("id"), F.col("ra").alias("root")).union(roots.select("b", "rb")).where("id = root")
+        old, rows = self.found, known.union(fresh).distinct().join(joined, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+        self.found = keep(rows, self.name)
+        drop(old)
 
-    def turn(self, blocks: DataFrame) -> DataFrame:
+    def turn(self, blocks: DataFrame, few: int = 1) -> DataFrame:
         """Compares the members of each open block with one centre; the blocks still open, without it.
 
         blocks: (block long, id, centre boolean, ...); the centre is the member with most
         links so far, and members of its component are not compared. It is then done with.
+        Blocks of ``few`` members at most are compared at once, all pairs, and done with.
         """
         state = self.open(blocks)
         best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id").alias("h"), "id", "component"))
-        star = state.groupBy("block").agg(F.max(best).alias("c")).select("block", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
-        state = keep(state.join(star, "block").where("id <> other"), f"{self.name}-open")
-        if state.isEmpty():
-            return state.select(*blocks.columns)
-        self.compare(state.where("component <> c_component").select("id", "other"))
-        return self.open(state.select(*blocks.columns)).select(*blocks.columns)
+        star = state.groupBy("block").agg(F.max(best).alias("c"), F.count(F.lit(1)).alias("n")).select("block", "n", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
+        state = keep(state.join(star, "block"), f"{self.name}-open")
+        large = state.where((F.col("n") > few) & (F.col("id") != F.col("other")))
+        pairs = large.where("component <> c_component").select("id", "other")
+        if few > 1:
+            mine = state.where(F.col("n") <= few).select("block", "id", "centre", "component")
+            one, two = mine.alias("x"), mine.alias("y")
+            apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") | F.col("y.centre"))
+            pairs = pairs.union(one.join(two, (F.col("x.block") == F.col("y.block")) & apart).select("x.id", "y.id"))
+        self.compare(pairs)
+        return self.open(large.select(*blocks.columns)).select(*blocks.columns)
 
 
 def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, rest: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:

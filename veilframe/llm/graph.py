@@ -85,14 +85,14 @@ class Stars:
         known = self.found.withColumnRenamed("component", "root")
         roots = new.join(known.withColumnRenamed("id", "a").withColumnRenamed("root", "ra"), "a", "left").join(known.withColumnRenamed("id", "b").withColumnRenamed("root", "rb"), "b", "left")
         roots = keep(roots.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), f"{self.name}-roots")
-        joined = keep(components(roots.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.name).withColumnRenamed("id", "root"), f"{self.name}-joined")
+        joined = components(roots.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.name).withColumnRenamed("id", "root")
         fresh = roots.select(F.col("a").alias("id"), F.col("ra").alias("root")).union(roots.select("b", "rb")).where("id = root")
         old, rows = self.found, known.union(fresh).distinct().join(joined, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
         self.found = keep(rows, self.name)
         drop(old)
 
     def turn(self, blocks: DataFrame, few: int = 1) -> DataFrame:
-        """Compares the members of each open block with one centre; the blocks still open, without it.
+        """Compares the members of each open block with one centre; the large blocks, without it.
 
         blocks: (block long, id, centre boolean, ...); the centre is the member with most
         links so far, and members of its component are not compared. It is then done with.
@@ -110,7 +110,7 @@ class Stars:
             apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") | F.col("y.centre"))
             pairs = pairs.union(one.join(two, (F.col("x.block") == F.col("y.block")) & apart).select("x.id", "y.id"))
         self.compare(pairs)
-        return self.open(large.select(*blocks.columns)).select(*blocks.columns)
+        return large.select(*blocks.columns)
 
 
 def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, rest: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:

@@ -216,3 +216,90 @@ def test_service(spark, people, tmp_path):
     with pytest.raises(VeilError):
         service.download(name, "json")
     assert service.health()["sessions"] == 1 and service.delete(name) and not service.delete(name)
+
+
+def test_what_is_spent_lasts(people, tmp_path):
+    from veilframe.functions.laplace import Ledger
+
+    path = str(tmp_path / "ledger.json")
+    Ledger(2.0, path=path).commit({"a": 1.5})
+    again = Ledger(2.0, path=path)
+    assert again.spent == {"a": 1.5}
+    with pytest.raises(BudgetError):
+        again.commit({"a": 1.0})
+    assert Ledger(2.0, path=path).spent == {"a": 1.5}
+    (tmp_path / "ledger.json").write_text("no")
+    with pytest.raises(BudgetError):
+        Ledger(2.0, path=path)
+    store = Store(100, 2.0, folder=str(tmp_path))
+    one, two, other = store.create(people, "d"), store.create(people, "d"), store.create(people)
+    store.get(one).ledger.commit({"a": 2.0})
+    assert store.get(two).ledger.spent == {"a": 2.0} and not store.get(other).ledger.spent
+    restarted = Store(100, 2.0, folder=str(tmp_path))
+    assert restarted.get(restarted.create(people, "d")).ledger.spent == {"a": 2.0}
+
+
+def test_rules_are_merged_within(tmp_path):
+    p = tmp_path / "rules.json"
+    p.write_text('{"defaults": {"by_pii_kind": {"phone": {"action": "mask", "params": {"keep_prefix": 4}}, "email": {"is_quasi_identifier": true}}}}')
+    rules = catalog(str(p))["defaults"]["by_pii_kind"]
+    assert rules["phone"]["params"] == {"keep_prefix": 4, "keep_suffix": 1} and rules["email"] == {"action": "hash", "is_quasi_identifier": True}
+    for bad in ('{"fields": {"a": 1}}', '{"fields": {"a": {"action": "burn"}}}', '{"defaults": []}', '{"fields": {"a": {"params": 3}}}'):
+        p.write_text(bad)
+        with pytest.raises(VeilError):
+            catalog(str(p))
+
+
+def test_offered_parameters():
+    from veilframe.plans.policy import offered_params
+
+    assert offered_params("numeric_bin", lower=0, upper=50) == {"bin_width": 5.0} and offered_params("numeric_bin") == {"bin_width": 1}
+    assert offered_params("numeric_bin", {"bin_width": 3}, 0, 50) == {"bin_width": 3}
+    assert offered_params("mask") == {"keep_prefix": 1, "keep_suffix": 1} and offered_params("mask", {"keep_prefix": 0, "mask_char": "#"}) == {"keep_prefix": 0, "keep_suffix": 1, "mask_char": "#"}
+    assert offered_params("string_truncate") == {"keep": 3} and offered_params("date_truncate", {"granularity": "year"}) == {"granularity": "year"}
+    assert offered_params("redact") == {} and offered_params("redact", {"replacement": "x"}) == {"replacement": "x"} and offered_params("retain") == {}
+
+
+def test_epsilon_of_the_settings_is_suggested():
+    entry = {"name": "x", "kind": "numeric", "n_unique": 3, "row_count": 9, "min": 0.0, "max": 5.0}
+    rules = {"fields": {"x": {"action": "dp_laplace"}}}
+    assert suggest(entry, "none", 5, rules, 0.25)["dp_params"] == {"epsilon": 0.25, "lower": 0.0, "upper": 5.0}
+
+
+def test_preflight_of_diversity_is_brute_force(spark):
+    import random
+
+    from veilframe.operators.preflight import preflight
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([1, 2, None]), rng.choice("xyz"), rng.choice("pq"), rng.choice([None, 1, 2])) for _ in range(160)]
+    df = spark.createDataFrame(rows, "a string, b int, c string, s string, t int")
+    qis = ["a", "b", "c"]
+
+    found = preflight(df, qis, 6, ["s", "t"], 2)
+    from veilframe.operators.kanon import value_table
+    from veilframe.operators.preflight import drop_each_diverse
+
+    got = {r.left_out: r.rows_suppressed for r in drop_each_diverse([value_table(df, qis, c) for c in ("s", "t")], qis, [0, 1, 2], 6, 2).collect()}
+    two = lambda g: len({r[3] for r in g}) < 2 or len({r[4] for r in g}) < 2
+    want = {}
+    for out in qis:
+        at, groups = [qis.index(c) for c in qis if c != out], {}
+        for r in rows:
+            groups.setdefault(tuple(r[i] for i in at), []).append(r)
+        want[out] = sum(len(g) for g in groups.values() if len(g) < 6 or two(g))
+    assert got == want == {s.column: s.rows_suppressed for s in found["drop_one"]}
+
+
+def test_comparison_of_both_tables(spark):
+    from veilframe.plans.engine import validation
+
+    before = spark.createDataFrame([(1.0, "a", 1), (2.0, None, 2)], "x double, s string, gone int")
+    after = before.selectExpr("cast(x as string) as x", "s")
+    found = validation(before, after)
+    assert found["columns"]["x"]["kind"] == "numeric" and found["columns"]["x"]["after_kind"] == "categorical"
+    assert found["columns"]["s"]["after"] == {"kind": "categorical", "n_unique": 1, "null_ratio": 0.5}
+    assert found["columns"]["gone"]["dropped"] and found["columns"]["gone"]["after"] is None
+    assert (found["rows_before"], found["rows_after"], len(found["correlation_before"])) == (2, 2, 3)
+    none = validation(before, after.where("false"))
+    assert none["rows_after"] == 0 and none["correlation_after"] == []

@@ -6,7 +6,7 @@ from veilframe.cli import main
 from veilframe.errors import ParseError
 from veilframe.operators.profile import detect, histogram, name_kind, numeric_stats, schema_profile, correlations
 from veilframe.sources.sqldump import column_list, statements
-from veilframe.sources.tables import encoding_of, read_table, sniff_separator
+from veilframe.sources.tables import read_table, shape_of, sniff_separator
 
 
 def write(tmp_path, name, text, encoding="utf-8"):
@@ -42,9 +42,9 @@ def test_txt_and_encodings(spark, tmp_path):
     df = read_table(spark, write(tmp_path, "a.txt", "\n" * 15 + "a|b\n1|x\n2|y\n"))
     assert df.columns == ["a", "b"] and df.count() == 2
     assert sniff_separator("a\tb,c\n1\t2,3\n") == "\t" and sniff_separator("a;b;c,d\n1;2;3,4") == ";"
-    assert encoding_of("姓名,電話".encode("utf-8-sig")) == "utf-8"
-    assert encoding_of("姓名はひらがなです".encode("shift_jis")) == "shift_jis"
-    assert encoding_of("caf\xe9 au lait".encode("cp1252")) == "cp1252"
+    for text, code in (("姓名,電話", "utf-8-sig"), ("姓名はひらがなです", "shift_jis"), ("姓名はひらがなです", "euc_jp"), ("이름은 김철수", "euc_kr"), ("姓名與電話號碼的資料", "big5"), ("привет всем людям", "cp1251"), ("caf\xe9 au lait", "cp1252"), ("plain", "ascii")):
+        found = shape_of(spark, write(tmp_path, "c.csv", f"{text}\n", code)).encoding
+        assert found == {"utf-8-sig": "utf-8", "ascii": "utf-8"}.get(code, code)
     df = read_table(spark, write(tmp_path, "b.csv", "姓名,x\nひらがなのなまえ,1\n", "shift_jis"))
     assert df.first()[0] == "ひらがなのなまえ"
 
@@ -63,6 +63,11 @@ def test_sql(spark, tmp_path):
     assert rows == [(-2, "é", 1000.0), (1, "it's -- not /* a */ comment", None), (31, "x\ty\\qA", 3.5)]
 
 
+def test_statements_over_many_lines(spark, tmp_path):
+    df = read_table(spark, write(tmp_path, "a.sql", "/* two\nlines */ INSERT INTO t\n(a,\n b)\nVALUES\n(1,\n'x\ny'),\n(2, NULL)\n;\n"))
+    assert sorted(map(tuple, df.collect())) == [(1, "x\ny"), (2, None)]
+
+
 def test_sql_errors():
     for bad in ("INSERT INTO t VALUES (1", "INSERT INTO t VALUES ('a)", "INSERT INTO t VALUES (now())", "INSERT INTO t VALUES ((1))", "INSERT INTO t VALUES (DEFAULT)", "INSERT INTO t (a) VALUES (1, 2)", 'INSERT INTO t ("a VALUES (1)'):
         with pytest.raises(ParseError):
@@ -130,3 +135,53 @@ def test_log_hides_values():
     record = logging.LogRecord("a", logging.INFO, "", 0, "done", (), None)
     record.fields = {"key": "abc", "n": 3, "inner": {"row": ["x"]}}
     assert json.loads(Formatter().format(record)) == {"level": "INFO", "logger": "a", "message": "done", "key": "(hidden)", "n": 3, "inner": {"row": "(hidden)"}}
+
+
+def test_all_lines_tell_the_encoding(spark, tmp_path):
+    """A byte far behind the start that is no UTF-8."""
+    head = "name,n\n" + "".join(f"plain{k},{k}\n" for k in range(20_000))
+    df = read_table(spark, write(tmp_path, "late.csv", head + "ein caf\xe9 und stra\xdfe,1\n", "cp1252"))
+    assert df.where("name like 'ein%'").first().name == "ein caf\xe9 und stra\xdfe" and df.count() == 20_001
+    path = tmp_path / "none.csv"
+    path.write_bytes(head.encode() + b"\x81\x8d\xff\xfe\x81,1\n")
+    with pytest.raises(ParseError):
+        read_table(spark, str(path))
+
+
+def test_a_long_header_is_read_whole(spark, tmp_path):
+    names = [f"a_rather_long_column_name_of_number_{k}" for k in range(6000)]
+    assert len(",".join(names)) > 200_000
+    from veilframe.sources.tables import _first_record, _header, _start
+
+    path = write(tmp_path, "wide.csv", "\n\n" + ",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
+    assert _header(_start(spark, path, "utf-8", _first_record), ",") == names
+
+
+def test_quoted_line_breaks_at_any_size(spark, tmp_path):
+    """Files are split among tasks only if no record holds a line break."""
+    plain = "".join(f'{k},"x, {k}"\n' for k in range(30_000))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        path = write(tmp_path, "plain.csv", "n,s\n" + plain)
+        assert not shape_of(spark, path).multi_line and read_table(spark, path).count() == 30_000
+        path = write(tmp_path, "breaks.csv", "n,s\n" + plain + '30000,"two\nlines, ""quoted"""\n' + plain)
+        df = read_table(spark, path)
+        assert shape_of(spark, path).multi_line and df.count() == 60_001
+        assert df.where("n = 30000").first().s == 'two\nlines, "quoted"'
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_refused_batches_are_told(spark, tmp_path):
+    from veilframe.plans.policy import Policy, Request
+    from veilframe.streaming.batches import release_batches
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "n long, g string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("n long, g string").parquet(str(tmp_path / "in"))
+    request = Request((Policy("g", is_quasi_identifier=True),), k=5)
+    query = release_batches(stream, request, str(tmp_path / "out"), b"k" * 32).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    refused = spark.read.parquet(str(tmp_path / "out.refused")).first()
+    assert refused.rows == 2 and not (tmp_path / "out").exists()

@@ -130,3 +130,23 @@ def test_nested_columns_are_kept_or_dropped(spark):
     assert fold(df, [Policy("v")], b"k").count() == 1
     with pytest.raises(PolicyError):
         fold(df, [Policy("v", "hash")], b"k")
+
+
+@pytest.mark.parametrize("width", ["10", "2.5", "0.001", "7"])
+def test_bins_at_their_edges(spark, width):
+    from decimal import ROUND_FLOOR, Decimal, localcontext
+
+    def want(v):
+        with localcontext() as c:
+            c.prec = 60
+            w = Decimal(width)
+            lo = (Decimal(str(v).strip()) / w).to_integral_value(ROUND_FLOOR) * w
+            plain = lambda x: (t.rstrip("0").rstrip(".") if "." in (t := format(x + 0, "f")) else t).replace("-0", "0") if x == 0 else (t.rstrip("0").rstrip(".") if "." in (t := format(x, "f")) else t)
+            return f"[{plain(lo)}, {plain(lo + w)})"
+
+    doubles = [-1e-20, 1e-20, 0.0, -0.0, 10.0, 9.999999999999998, -10.0, 2.5, 7.5, -2.5, 1e15, 0.1, 0.3, -0.1, 123456789.125]
+    texts = ["9.9999999999999999999", "-9.9999999999999999999", "-10.0000000000000000001", "10.00000000000000000000", "-10.00000000000000000000", "-0", " 7.5 ", "1e3", "-1e-20"]
+    for values, kind, name in ((doubles, T.DoubleType(), "double"), (texts, T.StringType(), "string"), ([0, -1, 10, -10, 2**40, -(2**62)], T.LongType(), "long")):
+        df = spark.createDataFrame([(v,) for v in values], f"v {name}")
+        got = df.select("v", X.numeric_bin(F.col("v"), kind, width).alias("b")).collect()
+        assert [r.b for r in got] == [want(r.v) for r in got]

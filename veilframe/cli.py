@@ -38,14 +38,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _request(args, df, settings) -> tuple[Request, list[dict], dict]:
-    profile, pii = schema_profile(df), detect(detection_sample(df, settings.sample_rows))
+    profile, pii = schema_profile(df, settings.exact_distinct), detect(detection_sample(df, settings.sample_rows))
     if args.policy:
         try:
             request = Request.from_dict(json.loads(Path(args.policy).read_text(encoding="utf-8")))
         except (OSError, ValueError):
             raise VeilError("the policy cannot be read") from None
     else:
-        request = suggested_request(profile, pii, args.k or settings.k, catalog(args.catalog))
+        request = suggested_request(profile, pii, args.k or settings.k, catalog(args.catalog), settings.epsilon)
     more = {"k": args.k, "l": args.l, "key_name": args.key_name, "accept_weaker": args.accept_weaker or None}
     return replace(request, **{n: v for n, v in more.items() if v is not None}), profile, pii
 

@@ -15,7 +15,11 @@ PREFIX = "VEILFRAME_"
 
 @dataclass(frozen=True)
 class Settings:
-    """Limits and defaults; ``salt_is_lasting`` says whether derived keys can recur."""
+    """Limits and defaults; ``salt_is_lasting`` says whether derived keys can recur.
+
+    exact_distinct: whether reported numbers of distinct values are exact; ledger: a folder in
+    which spent epsilon lasts over restarts.
+    """
 
     max_bytes: int = 300 * 1024 * 1024
     session_seconds: int = 1800
@@ -27,6 +31,8 @@ class Settings:
     epsilon_budget: float = 10.0
     soft_cap: float = 0.10
     hard_cap: float = 0.50
+    exact_distinct: bool = True
+    ledger: str | None = None
     origins: tuple[str, ...] = ()
     salt: bytes = b""
     salt_is_lasting: bool = False
@@ -63,6 +69,8 @@ def load(env: Mapping[str, str] | None = None) -> Settings:
         epsilon_budget=number("EPSILON_BUDGET", float, most),
         soft_cap=number("SOFT_CAP", float, d.soft_cap),
         hard_cap=number("HARD_CAP", float, d.hard_cap),
+        exact_distinct=env.get(PREFIX + "EXACT_DISTINCT", "1").strip().lower() not in ("0", "false", "no"),
+        ledger=env.get(PREFIX + "LEDGER", "").strip() or None,
         origins=tuple(o.strip() for o in env.get(PREFIX + "ORIGINS", "").split(",") if o.strip()),
         salt=raw or secrets.token_bytes(32),
         salt_is_lasting=bool(raw),

@@ -75,16 +75,35 @@ def token(s: Column, key: bytes, prefix: str = "tok_", public: bool = False) ->
     return F.concat(F.lit(prefix), F.left((hmac_native if public else hmac_secret)(s, key), F.lit(TOKEN_LENGTH)))
 
 
-def _trimmed(d: Column) -> Column:
-    s = d.cast("string")
-    return F.when(F.instr(s, ".") > 0, F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")).otherwise(s)
+def _label(d: Column, scale: int) -> Column:
+    """A decimal of so many places, without zeros at its end."""
+    s = d.cast(f"decimal(38,{scale})").cast("string")
+    return F.rtrim(F.rtrim(s, F.lit("0")), F.lit(".")) if scale else s
+
+
+def _floor_decimal(s: Column, width: Decimal) -> tuple[Column, Column]:
+    """(multiple of the width at or below the number in the text, whether it is a number), exactly.
+
+    What stands behind the 18th place is cut off; a number below 0 that is a multiple only
+    for that belongs one bin lower.
+    """
+    w = F.lit(format(width, "f")).cast("decimal(38,18)")
+    long = s.rlike(r"\.[0-9]{19}")
+    cut = F.when(long, F.regexp_replace(s, r"(\.[0-9]{18})[0-9]+", "$1")).otherwise(s)
+    d = cut.try_cast("decimal(38,18)")
+    over = F.pmod(d, w)
+    below = long & s.startswith("-") & s.rlike(r"\.[0-9]{18}[0-9]*[1-9]")
+    # With an exponent the cast rounds: the number as a double tells the side.
+    below = below | (s.rlike("[eE]") & (s.try_cast("double") < d.cast("double")))
+    return F.when((over == 0) & below, d - w).otherwise(d - over), d.isNotNull()
 
 
 def numeric_bin(c: Column, kind: T.DataType, bin_width) -> Column:
     """``[lo, hi)`` with lo the multiple of the width at or below the value, in exact decimals.
 
     Not a number: null; text that is no number, and numbers of 1e20 or more: an error
-    that does not quote them.
+    that does not quote them. Numbers that lie clear of a bin's edge, and whole ones, are
+    binned in machine arithmetic; what lies at an edge, and text, in decimals.
     """
     if isinstance(kind, T.BooleanType):
         raise PolicyError("a boolean column has no bins")
@@ -94,16 +113,38 @@ def numeric_bin(c: Column, kind: T.DataType, bin_width) -> Column:
         raise PolicyError("bin_width is not a number") from None
     if not width.is_finite() or width <= 0:
         raise PolicyError("bin_width must be above 0")
-    if -width.as_tuple().exponent > 18 or width >= Decimal(10) ** 19:
+    width = width.normalize()
+    scale = max(0, -width.as_tuple().exponent)
+    if scale > 18 or width >= Decimal(10) ** 19:
         raise PolicyError("bin_width is too fine or too wide")
+    w = F.lit(format(width, "f")).cast(f"decimal(38,{scale})")
     s = F.trim(c.cast("string"))
-    d = s.try_cast("decimal(38,18)")
-    w = F.lit(format(width, "f")).cast("decimal(38,18)")
-    lo = d - F.pmod(d, w)
-    label = F.concat(F.lit("["), _trimmed(lo.cast("decimal(38,18)")), F.lit(", "), _trimmed((lo + w).cast("decimal(38,18)")), F.lit(")"))
+    lo, known = _floor_decimal(s, width)
     odd = F.lower(s).isin("nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
     bad = F.raise_error(F.lit("a value is not a number that can be binned")).cast("string")
-    return F.when(s.isNull() | odd, F.lit(None).cast("string")).when(d.isNull(), bad).otherwise(label)
+    exact = F.when(s.isNull() | odd, F.lit(None).cast("string")).when(~known, bad)
+    exact = exact.otherwise(F.concat(F.lit("["), _label(lo, scale), F.lit(", "), _label(lo.cast(f"decimal(38,{scale})") + w, scale), F.lit(")")))
+
+    if not isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType)) or not 1e-6 <= width <= 10**9:
+        return exact
+    # The bin's number, as long as it and its edges are small enough to be exact.
+    edge = F.lit(float(width))
+    q = c.cast("double") / edge
+    clear = (F.abs(q) < 1e8) & (F.abs(q - F.round(q)) > 1e-6)
+    number = F.floor(q)
+    if not scale:
+        whole = (F.abs(q) < 1e8) & (c == F.floor(c))
+        n = c.cast("long")
+        number = F.when(whole, ((n - F.pmod(n, F.lit(int(width)))) / F.lit(int(width))).cast("long")).otherwise(number)
+        clear = clear | whole
+        low = number * F.lit(int(width))
+        quick = F.concat(F.lit("["), low.cast("string"), F.lit(", "), (low + F.lit(int(width))).cast("string"), F.lit(")"))
+    else:
+        units = number * F.lit(int(width.scaleb(scale)))
+        one = F.lit(Decimal(1).scaleb(-scale))
+        part = lambda u: _label(u.cast("decimal(19,0)") * one, scale)
+        quick = F.concat(F.lit("["), part(units), F.lit(", "), part(units + F.lit(int(width.scaleb(scale)))), F.lit(")"))
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(clear, quick).otherwise(exact)
 
 
 #: Formats of granularities, and of dates in text in the order they are tried.

@@ -37,6 +37,12 @@ class Suppressed:
     homogeneous: dict[str, int] = field(default_factory=dict)
     classes_below_l: int = 0
     warnings: list[str] = field(default_factory=list)
+    classes: DataFrame | None = None
+
+    def done(self) -> None:
+        """Lets go of the class table, once what reads it is written."""
+        if self.classes is not None:
+            self.classes.unpersist()
 
     @property
     def ratio(self) -> float:
@@ -115,10 +121,16 @@ def enforce(df: DataFrame, qis: list[str], k: int, sensitive: list[str] | None =
     out.classes_below_l = m["classes_below_l"] if l > 1 and sensitive else 0
     out.l_achieved = {c: m[f"l_achieved_{i}"] for i, c in enumerate(sensitive)}
     out.homogeneous = {c: m[f"homogeneous_{i}"] for i, c in enumerate(sensitive)}
-    out.df = kept_rows(df, classes, qis, k, l, len(sensitive))
+    out.df, out.classes = kept_rows(df, classes, qis, k, l, len(sensitive)), classes
     return out
 
 
+def value_table(df: DataFrame, qis: list[str], column: str) -> DataFrame:
+    """q0.., s, size: how often each value of a column stands in each equivalence class."""
+    rows = df.select(*[qcol(c).alias(f"q{i}") for i, c in enumerate(qis)], qcol(column).alias("s"))
+    return rows.groupBy(*[f"q{i}" for i in range(len(qis))], "s").agg(F.count(F.lit(1)).alias("size"))
+
+
 def cardinalities(df: DataFrame, columns: list[str]) -> list[tuple[str, int]]:
     """Distinct values of each column, most first."""
     if not columns:

@@ -1,7 +1,8 @@
 """What suppression would cost, and which quasi-identifiers cost most.
 
-The class table is made once. Each step of the search is one GROUPING SETS query over
-it that measures every subset with one column less, whatever the number of rows.
+The class table is made once, and for l-diversity the counts of each sensitive value in
+each class. Each step of the search is one GROUPING SETS query over them that measures every
+subset with one column less, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.errors import PolicyError
-from veilframe.operators.kanon import cardinalities, checked, class_metrics, class_table
+from veilframe.operators.kanon import cardinalities, checked, class_metrics, class_table, value_table
 
 MOST_QIS = 15
 
@@ -39,22 +40,34 @@ def drop_each(classes: DataFrame, qis: list[str], at: list[int], k: int) -> Data
     return sums.select(which.alias("left_out"), F.col("rows_suppressed").cast("long").alias("rows_suppressed"), F.col("rows_total").cast("long").alias("rows_total"))
 
 
-def _drop_each_diverse(df: DataFrame, qis: list[str], k: int, sensitive: list[str], l: int) -> dict[str, int]:
-    """The same where l-diversity counts too: distinct values need a class table each."""
-    out = {}
-    for c in qis:
-        rest = [q for q in qis if q != c]
-        out[c] = class_metrics(class_table(df, rest, sensitive), k, l, sensitive).first()["rows_suppressed"]
-    return out
+def drop_each_diverse(values: list[DataFrame], qis: list[str], at: list[int], k: int, l: int) -> DataFrame:
+    """The same where l-diversity counts too, from a table of (classes, value, size) for each sensitive column.
+
+    A class is suppressed if it is too small, or if one of the columns has too few values in it.
+    """
+    names = [f"q{i}" for i in at]
+    sets = [[n for n in names if n != out] for out in names]
+    place = F.lit(len(names) - 1) - F.log2(F.shiftright("gid", 1).cast("double")).cast("int")
+    rows = None
+    for number, table in enumerate(values):
+        # Values stay in each set, so the bit of s, the last one, is never set.
+        each = table.groupingSets([[F.col(n) for n in s] + [F.col("s")] for s in sets], *[F.col(n) for n in names], F.col("s"))
+        each = each.agg(F.grouping_id().alias("gid"), F.sum("size").alias("size"))
+        each = each.groupBy("gid", *names).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("d")).withColumn("column", F.lit(number))
+        rows = each if rows is None else rows.union(each)
+    classes = rows.groupBy("gid", *names).agg(F.max("size").alias("size"), F.min("d").alias("d"))
+    gone = (F.col("size") < k) | (F.col("d") < l)
+    sums = classes.groupBy("gid").agg(F.sum(F.when(gone, F.col("size")).otherwise(0)).alias("rows_suppressed"), F.sum("size").alias("rows_total"))
+    which = F.element_at(F.array(*[F.lit(qis[i]) for i in at]), place + 1)
+    return sums.select(which.alias("left_out"), F.col("rows_suppressed").cast("long").alias("rows_suppressed"), F.col("rows_total").cast("long").alias("rows_total"))
 
 
-def _impact(df: DataFrame, classes: DataFrame, qis: list[str], left: list[str], k: int, sensitive: list[str], l: int, base: int, total: int) -> list[Step]:
+def _impact(classes: DataFrame, values: list[DataFrame], qis: list[str], left: list[str], k: int, l: int, base: int, total: int) -> list[Step]:
     if len(left) < 2:
         return []
-    if l > 1 and sensitive:
-        found = _drop_each_diverse(df, left, k, sensitive, l)
-    else:
-        found = {r.left_out: r.rows_suppressed for r in drop_each(classes, qis, [qis.index(c) for c in left], k).collect()}
+    at = [qis.index(c) for c in left]
+    measured = drop_each_diverse(values, qis, at, k, l) if values else drop_each(classes, qis, at, k)
+    found = {r.left_out: r.rows_suppressed for r in measured.collect()}  # a row a column
     share = lambda n: n / total if total else 0.0
     return [Step(c, found.get(c, 0), share(found.get(c, 0)), share(base) - share(found.get(c, 0))) for c in left]
 
@@ -68,13 +81,14 @@ def preflight(df: DataFrame, qis: list[str], k: int, sensitive: list[str] | None
         n = df.count()
         return {"rows_total": n, "rows_suppressed": 0, "ratio": 0.0, "k_achieved": n, "cardinalities": [], "drop_one": [], "plan": None, "suggestions": ["There are no quasi-identifiers, so nothing is suppressed."]}
     classes = class_table(df, qis, sensitive if l > 1 else []).persist()
+    values = [value_table(df, qis, c).persist() for c in sensitive] if l > 1 else []
     try:
         base = class_metrics(classes, k, l, sensitive if l > 1 else []).first()
         total, now = base.rows_total, base.rows_suppressed
         ratio = now / total if total else 0.0
         distinct = cardinalities(df, qis)
         many = dict(distinct)
-        ones = _impact(df, classes, qis, qis, k, sensitive, l, now, total)
+        ones = _impact(classes, values, qis, qis, k, l, now, total)
         target = hard_cap if ratio > hard_cap else soft_cap
         plan, left, at = [], list(qis), ratio
         steps = ones
@@ -83,9 +97,10 @@ def preflight(df: DataFrame, qis: list[str], k: int, sensitive: list[str] | None
             plan.append(best)
             left.remove(best.column)
             at = best.ratio
-            steps = _impact(df, classes, qis, left, k, sensitive, l, best.rows_suppressed, total)
+            steps = _impact(classes, values, qis, left, k, l, best.rows_suppressed, total)
     finally:
-        classes.unpersist()
+        for table in (classes, *values):
+            table.unpersist()
     out = {"rows_total": total, "rows_suppressed": now, "ratio": ratio, "k_achieved": base.k_achieved, "classes_total": base.classes_total, "classes_below_k": base.classes_below_k, "soft_cap": soft_cap, "hard_cap": hard_cap, "cardinalities": distinct}
     out["drop_one"] = sorted(ones, key=lambda s: -s.improvement)
     out["plan"] = {"steps": plan, "columns": [s.column for s in plan], "final_ratio": at, "target": target, "reaches_target": at <= target} if ratio > target else None

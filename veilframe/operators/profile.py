@@ -51,12 +51,16 @@ def column_kind(kind: T.DataType, distinct: int, rows: int) -> str:
     return "string"
 
 
-def schema_profile(df: DataFrame) -> list[dict]:
-    """Type, kind, distinct values (null counted), nulls, rows and range of each column."""
+def schema_profile(df: DataFrame, exact: bool = True) -> list[dict]:
+    """Type, kind, distinct values (null counted), nulls, rows and range of each column.
+
+    Exact counts of all columns shuffle every distinct value; without ``exact`` they are
+    estimates, and one partial aggregation is all.
+    """
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(df.schema.fields):
         c = qcol(f.name)
-        aggs += [n_unique(c).alias(f"u{i}"), F.count_if(c.isNull()).alias(f"z{i}")]
+        aggs += [n_unique(c, exact).alias(f"u{i}"), F.count_if(c.isNull()).alias(f"z{i}")]
         if is_numeric(f.dataType):
             v = clean(c, f.dataType)
             aggs += [F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
@@ -158,6 +162,17 @@ def suggestions(name: str, distinct: int, rows: int, email: float | None, phone:
     return out or [Suggestion("none", 1.0, "nothing matches")]
 
 
+def categories(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Number of different values that are not null, and share of nulls, of each column in one pass."""
+    if not columns:
+        return {}
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(columns):
+        aggs += [F.count_distinct(qcol(c)).alias(f"u{i}"), F.count_if(qcol(c).isNull()).alias(f"z{i}")]
+    r = df.agg(*aggs).first()
+    return {c: {"n_unique": r[f"u{i}"], "null_ratio": r[f"z{i}"] / r.rows if r.rows else 1.0} for i, c in enumerate(columns)}
+
+
 def _stats(df: DataFrame, c: str) -> Column:
     v = clean(qcol(c), df.schema[c].dataType).cast("double")
     ratio = F.when(F.count(v) == 0, 1.0).otherwise(F.count_if(qcol(c).isNull()) / F.count(F.lit(1)))

@@ -12,11 +12,11 @@ UNKNOWN = 0.5
 GENERALISED = ("mask", "numeric_bin", "date_truncate", "string_truncate")
 
 
-def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, int]:
     """Distinct values of each column, null counted, in one pass."""
     if not columns:
         return {}
-    row = df.agg(*[n_unique(qcol(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[n_unique(qcol(c), exact).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     return dict(zip(columns, row, strict=True))
 
 

@@ -8,17 +8,18 @@ the release is written. Nothing is written if a guardrail refuses.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.config import Settings, load
-from veilframe.errors import PolicyError, RiskError
+from veilframe.errors import PolicyError, RiskError, VeilError
 from veilframe.functions.laplace import Ledger
 from veilframe.operators.kanon import Suppressed, cardinalities, enforce
 from veilframe.operators.preflight import preflight as search
-from veilframe.operators.profile import detect, detection_sample, schema_profile, summary
+from veilframe.operators.profile import categories, detect, detection_sample, schema_profile, summary
 from veilframe.operators.utility import distinct_counts, utility
 from veilframe.columns import is_numeric
 from veilframe.plans.policy import Request, derived_key, fold, new_key, noise_params, quasi_identifiers, sensitive_columns, with_noise
@@ -35,11 +36,20 @@ class Released:
     suppressed: Suppressed
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; in local mode a temporary one if none is set."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise VeilError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
+    return found or sc._jsc.sc().getCheckpointDir().get()
+
+
 def barrier(df: DataFrame) -> DataFrame:
     """df written once; every later action reads the same rows."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -71,29 +81,73 @@ def release(df: DataFrame, request: Request, settings: Settings | None = None, k
     sensitive = sensitive_columns(out, request.policies, qis, request.sensitive)
     found = enforce(out, qis, request.k, [c for c in sensitive if out.schema[c].dataType.typeName() not in ("map",)], request.l)
     guard(found, settings.soft_cap, settings.hard_cap, request.accept_weaker)
-    profile = schema_profile(df)
+    # Counts, statistics and the write read the released rows: they are made once.
+    found.df = barrier(found.df)
+    found.done()
+    exact = settings.exact_distinct
+    profile = schema_profile(df, exact)
     sample = detection_sample(df, settings.sample_rows)
     actions = {p.column: p.action for p in request.policies}
     rows_after = found.rows_total - found.rows_suppressed
-    kept = distinct_counts(found.df, found.df.columns)
+    kept = distinct_counts(found.df, found.df.columns, exact)
     worth = utility({e["name"]: e["n_unique"] for e in profile}, kept, found.rows_total, rows_after, actions, request.dp)
     warnings = list(found.warnings)
     if request.l < 2 and (leaks := sorted(c for c, n in found.homogeneous.items() if n)):
         warnings.append(f"Some released classes hold a single value of {', '.join(leaks)}: whoever knows that a person is in such a class learns it. Ask for l of 2 or more, or coarsen or drop these columns.")
-    report = build(name, profile, detect(sample), request, noise, after, settings, found, worth, compare(found.df), warnings)
+    report = build(name, profile, detect(sample), request, noise, after, settings, found, worth, compare(found.df, before=profile), warnings)
     return Released(found.df, report, after, found)
 
 
-def compare(after: DataFrame) -> dict:
-    """What a report may show of the released columns."""
-    numbers = [f.name for f in after.schema.fields if is_numeric(f.dataType)]
-    out: dict = {"columns": {c: {"kind": "categorical"} for c in after.columns}, "correlation": []}
+def described(df: DataFrame) -> dict:
+    """Statistics of each column, by its kind: numbers, or number of values and share of nulls."""
+    numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+    out: dict = {"columns": {c: {"kind": "categorical"} | v for c, v in categories(df, [c for c in df.columns if c not in numbers]).items()}, "correlation": []}
     if numbers:
-        stats, pairs, bars = summary(after, numbers)
+        stats, pairs, bars = summary(df, numbers)
         for r in stats:
             out["columns"][r.column_name] = {"kind": "numeric"} | {k: r[k] for k in ("mean", "std", "minimum", "maximum", "null_ratio")} | {"histogram": bars.get(r.column_name, [])}
         out["correlation"] = [[r.a, r.b, r.r] for r in pairs]
-    return out
+    return {"columns": {c: out["columns"][c] for c in df.columns}, "correlation": out["correlation"]}
+
+
+def compare(after: DataFrame, before: list[dict]) -> dict:
+    """What a report may show of the released columns; of the columns before, kinds alone.
+
+    before: a schema profile. Columns that are gone are marked as dropped, and numbers that
+    became text have the kind that they have now beside the one that they had.
+    """
+    now = described(after)
+    had = {e["name"]: "numeric" if e["kind"] == "numeric" else "categorical" for e in before}
+    columns = {}
+    for name, kind in had.items():
+        found = now["columns"].get(name)
+        if found is None:
+            columns[name] = {"kind": kind, "dropped": True}
+        elif found["kind"] != kind:
+            columns[name] = found | {"kind": kind, "after_kind": found["kind"]}
+        else:
+            columns[name] = found
+    return {"columns": columns, "correlation": now["correlation"]}
+
+
+def validation(before: DataFrame, after: DataFrame) -> dict:
+    """Statistics of both tables side by side: for whoever may see the table itself, never for a report.
+
+    If no row is left, what is said of the columns after is their kind alone.
+    """
+    one = described(before)
+    empty = after.isEmpty()
+    two = {"columns": {c: {} for c in after.columns}, "correlation": []} if empty else described(after)
+    columns = {}
+    for name, old in one["columns"].items():
+        new = two["columns"].get(name)
+        entry = {"kind": old["kind"], "before": old, "after": new or None}
+        if new is None:
+            entry["dropped"] = True
+        elif new and new["kind"] != old["kind"]:
+            entry["after_kind"] = new["kind"]
+        columns[name] = entry
+    return {"columns": columns, "correlation_before": one["correlation"], "correlation_after": two["correlation"], "rows_before": before.count(), "rows_after": 0 if empty else after.count()}
 
 
 def preflight(df: DataFrame, request: Request, settings: Settings | None = None, key: bytes | None = None) -> dict:

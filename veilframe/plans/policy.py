@@ -19,7 +19,7 @@ from veilframe.functions.laplace import Noise, noised
 from veilframe.functions.transforms import apply_action
 
 ACTIONS = ("retain", "mask", "hash", "tokenize", "redact", "numeric_bin", "date_truncate", "string_truncate", "dp_laplace", "drop")
-#: Actions that a user interface offers for each kind of column.
+#: Actions that a user interface offers for each kind of column.
 OFFERED = {
     "numeric": ("retain", "dp_laplace", "numeric_bin", "drop"),
     "datetime": ("retain", "date_truncate", "drop"),
@@ -167,10 +167,44 @@ CATALOG = {
 
 
 def merged(base: dict, over: dict) -> dict:
-    out = dict(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) and "action" not in v else v
-    return out
+    """base with over laid upon it, objects within objects too."""
+    both = lambda k: isinstance(base.get(k), dict) and isinstance(over.get(k), dict)
+    return {k: merged(base[k], over[k]) if both(k) else over.get(k, base.get(k)) for k in {**base, **over}}
+
+
+def checked_catalog(found: dict) -> dict:
+    """found, or an error if its rules are not well formed."""
+    defaults = found.get("defaults", {})
+    if not isinstance(defaults, dict):
+        raise VeilError("the defaults of the policy file must be an object")
+    for group in (found.get("fields", {}), defaults.get("by_pii_kind", {}), defaults.get("by_kind", {})):
+        if not isinstance(group, dict) or not all(isinstance(rule, dict) for rule in group.values()):
+            raise VeilError("the rules of the policy file must be objects")
+        for rule in group.values():
+            if rule.get("action", "retain") not in ACTIONS:
+                raise VeilError(f"the policy file has no action {rule.get('action')!r}")
+            if not all(isinstance(rule.get(k) or {}, dict) for k in ("params", "dp_params")):
+                raise VeilError("the parameters of the policy file must be objects")
+    return found
+
+
+#: Parameters that a user interface starts from.
+OFFERED_PARAMS = {"mask": {"keep_prefix": 1, "keep_suffix": 1}, "string_truncate": {"keep": 3}, "date_truncate": {"granularity": "month"}}
+_OFFERED_NAMES = {"mask": ("mask_char",), "string_truncate": ("pad_char",), "redact": ("replacement",), "tokenize": ("prefix",)}
+
+
+def offered_params(action: str, suggested: dict | None = None, lower: float | None = None, upper: float | None = None) -> dict:
+    """Parameters that a user interface sends for an action: what is suggested, or else defaults.
+
+    Without a suggestion a bin is a tenth of the range, or 1 wide if there is no range.
+    """
+    given = {k: v for k, v in (suggested or {}).items() if v is not None}
+    if action == "numeric_bin":
+        wide = lower is not None and upper is not None and upper > lower
+        return {"bin_width": given.get("bin_width", (upper - lower) / 10 if wide else 1)}
+    start = OFFERED_PARAMS.get(action, {})
+    named = {k: given[k] for k in _OFFERED_NAMES.get(action, ()) if given.get(k)}
+    return {k: given.get(k, v) for k, v in start.items()} | named
 
 
 def catalog(path: str | None = None) -> dict:
@@ -183,10 +217,10 @@ def catalog(path: str | None = None) -> dict:
         raise VeilError("the policy file cannot be read") from None
     if not isinstance(over, dict):
         raise VeilError("the policy file must hold an object")
-    return merged(CATALOG, over)
+    return checked_catalog(merged(CATALOG, over))
 
 
-def suggest(entry: dict, pii_kind: str, k: int, rules: dict | None = None) -> dict:
+def suggest(entry: dict, pii_kind: str, k: int, rules: dict | None = None, epsilon: float = Settings.epsilon) -> dict:
     """Action, parameters, quasi-identifier flag and source for a column of a schema profile."""
     rules = rules or CATALOG
     name, fields, defaults = entry["name"], rules.get("fields", {}), rules.get("defaults", {})
@@ -200,16 +234,16 @@ def suggest(entry: dict, pii_kind: str, k: int, rules: dict | None = None) -> di
     flag = rule.get("is_quasi_identifier")
     if flag is None:
         flag = pii_kind == "none" and entry["kind"] in ("numeric", "datetime", "categorical") and 0 < entry["n_unique"] * k <= entry["row_count"]
-    out = {"column": name, "action": rule["action"], "params": dict(rule.get("params", {})), "is_quasi_identifier": bool(flag), "source": source}
-    if rule["action"] == "dp_laplace":
-        given = rule.get("dp_params", {})
+    out = {"column": name, "action": rule.get("action", "retain"), "params": dict(rule.get("params") or {}), "is_quasi_identifier": bool(flag), "source": source}
+    if out["action"] == "dp_laplace":
+        given = rule.get("dp_params") or {}
         # Bounds that come from the data say something about it: the report names them.
-        out["dp_params"] = {"epsilon": given.get("epsilon", 1.0), "lower": given.get("lower", entry.get("min")), "upper": given.get("upper", entry.get("max"))}
+        out["dp_params"] = {"epsilon": given.get("epsilon", epsilon), "lower": given.get("lower", entry.get("min")), "upper": given.get("upper", entry.get("max"))}
         out["bounds_from_data"] = "lower" not in given or "upper" not in given
     return out
 
 
-def suggested_request(profile: list[dict], pii: dict, k: int, rules: dict | None = None) -> Request:
+def suggested_request(profile: list[dict], pii: dict, k: int, rules: dict | None = None, epsilon: float = Settings.epsilon) -> Request:
     """A request made of all suggestions."""
-    all_ = [suggest(e, pii[e["name"]][0].kind, k, rules) for e in profile]
+    all_ = [suggest(e, pii[e["name"]][0].kind, k, rules, epsilon) for e in profile]
     return Request(tuple(Policy(s["column"], s["action"], s["params"], s["is_quasi_identifier"]) for s in all_), k=k, dp={s["column"]: s["dp_params"] for s in all_ if "dp_params" in s})

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +13,16 @@ from pyspark.sql import types as T
 
 from veilframe.functions import transforms as X
 from veilframe.functions.laplace import Noise, bounded, inverse
-from veilframe.operators.kanon import class_metrics, class_table, enforce
-from veilframe.operators.preflight import drop_each, preflight
-from veilframe.operators.profile import correlations, histogram, is_card, is_email, is_phone, numeric_stats, schema_profile
+from veilframe.operators.kanon import class_metrics, class_table, enforce, value_table
+from veilframe.operators.preflight import drop_each, drop_each_diverse, preflight
+from veilframe.operators.profile import categories, correlations, detect, histogram, is_card, is_email, is_phone, numeric_stats, schema_profile
 from veilframe.operators.utility import distinct_counts, utility
-from veilframe.plans.engine import release
-from veilframe.plans.policy import Policy, Request, fold
+from veilframe.plans.engine import release, shared_folder
+from veilframe.plans.policy import Policy, Request, fold, suggest
 from veilframe.config import Settings
 from veilframe.session import ship
+from veilframe.sinks import write_csv, write_parquet, write_text
+from veilframe.sources.tables import read_table
 
 #: A key that is published on purpose: the queries are compared with SQL that holds it.
 PUBLIC_KEY = b"veilframe public test key"
@@ -262,11 +266,12 @@ def utility_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(worth["overall_score"], out.rows_total, after)], "score double, rows_before long, rows_after long")
 
 
-@_query("SELECT doc_id, regexp_matches(w, '^[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}$') AS email, regexp_full_match(translate(w, ' -', ''), '[0-9]{13,19}') AND length(w) > 0 AS long_number FROM (SELECT doc_id, trim(split_part(text, ' ', 1)) AS w FROM documents)")
+@_query(r"SELECT doc_id, list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$'))[1] AS email, list_filter(w, lambda x: regexp_full_match(replace(x, '-', ''), '[0-9]{13,19}'))[1] AS long_number FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS w FROM documents)")
 def pii_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value tests of the detector on each text's first word."""
-    w = F.trim(F.split_part(F.col("text"), F.lit(" "), F.lit(1)))
-    return _t(spark, sf_dir, "documents").select("doc_id", is_email(w).alias("email"), F.translate(w, " -", "").rlike(r"^\d{13,19}$").alias("long_number"))
+    """The first word of each whole text that passes each value test of the detector."""
+    w = F.split("text", r"[\x20\x09-\x0D]+")
+    emails, numbers = F.filter(w, is_email), F.filter(w, lambda x: F.translate(x, "-", "").rlike(r"^\d{13,19}$"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.get(emails, 0).alias("email"), F.get(numbers, 0).alias("long_number"))
 
 
 @_query(r"SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$'))) AS emails, len(list_filter(w, lambda x: regexp_full_match(replace(x, '-', ''), '[0-9]{13,19}'))) AS long_numbers FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS w FROM documents)")
@@ -277,7 +282,10 @@ def pii_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(emails).cast("long").alias("emails"), F.size(numbers).cast("long").alias("long_numbers"))
 
 
-@_query()
+_LUHN_SQL = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(c[i] AS INTEGER) WHEN CAST(c[i] AS INTEGER) > 4 THEN 2 * CAST(c[i] AS INTEGER) - 9 ELSE 2 * CAST(c[i] AS INTEGER) END)) % 10 = 0"
+
+
+@_query(f"SELECT avg(CAST(regexp_matches(n, '^[2-9]') AS INTEGER)) AS phone, avg(CAST({_LUHN_SQL} AS INTEGER)) AS card FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '2') AS n, '411111111111' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS c FROM customer)")
 def pii_value_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of values that pass each test, for numbers made of keys."""
     n = F.lpad(F.col("c_custkey").cast("string"), 7, "2")
@@ -303,6 +311,105 @@ def full_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release(df, Request(ps, k=5), Settings(), PUBLIC_KEY, public=True).df
 
 
+# --- sources and sinks: what is written is read again ---------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share."""
+    return f"{shared_folder(spark)}/veilframe-queries/{uuid.uuid4().hex}"
+
+
+@_query("SELECT c_custkey, c_name || ', \"' || c_mktsegment || '\"' || chr(10) || 'second line' AS note, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance, c_custkey % 2 = 0 AS even FROM customer")
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through a CSV file with quotes, line breaks and nulls, typed again."""
+    note = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nsecond line'))
+    df = _t(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("balance"), (F.col("c_custkey") % 2 == 0).alias("even"))
+    return read_table(spark, write_csv(df, f"{_folder(spark)}/customer.csv"))
+
+
+@_query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DOUBLE) AS price FROM orders")
+def source_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through delimited text whose separator is found from its lines."""
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("double").alias("price"))
+    return read_table(spark, write_csv(df, f"{_folder(spark)}/orders.txt", sep="|"))
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ' -- it''s (1), /* no */ comment' AS n_name, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS BIGINT) END AS n_regionkey FROM nation")
+def source_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through a dump of INSERT statements with comment marks in its strings."""
+    rows = _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    values = ",\n".join(f"({r.n_nationkey}, '{r.n_name} -- it''s (1), /* no */ comment', {r.n_regionkey or 'NULL'})" for r in rows)
+    text = f"-- a dump\nCREATE TABLE nation (n_nationkey int);\nINSERT INTO nation (n_nationkey, `n_name`, [n_regionkey]) VALUES\n{values};\n"
+    return read_table(spark, write_text(spark, text, f"{_folder(spark)}/nation.sql"))
+
+
+@_query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size IS NOT NULL")
+def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through a folder of Parquet files."""
+    return read_table(spark, write_parquet(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), f"{_folder(spark)}/part.parquet"))
+
+
+# --- schema, detection, suggestions, reports -------------------------------------------------
+
+_KINDS = ("event_id", "user_id", "event_type", "ts")
+
+
+@_query("SELECT 'event_id' AS name, 'numeric' AS kind UNION ALL SELECT 'user_id', 'numeric' UNION ALL SELECT 'ts', 'datetime' UNION ALL SELECT 'event_type', CASE WHEN count(DISTINCT event_type) <= 100 AND count(DISTINCT event_type) / count(*) <= 0.05 THEN 'categorical' ELSE 'string' END FROM events")
+def schema_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = schema_profile(_t(spark, sf_dir, "events").select(*_KINDS))
+    return spark.createDataFrame([(e["name"], e["kind"]) for e in found], "name string, kind string")
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with an address, a card and a phone number made of their keys."""
+    key = F.col("c_custkey").cast("string")
+    return _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.concat(F.lit("u"), key, F.lit("@site.example")).alias("contact"), F.concat(F.lit("+1 212 555-"), F.lpad(key, 4, "0")).alias("line"), F.lit("4111111111111111").alias("card_number"))
+
+
+@_query("""SELECT 'contact' AS name, 'email' AS kind, CAST(0.99 AS DOUBLE) AS confidence UNION ALL SELECT 'line', 'phone', 0.95 UNION ALL SELECT 'card_number', 'credit_card', 0.99
+ UNION ALL SELECT 'c_mktsegment', 'none', 1.0 UNION ALL SELECT 'c_acctbal', 'none', 1.0 UNION ALL SELECT 'c_custkey', 'none', 1.0""")
+def detect_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surest kind of personal data in each column, from all rows."""
+    found = detect(_people(spark, sf_dir))
+    return spark.createDataFrame([(c, s[0].kind, round(s[0].confidence, 2)) for c, s in found.items()], "name string, kind string, confidence double")
+
+
+@_query("""SELECT 'contact' AS name, 'hash' AS action, false AS qi, 'pii_kind' AS source UNION ALL SELECT 'line', 'mask', false, 'pii_kind' UNION ALL SELECT 'card_number', 'mask', false, 'pii_kind'
+ UNION ALL SELECT 'c_mktsegment', 'retain', count(DISTINCT c_mktsegment) * 5 <= count(*), 'kind' FROM customer UNION ALL SELECT 'c_acctbal', 'retain', count(DISTINCT c_acctbal) * 5 <= count(*), 'kind' FROM customer
+ UNION ALL SELECT 'c_custkey', 'retain', false, 'kind'""")
+def policy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _people(spark, sf_dir)
+    found = detect(df)
+    rows = [suggest(e, found[e["name"]][0].kind, 5) for e in schema_profile(df)]
+    return spark.createDataFrame([(s["column"], s["action"], s["is_quasi_identifier"], s["source"]) for s in rows], "name string, action string, qi boolean, source string")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_unique, count(*) FILTER ({c} IS NULL) / count(*) AS null_ratio FROM ({_EVENTS_SQL})" for c in ("kind", "grp")))
+def categorical_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = categories(_events(spark, sf_dir), ["kind", "grp"])
+    return spark.createDataFrame([(c, v["n_unique"], v["null_ratio"]) for c, v in found.items()], "name string, n_unique long, null_ratio double")
+
+
+_DIVERSE_SQL = " UNION ALL ".join(f"SELECT '{c}' AS left_out, CAST(coalesce(sum(n) FILTER (n < 5 OR a < 4 OR b < 5), 0) AS BIGINT) AS rows_suppressed, CAST(sum(n) AS BIGINT) AS rows_total FROM (SELECT count(*) AS n, count(DISTINCT p_size) AS a, count(DISTINCT p_name) AS b FROM part GROUP BY {x})" for c, x in (("p_brand", "p_type"), ("p_type", "p_brand")))
+
+
+@_query(_DIVERSE_SQL.replace("a < 4", "a < 5"))
+def preflight_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows lost to small classes and to those with less than five sizes or names, each column left out in turn."""
+    df, qis = _t(spark, sf_dir, "part"), ["p_brand", "p_type"]
+    return drop_each_diverse([value_table(df, qis, c) for c in ("p_size", "p_name")], qis, [0, 1], 5, 5)
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS rows_total, CAST(count(*) FILTER (n < 8) AS BIGINT) AS rows_suppressed, round(count(*) FILTER (n < 8) / count(*), 6) AS ratio, CAST(min(n) FILTER (n >= 8) AS BIGINT) AS k_achieved, CAST(count(*) FILTER (n >= 8) AS BIGINT) AS rows_after, round(avg(p_size) FILTER (n >= 8), 6) AS mean_size, CAST(count(DISTINCT p_type) FILTER (n >= 8) AS BIGINT) AS types FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
+def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report of a release says of classes and of the released columns."""
+    ps = (Policy("p_brand", is_quasi_identifier=True), Policy("p_name", "drop"))
+    found = release(_t(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_name"), Request(ps, k=8), replace(Settings(), soft_cap=0.9, hard_cap=0.95), PUBLIC_KEY).report
+    k, v = found["k_anonymity"], found["validation"]
+    row = (k["rows_total"], k["rows_suppressed"], round(k["suppression_ratio"], 6), k["k_achieved"], v["rows_after"], round(v["columns"]["p_size"]["mean"], 6), v["columns"]["p_type"]["n_unique"])
+    return spark.createDataFrame([row], "rows_total long, rows_suppressed long, ratio double, k_achieved long, rows_after long, mean_size double, types long")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

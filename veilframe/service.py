@@ -27,7 +27,7 @@ class Service:
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, rules: str | None = None) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.settings = settings or load()
-        self.store = Store(self.settings.session_seconds, self.settings.epsilon_budget)
+        self.store = Store(self.settings.session_seconds, self.settings.epsilon_budget, folder=self.settings.ledger)
         self.rules = catalog(rules)
 
     def upload(self, path: str) -> dict:
@@ -35,16 +35,17 @@ class Service:
         df = read_table(self.spark, path, self.settings.max_bytes)
         return self.open(df)
 
-    def open(self, df: DataFrame) -> dict:
-        profile = schema_profile(df)
+    def open(self, df: DataFrame, dataset: str | None = None) -> dict:
+        """The same for a table; what is spent on a named ``dataset`` adds up over sessions and restarts."""
+        profile = schema_profile(df, self.settings.exact_distinct)
         found = detect(detection_sample(df, self.settings.sample_rows))
-        name = self.store.create(df)
+        name = self.store.create(df, dataset)
         return {
             "session": name,
             "rows": profile[0]["row_count"] if profile else 0,
             "schema": profile,
             "pii": {c: [s.__dict__ for s in x] for c, x in found.items()},
-            "policies": [suggest(e, found[e["name"]][0].kind, self.settings.k, self.rules) for e in profile],
+            "policies": [suggest(e, found[e["name"]][0].kind, self.settings.k, self.rules, self.settings.epsilon) for e in profile],
         }
 
     def preview(self, name: str, request: dict) -> list[dict]:

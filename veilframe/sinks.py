@@ -19,13 +19,13 @@ def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def write_csv(df: DataFrame, path: str) -> str:
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     """One CSV file with a header; nulls are empty. For tables that one file can hold."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     temp = f"{path}.{uuid.uuid4().hex}"
     try:
-        df.coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(temp)
+        df.coalesce(1).write.option("header", True).option("sep", sep).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(temp)
         part = next(s.getPath() for s in fs.listStatus(_path(spark, temp)) if s.getPath().getName().startswith("part-"))
         fs.delete(target, False)
         if not fs.rename(part, target):

@@ -192,7 +192,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_sql(spark: SparkSession, path: str) -> DataFrame:
     """The one table that a dump fills; two tables or two column lists are an error."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)  # as an option it would be set back
     rows = text.mapInArrow(_parse, "table string, columns array<string>, values array<string>, kinds array<string>, error string").persist()
     wrong = rows.where("error is not null").select("error").first()
     if wrong:

@@ -2,14 +2,20 @@
 
 Text columns are read as text and typed by one pass over all rows, with anchored
 patterns before every cast, so that no value is quoted in an error and none is typed by
-luck. Files whose records may hold line breaks are read whole by a task each; larger ones
-are split (``multi_line``).
+luck. Encoding and line breaks within records are judged by all lines (``shape_of``): a file
+without such breaks is split among tasks, whatever its size.
 """
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +30,6 @@ NULLS = ("", "NA", "N/A", "null", "NULL")
 SEPARATORS = ("\t", "|", ";", ",")
 EXTENSIONS = (".csv", ".txt", ".sql", ".parquet", ".json")
 _PREFIX = 100_000
-#: Files up to this size are read whole, so that quoted line breaks are safe.
-_WHOLE = 64 << 20
 #: Shapes of text that is a value of each type, in the order they are tried.
 LADDER = (
     ("boolean", r"^(?i:true|false)$"),
@@ -60,37 +64,79 @@ def prefix(spark: SparkSession, path: str, n: int = _PREFIX) -> bytes:
         with_in.close()
 
 
-def encoding_of(raw: bytes) -> str:
-    """The encoding of the start of a file; an error that quotes nothing if none fits."""
-    if raw.startswith(b"\xef\xbb\xbf"):
-        return "utf-8"
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf-16"
-    for cut in range(4):  # the last character may be cut
+#: Encodings that are tried on files that are no UTF-8, in this order: the codec
+#: that must fit, runs of characters by which text in it is known, the least share that they
+#: have of all that is not ASCII, and the encoding to read with.
+LEGACY = (
+    ("shift_jis", r"[\u3040-\u30ff]+", 0.15, "shift_jis"),
+    ("euc_jp", r"[\u3040-\u30ff]+", 0.15, "euc_jp"),
+    ("euc_kr", r"[\uac00-\ud7a3]+", 0.9, "euc_kr"),
+    ("gb2312", r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]+", 0.6, "gb18030"),
+    ("big5", r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]+", 0.6, "big5"),
+    ("gb18030", r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]+", 0.6, "gb18030"),
+    ("cp1251", r"[\u0410-\u044f]{2,}", 0.8, "cp1251"),
+    ("cp1252", r"[^\x00-\x7f]+", 0.0, "cp1252"),
+)
+
+
+def _likely(raw: bytes) -> list[str]:
+    """The encodings that bytes of lines may have, likeliest first."""
+    found = []
+    for codec, usual, least, name in LEGACY:
         try:
-            raw[: len(raw) - cut].decode("utf-8")
-            return "utf-8"
+            text = raw.decode(codec)
         except UnicodeDecodeError:
             continue
-    best, most = None, -1.0
-    for name in ("shift_jis", "big5", "gb18030"):
-        for cut in range(3):
-            try:
-                s = raw[: len(raw) - cut].decode(name)
-            except UnicodeDecodeError:
-                continue
-            high = [c for c in s if c > "\x7f"]
-            usual = sum("぀" <= c <= "ヿ" or "一" <= c <= "翿" for c in high)
-            if high and usual / len(high) > max(most, 0.6):
-                best, most = name, usual / len(high)
-            break
-    if best:
-        return best
-    try:
-        raw.decode("cp1252")
-        return "cp1252"
-    except UnicodeDecodeError:
-        raise ParseError("the file's encoding is not known") from None
+        high = sum(c > "\x7f" for c in text)
+        if sum(map(len, re.findall(usual, text))) >= least * high:
+            found.append(name)
+    return list(dict.fromkeys(found))
+
+
+def _undecoded(code: str):
+    """Lines that are not of an encoding, as a count of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = 0
+            for raw in batch.column(0).to_pylist():
+                try:
+                    raw.decode(code)
+                except UnicodeDecodeError:
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What all lines of a file say: its encoding, and whether records hold line breaks."""
+
+    encoding: str
+    multi_line: bool
+
+
+def shape_of(spark: SparkSession, path: str) -> Shape:
+    """Encoding and line breaks of a file, from all of its lines; an error that quotes nothing if no encoding fits.
+
+    A record that holds a line break leaves an odd number of quotes on one of its lines.
+    Without such lines the file is split among tasks, with them a task reads it in order.
+    """
+    head = prefix(spark, path, 4)
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return Shape("utf-16", True)
+    lines = spark.read.text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    wrong = ~F.is_valid_utf8("value")
+    seen = lines.agg(F.count_if(wrong).alias("wrong"), F.count_if(quotes % 2 != 0).alias("odd")).first()
+    if not seen.wrong:
+        return Shape("utf-8", seen.odd > 0)
+    raw = lines.where(wrong).select(F.col("value").cast("binary").alias("value"))
+    for code in _likely(b"\n".join(r.value for r in raw.limit(1000).collect())):
+        if not raw.mapInArrow(_undecoded(code), "n long").agg(F.sum("n")).first()[0]:
+            return Shape(code, seen.odd > 0)
+    raise ParseError("the file's encoding is not known")
 
 
 def sniff_separator(text: str) -> str:
@@ -106,6 +152,30 @@ def sniff_separator(text: str) -> str:
     return best
 
 
+def _start(spark: SparkSession, path: str, code: str, enough) -> str:
+    """The start of a file's text, longer and longer until ``enough`` says so or the file ends."""
+    n = _PREFIX
+    while True:
+        raw = prefix(spark, path, n)
+        text = codecs.getincrementaldecoder(code)("replace").decode(raw).lstrip("\ufeff")
+        if len(raw) < n or enough(text):
+            return text
+        n *= 8
+
+
+def _first_record(text: str) -> str | None:
+    """The first record that is not blank, if it is whole: its last line break is outside quotes."""
+    open_, begin = False, 0
+    for m in re.finditer(r'["\r\n]', text):
+        if m[0] == '"':
+            open_ = not open_
+        elif not open_:
+            if text[begin : m.start()].strip():
+                return text[begin : m.start()]
+            begin = m.end()
+    return None
+
+
 def _is_null(c: Column) -> Column:
     return c.isNull() | c.isin(*NULLS)
 
@@ -137,19 +207,18 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", shape: Shape | None = None) -> DataFrame:
     """A table with a header row. Short rows end in nulls, longer ones are an error."""
-    raw = prefix(spark, path)
-    if not raw.strip():
+    if not prefix(spark, path).strip() and file_size(spark, path) <= _PREFIX:
         raise ParseError("the file is empty")
-    code = encoding_of(raw)
+    shape = shape or shape_of(spark, path)
+    code = shape.encoding
     if code not in ("utf-8", "utf-16"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark reads others with this only
-    if multi_line is None:
-        multi_line = file_size(spark, path) <= _WHOLE
-    read = spark.read.option("sep", sep).option("multiLine", multi_line).option("escape", '"').option("encoding", code)
+    java = {"euc_jp": "EUC-JP", "euc_kr": "EUC-KR", "cp1251": "windows-1251", "cp1252": "windows-1252"}.get(code, code)
+    read = spark.read.option("sep", sep).option("multiLine", shape.multi_line).option("escape", '"').option("encoding", java).option("maxColumns", 1_000_000)
     try:
-        names = _header(raw, code, sep)
+        names = _header(_start(spark, path, code, _first_record), sep)
         extra = "_extra"
         while extra in names:
             extra += "_"
@@ -165,27 +234,36 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: b
     return typed(df.drop(extra).toDF(*names))
 
 
-def _header(raw: bytes, code: str, sep: str) -> list[str]:
-    import csv
-    import io
-
-    text = raw.decode(code, "replace").lstrip("﻿")
-    row = next((r for r in csv.reader(io.StringIO(text), delimiter=sep) if any(x.strip() for x in r)), [])
+def _header(text: str, sep: str) -> list[str]:
+    csv.field_size_limit(1 << 30)
+    row = next(csv.reader(io.StringIO(_first_record(text) or text.strip("\r\n")), delimiter=sep), [])
     out: list[str] = []
+    have: set[str] = set()
     for name in row:
         n = name
-        while n in out:
+        while n in have:
             n += "_duplicated"
         out.append(n)
+        have.add(n)
     return out
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """A table whose separator is found from its first lines."""
-    raw = prefix(spark, path)
-    if not raw.strip():
+    if not prefix(spark, path).strip() and file_size(spark, path) <= _PREFIX:
         raise ParseError("the file is empty")
-    return read_delimited(spark, path, sniff_separator(raw.decode(encoding_of(raw), "replace").lstrip("﻿")))
+    shape = shape_of(spark, path)
+
+    def whole(text: str) -> list[str]:
+        lines = text.splitlines(keepends=True)
+        return lines if not lines or lines[-1].endswith(("\n", "\r")) else lines[:-1]
+
+    def enough(text: str) -> bool:
+        lines = whole(text)
+        return len(lines) >= 50 or sum(1 for x in lines if x.strip()) >= 10
+
+    text = _start(spark, path, shape.encoding, enough)
+    return read_delimited(spark, path, sniff_separator("".join(whole(text)) if enough(text) else text), shape)
 
 
 def read_table(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 import threading
 import time
@@ -28,20 +29,34 @@ class Entry:
 
 
 class Store:
-    """Sessions by id, safe for threads; one run at a time in each."""
+    """Sessions by id, safe for threads; one run at a time in each.
 
-    def __init__(self, seconds: int, budget: float, clock=time.monotonic) -> None:
+    folder: where what is spent on named datasets lasts.
+    """
+
+    def __init__(self, seconds: int, budget: float, clock=time.monotonic, folder: str | None = None) -> None:
         self._entries: dict[str, Entry] = {}
+        self._ledgers: dict[str, Ledger] = {}
+        self._folder = folder
         self._lock = threading.Lock()
         self._seconds, self._budget, self._clock = seconds, budget, clock
 
-    def create(self, df: DataFrame) -> str:
+    def create(self, df: DataFrame, dataset: str | None = None) -> str:
+        """A session's id; sessions of one named dataset share what is spent on it."""
         self.sweep()
         name = secrets.token_urlsafe(24)
         with self._lock:
-            self._entries[name] = Entry(df, self._clock() + self._seconds, Ledger(self._budget))
+            self._entries[name] = Entry(df, self._clock() + self._seconds, self._ledger(dataset))
         return name
 
+    def _ledger(self, dataset: str | None) -> Ledger:
+        if dataset is None:
+            return Ledger(self._budget)
+        if dataset not in self._ledgers:
+            file = hashlib.sha256(dataset.encode()).hexdigest()[:32]
+            self._ledgers[dataset] = Ledger(self._budget, path=f"{self._folder}/{file}.json" if self._folder else None)
+        return self._ledgers[dataset]
+
     def get(self, name: str) -> Entry:
         with self._lock:
             found = self._entries.get(name)

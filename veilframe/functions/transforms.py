@@ -118,15 +118,17 @@ def numeric_bin(c: Column, kind: T.DataType, bin_width) -> Column:
     if scale > 18 or width >= Decimal(10) ** 19:
         raise PolicyError("bin_width is too fine or too wide")
     w = F.lit(format(width, "f")).cast(f"decimal(38,{scale})")
-    s = F.trim(c.cast("string"))
-    lo, known = _floor_decimal(s, width)
-    odd = F.lower(s).isin("nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
-    bad = F.raise_error(F.lit("a value is not a number that can be binned")).cast("string")
-    exact = F.when(s.isNull() | odd, F.lit(None).cast("string")).when(~known, bad)
-    exact = exact.otherwise(F.concat(F.lit("["), _label(lo, scale), F.lit(", "), _label(lo.cast(f"decimal(38,{scale})") + w, scale), F.lit(")")))
+
+    def exact(v: Column) -> Column:
+        s = F.trim(v.cast("string"))
+        lo, known = _floor_decimal(s, width)
+        odd = F.lower(s).isin("nan", "inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
+        bad = F.raise_error(F.lit("a value is not a number that can be binned")).cast("string")
+        label = F.concat(F.lit("["), _label(lo, scale), F.lit(", "), _label(lo.cast(f"decimal(38,{scale})") + w, scale), F.lit(")"))
+        return F.when(s.isNull() | odd, F.lit(None).cast("string")).when(~known, bad).otherwise(label)
 
     if not isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType)) or not 1e-6 <= width <= 10**9:
-        return exact
+        return exact(c)
     # The bin's number, as long as it and its edges are small enough to be exact.
     edge = F.lit(float(width))
     q = c.cast("double") / edge
@@ -144,7 +146,9 @@ def numeric_bin(c: Column, kind: T.DataType, bin_width) -> Column:
         one = F.lit(Decimal(1).scaleb(-scale))
         part = lambda u: _label(u.cast("decimal(19,0)") * one, scale)
         quick = F.concat(F.lit("["), part(units), F.lit(", "), part(units + F.lit(int(width.scaleb(scale)))), F.lit(")"))
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(clear, quick).otherwise(exact)
+    # Within transform() the long way stays out of the generated code, which is compiled only while short.
+    rare = F.transform(F.array(c), exact)[0]
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(clear, quick).otherwise(rare)
 
 
 #: Formats of granularities, and of dates in text in the order they are tried.

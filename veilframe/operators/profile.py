@@ -162,15 +162,20 @@ def suggestions(name: str, distinct: int, rows: int, email: float | None, phone:
     return out or [Suggestion("none", 1.0, "nothing matches")]
 
 
-def categories(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Number of different values that are not null, and share of nulls, of each column in one pass."""
+def column_counts(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, tuple[int, int, int]]:
+    """(distinct values, null counted as one, nulls, rows) of each column, in one pass."""
     if not columns:
         return {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
-        aggs += [F.count_distinct(qcol(c)).alias(f"u{i}"), F.count_if(qcol(c).isNull()).alias(f"z{i}")]
+        aggs += [n_unique(qcol(c), exact).alias(f"u{i}"), F.count_if(qcol(c).isNull()).alias(f"z{i}")]
     r = df.agg(*aggs).first()
-    return {c: {"n_unique": r[f"u{i}"], "null_ratio": r[f"z{i}"] / r.rows if r.rows else 1.0} for i, c in enumerate(columns)}
+    return {c: (r[f"u{i}"], r[f"z{i}"], r.rows) for i, c in enumerate(columns)}
+
+
+def category(distinct: int, nulls: int, rows: int) -> dict:
+    """What is said of a column that holds no numbers: different values that are not null, and share of nulls."""
+    return {"n_unique": distinct - (nulls > 0), "null_ratio": nulls / rows if rows else 1.0}
 
 
 def _stats(df: DataFrame, c: str) -> Column:

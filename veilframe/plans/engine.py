@@ -19,8 +19,8 @@ from veilframe.errors import PolicyError, RiskError, VeilError
 from veilframe.functions.laplace import Ledger
 from veilframe.operators.kanon import Suppressed, cardinalities, enforce
 from veilframe.operators.preflight import preflight as search
-from veilframe.operators.profile import categories, detect, detection_sample, schema_profile, summary
-from veilframe.operators.utility import distinct_counts, utility
+from veilframe.operators.profile import category, column_counts, detect, detection_sample, schema_profile, summary
+from veilframe.operators.utility import utility
 from veilframe.columns import is_numeric
 from veilframe.plans.policy import Request, derived_key, fold, new_key, noise_params, quasi_identifiers, sensitive_columns, with_noise
 from veilframe.plans.report import build
@@ -89,19 +89,20 @@ def release(df: DataFrame, request: Request, settings: Settings | None = None, k
     sample = detection_sample(df, settings.sample_rows)
     actions = {p.column: p.action for p in request.policies}
     rows_after = found.rows_total - found.rows_suppressed
-    kept = distinct_counts(found.df, found.df.columns, exact)
-    worth = utility({e["name"]: e["n_unique"] for e in profile}, kept, found.rows_total, rows_after, actions, request.dp)
+    counts = column_counts(found.df, found.df.columns, exact)
+    worth = utility({e["name"]: e["n_unique"] for e in profile}, {c: n[0] for c, n in counts.items()}, found.rows_total, rows_after, actions, request.dp)
     warnings = list(found.warnings)
     if request.l < 2 and (leaks := sorted(c for c, n in found.homogeneous.items() if n)):
         warnings.append(f"Some released classes hold a single value of {', '.join(leaks)}: whoever knows that a person is in such a class learns it. Ask for l of 2 or more, or coarsen or drop these columns.")
-    report = build(name, profile, detect(sample), request, noise, after, settings, found, worth, compare(found.df, before=profile), warnings)
+    report = build(name, profile, detect(sample), request, noise, after, settings, found, worth, compare(found.df, profile, counts), warnings)
     return Released(found.df, report, after, found)
 
 
-def described(df: DataFrame) -> dict:
+def described(df: DataFrame, counts: dict[str, tuple[int, int, int]] | None = None) -> dict:
     """Statistics of each column, by its kind: numbers, or number of values and share of nulls."""
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    out: dict = {"columns": {c: {"kind": "categorical"} | v for c, v in categories(df, [c for c in df.columns if c not in numbers]).items()}, "correlation": []}
+    counts = counts or column_counts(df, [c for c in df.columns if c not in numbers])
+    out: dict = {"columns": {c: {"kind": "categorical"} | category(*n) for c, n in counts.items() if c not in numbers}, "correlation": []}
     if numbers:
         stats, pairs, bars = summary(df, numbers)
         for r in stats:
@@ -110,13 +111,13 @@ def described(df: DataFrame) -> dict:
     return {"columns": {c: out["columns"][c] for c in df.columns}, "correlation": out["correlation"]}
 
 
-def compare(after: DataFrame, before: list[dict]) -> dict:
+def compare(after: DataFrame, before: list[dict], counts: dict[str, tuple[int, int, int]] | None = None) -> dict:
     """What a report may show of the released columns; of the columns before, kinds alone.
 
     before: a schema profile. Columns that are gone are marked as dropped, and numbers that
     became text have the kind that they have now beside the one that they had.
     """
-    now = described(after)
+    now = described(after, counts)
     had = {e["name"]: "numeric" if e["kind"] == "numeric" else "categorical" for e in before}
     columns = {}
     for name, kind in had.items():

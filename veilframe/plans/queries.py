@@ -15,7 +15,7 @@ from veilframe.functions import transforms as X
 from veilframe.functions.laplace import Noise, bounded, inverse
 from veilframe.operators.kanon import class_metrics, class_table, enforce, value_table
 from veilframe.operators.preflight import drop_each, drop_each_diverse, preflight
-from veilframe.operators.profile import categories, correlations, detect, histogram, is_card, is_email, is_phone, numeric_stats, schema_profile
+from veilframe.operators.profile import category, column_counts, correlations, detect, histogram, is_card, is_email, is_phone, numeric_stats, schema_profile
 from veilframe.operators.utility import distinct_counts, utility
 from veilframe.plans.engine import release, shared_folder
 from veilframe.plans.policy import Policy, Request, fold, suggest
@@ -386,7 +386,7 @@ def policy_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_unique, count(*) FILTER ({c} IS NULL) / count(*) AS null_ratio FROM ({_EVENTS_SQL})" for c in ("kind", "grp")))
 def categorical_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = categories(_events(spark, sf_dir), ["kind", "grp"])
+    found = {c: category(*n) for c, n in column_counts(_events(spark, sf_dir), ["kind", "grp"]).items()}
     return spark.createDataFrame([(c, v["n_unique"], v["null_ratio"]) for c, v in found.items()], "name string, n_unique long, null_ratio double")
 
 

@@ -63,6 +63,7 @@ def test_shortest_pack_first():
     patterns = shortest_pack_first(h, 10)
     assert Counter({k: sum(p.count(k) * n for p, n in patterns) for k in h}) == Counter(h)
     assert all(sum(p) <= 10 and list(p) == sorted(p, reverse=True) for p, _ in patterns)
+    assert shortest_pack_first({3: 8}, 10) == [((3, 3, 3), 2), ((3, 3), 1)]
     ranks = {}
     for length, first, n, *_ in slots(patterns):
         ranks.setdefault(length, []).extend(range(first, first + n))

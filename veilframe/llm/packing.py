@@ -70,7 +70,11 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tupl
             while rooms and not room.get(-rooms[0]):
                 room.pop(-heapq.heappop(rooms), None)
             if not rooms or -rooms[0] < length:
-                put(size - length, (length,), n)
+                # A new pack has most room until it is full.
+                fit = size // length
+                for copies, packs in ((fit, n // fit), (n % fit, 1)):
+                    if copies and packs:
+                        put(size - copies * length, (length,) * copies, packs)
                 break
             left = -rooms[0]
             pattern, have = next(iter(room[left].items()))
@@ -85,17 +89,18 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tupl
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, sequences, offset) of each run of slots.
+    """(length, first rank, ranks, first sequence, copies, offset) of each run of slots.
 
-    A length that stands several times in a pattern has a slot for each time.
+    A run stands for a length in all sequences of a pattern: ``copies`` slots side by side in
+    each, which the ranks fill one sequence after another.
     """
     out, taken, sequence = [], Counter(), 0
     for pattern, n in patterns:
         offset = 0
-        for length in pattern:
-            out.append((length, taken[length], n, sequence, n, offset))
-            taken[length] += n
-            offset += length
+        for length, copies in Counter(pattern).items():  # equal lengths stand together
+            out.append((length, taken[length], n * copies, sequence, copies, offset))
+            taken[length] += n * copies
+            offset += length * copies
         sequence += n
     return out
 
@@ -120,8 +125,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1) -> Dat
     patterns = [((size,), counts[size])] if size in counts else []
     patterns += shortest_pack_first({k: n for k, n in counts.items() if k != size}, size)
     runs = slots(patterns)
-    schema = "length long, first_rank long, ranks long, first_sequence long, sequences long, offset long, held long"
-    held = [sum(p) for p, _ in patterns for _ in p]
+    schema = "length long, first_rank long, ranks long, first_sequence long, copies long, offset long, held long"
+    held = [sum(p) for p, _ in patterns for _ in set(p)]
     table = spark.createDataFrame([(*r, h) for r, h in zip(runs, held, strict=True)], schema) if runs else spark.createDataFrame([], schema)
 
     # Ranks within a length, from 0: groups of about _GROUP pieces, dealt by hash. What is
@@ -136,10 +141,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1) -> Dat
     dealt = dealt.withColumn("rank", F.col("rank") + F.col("before"))
     # The runs of a length cover its ranks without gaps: the run of a rank is found in
     # the sorted list of their first ranks.
-    lists = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_sequence", "offset", "held"))).alias("runs"))
+    lists = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_sequence", "copies", "offset", "held"))).alias("runs"))
     found = F.element_at(F.filter("runs", lambda r: r["first_rank"] <= F.col("rank")), -1)
     out = dealt.join(F.broadcast(lists), "length").withColumn("run", found)
-    sequence = F.col("run.first_sequence") + F.col("rank") - F.col("run.first_rank")
+    place = F.col("rank") - F.col("run.first_rank")
+    sequence = F.col("run.first_sequence") + F.floor(place / F.col("run.copies"))
+    offset = F.col("run.offset") + F.pmod(place, F.col("run.copies")) * F.col("length")
     whole = F.col("run.held")
     padded = F.when(whole.bitwiseAND(whole - 1) == 0, whole).otherwise(F.lit(size).cast("long"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), F.col("run.offset").alias("offset"), padded.alias("padded"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset"), padded.alias("padded"))

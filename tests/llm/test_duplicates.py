@@ -123,23 +123,23 @@ def brute_lines(docs, edits, short=False):
     return {p: found.get(p, p) for p, _, ws in flat if short or allowed(len(ws))}
 
 
-@pytest.mark.parametrize(("edits", "few"), [(Tolerance(3, 10_000), 2), (Tolerance(3, 3), 3), (Tolerance(5, 9), 64)])
-def test_line_classes_are_brute_force(spark, edits, few):
+@pytest.mark.parametrize(("edits", "n", "size"), [(Tolerance(3), 240, 14), (Tolerance(3, 3), 240, 14), (Tolerance(5, 9), 240, 14), (Tolerance(), 50, 150)])
+def test_line_classes_are_brute_force(spark, edits, n, size):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3))) for _ in range(12)] + ["é", "春", "眠 眠"]
-    base = [[rng.choice(words) for _ in range(rng.randint(4, 14))] for _ in range(8)]
+    base = [[rng.choice(words) for _ in range(rng.randint(size - 10, size))] for _ in range(8 if size < 20 else 2)]
     lines = []
-    for _ in range(240):
+    for _ in range(n):
         x = list(rng.choice(base))
         for _ in range(rng.randint(0, 4)):
             k = rng.randrange(len(x) + 1)
             x[k : k + rng.randint(0, 1)] = rng.choice([[], ["z"], [rng.choice(words)]])
         lines.append(rng.choice([" ", "  ", " \t"]).join(x))
     lines += [rng.choice(lines).upper() for _ in range(40)]
-    docs = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(93)] + [(500, None), (501, ""), (502, "short\nshort"), (None, lines[0])]
+    docs = [(i, "\n".join(lines[i * 3 : i * 3 + 3])) for i in range(len(lines) // 3)] + [(500, None), (501, ""), (502, "short\nshort"), (None, lines[0])]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, line int")
     want = brute_lines(docs, edits)
-    got = {(r.doc_id, r.line): ((r.class_doc_id, r.class_line), r.kept) for r in line_classes(df, edits, few=few).collect()}
+    got = {(r.doc_id, r.line): ((r.class_doc_id, r.class_line), r.kept) for r in line_classes(df, edits).collect()}
     assert got == {p: (c, p == c) for p, c in want.items()}
 
 

@@ -91,26 +91,18 @@ class Stars:
         self.found = keep(rows, self.name)
         drop(old)
 
-    def turn(self, blocks: DataFrame, few: int = 1) -> DataFrame:
-        """Compares the members of each open block with one centre; the large blocks, without it.
+    def turn(self, blocks: DataFrame) -> DataFrame:
+        """Compares the members of each open block with one centre; the open blocks without it.
 
         blocks: (block long, id, centre boolean, ...); the centre is the member with most
         links so far, and members of its component are not compared. It is then done with.
-        Blocks of ``few`` members at most are compared at once, all pairs, and done with.
         """
         state = self.open(blocks)
         best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id").alias("h"), "id", "component"))
-        star = state.groupBy("block").agg(F.max(best).alias("c"), F.count(F.lit(1)).alias("n")).select("block", "n", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
-        state = keep(state.join(star, "block"), f"{self.name}-open")
-        large = state.where((F.col("n") > few) & (F.col("id") != F.col("other")))
-        pairs = large.where("component <> c_component").select("id", "other")
-        if few > 1:
-            mine = state.where(F.col("n") <= few).select("block", "id", "centre", "component")
-            one, two = mine.alias("x"), mine.alias("y")
-            apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") | F.col("y.centre"))
-            pairs = pairs.union(one.join(two, (F.col("x.block") == F.col("y.block")) & apart).select("x.id", "y.id"))
-        self.compare(pairs)
-        return large.select(*blocks.columns)
+        star = state.groupBy("block").agg(F.max(best).alias("c")).select("block", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
+        state = keep(state.join(star, "block").where("id <> other"), f"{self.name}-open")
+        self.compare(state.where("component <> c_component").select("id", "other"))
+        return state.select(*blocks.columns)
 
 
 def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, rest: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:

@@ -23,30 +23,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject."""
+    """Documents that the classifier chain does not reject; null and empty texts stay."""
     return without_toxic(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one, exactly or by one edit."""
+    """Documents without lines that repeat an earlier one, exactly or, from 8 words on, but for one word.
+
+    A document goes only if nothing but white space is left of it.
+    """
     ship(spark)
     return without_repeats(docs, rest=True, short=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8."""
+    """One row of each group of near-duplicates: five words, similarity 0.8; texts without words all stay."""
     ship(spark)
     return without_near_duplicates(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, whole; texts without words are not taken."""
     ship(spark)
     return mixed(docs, weights=(5.0, 2.0, 1.0), share=1.5, most=2, parts=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, and their places in sequences of 2048 tokens."""
+    """The pieces of all documents, and their places in sequences of 2048 tokens; every row is packed."""
     ship(spark)
     return pack(docs, TOKENIZER, size=2048, end=1)
 
@@ -59,8 +62,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: Classifier, entropy balancing and tokenizer have no SQL; tests/llm hold the stages
-#: against brute force.
+#: Classifier, entropy balancing and tokenizer have no SQL. tests/llm hold the operators of the
+#: stages against plain versions, and the stages to their columns, rows and odd tables.
 ORACLE_SQL = None
 
 

@@ -256,7 +256,14 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAI
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAIN, threshold: float = 0.3, sample: int = 8_000, folds: int = 3) -> DataFrame:
-    """The rows of docs that ``score`` does not call toxic, in one pass and without a join."""
+    """The rows of docs that ``score`` does not call toxic, in one pass and without a join.
+
+    Rows are judged by their text alone: null, empty and blank texts have the models' base
+    rates and stay unless most labelled documents are toxic; rows without a doc_id and
+    repeated rows are judged like any other. Columns stay as they are, whatever their names.
+    Labels are read as ``score`` reads them; without any, all rows stay. An empty table stays
+    empty.
+    """
     models = learn(docs, labels, chain, sample, folds)
     text = docs.columns.index("text")
 

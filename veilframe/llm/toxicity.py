@@ -189,7 +189,9 @@ def learn(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...], sampl
     # At most ``sample`` rows of a few numbers: small whatever the size of the tables.
     known = docs.join(F.broadcast(some), "doc_id").select("text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), "doc_id", *[f"y{k}" for k in range(len(chain))])
     schema = "at array<int>, fold int, doc_id long, " + ", ".join(f"y{k} int" for k in range(len(chain)))
-    rows = keep(known.dropDuplicates(["doc_id"]).mapInArrow(_featurise, schema), "toxicity-sample")
+    # Of rows that repeat a doc_id the least text counts.
+    known = known.groupBy("doc_id").agg(F.min(F.struct("text", "fold", *[f"y{k}" for k in range(len(chain))])).alias("r")).select("r.text", "r.fold", "doc_id", *[f"r.y{k}" for k in range(len(chain))])
+    rows = keep(known.mapInArrow(_featurise, schema), "toxicity-sample")
     # The sample is bounded: one task fits the chain, and the driver gets its weights only.
     found = rows.coalesce(1).mapInArrow(_fit(len(chain)), "place int, codes binary, weights binary, chain binary, bias double").collect()
     drop(some, rows)
@@ -244,7 +246,8 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAI
     other columns are ignored. p_<category> is the chain's probability, toxic whether
     the last one reaches ``threshold``. Null or empty text has no features: its
     probabilities are the models' base rates. Label rows with a null are left out, and
-    repeated ones count once, as positive if one is. A category with one class only, or
+    repeated ones count once, as positive if one is; of rows that repeat a doc_id with other
+    texts the least text is learned from. A category with one class only, or
     no labels at all, predicts a constant: that class, or 0. Rows without a doc_id and
     repeated rows are scored like any other. An empty table gives an empty result.
     """

@@ -74,6 +74,22 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, values: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Kept rows with the values of a kept table: one row a key (null is one), and in n how many rows hold it.
+
+    A table of ``most`` rows at most is broadcast. Of a larger one, the keys with more than a
+    thousandth of all rows are, less than a thousand; the shuffle of the others has no hot key.
+    """
+    table = table.select(F.col(key).alias("_key"), *values, "n")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table.drop("n")), same, "left").drop("_key")
+    line = (table.agg(F.sum("n")).first()[0] or 0) / 1000
+    hot, rest = F.broadcast(table.where(F.col("n") > line).drop("n")), table.where(F.col("n") <= line).drop("n")
+    one = rows.join(hot, same).drop("_key")
+    return one.union(rows.join(hot.select("_key"), same, "left_anti").join(rest, same, "left").drop("_key"))
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes kept tables that no later plan reads."""
     for df in tables:

@@ -50,3 +50,51 @@ WITH m AS ({' UNION ALL '.join(_rule(k, r) for k, r in enumerate(BASE + MORE))})
  a AS (SELECT doc_id, {', '.join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))}, coalesce({_JOINED} FILTER (k < {len(BASE)}), '') AS base, {_JOINED} AS spans FROM m GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a USING (doc_id)
 """
+
+_ASSIGN = "SELECT x.id, x.p, arg_min(b.e, (x.xx + b.bb - 2 * list_dot_product(x.x, b.b), b.e)) AS e, min(x.xx + b.bb - 2 * list_dot_product(x.x, b.b)) AS far FROM x JOIN b{k} b ON b.p = x.p GROUP BY x.id, x.p"
+_UPDATE = """SELECT b.p, b.e, coalesce(m.b, b.b) AS b, list_dot_product(coalesce(m.b, b.b), coalesce(m.b, b.b)) AS bb FROM b{k} b LEFT JOIN
+ (SELECT p, e, list(floor(s / n) ORDER BY i) AS b FROM (SELECT a.p, a.e, i, sum(x.x[i]) AS s, count(*) AS n FROM a{k} a JOIN x USING (id, p), range(1, 1 + len(x.x)) t(i) GROUP BY a.p, a.e, i) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e"""
+_ROUNDS = ",\n ".join(f"a{k} AS MATERIALIZED ({_ASSIGN.format(k=k)}), b{k + 1} AS MATERIALIZED ({_UPDATE.format(k=k)})" for k in range(4))
+
+CODES = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE {_FINITE}),
+ x AS MATERIALIZED (SELECT id, vec_id, p, q[1 + p * (len(q) // 4):(p + 1) * (len(q) // 4)] AS x, list_dot_product(q[1 + p * (len(q) // 4):(p + 1) * (len(q) // 4)], q[1 + p * (len(q) // 4):(p + 1) * (len(q) // 4)]) AS xx FROM v, range(4) t(p)),
+ b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS b, xx AS bb FROM x QUALIFY e < 256),
+ {_ROUNDS},
+ a4 AS MATERIALIZED ({_ASSIGN.format(k=4)}),
+ c AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a4 GROUP BY id),
+ s AS (SELECT sha256(string_agg(array_to_string(list_transform(b, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (id), s
+"""
+
+_WORDS = "list_filter(string_split_regex({text}, '{between}'), lambda x: x <> '')"
+_SPACES = r"[\x20\x09-\x0D]+"
+_FAILS = {"A": "len(w) < 50", "B": "100 * len(list_distinct(w)) < 65 * len(w)", "C": "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)", "D": "regexp_matches(t, '[#$%&*|]')", "E": "doc_id > first_id"}
+
+INTERACTIONS = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')", between=_SPACES)} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+ f AS (SELECT doc_id, part, {" || ".join(f"CASE WHEN {x} THEN '{k}' ELSE '' END" for k, x in _FAILS.items())} AS fails FROM d),
+ l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+ p AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS mine, left(filter_order, step - 1) AS earlier FROM o, range(1, 6) t(step)),
+ r AS MATERIALIZED (SELECT part, filter_order, step, mine, sum(n) FILTER (length(translate(fails, earlier || mine, '')) = length(fails)) AS kept,
+  sum(n) FILTER (contains(fails, mine) AND length(translate(fails, earlier, '')) = length(fails)) AS removed, sum(n) FILTER (contains(fails, mine) AND length(translate(fails, earlier, '')) < length(fails)) AS redundant,
+  sum(n) FILTER (fails = mine) AS unique_fails, sum(good) FILTER (contains(fails, mine) AND length(translate(fails, earlier, '')) = length(fails)) AS good_lost,
+  sum(toxic) FILTER (contains(fails, mine) AND length(translate(fails, earlier, '')) = length(fails)) AS toxic_lost FROM p, s GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(coalesce(sum(removed) OVER (PARTITION BY part, mine), 0) AS BIGINT) AS shapley FROM r
+"""
+
+_BENCH_WORDS = _WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')", between=r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+WINDOWS = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_BENCH_WORDS} AS w FROM benchmark),
+ i AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s FROM b, range(1, 2 + len(w) - least(len(w), 10)) t(k) WHERE len(w) > 0),
+ m AS MATERIALIZED (SELECT doc_id, k, q.n, s FROM d, (SELECT DISTINCT n FROM i) q, LATERAL (SELECT k, array_to_string(w[k:k + q.n - 1], ' ') AS s FROM range(1, 2 + len(w) - q.n) t(k)) SEMI JOIN i USING (s)),
+ h AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM m, range(0, m.n) t(j) GROUP BY doc_id),
+ e AS (SELECT DISTINCT doc_id, item_id FROM m JOIN i USING (s)),
+ g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
+"""

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import oracles
+from veilframe.llm.audit import interactions
+from veilframe.llm.codes import compress
+from veilframe.llm.decontaminate import contaminated
 from veilframe.llm.langid import identify
 from veilframe.llm.linededup import line_classes
 from veilframe.llm.minhash import near_duplicates
@@ -81,10 +84,25 @@ def op10_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), held_out)
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as four codes each, from codebooks of 256 entries after four rounds."""
+    return compress(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do in each of their 120 orders, by source."""
+    return interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ten words of the benchmark in all documents."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shortest_pack_first, op2_classifier_chain, op3_minhash, op4_segment_join, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional)}
+    return {f.__name__: f for f in (op1_shortest_pack_first, op2_classifier_chain, op3_minhash, op4_segment_join, op5_pca_tiles, op6_maxscore, op7_information_theoretic, op8_entropy_balancing, op9_trigram_index, op10_hyperdimensional, op11_product_codes, op12_filter_interactions, op13_prefix_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries have no SQL: tests/llm hold them against brute force."""
-    return {"op3_minhash": oracles.MINHASH, "op5_pca_tiles": oracles.VECTORS, "op6_maxscore": oracles.TOP_K, "op9_trigram_index": oracles.SECRETS}
+    return {"op3_minhash": oracles.MINHASH, "op5_pca_tiles": oracles.VECTORS, "op6_maxscore": oracles.TOP_K, "op9_trigram_index": oracles.SECRETS, "op11_product_codes": oracles.CODES, "op12_filter_interactions": oracles.INTERACTIONS, "op13_prefix_windows": oracles.WINDOWS}

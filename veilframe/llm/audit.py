@@ -67,23 +67,14 @@ def joint_failures(flags: DataFrame, names: list[str]) -> DataFrame:
     """(part, n, good, toxic): for each set of filters, as a bit mask, how many fail all of it."""
     sets = [[name for k, name in enumerate(names) if mask >> k & 1] for mask in range(1 << len(names))]
 
-    def product(weight: str, of: list[str]) -> Column:
-        out = F.col(weight)
-        for name in of:
-            out = out * F.col(name)
-        return out
-
-    sums = [F.sum(product(w, of)).alias(f"{w}{mask}") for w in _WEIGHTS for mask, of in enumerate(sets)]
+    sums = [F.expr(f"sum({' * '.join([w, *(f'`{x}`' for x in of)])})").alias(f"{w}{mask}") for w in _WEIGHTS for mask, of in enumerate(sets)]
     each = flags.groupBy("part").agg(*sums)
     return each.select("part", *[F.array(*[F.col(f"{w}{mask}") for mask in range(len(sets))]).alias(w) for w in _WEIGHTS])
 
 
 def _signed(joint: str, terms: list[tuple[int, int]]) -> Column:
-    """The sum of whole multiples of joint failures."""
-    out = F.lit(0).cast("long")
-    for times, mask in terms:
-        out = out + F.lit(times).cast("long") * F.get(joint, mask)
-    return out
+    """The sum of whole multiples of joint failures, as one SQL expression."""
+    return F.expr(" ".join(f"{times:+} * {joint}[{mask}]" for times, mask in terms))
 
 
 def _subsets(mask: int) -> list[int]:

@@ -1,12 +1,18 @@
+import csv
+import io
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.cli import main
 from veilframe.errors import ParseError
 from veilframe.operators.profile import detect, histogram, name_kind, numeric_stats, schema_profile, correlations
+from veilframe.sources import sqldump
+from veilframe.sources.splits import Delimited, lines_of, records, starts
 from veilframe.sources.sqldump import column_list, statements
-from veilframe.sources.tables import read_table, shape_of, sniff_separator
+from veilframe.sources.tables import file_encoding, read_table, sniff_separator
 
 
 def write(tmp_path, name, text, encoding="utf-8"):
@@ -43,8 +49,8 @@ def test_txt_and_encodings(spark, tmp_path):
     assert df.columns == ["a", "b"] and df.count() == 2
     assert sniff_separator("a\tb,c\n1\t2,3\n") == "\t" and sniff_separator("a;b;c,d\n1;2;3,4") == ";"
     for text, code in (("姓名,電話", "utf-8-sig"), ("姓名はひらがなです", "shift_jis"), ("姓名はひらがなです", "euc_jp"), ("이름은 김철수", "euc_kr"), ("姓名與電話號碼的資料", "big5"), ("привет всем людям", "cp1251"), ("caf\xe9 au lait", "cp1252"), ("plain", "ascii")):
-        found = shape_of(spark, write(tmp_path, "c.csv", f"{text}\n", code)).encoding
-        assert found == {"utf-8-sig": "utf-8", "ascii": "utf-8"}.get(code, code)
+        found = file_encoding(spark, write(tmp_path, "c.csv", f"{text}\n", code))
+        assert text.encode(code).decode(found).lstrip("\ufeff") == text
     df = read_table(spark, write(tmp_path, "b.csv", "姓名,x\nひらがなのなまえ,1\n", "shift_jis"))
     assert df.first()[0] == "ひらがなのなまえ"
 
@@ -154,7 +160,8 @@ def test_a_long_header_is_read_whole(spark, tmp_path):
     from veilframe.sources.tables import _first_record, _header, _start
 
     path = write(tmp_path, "wide.csv", "\n\n" + ",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
-    assert _header(_start(spark, path, "utf-8", _first_record), ",") == names
+    first = lambda text: _first_record(text, ",")
+    assert _header(first(_start(spark, path, "utf-8", first)), ",") == names
 
 
 def test_quoted_line_breaks_at_any_size(spark, tmp_path):
@@ -165,10 +172,10 @@ def test_quoted_line_breaks_at_any_size(spark, tmp_path):
     spark.conf.set(key, "64k")
     try:
         path = write(tmp_path, "plain.csv", "n,s\n" + plain)
-        assert not shape_of(spark, path).multi_line and read_table(spark, path).count() == 30_000
+        assert read_table(spark, path).count() == 30_000
         path = write(tmp_path, "breaks.csv", "n,s\n" + plain + '30000,"two\nlines, ""quoted"""\n' + plain)
         df = read_table(spark, path)
-        assert shape_of(spark, path).multi_line and df.count() == 60_001
+        assert df.count() == 60_001
         assert df.where("n = 30000").first().s == 'two\nlines, "quoted"'
     finally:
         spark.conf.set(key, before)
@@ -185,3 +192,135 @@ def test_refused_batches_are_told(spark, tmp_path):
     query.awaitTermination()
     refused = spark.read.parquet(str(tmp_path / "out.refused")).first()
     assert refused.rows == 2 and not (tmp_path / "out").exists()
+
+
+#: Two rows of names that no sample of the models holds.
+NAMES = [
+    ("koi8_r", "имя,город\nБорис Лебедев,Казань\nОльга Соколова,Тверь\n"), ("cp1251", "имя,город\nБорис Лебедев,Казань\nОльга Соколова,Тверь\n"), ("cp866", "имя,город\nБорис Лебедев,Казань\nОльга Соколова,Тверь\n"), ("iso8859_5", "имя,город\nБорис Лебедев,Казань\nОльга Соколова,Тверь\n"),
+    ("koi8_u", "ім'я,місто\nЄвген Коваленко,Чернігів\nЇвга,Кривий Ріг\n"), ("cp1253", "όνομα,πόλη\nΝικόλαος Ιωάννου,Πάτρα\nΣοφία Γεωργίου,Βόλος\n"), ("cp1250", "imię,miasto\nŁucja Wiśniewska,Poznań\nGrażyna Wójcik,Częstochowa\n"), ("iso8859_2", "imię,miasto\nŁucja Wiśniewska,Poznań\nGrażyna Wójcik,Częstochowa\n"),
+    ("cp1250", "jméno,město\nKateřina Svobodová,Brno\nOndřej Procházka,Děčín\n"), ("cp1250", "név,város\nNagy Gergő,Szeged\nTóth Ilona,Hódmezővásárhely\n"), ("tis_620", "ชื่อ,เมือง\nสมศรี,ภูเก็ต\nประยุทธ์,ขอนแก่น\n"), ("cp1255", "שם,עיר\nיעקב,באר שבע\nמרים,נתניה\n"),
+    ("cp1256", "الاسم,المدينة\nخالد,جدة\nمريم,دمشق\n"), ("cp1254", "isim,şehir\nMehmet Yıldız,Kütahya\nGülşah Aydın,Şanlıurfa\n"), ("cp1257", "vardas,miestas\nJonas Kazlauskas,Šilutė\nRūta Žukauskienė,Kėdainiai\n"), ("cp1252", "name,city\nIñaki Núñez,Málaga\nAndré Müller,Zürich\n"),
+    ("mac_roman", "name,city\nIñaki Núñez,Málaga\nAndré Müller,Zürich\n"), ("cp850", "name,city\nIñaki Núñez,Málaga\nAndré Müller,Zürich\n"), ("shift_jis", "名前,値\n佐々木健一,横浜市\nスズキ,千葉\n"), ("euc_jp", "名前,値\n佐々木健一,横浜市\nスズキ,千葉\n"),
+    ("gb18030", "姓名,城市\n孙丽华,深圳\n郭强,成都\n"), ("big5", "姓名,城市\n吳美玲,新竹\n蔡英俊,臺中\n"), ("euc_kr", "이름,도시\n박지훈,대구\n최수연,인천\n"), ("utf-16", "姓名,ville\n孙丽华,Orléans\n\"a\nb\",Łódź\n"), ("utf-16-be", "\ufeffname,x\nÉmile,1\nЖуков,2\n"),
+]
+
+
+def test_encodings_of_two_rows(spark, tmp_path):
+    for k, (code, text) in enumerate(NAMES):
+        path = write(tmp_path, f"t{k}.csv", text, code)
+        assert text.encode(code).decode(file_encoding(spark, path)).lstrip("\ufeff") == text.lstrip("\ufeff"), code
+        if k % 8 != 7 and "utf" not in code:
+            continue
+        got = read_table(spark, path)
+        head, *rows = csv.reader(io.StringIO(text.lstrip("\ufeff")))
+        assert got.columns == head and sorted(tuple(map(str, r)) for r in got.collect()) == sorted(map(tuple, rows)), code
+
+
+def test_unknown_encodings_are_refused_and_can_be_named(spark, tmp_path):
+    (tmp_path / "noise.csv").write_bytes(b"a,b\n" + bytes(b for k in range(3000) for b in [(k * k * 31 + k * 7) % 251 + 5] if b != 10) + b",1\n")
+    text = "name,city\nhello world,Köln\nΑθήνα ½,x\n"
+    for path in (str(tmp_path / "noise.csv"), write(tmp_path, "ebcdic.csv", "name,city\nhello world this is\n", "cp037")):
+        with pytest.raises(ParseError):
+            read_table(spark, path)
+    path = write(tmp_path, "greek.csv", text.replace("ö", "o"), "cp1253")
+    assert {r.name for r in read_table(spark, path, encoding="cp1253").collect()} == {"hello world", "Αθήνα ½"}
+
+
+def test_dumps_in_other_encodings(spark, tmp_path):
+    text = "-- größe\nINSERT INTO t (`größe`, b) VALUES ('Müller & Söhne, Zürich', 1),\n('Jörg', 2);\n"
+    for k, code in enumerate(("cp1252", "utf-16", "utf-8-sig")):
+        df = read_table(spark, write(tmp_path, f"d{k}.sql", text, code))
+        assert df.columns == ["größe", "b"] and {r[0] for r in df.collect()} == {"Müller & Söhne, Zürich", "Jörg"}
+
+
+def test_types_lose_nothing(spark, tmp_path):
+    head = "id,wide,wider,f,g,h,exp,mixed,zip,at,off,both,over\n"
+    rows = [
+        ["1234567890123456789", "12345678901234567890", "9" * 40, "0.1", "0.30000000000000004", "3.14159265358979323846", "1.5e300", "1", "02139", "2026-01-02T03:04:05Z", "2026-01-02T03:04:05+02:00", "2026-01-02 03:04", "1e999"],
+        ["1234567890123456788", "-1", "1", "2", "5.684341886080802E-14", "2.5", "1e-5", "9007199254740993.5", "10001", "2026-01-02 03:04:05.123456Z", "2026-01-02 03:04:05.5 -0330", "2026-01-02 03:04+01", "1"],
+    ]
+    df = read_table(spark, write(tmp_path, "a.csv", head + "".join(",".join(r) + "\n" for r in rows)))
+    kinds = dict(df.dtypes)
+    assert kinds == {"id": "bigint", "wide": "decimal(38,0)", "wider": "string", "f": "double", "g": "double", "h": "decimal(38,20)", "exp": "double", "mixed": "decimal(38,1)", "zip": "bigint", "at": "timestamp_ntz", "off": "timestamp", "both": "string", "over": "string"}
+    got = sorted(df.collect(), key=lambda r: -r.id)
+    assert [r.id for r in got] == [1234567890123456789, 1234567890123456788] and [int(r.wide) for r in got] == [12345678901234567890, -1]
+    assert [r.g for r in got] == [0.30000000000000004, 5.684341886080802e-14] and str(got[0].h) == "3.14159265358979323846" and str(got[1].mixed) == "9007199254740993.5"
+    assert [r.wider for r in got] == ["9" * 40, "1"]
+    utc = df.select("id", F.date_format("off", "yyyy-MM-dd HH:mm:ss.S").alias("t")).orderBy(F.desc("id")).collect()
+    assert [r.t for r in utc] == ["2026-01-02 01:04:05.0", "2026-01-02 06:34:05.5"]
+
+
+def test_literals_lose_nothing(spark, tmp_path):
+    text = "INSERT INTO t VALUES (0xFFFFFFFFFFFFFFFF, 12345678901234567890, 1.5, 1, 1" + "0" * 40 + "), (-1, 1, 2, 0.12345678901234567890, 5);"
+    df = read_table(spark, write(tmp_path, "a.sql", text))
+    assert [k for _, k in df.dtypes] == ["decimal(38,0)", "decimal(38,0)", "double", "decimal(38,19)", "string"]
+    rows = sorted(tuple(map(str, r)) for r in df.collect())
+    assert rows == sorted([("18446744073709551615", "12345678901234567890", "1.5", "1.0000000000000000000", "1" + "0" * 40), ("-1", "1", "2.0", "0.1234567890123456789", "5")])
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of a few hundred bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "300b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_quoted_records_across_blocks(spark, tmp_path, small_blocks):
+    """Stray quotes, breaks in quotes, records longer than blocks: many tasks, and the rows of a plain reader."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        cell = rng.choice(["plain", 'a "quoted" word', "two\nlines", "", '"', "x,y", '\n\n,"\n', "z" * rng.choice([1, 900]), "é\n日本"])
+        rows.append([str(k), cell, rng.choice(["end", 'ends in "', "3\r\n4"])])
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["id", "a", "b"], *rows])
+    stray = out.getvalue() + '400,5" disk,x\n401,6" and 7",y\n'
+    rows += [["400", '5" disk', "x"], ["401", '6" and 7"', "y"]]
+    path = write(tmp_path, "a.csv", stray)
+    grammar = Delimited(",")
+    lines = lines_of(spark, path)
+    assert lines.rdd.getNumPartitions() > 50
+    begins, within = starts(lines, grammar)
+    assert within
+    found = records(spark, path, grammar, begins)
+    texts = [r.text for r in found.orderBy("block", "phase", "seq").collect()]
+    assert "".join(texts) == stray and len(texts) == len(rows) + 1
+    got = read_table(spark, path)
+    norm = lambda s: (s or "").replace("\r\n", "\n")
+    assert sorted((str(r.id), norm(r.a), norm(r.b)) for r in got.collect()) == sorted((i, norm(a), norm(b)) for i, a, b in rows)
+    # A stray quote alone leaves the file to Spark's own source.
+    path = write(tmp_path, "b.csv", 'id,size 5",b\n' + "".join(f'{k},{k}" disk,x\n' for k in range(300)))
+    assert not starts(lines_of(spark, path), grammar)[1]
+    df = read_table(spark, path)
+    assert df.columns == ["id", 'size 5"', "b"] and df.where("`size 5\"` = '17\" disk'").count() == 1
+
+
+def test_dumps_do_not_depend_on_blocks(spark, tmp_path, small_blocks, monkeypatch):
+    """INSERTs of many shapes, cut anywhere: the rows of the scanner over the whole text."""
+    rng = random.Random(4)
+    parts = ["-- it's a dump; INSERT INTO no VALUES (0);\n/* '\n;(( */ CREATE TABLE t (a int DEFAULT (1),\n b text, c text);\n"]
+    for k in range(120):
+        text = lambda: rng.choice(["x", "it''s", "a\\'b", "two\nlines", "; -- no", "(", "),\n(", "/* no", '"', "\\\\", "é", "y" * rng.choice([1, 700]), "INSERT INTO u VALUES (1);"])
+        rows = [f"({k}{j}, '{text()}', {rng.choice(['NULL', '1.5', 'TRUE' if False else '2'])})" for j in range(rng.choice([1, 3, 9]))]
+        parts.append(rng.choice(["INSERT INTO t (a, `b`, [c]) VALUES ", "insert into t\n(a,\n b, c)\nVALUES\n", "INSERT INTO t (a, b, c) VALUES -- why, not;\n"]) + rng.choice([",", ",\n", ", -- c'\n", "\n,\n"]).join(rows) + rng.choice([";\n", ";", "\nON DUPLICATE KEY UPDATE a = 1,\n b = 'z(';\n"]))
+    whole = "".join(parts)
+    path = write(tmp_path, "a.sql", whole)
+    want = sorted((int(v[0]), v[1]) for _, _, v, _ in statements(whole))
+    assert len(want) > 300 and lines_of(spark, path).rdd.getNumPartitions() > 30
+    for piece, long in ((1 << 20, 1 << 24), (50, 1 << 24), (200, 10)):
+        monkeypatch.setattr(sqldump, "_PIECE", piece)
+        monkeypatch.setattr(sqldump, "_LONG", long)
+        monkeypatch.setattr(sqldump.pieces, "__defaults__", (piece,))
+        df = read_table(spark, path)
+        assert sorted((r.a, r.b) for r in df.collect()) == want and dict(df.dtypes)["c"] == "double"
+    one = "INSERT INTO t VALUES " + ",".join(f"({k}, 'v{k}, w')" for k in range(500)) + ";"  # a single line
+    found, _ = sqldump.pieces(spark, write(tmp_path, "one.sql", one), "utf-8", ",", 50)
+    assert found.count() > 10
+    assert sorted((r.col_0, r.col_1) for r in read_table(spark, str(tmp_path / "one.sql")).collect()) == [(k, f"v{k}, w") for k in range(500)]
+    with pytest.raises(ParseError):
+        read_table(spark, write(tmp_path, "bad.sql", whole + "INSERT INTO t (a, b, c) VALUES (1, 'open"))

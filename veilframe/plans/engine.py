@@ -1,22 +1,21 @@
 """A release from request to report: transform, noise, suppress, measure.
 
 Noise is a barrier. The noised table is written once to the folder that the cluster
-shares (a checkpoint) and everything after reads that; a plan that was run again would
+shares and everything after reads that; a plan that was run again would
 draw anew. The budget is checked before anything is drawn, and spent by the caller once
 the release is written. Nothing is written if a guardrail refuses.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from veilframe.config import Settings, load
-from veilframe.errors import PolicyError, RiskError, VeilError
+from veilframe.errors import PolicyError, RiskError
 from veilframe.functions.laplace import Ledger
+from veilframe.kept import keep
 from veilframe.operators.kanon import Suppressed, cardinalities, enforce
 from veilframe.operators.preflight import preflight as search
 from veilframe.operators.profile import category, column_counts, detect, detection_sample, schema_profile, summary
@@ -36,21 +35,9 @@ class Released:
     suppressed: Suppressed
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; in local mode a temporary one if none is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.match(r"local(\[|$)", sc.master):
-            raise VeilError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
-    return found or sc._jsc.sc().getCheckpointDir().get()
-
-
 def barrier(df: DataFrame) -> DataFrame:
-    """df written once; every later action reads the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once; every later action reads the same rows, and only the columns it needs."""
+    return keep(df, "barrier")
 
 
 def guard(found: Suppressed, soft_cap: float, hard_cap: float, accept_weaker: bool) -> None:

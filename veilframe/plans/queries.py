@@ -17,7 +17,8 @@ from veilframe.operators.kanon import class_metrics, class_table, enforce, value
 from veilframe.operators.preflight import drop_each, drop_each_diverse, preflight
 from veilframe.operators.profile import category, column_counts, correlations, detect, histogram, is_card, is_email, is_phone, numeric_stats, schema_profile
 from veilframe.operators.utility import distinct_counts, utility
-from veilframe.plans.engine import release, shared_folder
+from veilframe.kept import shared_folder
+from veilframe.plans.engine import release
 from veilframe.plans.policy import Policy, Request, fold, suggest
 from veilframe.config import Settings
 from veilframe.session import ship

@@ -1,9 +1,8 @@
 """Tables from files: delimited text, SQL dumps, Parquet and JSON.
 
-Text columns are read as text and typed by one pass over all rows, with anchored
-patterns before every cast, so that no value is quoted in an error and none is typed by
-luck. Encoding and line breaks within records are judged by all lines (``shape_of``): a file
-without such breaks is split among tasks, whatever its size.
+Text columns are read as text and typed by facts about all rows (``lattice``). The encoding is
+judged by all lines (``charset``). Files are split among tasks whatever their size: by Spark's
+own CSV source if they are UTF-8 and no record holds a line break, else by ``splits``.
 """
 
 from __future__ import annotations
@@ -12,17 +11,16 @@ import codecs
 import csv
 import io
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.columns import qcol
 from veilframe.errors import ParseError
+from veilframe.sources.charset import encoding_of
+from veilframe.sources.lattice import typed
+from veilframe.sources.splits import Delimited, lines_of, records, starts
 from veilframe.sources.sqldump import read_sql
 
 #: What stands for null, separators in the order they are tried.
@@ -30,15 +28,8 @@ NULLS = ("", "NA", "N/A", "null", "NULL")
 SEPARATORS = ("\t", "|", ";", ",")
 EXTENSIONS = (".csv", ".txt", ".sql", ".parquet", ".json")
 _PREFIX = 100_000
-#: Shapes of text that is a value of each type, in the order they are tried.
-LADDER = (
-    ("boolean", r"^(?i:true|false)$"),
-    ("bigint", r"^[+-]?\d{1,18}$"),
-    ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i:nan|[+-]?inf)$"),
-    ("date", r"^\d{4}-\d{2}-\d{2}$"),
-    ("timestamp_ntz", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?Z?$"),
-    ("time", r"^\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"),
-)
+#: A header is no longer than this.
+_LONGEST = 1 << 26
 
 
 def _file(spark: SparkSession, path: str):
@@ -64,79 +55,18 @@ def prefix(spark: SparkSession, path: str, n: int = _PREFIX) -> bytes:
         with_in.close()
 
 
-#: Encodings that are tried on files that are no UTF-8, in this order: the codec
-#: that must fit, runs of characters by which text in it is known, the least share that they
-#: have of all that is not ASCII, and the encoding to read with.
-LEGACY = (
-    ("shift_jis", r"[\u3040-\u30ff]+", 0.15, "shift_jis"),
-    ("euc_jp", r"[\u3040-\u30ff]+", 0.15, "euc_jp"),
-    ("euc_kr", r"[\uac00-\ud7a3]+", 0.9, "euc_kr"),
-    ("gb2312", r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]+", 0.6, "gb18030"),
-    ("big5", r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]+", 0.6, "big5"),
-    ("gb18030", r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]+", 0.6, "gb18030"),
-    ("cp1251", r"[\u0410-\u044f]{2,}", 0.8, "cp1251"),
-    ("cp1252", r"[^\x00-\x7f]+", 0.0, "cp1252"),
-)
-
-
-def _likely(raw: bytes) -> list[str]:
-    """The encodings that bytes of lines may have, likeliest first."""
-    found = []
-    for codec, usual, least, name in LEGACY:
-        try:
-            text = raw.decode(codec)
-        except UnicodeDecodeError:
-            continue
-        high = sum(c > "\x7f" for c in text)
-        if sum(map(len, re.findall(usual, text))) >= least * high:
-            found.append(name)
-    return list(dict.fromkeys(found))
-
-
-def _undecoded(code: str):
-    """Lines that are not of an encoding, as a count of each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = 0
-            for raw in batch.column(0).to_pylist():
-                try:
-                    raw.decode(code)
-                except UnicodeDecodeError:
-                    n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
-
-    return run
-
-
-@dataclass(frozen=True)
-class Shape:
-    """What all lines of a file say: its encoding, and whether records hold line breaks."""
-
-    encoding: str
-    multi_line: bool
-
-
-def shape_of(spark: SparkSession, path: str) -> Shape:
-    """Encoding and line breaks of a file, from all of its lines; an error that quotes nothing if no encoding fits.
-
-    A record that holds a line break leaves an odd number of quotes on one of its lines.
-    Without such lines the file is split among tasks, with them a task reads it in order.
-    """
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """A mark at the start of the file, or what all of its lines say."""
     head = prefix(spark, path, 4)
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return Shape("utf-16", True)
-    lines = spark.read.text(path)
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    wrong = ~F.is_valid_utf8("value")
-    seen = lines.agg(F.count_if(wrong).alias("wrong"), F.count_if(quotes % 2 != 0).alias("odd")).first()
-    if not seen.wrong:
-        return Shape("utf-8", seen.odd > 0)
-    raw = lines.where(wrong).select(F.col("value").cast("binary").alias("value"))
-    for code in _likely(b"\n".join(r.value for r in raw.limit(1000).collect())):
-        if not raw.mapInArrow(_undecoded(code), "n long").agg(F.sum("n")).first()[0]:
-            return Shape(code, seen.odd > 0)
-    raise ParseError("the file's encoding is not known")
+        return "utf-16-le" if head[:1] == b"\xff" else "utf-16-be"
+    return encoding_of(lines_of(spark, path).select("value"))
+
+
+def _line_end(spark: SparkSession, path: str, code: str) -> str:
+    """What ends lines: \\r only where the file's start has no \\n."""
+    text = codecs.getincrementaldecoder(code)("replace").decode(prefix(spark, path))
+    return "\r" if "\r" in text and "\n" not in text else "\n"
 
 
 def sniff_separator(text: str) -> str:
@@ -160,83 +90,71 @@ def _start(spark: SparkSession, path: str, code: str, enough) -> str:
         text = codecs.getincrementaldecoder(code)("replace").decode(raw).lstrip("\ufeff")
         if len(raw) < n or enough(text):
             return text
+        if n >= _LONGEST:
+            raise ParseError("the header does not end")
         n *= 8
 
 
-def _first_record(text: str) -> str | None:
-    """The first record that is not blank, if it is whole: its last line break is outside quotes."""
-    open_, begin = False, 0
-    for m in re.finditer(r'["\r\n]', text):
-        if m[0] == '"':
-            open_ = not open_
-        elif not open_:
-            if text[begin : m.start()].strip():
-                return text[begin : m.start()]
-            begin = m.end()
+def _first_record(text: str, sep: str, end: str = "\n") -> str | None:
+    """The first record that is not blank, if it is whole."""
+    grammar, held, state = Delimited(sep), [], 0
+    for line in text.split(end)[:-1]:
+        held.append(line)
+        state = grammar.line(state, line)[0]
+        if state == 0:
+            if (record := end.join(held)).strip():
+                return record.removesuffix("\r")
+            held = []
     return None
 
 
-def _is_null(c: Column) -> Column:
-    return c.isNull() | c.isin(*NULLS)
-
-
-def typed(df: DataFrame) -> DataFrame:
-    """Text columns as the first type of the ladder that all their values have."""
-    aggs = []
-    for i, name in enumerate(df.columns):
-        c = qcol(name)
-        aggs.append(F.count_if(~_is_null(c)).alias(f"n{i}"))
-        for kind, shape in LADDER:
-            fits = c.rlike(shape)
-            if kind in ("date", "timestamp_ntz", "bigint"):
-                fits = fits & F.regexp_replace(c, "Z$", "").try_cast(kind).isNotNull()
-            aggs.append(F.count_if(~_is_null(c) & ~F.coalesce(fits, F.lit(False))).alias(f"{kind}{i}"))
-    found = df.agg(*aggs).first().asDict()
-    out = []
-    for i, name in enumerate(df.columns):
-        c = F.when(~_is_null(qcol(name)), qcol(name))
-        kind = next((k for k, _ in LADDER if not found[f"{k}{i}"]), "string") if found[f"n{i}"] else "string"
-        if kind == "time":  # a time of day stays text and is marked
-            out.append(c.alias(name, metadata={"logical": "time"}))
-        elif kind == "double":
-            out.append(F.regexp_replace(F.regexp_replace(c, "(?i)^nan$", "NaN"), r"(?i)^([+-]?)inf$", "$1Infinity").try_cast("double").alias(name))
-        elif kind == "timestamp_ntz":
-            out.append(F.regexp_replace(c, "Z$", "").try_cast(kind).alias(name))
-        else:
-            out.append(c.try_cast(kind).alias(name) if kind != "string" else c.alias(name))
-    return df.select(*out)
-
-
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", shape: Shape | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> DataFrame:
     """A table with a header row. Short rows end in nulls, longer ones are an error."""
     if not prefix(spark, path).strip() and file_size(spark, path) <= _PREFIX:
         raise ParseError("the file is empty")
-    shape = shape or shape_of(spark, path)
-    code = shape.encoding
-    if code not in ("utf-8", "utf-16"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark reads others with this only
-    java = {"euc_jp": "EUC-JP", "euc_kr": "EUC-KR", "cp1251": "windows-1251", "cp1252": "windows-1252"}.get(code, code)
-    read = spark.read.option("sep", sep).option("multiLine", shape.multi_line).option("escape", '"').option("encoding", java).option("maxColumns", 1_000_000)
+    code = encoding or file_encoding(spark, path)
+    end = _line_end(spark, path, code)
     try:
-        names = _header(_start(spark, path, code, _first_record), sep)
+        start = _start(spark, path, code, lambda text: _first_record(text, sep, end))
+        names = _header(_first_record(start, sep, end) or start.strip("\r\n"), sep)
         extra = "_extra"
         while extra in names:
             extra += "_"
-        fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(extra, T.StringType())]
-        df = read.option("header", True).option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+        fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(extra, T.StringType())])
+        options = {"sep": sep, "escape": '"', "maxColumns": "1000000", "maxCharsPerColumn": "-1"}
+        grammar, lines = Delimited(sep), lines_of(spark, path, code, end)
+        if code == "utf-8":
+            lines = lines.where(F.contains("value", F.lit(b'"')))
+        begins, within = starts(lines, grammar, code, end)
+        if code == "utf-8" and not within:
+            df = spark.read.options(**options).option("header", True).option("enforceSchema", True).schema(fields).csv(path)
+        else:
+            df = _from_records(records(spark, path, grammar, begins, code, end), fields, options)
         seen = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(extra)).alias("long")).first()
-    except PySparkException:
+    except (PySparkException, UnicodeDecodeError):
         raise ParseError("the file is not well formed") from None
     if not seen.n:
         raise ParseError("the file has no rows")
     if seen.long:
         raise ParseError(f"{seen.long} rows have more fields than the header")
-    return typed(df.drop(extra).toDF(*names))
+    return typed(df.drop(extra).toDF(*names), NULLS)
+
+
+def _from_records(found: DataFrame, fields: T.StructType, options: dict[str, str]) -> DataFrame:
+    """The fields of each record but the first, which is the header; blank ones are left out."""
+    place = F.struct("block", "phase", "seq")
+    text = F.regexp_replace("text", r"\r?[\r\n]$", "")
+    found = found.select(place.alias("place"), text.alias("text")).where(F.trim("text") != "")
+    first = found.agg(F.min("place").alias("place")).first().place
+    if first is None:
+        raise ParseError("the file has no rows")
+    header = F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(("block", "phase", "seq"), first, ("long", "int", "long"), strict=True)])
+    return found.where(F.col("place") > header).select(F.from_csv("text", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*")
 
 
 def _header(text: str, sep: str) -> list[str]:
     csv.field_size_limit(1 << 30)
-    row = next(csv.reader(io.StringIO(_first_record(text) or text.strip("\r\n")), delimiter=sep), [])
+    row = next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
     out: list[str] = []
     have: set[str] = set()
     for name in row:
@@ -248,11 +166,11 @@ def _header(text: str, sep: str) -> list[str]:
     return out
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def read_text(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A table whose separator is found from its first lines."""
     if not prefix(spark, path).strip() and file_size(spark, path) <= _PREFIX:
         raise ParseError("the file is empty")
-    shape = shape_of(spark, path)
+    code = encoding or file_encoding(spark, path)
 
     def whole(text: str) -> list[str]:
         lines = text.splitlines(keepends=True)
@@ -262,12 +180,12 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
         lines = whole(text)
         return len(lines) >= 50 or sum(1 for x in lines if x.strip()) >= 10
 
-    text = _start(spark, path, shape.encoding, enough)
-    return read_delimited(spark, path, sniff_separator("".join(whole(text)) if enough(text) else text), shape)
+    text = _start(spark, path, code, enough)
+    return read_delimited(spark, path, sniff_separator("".join(whole(text)) if enough(text) else text), code)
 
 
-def read_table(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """A table from a file, by its extension."""
+def read_table(spark: SparkSession, path: str, max_bytes: int | None = None, encoding: str | None = None) -> DataFrame:
+    """A table from a file, by its extension. ``encoding``: of a text file, where it is known."""
     kind = (re.search(r"\.[^./\\]+$", path.rstrip("/")) or [""])[0].lower()
     if kind not in EXTENSIONS:
         raise ParseError(f"files of these kinds can be read: {', '.join(EXTENSIONS)}")
@@ -278,11 +196,11 @@ def read_table(spark: SparkSession, path: str, max_bytes: int | None = None) ->
         raise ParseError(f"the file is larger than {max_bytes} bytes")
     try:
         if kind == ".csv":
-            return read_delimited(spark, path)
+            return read_delimited(spark, path, encoding=encoding)
         if kind == ".txt":
-            return read_text(spark, path)
+            return read_text(spark, path, encoding)
         if kind == ".sql":
-            return read_sql(spark, path)
+            return read_sql(spark, path, encoding or file_encoding(spark, path))
         return spark.read.parquet(path) if kind == ".parquet" else spark.read.json(path)
     except PySparkException:
         raise ParseError("the file is not well formed") from None

@@ -57,7 +57,7 @@ class Tolerance:
     """
 
     least: int = 8
-    twice: int = 1 << 40
+    twice: int = 48
 
     def __post_init__(self) -> None:
         if self.least < 3:

@@ -1,3 +1,4 @@
+import csv
 import json
 import math
 from dataclasses import replace
@@ -303,3 +304,99 @@ def test_comparison_of_both_tables(spark):
     assert (found["rows_before"], found["rows_after"], len(found["correlation_before"])) == (2, 2, 3)
     none = validation(before, after.where("false"))
     assert none["rows_after"] == 0 and none["correlation_after"] == []
+
+
+def test_two_ledgers_on_one_log(spark, tmp_path):
+    """Of two releases of 2.0 on a budget of 3.0, one is refused before anything is drawn."""
+    from veilframe.functions import ledger as module
+
+    for path in (str(tmp_path / "local"), f"file://{tmp_path}/shared"):
+        if "shared" in path:
+            make = lambda: module.Ledger(3.0, path=path)  # noqa: E731, B023
+            old, module._log = module._log, lambda p: module._Shared(p, spark)
+        else:
+            make, old = lambda: Ledger(3.0, path=path), None  # noqa: E731, B023
+        try:
+            one, two = make(), make()
+            token = one.reserve({"a": 2.0})
+            with pytest.raises(BudgetError):
+                two.reserve({"a": 2.0})
+            assert two.spent == {"a": 2.0}  # reserved counts as spent
+            one.abort(token)
+            two.settle(two.reserve({"a": 2.0}))
+            with pytest.raises(BudgetError):
+                one.commit({"a": 2.0})
+            one.commit({"a": 1.0, "b": 3.0})
+            assert make().spent == {"a": 3.0, "b": 3.0} == two.after({})
+        finally:
+            if old:
+                module._log = old
+
+
+_SPENDER = """
+import sys
+from veilframe.errors import BudgetError
+from veilframe.functions.ledger import Ledger
+done = 0
+for k in range(40):
+    try:
+        Ledger(30.0, path=sys.argv[1]).commit({"a": 1.0})
+        done += 1
+    except BudgetError:
+        pass
+print(done)
+"""
+
+
+def test_many_processes_never_overspend(tmp_path):
+    import subprocess
+    import sys
+
+    runs = [subprocess.Popen([sys.executable, "-c", _SPENDER, str(tmp_path / "led")], stdout=subprocess.PIPE, text=True) for _ in range(3)]
+    done = [int(r.communicate(timeout=300)[0]) for r in runs]
+    assert sum(done) == 30 and Ledger(30.0, path=str(tmp_path / "led")).spent == {"a": 30.0}
+
+
+def test_a_release_that_fails_gives_back_what_it_reserved(people, tmp_path):
+    ledger = Ledger(3.0, path=str(tmp_path / "led"))
+    request = Request((Policy("salary", "dp_laplace"), Policy("zip", is_quasi_identifier=True)), k=1000, dp={"salary": {"epsilon": 2.0, "lower": 0, "upper": 9}})
+    with pytest.raises(VeilError):
+        engine.release(people, request, S, ledger=ledger)
+    assert ledger.spent == {}
+    found = engine.release(people, Request(request.policies, k=2, dp=request.dp), S, ledger=ledger)
+    ledger.settle(found.token)
+    assert Ledger(3.0, path=str(tmp_path / "led")).spent == {"salary": 2.0}
+
+
+def test_distinct_counts_of_all_kinds(spark):
+    """In one shuffle without a copy of the rows for each column; the counts of plain Python."""
+    from veilframe.operators.distinct import counted
+    from veilframe.operators.profile import detect, detection_sample, schema_profile
+
+    nan = float("nan")
+    rows = [(1, 0.0, "a", [1], {"x": 1}, None), (1, -0.0, "A", [1], {"x": 1}, None), (None, nan, None, None, None, None), (3, nan, "a", [], {"x": 2}, None), (2**60, 1.5, "", [1, None], {"y": 1}, None)] * 3
+    df = spark.createDataFrame(rows, "k long, v double, `s. t` string, a array<int>, m map<string,int>, z string")
+    got = {c: (n.distinct, n.nulls, n.rows) for c, n in counted(df, df.columns).items()}
+    assert got == {"k": (4, 3, 15), "v": (3, 0, 15), "s. t": (4, 3, 15), "a": (4, 3, 15), "m": (4, 3, 15), "z": (1, 15, 15)}
+    assert counted(df, ["v"])["v"].high == 1.5 and counted(df.limit(0), ["k"])["k"].rows == 0
+    assert {c: n.distinct for c, n in counted(df, ["k", "v"], exact=False).items()} == {"k": 4, "v": 3}
+    plans = []
+    for make in (lambda: schema_profile(df), lambda: detect(detection_sample(df, 4))):
+        make()
+    values = df.select("k", "`s. t`")
+    plans.append(detection_sample(values, 4)._jdf.queryExecution().executedPlan().toString())
+    assert "TakeOrdered" in plans[0] and "Python" not in plans[0] and "Pandas" not in plans[0]
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    """Parts in the order of rows behind one header, whatever the names of columns are."""
+    from veilframe.sinks import write_csv
+
+    df = spark.range(0, 5000, 1, 7).select("id", F.concat(F.lit('a, "b"\n'), "id").alias('na"me, x'), F.when(F.col("id") % 2 == 0, F.col("id")).alias("h"))
+    path = write_csv(df, str(tmp_path / "one.csv"))
+    with open(path, newline="") as f:
+        rows = list(csv.reader(f))
+    assert rows[0] == ["id", 'na"me, x', "h"] and [r[0] for r in rows[1:]] == [str(k) for k in range(5000)]
+    assert rows[3] == ["2", 'a, "b"\n2', "2"] and rows[2][2] == ""
+    write_csv(df.limit(0), path)
+    assert open(path).read() == 'id,"na""me, x",h\n' and [p.name for p in tmp_path.iterdir() if p.name.startswith("one")] == ["one.csv"]

@@ -62,7 +62,7 @@ def run(argv: list[str] | None = None) -> dict:
     if args.command == "preflight":
         return preflight(df, request, settings)
     stem = Path(args.file.rstrip("/")).stem
-    found = release(df, request, settings, name=stem)
+    found = release(df, request, settings, name=stem, profile=profile, pii=pii)
     return {"files": write_release(found, args.output, stem, args.parquet), "rows": found.report["validation"]["rows_after"], "suppressed": found.suppressed.rows_suppressed}
 
 

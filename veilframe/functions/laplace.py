@@ -8,12 +8,9 @@ table once and everything after reads that.
 
 from __future__ import annotations
 
-import json
 import math
 import os
-import tempfile
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,7 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.errors import BudgetError, PolicyError
+from veilframe.errors import PolicyError
+from veilframe.functions.ledger import Ledger as Ledger
 
 
 @dataclass(frozen=True)
@@ -76,43 +74,3 @@ def noised(v: Column, params: Noise) -> Column:
         return pd.Series(draw(len(values), scale))
 
     return bounded(v, fresh.asNondeterministic()(v.cast("double")), params.lower, params.upper)
-
-
-class Ledger:
-    """Epsilon spent on each column, over all releases of a session.
-
-    With a ``path`` what is spent lasts: it is read from there, and each commit is in the
-    file before it counts, put in place of the old one as a whole.
-    """
-
-    def __init__(self, budget: float, spent: dict[str, float] | None = None, path: str | None = None) -> None:
-        self.budget, self.spent, self.path = budget, dict(spent or {}), Path(path) if path else None
-        if self.path is not None and self.path.exists():
-            try:
-                kept = {str(c): float(e) for c, e in json.loads(self.path.read_text(encoding="utf-8")).items()}
-            except (OSError, ValueError, TypeError, AttributeError):
-                raise BudgetError("the ledger of spent epsilon cannot be read") from None
-            self.spent = kept | {c: max(e, kept.get(c, 0.0)) for c, e in self.spent.items()}
-
-    def after(self, more: dict[str, float]) -> dict[str, float]:
-        """What would be spent; an error if a column goes beyond the budget."""
-        out = {c: self.spent.get(c, 0.0) + more.get(c, 0.0) for c in {*self.spent, *more}}
-        over = sorted(c for c in more if out[c] > self.budget + 1e-9)
-        if over:
-            raise BudgetError(f"the epsilon budget is used up for: {', '.join(over)}")
-        return out
-
-    def commit(self, more: dict[str, float]) -> None:
-        after = self.after(more)
-        if self.path is not None:
-            self.path.parent.mkdir(parents=True, exist_ok=True)
-            with tempfile.NamedTemporaryFile("w", dir=self.path.parent, delete=False, encoding="utf-8") as f:
-                json.dump(after, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(f.name, self.path)
-        self.spent = after
-
-    @property
-    def greatest(self) -> float:
-        return max(self.spent.values(), default=0.0)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.columns import clean, is_numeric, n_unique, qcol, text
+from veilframe.columns import clean, is_numeric, qcol
+from veilframe.operators.distinct import counted
 
 #: What makes a string column categorical.
 CATEGORICAL_MOST = 100
@@ -54,24 +55,18 @@ def column_kind(kind: T.DataType, distinct: int, rows: int) -> str:
 def schema_profile(df: DataFrame, exact: bool = True) -> list[dict]:
     """Type, kind, distinct values (null counted), nulls, rows and range of each column.
 
-    Exact counts of all columns shuffle every distinct value; without ``exact`` they are
+    Exact counts shuffle 16 bytes for each distinct value of a task; without ``exact`` they are
     estimates, and one partial aggregation is all.
     """
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema.fields):
-        c = qcol(f.name)
-        aggs += [n_unique(c, exact).alias(f"u{i}"), F.count_if(c.isNull()).alias(f"z{i}")]
-        if is_numeric(f.dataType):
-            v = clean(c, f.dataType)
-            aggs += [F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
-    r = df.agg(*aggs).first().asDict()
+    found = counted(df, df.columns, exact)
     out = []
-    for i, f in enumerate(df.schema.fields):
+    for f in df.schema.fields:
+        n = found[f.name]
         logical = (f.metadata or {}).get("logical")
-        kind = "datetime" if logical == "time" else column_kind(f.dataType, r[f"u{i}"], r["rows"])
-        entry = {"name": f.name, "dtype": f.dataType.simpleString(), "kind": kind, "n_unique": r[f"u{i}"], "null_count": r[f"z{i}"], "row_count": r["rows"]}
+        kind = "datetime" if logical == "time" else column_kind(f.dataType, n.distinct, n.rows)
+        entry = {"name": f.name, "dtype": f.dataType.simpleString(), "kind": kind, "n_unique": n.distinct, "null_count": n.nulls, "row_count": n.rows}
         if is_numeric(f.dataType):
-            entry |= {"min": r[f"lo{i}"], "max": r[f"hi{i}"]}
+            entry |= {"min": n.low, "max": n.high}
         out.append(entry)
     return out
 
@@ -120,25 +115,33 @@ def is_phone(s: Column) -> Column:
 
 
 def detection_sample(df: DataFrame, limit: int, seed: int = 0) -> DataFrame:
-    """At most ``limit`` rows for detection: those with the least hash of all columns."""
+    """At most ``limit`` rows for detection: those with the least hash of all columns.
+
+    Each task keeps so many of its own, and only they are shuffled.
+    """
     if limit <= 0:
         return df.limit(0)
-    order = F.xxhash64(F.lit(seed), *[text(qcol(f.name), f.dataType) if isinstance(f.dataType, T.AtomicType) else qcol(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
-    return df.orderBy(order).limit(limit)
+    columns = [F.array_sort(F.map_entries(qcol(f.name))) if isinstance(f.dataType, T.MapType) else qcol(f.name) for f in df.schema.fields]
+    return df.orderBy(F.xxhash64(F.lit(seed), *columns)).limit(limit)
+
+
+def _value_tests(c: Column, kind: T.DataType) -> dict[str, Column]:
+    found = {}
+    if isinstance(kind, T.StringType):
+        found = {"email": is_email(c), "card": is_card(c)}
+    if isinstance(kind, T.StringType) or is_numeric(kind):
+        found["phone"] = is_phone(c.cast("string"))
+    return found
 
 
 def detect(df: DataFrame) -> dict[str, list[Suggestion]]:
     """Suggestions for each column, surest first, from names and from one pass over values."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema.fields):
-        c = qcol(f.name)
-        aggs += [n_unique(c).alias(f"u{i}"), F.count(c).alias(f"n{i}")]
-        if isinstance(f.dataType, T.StringType):
-            aggs += [F.avg(is_email(c).cast("int")).alias(f"email{i}"), F.avg(is_card(c).cast("int")).alias(f"card{i}")]
-        if isinstance(f.dataType, T.StringType) or is_numeric(f.dataType):
-            aggs.append(F.avg(is_phone(c.cast("string")).cast("int")).alias(f"phone{i}"))
-    r = df.agg(*aggs).first().asDict()
-    return {f.name: suggestions(f.name, r[f"u{i}"], r["rows"], r.get(f"email{i}"), r.get(f"phone{i}"), r.get(f"card{i}"), isinstance(f.dataType, T.StringType)) for i, f in enumerate(df.schema.fields)}
+    found = counted(df, df.columns, True, _value_tests, ("email", "card", "phone"))
+    out = {}
+    for f in df.schema.fields:
+        n = found[f.name]
+        out[f.name] = suggestions(f.name, n.distinct, n.rows, n.shares.get("email"), n.shares.get("phone"), n.shares.get("card"), isinstance(f.dataType, T.StringType))
+    return out
 
 
 def suggestions(name: str, distinct: int, rows: int, email: float | None, phone: float | None, card: float | None, is_text: bool) -> list[Suggestion]:
@@ -164,13 +167,7 @@ def suggestions(name: str, distinct: int, rows: int, email: float | None, phone:
 
 def column_counts(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, tuple[int, int, int]]:
     """(distinct values, null counted as one, nulls, rows) of each column, in one pass."""
-    if not columns:
-        return {}
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        aggs += [n_unique(qcol(c), exact).alias(f"u{i}"), F.count_if(qcol(c).isNull()).alias(f"z{i}")]
-    r = df.agg(*aggs).first()
-    return {c: (r[f"u{i}"], r[f"z{i}"], r.rows) for i, c in enumerate(columns)}
+    return {c: (n.distinct, n.nulls, n.rows) for c, n in counted(df, columns, exact).items()}
 
 
 def category(distinct: int, nulls: int, rows: int) -> dict:

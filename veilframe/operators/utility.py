@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from veilframe.columns import n_unique, qcol
+from veilframe.operators.distinct import counted
 
 #: What a column that still joins, and one that is noised without known bounds, is worth.
 JOINABLE = 0.3
@@ -14,10 +14,7 @@ GENERALISED = ("mask", "numeric_bin", "date_truncate", "string_truncate")
 
 def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, int]:
     """Distinct values of each column, null counted, in one pass."""
-    if not columns:
-        return {}
-    row = df.agg(*[n_unique(qcol(c), exact).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return dict(zip(columns, row, strict=True))
+    return {c: n.distinct for c, n in counted(df, columns, exact).items()}
 
 
 def noise_fidelity(params: dict | None) -> float:

@@ -2,7 +2,7 @@
 
 Noise is a barrier. The noised table is written once to the folder that the cluster
 shares and everything after reads that; a plan that was run again would
-draw anew. The budget is checked before anything is drawn, and spent by the caller once
+draw anew. The budget is reserved before anything is drawn, and settled by the caller once
 the release is written. Nothing is written if a guardrail refuses.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from veilframe.config import Settings, load
 from veilframe.errors import PolicyError, RiskError
-from veilframe.functions.laplace import Ledger
+from veilframe.functions.ledger import Ledger
 from veilframe.kept import keep
 from veilframe.operators.kanon import Suppressed, cardinalities, enforce
 from veilframe.operators.preflight import preflight as search
@@ -33,6 +33,7 @@ class Released:
     report: dict
     spent: dict[str, float]
     suppressed: Suppressed
+    token: str | None = None  # what is reserved in the ledger
 
 
 def barrier(df: DataFrame) -> DataFrame:
@@ -55,14 +56,28 @@ def _key(request: Request, settings: Settings, key: bytes | None) -> bytes:
     return derived_key(settings, request.key_name, request.policies) if request.key_name else key or new_key()
 
 
-def release(df: DataFrame, request: Request, settings: Settings | None = None, key: bytes | None = None, spent: dict[str, float] | None = None, public: bool = False, name: str = "release") -> Released:
-    """Everything that a request asks for; errors before anything is written."""
+def release(df: DataFrame, request: Request, settings: Settings | None = None, key: bytes | None = None, spent: dict[str, float] | None = None, public: bool = False, name: str = "release", ledger: Ledger | None = None, profile: list[dict] | None = None, pii: dict | None = None) -> Released:
+    """Everything that a request asks for; errors before anything is written.
+
+    ledger: where the costs are reserved before noise is drawn; the caller settles them once
+    the files are whole. profile, pii: of df, where they are known.
+    """
     settings = settings or load()
     key = _key(request, settings, key)
     plain = fold(df, request.policies, key, public)
     noise = noise_params(plain, request.policies, request.dp, settings)
     costs = {c: n.epsilon for c, n in noise.items()}
-    after = Ledger(settings.epsilon_budget, spent).after(costs)
+    ledger = ledger if ledger is not None else Ledger(settings.epsilon_budget, spent)
+    token = ledger.reserve(costs) if costs else None
+    try:
+        return _released(df, request, settings, plain, noise, ledger.spent, name, profile, pii, token)
+    except BaseException:
+        if token is not None:
+            ledger.abort(token)
+        raise
+
+
+def _released(df: DataFrame, request: Request, settings: Settings, plain: DataFrame, noise: dict, after: dict[str, float], name: str, profile: list[dict] | None, pii: dict | None, token: str | None) -> Released:
     out = barrier(with_noise(plain, noise)) if noise else plain
     qis = quasi_identifiers(out, request.policies)
     sensitive = sensitive_columns(out, request.policies, qis, request.sensitive)
@@ -72,8 +87,8 @@ def release(df: DataFrame, request: Request, settings: Settings | None = None, k
     found.df = barrier(found.df)
     found.done()
     exact = settings.exact_distinct
-    profile = schema_profile(df, exact)
-    sample = detection_sample(df, settings.sample_rows)
+    profile = schema_profile(df, exact) if profile is None else profile
+    pii = detect(detection_sample(df, settings.sample_rows)) if pii is None else pii
     actions = {p.column: p.action for p in request.policies}
     rows_after = found.rows_total - found.rows_suppressed
     counts = column_counts(found.df, found.df.columns, exact)
@@ -81,8 +96,8 @@ def release(df: DataFrame, request: Request, settings: Settings | None = None, k
     warnings = list(found.warnings)
     if request.l < 2 and (leaks := sorted(c for c, n in found.homogeneous.items() if n)):
         warnings.append(f"Some released classes hold a single value of {', '.join(leaks)}: whoever knows that a person is in such a class learns it. Ask for l of 2 or more, or coarsen or drop these columns.")
-    report = build(name, profile, detect(sample), request, noise, after, settings, found, worth, compare(found.df, profile, counts), warnings)
-    return Released(found.df, report, after, found)
+    report = build(name, profile, pii, request, noise, after, settings, found, worth, compare(found.df, profile, counts), warnings)
+    return Released(found.df, report, after, found, token)
 
 
 def described(df: DataFrame, counts: dict[str, tuple[int, int, int]] | None = None) -> dict:

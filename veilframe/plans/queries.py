@@ -22,7 +22,7 @@ from veilframe.plans.engine import release
 from veilframe.plans.policy import Policy, Request, fold, suggest
 from veilframe.config import Settings
 from veilframe.session import ship
-from veilframe.sinks import write_csv, write_parquet, write_text
+from veilframe.sinks import write_csv, write_lines, write_parquet, write_text
 from veilframe.sources.tables import read_table
 
 #: A key that is published on purpose: the queries are compared with SQL that holds it.
@@ -344,6 +344,36 @@ def source_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, write_text(spark, text, f"{_folder(spark)}/nation.sql"))
 
 
+@_query("SELECT 1234567890123456000 + o_orderkey AS id, '99' || lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS wide, CAST(epoch(o_orderdate) AS BIGINT) - 7200 AS at, '3.' || lpad(CAST(o_orderkey AS VARCHAR), 20, '0') AS fine FROM orders")
+def source_wide_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of 19 to 21 digits and times with an offset, through a CSV file: no value changes."""
+    key = F.col("o_orderkey").cast("string")
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    df = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1234567890123456000).alias("id"), F.concat(F.lit("99"), F.lpad(key, 18, "0")).alias("wide"), at.alias("at"), F.concat(F.lit("3."), F.lpad(key, 20, "0")).alias("fine"))
+    back = read_table(spark, write_csv(df, f"{_folder(spark)}/ids.csv"))
+    return back.select("id", F.col("wide").cast("string").alias("wide"), F.unix_seconds("at").alias("at"), F.col("fine").cast("string").alias("fine"))
+
+
+@_query("SELECT CAST(18446744069414584320::HUGEINT + o_orderkey AS VARCHAR) AS id, o_orderpriority || ' -- it''s; (1),' || chr(10) || '(''no'')' AS note, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_totalprice AS DOUBLE) END AS price FROM orders")
+def source_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through a dump: hexadecimal numbers of 64 bits, and strings that look like SQL over two lines."""
+    hex_ = F.concat(F.lit("0xFFFFFFFF"), F.lpad(F.hex("o_orderkey"), 8, "0"))
+    note = F.concat(F.lit("'"), "o_orderpriority", F.lit(" -- it''s; (1),\n(''no'')'"))
+    price = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice").cast("double").cast("string")).otherwise("NULL")
+    rows = _t(spark, sf_dir, "orders").select(F.concat(F.lit("("), F.concat_ws(", ", hex_, note, price), F.lit("),")).alias("line"))
+    one = lambda text: spark.range(1).select(F.lit(text).alias("line"))
+    whole = one("/* a dump; */ INSERT INTO orders (id, note, price) VALUES").union(rows).union(one(";"))
+    return read_table(spark, write_lines(whole, f"{_folder(spark)}/orders.sql")).withColumn("id", F.col("id").cast("string"))
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ' - zażółć gęślą jaźń' AS name FROM nation")
+def source_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file in an encoding that is told from its lines."""
+    rows = _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    text = "n_nationkey,name\n" + "".join(f"{r.n_nationkey},{r.n_name} - zażółć gęślą jaźń\n" for r in rows)
+    return read_table(spark, write_text(spark, text, f"{_folder(spark)}/nation.csv", "cp1250"))
+
+
 @_query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size IS NOT NULL")
 def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table through a folder of Parquet files."""

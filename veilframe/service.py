@@ -1,7 +1,7 @@
 """The verbs of a service over sessions: what a web layer would call, without the web.
 
 upload -> preview / preflight -> process -> downloads -> delete. Outputs are files in a
-folder of the caller's; epsilon is spent once they are whole.
+folder of the caller's; epsilon is reserved before noise is drawn, and given back if they are not whole.
 """
 
 from __future__ import annotations
@@ -60,14 +60,15 @@ class Service:
         """A release; the session's earlier output goes, whether this one succeeds or not."""
         wanted = Request.from_dict(request)
         entry = self.store.begin(name)
-        output = report = costs = None
+        output = report = token = None
         try:
-            found = engine.release(entry.df, wanted, self.settings, bytes(entry.key), entry.ledger.spent, name=name)
+            found = engine.release(entry.df, wanted, self.settings, bytes(entry.key), name=name, ledger=entry.ledger)
+            token = found.token
             write = write_parquet if parquet else write_csv
             output = write(found.df, f"{self.folder}/{name}.{'parquet' if parquet else 'csv'}")
-            report, costs = found.report, found.report["privacy"]["epsilon_per_column"]
+            report = found.report
         finally:
-            self.store.finish(name, output, report, costs)
+            self.store.finish(name, output, report, token=token)
         return report
 
     def download(self, name: str, what: str = "table") -> str:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilframe.plans.engine import Released
 from veilframe.plans.report import to_json, to_markdown
@@ -19,20 +22,75 @@ def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
+def _joined(spark: SparkSession, parts: list, target) -> None:
+    """Part files one after another as one file: by the file system itself if it can, else as a stream of bytes."""
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+    for k, p in enumerate(parts[1:]):
+        paths[k] = p
+    if len(parts) == 1:
+        fs.rename(parts[0], target)
+        return
+    try:
+        fs.concat(parts[0], paths)
+        fs.rename(parts[0], target)
+    except (Py4JJavaError, PySparkException):  # most file systems have no concat
+        out = fs.create(target, True)
+        try:
+            for p in parts:
+                part = fs.open(p)
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
+
+
+def _one_file(spark: SparkSession, path: str, folders: list[str]) -> str:
+    """The part files of folders, in the order of folders and of parts, as one file in place of ``path``."""
+    fs, target = _fs(spark, path)
+    found = []
+    for folder in folders:
+        statuses = [s for s in fs.listStatus(_path(spark, folder)) if s.getPath().getName().startswith("part-") and s.getLen()]
+        found += sorted((s.getPath() for s in statuses), key=lambda p: p.getName())
+    whole = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    if found:
+        _joined(spark, found, whole)
+    else:
+        fs.create(whole, True).close()
+    fs.delete(target, False)
+    if not fs.rename(whole, target):
+        raise OSError("the file cannot be put in place")
+    return path
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    """One CSV file with a header; nulls are empty. For tables that one file can hold."""
+    """One CSV file with a header; nulls are empty. Tasks write its parts, which are joined in the order of rows."""
     spark = df.sparkSession
-    fs, target = _fs(spark, path)
+    fs, _ = _fs(spark, path)
     temp = f"{path}.{uuid.uuid4().hex}"
+    options = {"sep": sep, "nullValue": "", "emptyValue": "", "escape": '"'}
     try:
-        df.coalesce(1).write.option("header", True).option("sep", sep).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(temp)
-        part = next(s.getPath() for s in fs.listStatus(_path(spark, temp)) if s.getPath().getName().startswith("part-"))
-        fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError("the file cannot be put in place")
+        # One row: its names are the header, and an empty table has one too.
+        names = spark.range(1).select(*[F.lit(c).alias(f"c{k}") for k, c in enumerate(df.columns)])
+        names.write.options(**options).csv(f"{temp}/header")
+        df.write.options(**options).csv(f"{temp}/rows")
+        return _one_file(spark, path, [f"{temp}/header", f"{temp}/rows"])
+    finally:
+        fs.delete(_path(spark, temp), True)
+
+
+def write_lines(df: DataFrame, path: str) -> str:
+    """One text file of a column of lines, in the order of rows; written in parts like a CSV file."""
+    spark = df.sparkSession
+    fs, _ = _fs(spark, path)
+    temp = f"{path}.{uuid.uuid4().hex}"
+    try:
+        df.write.text(f"{temp}/lines")
+        return _one_file(spark, path, [f"{temp}/lines"])
     finally:
         fs.delete(_path(spark, temp), True)
-    return path
 
 
 def write_parquet(df: DataFrame, path: str, **options) -> str:
@@ -41,12 +99,12 @@ def write_parquet(df: DataFrame, path: str, **options) -> str:
     return path
 
 
-def write_text(spark: SparkSession, text: str, path: str) -> str:
+def write_text(spark: SparkSession, text: str, path: str, encoding: str = "utf-8") -> str:
     fs, target = _fs(spark, path)
     temp = _path(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(temp, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(text.encode(encoding)))
     finally:
         out.close()
     fs.delete(target, False)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from veilframe.errors import VeilError
-from veilframe.functions.laplace import Ledger
+from veilframe.functions.ledger import Ledger
 from veilframe.plans.policy import new_key
 
 
@@ -73,16 +73,21 @@ class Store:
             found.busy, found.output, found.report = True, None, None
         return found
 
-    def finish(self, name: str, output=None, report: dict | None = None, costs: dict[str, float] | None = None) -> None:
-        """Ends a run; output and what it spent are stored together or not at all."""
+    def finish(self, name: str, output=None, report: dict | None = None, costs: dict[str, float] | None = None, token: str | None = None) -> None:
+        """Ends a run; output and what it spent are stored together or not at all.
+
+        token: what the run has reserved, settled with a report and given back without one.
+        """
         with self._lock:
             found = self._entries.get(name)
-            if found is None:
-                return
-            found.busy = False
-            if report is not None:
-                found.ledger.commit(costs or {})
-                found.output, found.report = output, report
+            if found is not None:
+                found.busy = False
+                if report is not None:
+                    if costs:
+                        found.ledger.commit(costs)
+                    found.output, found.report = output, report
+                if token is not None:
+                    (found.ledger.abort if report is None else found.ledger.settle)(token)
 
     def delete(self, name: str) -> bool:
         with self._lock:

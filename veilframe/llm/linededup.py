@@ -45,6 +45,8 @@ _AS_IS = np.arange(256, dtype=np.uint8)
 _LINES = "doc_id long, h long, line long, bytes long, id binary, id8 long, keys array<long>, asks array<long>"
 #: Gaps of so many words at most are looked up without each of their words, and done with.
 _GAP = 32
+#: Bytes of gaps in a batch.
+_HELD = 1 << 22
 #: Words of all pairs that are verified side by side.
 _SIDE = 1 << 21
 
@@ -284,11 +286,14 @@ def _blocks(rows: Iterator[tuple[bytes, int, bytes, list[int], list]], first: bo
         gaps = [[{"edits": e, "words": w} for e, w in g] for g in gaps]
         return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(name, pa.binary()), pa.array(own, pa.bool_()), pa.array(gaps, kind)], ["block", "id", "centre", "gaps"])
 
+    held = 0
     for name, block, words, allowed, rest in rows:
-        out += [(key, name, own, gaps) for key, own, gaps in narrower(block, words, allowed, rest, first)]
-        if len(out) > 20_000:
-            yield batch()
-            out = []
+        for key, own, gaps in narrower(block, words, allowed, rest, first):
+            out.append((key, name, own, gaps))
+            held += 100 + sum(len(w) for _, w in gaps)
+            if held > _HELD:  # in the middle of a line too: each of its keys may hold all of it
+                yield batch()
+                out, held = [], 0
     yield batch()
 
 

@@ -150,3 +150,51 @@ def test_bins_at_their_edges(spark, width):
         df = spark.createDataFrame([(v,) for v in values], f"v {name}")
         got = df.select("v", X.numeric_bin(F.col("v"), kind, width).alias("b")).collect()
         assert [r.b for r in got] == [want(r.v) for r in got]
+
+
+#: (text, year, month, day); what a text does not say is None, and what is no date is None altogether.
+DATES = [
+    ("15/01/2026", (2026, 1, 15)), ("March 5, 2025", (2025, 3, 5)), ("2026/1/5", (2026, 1, 5)), ("1.5.2026", (2026, 1, 5)), ("13.5.2026", (2026, 5, 13)), ("26-01-05", (2005, 1, 26)), ("5 Mar 2025", (2025, 3, 5)), ("5th of March 2025", (2025, 3, 5)),
+    ("Mar-05-2025", (2025, 3, 5)), ("05-Mar-25", (2025, 3, 5)), ("Thu Sep 25 10:36:28 2003", (2003, 9, 25)), ("Thursday, January 3rd 2019", (2019, 1, 3)), ("20260105T101010", (2026, 1, 5)), ("202601051010", (2026, 1, 5)), ("2026-01-05T10:10:10.123Z", (2026, 1, 5)),
+    ("2026-01-05 10:10:10 +0200", (2026, 1, 5)), ("10am 5 March 2025", (2025, 3, 5)), ("5 March 2025 at 10h36m", (2025, 3, 5)), ("Thu, 25 Sep 2003 10:49:41 -0300", (2003, 9, 25)), ("Thu Sep 25 10:36:28 BRST 2003", (2003, 9, 25)), ("2003-Sep-25", (2003, 9, 25)),
+    ("25 Sep 03", (2003, 9, 25)), ("March 2025", (2025, 3, None)), ("2025", (2025, None, None)), ("07/2025", (2025, 7, None)), ("1996.07.10 AD at 15:08:56 PDT", (1996, 7, 10)), ("Wed, July 10, '96", (1996, 7, 10)), ("29 Feb 2024", (2024, 2, 29)),
+    ("not a date at all", None), ("31/31/2020", None), ("2026-15-01", None), ("2026-02-30", None), ("12", None), ("10:36", None), ("Monday", None), ("1/2/3/2020", None), ("March 5", None), ("March 5 2025 x", None), ("٣/٥/2025 or so", None), ("5" * 5000, None),
+]
+
+
+def test_date_grammar():
+    from veilframe.functions.dates import parsed, period
+
+    assert [(t, parsed(t)) for t, _ in DATES] == DATES
+    assert period("March 2025", 2) == "2025-03" and period("March 2025", 3) is None
+
+
+def test_dates_of_other_forms(spark):
+    """In Spark: usual forms and others in one column, at each granularity, and an error that quotes nothing."""
+    good = [(t, d) for t, d in DATES if d]
+    for n, g in enumerate(("year", "month", "day"), 1):
+        whole = [(t, d) for t, d in good if None not in d[:n]]
+        got = one(spark, lambda c: X.date_truncate(c, T.StringType(), g), [t for t, _ in whole] + [None])  # noqa: B023
+        assert got == ["-".join(f"{x:0{4 if k == 0 else 2}d}" for k, x in enumerate(d[:n])) for _, d in whole] + [None]
+    for text in ("March 2025", "secretcell"):
+        with pytest.raises(Exception) as e:
+            one(spark, lambda c: X.date_truncate(c, T.StringType(), "day"), [text])  # noqa: B023
+        assert text not in str(e.value).split("\n")[0]
+
+
+#: Numbers of offices and services in 51 countries, as they are published.
+PHONES = """+1 650-253-0000|+44 20 7031 3000|+353 1 436 1000|+49 40 80817 9000|+33 1 42 68 53 00|+34 91 748 64 00|+39 02 3661 8300|+31 20 504 5100|+46 8 5052 1000|+45 33 70 26 00|+47 22 99 61 00|+358 9 8565 6400|+48 22 207 1900|+420 221 622 111
++36 1 801 5000|+43 1 23 060 6000|+41 44 668 18 00|+32 2 274 22 00|+351 21 122 1803|+30 210 372 4100|+90 212 339 7700|+7 495 644 1400|+380 44 281 2222|+972 74 746 6245|+971 4 450 9500|+966 11 273 5555|+20 2 2461 9100|+27 11 541 9300|+234 1 903 9000
++254 20 360 1000|+212 522 954 321|+91 80 6721 8000|+92 21 111 111 111|+880 2 5500 0000|+94 11 230 0000|+65 6521 8000|+60 3 2179 2000|+62 21 2358 8000|+63 2 8888 8000|+66 2 163 9000|+84 24 3936 0000|+81 3-6384-9000|+82 2 531 9000|+86 10 6250 3000
++852 3923 5400|+886 2 8729 6000|+61 2 9374 4000|+64 9 919 9000|+55 11 2395 8400|+54 11 5530 3000|+52 55 5342 8400|+56 2 2618 1000|+57 1 593 9400|+51 1 611 9000|+34 612 345 678|+33 6 12 34 56 78|+49 151 23456789|+44 7911 123456|+39 347 123 4567"""
+
+
+def test_phone_numbers_of_many_countries(spark):
+    from veilframe.operators.phones import is_phone
+
+    good = [*PHONES.replace("\n", "|").split("|"), "+14155552671", "+442071838750", "+886223112222", "(415) 555-2671", "02-2311-2222", "020 7183 8750", "0113 496 0999", "0044 20 7183 8750", "011 49 30 901820"]
+    bad = ["", "12", "2026-01-02", "+999 12 3456 7890", "+1 123 456 7890", "+33 0 11", "123456789012345678", "4111 1111 1111 1111", "+210 123456789", "hello +1 650-253-0000", "10.0.0.1", "+44 20"]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "s string").select("s", is_phone(F.col("s")).alias("ok")).collect()
+    assert [r.s for r in rows if r.ok and r.s in bad] == []
+    missed = [r.s for r in rows if not r.ok and r.s in good]
+    assert missed == ["+57 1 593 9400"]  # a number of before Colombia's change of 2021

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from veilframe.columns import text
 from veilframe.errors import PolicyError
+from veilframe.functions.dates import periods
 
 HASH_LENGTH = 16
 TOKEN_LENGTH = 12
@@ -161,6 +162,7 @@ DATE_FORMATS = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^(0?[1-9]|1[0-2])\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
     (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
@@ -170,7 +172,7 @@ DATE_FORMATS = (
 
 
 def date_truncate(c: Column, kind: T.DataType, granularity: str = "month") -> Column:
-    """Year, month or day of a date. Text must hold a whole date; what does not is an error."""
+    """Year, month or day of a date. Text must hold the date down to there; what does not is an error."""
     if granularity not in GRANULARITY:
         raise PolicyError("granularity is year, month or day")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -180,9 +182,11 @@ def date_truncate(c: Column, kind: T.DataType, granularity: str = "month") -> Co
     s = F.trim(c)
     day = F.regexp_replace(s, r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", "")
     tried = [F.when(day.rlike(shape), F.try_to_timestamp(F.initcap(day), F.lit(form))) for shape, form in DATE_FORMATS]
-    found = F.coalesce(*tried)
+    found = F.date_format(F.coalesce(*tried), GRANULARITY[granularity])
+    # Other forms are read by a grammar, from which the usual ones are kept away.
+    found = F.coalesce(found, periods(F.when(found.isNull(), s), list(GRANULARITY).index(granularity) + 1))
     bad = F.raise_error(F.lit("a value is not a date")).cast("string")
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(found.isNull(), bad).otherwise(F.date_format(found, GRANULARITY[granularity]))
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(found.isNull(), bad).otherwise(found)
 
 
 def apply_action(action: str, c: Column, kind: T.DataType, params: dict, key: bytes, public: bool = False) -> tuple[Column, T.DataType]:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from veilframe.columns import clean, is_numeric, qcol
 from veilframe.operators.distinct import counted
+from veilframe.operators.phones import is_phone
 
 #: What makes a string column categorical.
 CATEGORICAL_MOST = 100
@@ -33,10 +34,6 @@ ID_TOKENS = ("id", "uuid", "guid", "identifier")
 #: Patterns of values.
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 CARD = r"^\d{13,19}$"
-#: National numbers of the plans that are known, after the country code.
-PHONE_PLANS = {"1": r"[2-9]\d{2}[2-9]\d{6}", "886": r"(9\d{8}|[2-8]\d{7,8})", "44": r"(7\d{9}|[123]\d{8,9})"}
-PHONE_LOCAL = (r"1?[2-9]\d{2}[2-9]\d{6}", r"0(9\d{8}|[2-8]\d{7,8})", r"0(7\d{9}|[123]\d{8,9})")
-PHONE_OTHER = r"\+(?!1|886|44)[2-9]\d{7,14}"
 
 
 def column_kind(kind: T.DataType, distinct: int, rows: int) -> str:
@@ -107,13 +104,6 @@ def is_card(s: Column) -> Column:
     return digits.rlike(CARD) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
-def is_phone(s: Column) -> Column:
-    """A number of the plans of the US, Taiwan and Britain, or another with its country code."""
-    n = F.regexp_replace(F.trim(s), r"[\s().\-]+", "")
-    known = "|".join([rf"\+{c}0?{p}" for c, p in PHONE_PLANS.items()] + list(PHONE_LOCAL) + [PHONE_OTHER])
-    return n.rlike(f"^({known})$") & F.trim(s).rlike(r"^\+?[0-9()][0-9\s().\-]*$")
-
-
 def detection_sample(df: DataFrame, limit: int, seed: int = 0) -> DataFrame:
     """At most ``limit`` rows for detection: those with the least hash of all columns.
 

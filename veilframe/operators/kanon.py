@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veilframe.columns import n_unique, qcol, unused
 from veilframe.errors import PolicyError
+from veilframe.operators.distinct import counted
 
 
 @dataclass
@@ -135,5 +136,4 @@ def cardinalities(df: DataFrame, columns: list[str]) -> list[tuple[str, int]]:
     """Distinct values of each column, most first."""
     if not columns:
         return []
-    row = df.agg(*[n_unique(qcol(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return sorted(zip(columns, row, strict=True), key=lambda x: -x[1])
+    return sorted(((c, n.distinct) for c, n in counted(df, columns).items()), key=lambda x: -x[1])

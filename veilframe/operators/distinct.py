@@ -43,9 +43,16 @@ def counted(df: DataFrame, columns: list[str], exact: bool = True, tests: Tests
     """Counts of each column; distinct values within some 5 % if not ``exact``. names: of the tests."""
     if not columns:
         return {}
-    kinds = {c: df.schema[c].dataType for c in columns}
     if not exact:
-        return _estimated(df, kinds, tests, names)
+        return _estimated(df, {c: df.schema[c].dataType for c in columns}, tests, names)
+    rows = counts(df, columns, tests, names).collect()  # a row a column
+    found = {columns[r["column"]]: Counted(r.distinct, r.nulls, r.rows, r.low, r.high, {n: r[f"t{k}"] for k, n in enumerate(names) if r[f"t{k}"] is not None}) for r in rows}
+    return {c: found.get(c, Counted()) for c in columns}
+
+
+def counts(df: DataFrame, columns: list[str], tests: Tests | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """(column, distinct, nulls, rows, low, high, t0, ...): a row for each column by its place, none if df is empty."""
+    kinds = {c: df.schema[c].dataType for c in columns}
     each = []
     for i, c in enumerate(columns):
         one, two = _hashes(qcol(c), kinds[c], i)
@@ -56,9 +63,7 @@ def counted(df: DataFrame, columns: list[str], exact: bool = True, tests: Tests
     values = df.select(F.inline(F.array(*each)))
     values = values.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("number"), *[F.bool_or(f"t{k}").alias(f"t{k}") for k in range(len(names))])
     passed = [F.try_divide(F.sum(F.when(F.col(f"t{k}"), F.col("n")).otherwise(0)), F.sum(F.when(F.col(f"t{k}").isNotNull(), F.col("n")))).alias(f"t{k}") for k in range(len(names))]
-    rows = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.when(F.col("h1").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.sum("n").alias("rows"), F.min("number").alias("low"), F.max("number").alias("high"), *passed).collect()  # a row a column
-    found = {columns[r["column"]]: Counted(r.distinct, r.nulls, r.rows, r.low, r.high, {n: r[f"t{k}"] for k, n in enumerate(names) if r[f"t{k}"] is not None}) for r in rows}
-    return {c: found.get(c, Counted()) for c in columns}
+    return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.when(F.col("h1").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.sum("n").alias("rows"), F.min("number").alias("low"), F.max("number").alias("high"), *passed)
 
 
 def _estimated(df: DataFrame, kinds: dict[str, T.DataType], tests: Tests | None, names: tuple[str, ...]) -> dict[str, Counted]:

@@ -82,44 +82,47 @@ class Facts:
         return not self.misses[kind]
 
 
-def _doubt(c: Column) -> Column:
-    """Whether a number may not come back from its double."""
-    d = F.abs(c.try_cast("double"))
-    return (_significant(c) > 15) | ((d < _LEAST) & (_significant(c) > 0))
-
-
-def _mantissa(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"^[+-]", "")
-
-
-def _significant(c: Column) -> Column:
-    return F.length(F.regexp_replace(F.replace(_mantissa(c), F.lit("."), F.lit("")), r"^0+|0+$", ""))
-
-
-def _aggregates(c: Column, i: int) -> list[Column]:
-    number = F.when(c.rlike(_NUMBER), c)
-    whole = F.when(number.rlike(_WHOLE), number)
-    misses = {
-        "boolean": c.rlike(_BOOLEAN),
-        "bigint": whole.try_cast("bigint").isNotNull(),
-        "whole": whole.isNotNull(),
-        "number": number.isNotNull() | c.rlike(_SPECIAL),
-        "date": c.rlike(_DATE) & c.try_cast("date").isNotNull(),
-        "local": c.rlike(_LOCAL) & _local(c).isNotNull(),
-        "instant": c.rlike(_ZONED) & _instant(c).isNotNull(),
-        "time": c.rlike(_TIME),
+def _mantissa(number: Column) -> Column:
+    return F.regexp_replace(number, r"^[+-]|[eE].*$", "")
+
+
+def _significant(mantissa: Column) -> Column:
+    return F.length(F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"^0+|0+$", ""))
+
+
+def _staged(values: DataFrame) -> DataFrame:
+    """Beside each value what facts about numbers ask for, each made once: the number, its mantissa, digits and size."""
+    out = values.withColumn("number", F.when(F.col("value").rlike(_NUMBER), F.col("value")))
+    out = out.withColumns({"mantissa": _mantissa(F.col("number")), "size": F.abs(F.col("number").try_cast("double"))})
+    out = out.withColumn("digits", _significant(F.col("mantissa")))
+    # Whether it may not come back from its double, and whether it does not.
+    doubt = (F.col("digits") > 15) | ((F.col("size") < _LEAST) & (F.col("digits") > 0))
+    lossy = (F.col("digits") > 17) | (F.col("size") == float("inf")) | ((F.col("size") == 0) & (F.col("digits") > 0))
+    return out.withColumns({"doubt": F.coalesce(doubt, F.lit(False)), "lossy": F.coalesce(lossy, F.lit(False))})
+
+
+def _aggregates() -> list[Column]:
+    value, number, mantissa = F.col("value"), F.col("number"), F.col("mantissa")
+    whole = number.isNotNull() & number.rlike(_WHOLE)
+    fits = {
+        "boolean": value.rlike(_BOOLEAN),
+        "bigint": whole & number.try_cast("bigint").isNotNull(),
+        "whole": whole,
+        "number": number.isNotNull() | value.rlike(_SPECIAL),
+        "date": value.rlike(_DATE) & value.try_cast("date").isNotNull(),
+        "local": value.rlike(_LOCAL) & _local(value).isNotNull(),
+        "instant": value.rlike(_ZONED) & _instant(value).isNotNull(),
+        "time": value.rlike(_TIME),
     }
-    out = [F.count_if(c.isNotNull() & ~F.coalesce(fits, F.lit(False))).alias(f"{kind}{i}") for kind, fits in misses.items()]
-    size, mantissa = F.abs(number.try_cast("double")), _mantissa(number)
-    lossy = (_significant(number) > 17) | (size == float("inf")) | ((size == 0) & (_significant(number) > 0))
     fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
-    return out + [
-        F.count(c).alias(f"values{i}"),
-        F.count_if(F.coalesce(_doubt(number), F.lit(False))).alias(f"doubtful{i}"),
-        F.count_if(F.coalesce(lossy, F.lit(False))).alias(f"lossy{i}"),
-        F.count_if(c.rlike(_SPECIAL) | number.rlike("[eE]")).alias(f"unscaled{i}"),
-        F.max(F.length(F.regexp_replace(F.substring_index(mantissa, ".", 1), "^0+", ""))).alias(f"before{i}"),
-        F.max(F.length(F.regexp_replace(fraction, "0+$", ""))).alias(f"after{i}"),
+    return [
+        *[F.count_if(~F.coalesce(x, F.lit(False))).alias(kind) for kind, x in fits.items()],
+        F.count(F.lit(1)).alias("values"),
+        F.count_if("doubt").alias("doubtful"),
+        F.count_if("lossy").alias("lossy"),
+        F.count_if(value.rlike(_SPECIAL) | (number.isNotNull() & number.rlike("[eE]"))).alias("unscaled"),
+        F.max(F.length(F.regexp_replace(F.substring_index(mantissa, ".", 1), "^0+", ""))).alias("before"),
+        F.max(F.length(F.regexp_replace(fraction, "0+$", ""))).alias("after"),
     ]
 
 
@@ -127,19 +130,23 @@ _KINDS = ("boolean", "bigint", "whole", "number", "date", "local", "instant", "t
 
 
 def facts(df: DataFrame, columns: list[Column]) -> list[Facts]:
-    """Facts about text columns, from all values; a second pass reads only columns with doubtful numbers."""
+    """Facts about text columns, from all values; a second pass reads only columns with doubtful numbers.
+
+    A row for each value, so that the compiled code is as short for many columns as for one.
+    """
     if not columns:
         return []
-    named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
-    seen = named.agg(*[a for i in range(len(columns)) for a in _aggregates(F.col(f"c{i}"), i)]).first().asDict()
-    out = [Facts(seen[f"values{i}"], {k: seen[f"{k}{i}"] for k in _KINDS}, seen[f"doubtful{i}"], seen[f"lossy{i}"], seen[f"unscaled{i}"], seen[f"before{i}"] or 0, seen[f"after{i}"] or 0) for i in range(len(columns))]
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), c.alias("value")) for i, c in enumerate(columns)]))).where("value is not null")
+    found = {r["column"]: r for r in _staged(values).groupBy("column").agg(*_aggregates()).collect()}  # a row a column
+    out = []
+    for i in range(len(columns)):
+        r = found.get(i)
+        out.append(Facts(r["values"], {k: r[k] for k in _KINDS}, r.doubtful, r.lossy, r.unscaled, r.before or 0, r.after or 0) if r else Facts())
     unsure = [i for i, f in enumerate(out) if f.values and f.fits("number") and not f.fits("whole") and f.doubtful and not f.lossy]
     if unsure:
-        asked = [F.when(_doubt(F.col(f"c{i}")) & F.col(f"c{i}").rlike(_NUMBER), F.col(f"c{i}")).alias(f"c{i}") for i in unsure]
-        back = named.select(*asked).select(*[_comes_back(f"c{i}").alias(f"c{i}") for i in unsure])
-        lost = back.agg(*[F.count_if(~F.col(f"c{i}")).alias(f"c{i}") for i in unsure]).first().asDict()
-        for i in unsure:
-            out[i].lossy += lost[f"c{i}"]
+        asked = _staged(values.where(F.col("column").isin(unsure))).where("doubt").select("column", _comes_back("number").alias("back"))
+        for r in asked.where(~F.col("back")).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect():
+            out[r["column"]].lossy += r.n
     return out
 
 

@@ -242,7 +242,7 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, n.distinct, n.nulls, n.rows, round(n.shares["email"], 9) if n.shares else None) for c, n in found.items()], "name string, n_unique long, null_count long, row_count long, share double")
 
 
-@_query("SELECT 'p_brand' AS name, 'categorical' AS kind, false AS told, CAST(count(*) FILTER (n < 8) AS BIGINT) AS suppressed, CAST(max(CASE WHEN sizes = 1 AND n >= 8 THEN 1 ELSE 0 END) AS INTEGER) AS warned, round(1.0 / greatest(1, min(n) FILTER (n >= 8)), 6) AS risk FROM (SELECT count(*) OVER (PARTITION BY p_brand) AS n, (SELECT count(DISTINCT p_size) FROM part q WHERE q.p_brand = part.p_brand) AS sizes FROM part)")
+@_query("SELECT 'p_brand' AS name, (SELECT CASE WHEN count(DISTINCT p_brand) <= 100 AND count(DISTINCT p_brand) / count(*) <= 0.05 THEN 'categorical' ELSE 'string' END FROM part) AS kind, false AS told, CAST(count(*) FILTER (n < 8) AS BIGINT) AS suppressed, CAST(max(CASE WHEN sizes = 1 AND n >= 8 THEN 1 ELSE 0 END) AS INTEGER) AS warned, round(1.0 / greatest(1, min(n) FILTER (n >= 8)), 6) AS risk FROM (SELECT count(*) OVER (PARTITION BY p_brand) AS n, (SELECT count(DISTINCT p_size) FROM part q WHERE q.p_brand = part.p_brand) AS sizes FROM part)")
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the JSON and Markdown files of a release say, and what they leave out."""
     ps = (Policy("p_brand", is_quasi_identifier=True),)

@@ -16,9 +16,11 @@ words (``Tolerance``).
    go through the same index with these smaller thresholds, inside their block, until a
    gap of one edit is short: it is looked up without each of its words, and all lines that
    meet there are within the threshold. Lines that only share a half are told apart so.
-4. At each level a block forms a star about one line (see ``graph.Stars``), never all
-   pairs. A candidate is verified by edit distance, with bit-parallel arithmetic on a
-   band. Blocks that are joined, and blocks of one line, are left out of the next level.
+4. A block of few lines is finished in one task, which compares the gaps of lines that it
+   has not joined yet and returns fewer links than lines. A larger one forms a star about
+   one line (see ``graph.Stars``), never all pairs, and goes to the next level. A candidate
+   is verified by edit distance, with bit-parallel arithmetic on a band. Blocks that are
+   joined, and blocks of one line, are left out of the next level.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +41,7 @@ from veilframe.columns import unused
 from veilframe.llm import _text
 from veilframe.llm._bloom import Bloom
 from veilframe.llm._store import drop, keep, scratch, sized
+from veilframe.llm._vectors import arrow_rows
 from veilframe.llm.graph import Stars
 
 _U = np.uint64
@@ -47,6 +51,8 @@ _LINES = "doc_id long, h long, line long, bytes long, id binary, id8 long, keys
 _GAP = 32
 #: Bytes of gaps in a batch.
 _HELD = 1 << 22
+#: A block of so many lines, with so many bytes of gaps, at most is finished in one task.
+_FEW, _FEW_BYTES = 128, 1 << 22
 #: Words of all pairs that are verified side by side.
 _SIDE = 1 << 21
 
@@ -274,6 +280,24 @@ def narrower(block: int, words: bytes, allowed: list[int], rest: list[tuple[int,
 
 
 _BLOCKS = "block long, id binary, centre boolean, gaps array<struct<edits:int,words:binary>>"
+_NAMES = "block long, id binary, centre boolean, bytes long"
+
+
+def _names(rows: Iterator[tuple[bytes, int, bytes, list[int], list]], first: bool) -> Iterator[pa.RecordBatch]:
+    """``_blocks`` with the number of bytes of the gaps in place of these."""
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.int64())
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "id", "centre", "bytes"])
+
+    for name, block, words, allowed, rest in rows:
+        out += [(key, name, own, sum(len(w) for _, w in gaps)) for key, own, gaps in narrower(block, words, allowed, rest, first)]
+        if len(out) > 1 << 14:
+            yield batch()
+            out = []
+    yield batch()
 
 
 def _blocks(rows: Iterator[tuple[bytes, int, bytes, list[int], list]], first: bool) -> Iterator[pa.RecordBatch]:
@@ -297,7 +321,7 @@ def _blocks(rows: Iterator[tuple[bytes, int, bytes, list[int], list]], first: bo
     yield batch()
 
 
-def _first_level(edits: Tolerance):
+def _first_level(edits: Tolerance, make=_blocks):
     """(id, text) to the blocks of the index."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -310,19 +334,70 @@ def _first_level(edits: Tolerance):
             for k, name in enumerate(batch.column(0).to_pylist()):
                 yield name, 0, word[8 * place[k] : 8 * place[k + 1]], allowed[k], []
 
-    return lambda batches: _blocks(rows(batches), True)
+    return lambda batches: make(rows(batches), True)
 
 
-def _next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _next_level(make=_blocks):
     """(block, id, gaps) to blocks whose first gap is narrower."""
 
-    def rows() -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for block, name, gaps in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 (t, words), *rest = [(g["edits"], g["words"]) for g in gaps]
                 yield name, block, words, [t] * (t + 1), rest
 
-    yield from _blocks(rows(), False)
+    return lambda batches: make(rows(batches), False)
+
+
+def _same(x: bytes, y: bytes, order: str) -> int:
+    """Bytes of the words that both begin with ("little") or end with ("big")."""
+    m = min(len(x), len(y))
+    one, two = (x[:m], y[:m]) if order == "little" else (x[len(x) - m :], y[len(y) - m :])
+    apart = int.from_bytes(one, order) ^ int.from_bytes(two, order)
+    return m if not apart else ((apart & -apart).bit_length() - 1) // 64 * 8
+
+
+def near(x: bytes, y: bytes, edits: int) -> bool:
+    """Whether so many words at most are inserted, deleted or replaced; 8 bytes a word."""
+    if x == y:
+        return True
+    if not edits or abs(len(x) - len(y)) > 8 * edits:
+        return False
+    head = _same(x, y, "little")
+    x, y = x[head:], y[head:]
+    tail = _same(x, y, "big")
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    # Both ends differ now, so that the first word takes an edit.
+    if max(len(x), len(y)) <= 8 * edits:
+        return True
+    return edits > 1 and any(near(a, b, edits - 1) for a, b in ((x[8:], y[8:]), (x[8:], y), (x, y[8:])))
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(members) of small blocks to links (id, other) that join what the block's links join.
+
+    In a pair one line is indexed there, and each of its gaps is within the gap's edits.
+    """
+    for batch in batches:
+        one, two = [], []
+        for members in batch.column(0).to_pylist():
+            lines_ = [(m["id"], m["centre"], [(g["edits"], g["words"]) for g in m["gaps"]]) for m in members]
+            lines_.sort(key=lambda m: not m[1])
+            part = {m[0]: m[0] for m in lines_}
+            groups = {name: [name] for name in part}
+            for k, (a, own, left) in enumerate(lines_):
+                if not own or len(groups) == 1:
+                    break
+                for b, _, right in lines_[k + 1 :]:
+                    if part[a] == part[b] or len(left) != len(right):
+                        continue
+                    if all(e == f and near(x, y, e) for (e, x), (f, y) in zip(left, right, strict=True)):
+                        one.append(a)
+                        two.append(b)
+                        gone = groups.pop(part[b])
+                        groups[part[a]] += gone
+                        part.update(dict.fromkeys(gone, part[a]))
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["id", "other"])
 
 
 # --- verification ------------------------------------------------------------------------
@@ -433,12 +508,12 @@ def _ids(keyed: DataFrame) -> DataFrame:
         return F.transform(column, lambda k: F.struct(k.alias("block"), F.lit(own).alias("centre")))
 
     keys = keyed.select(F.col("id8").alias("id"), F.explode(F.concat(flagged("keys", True), flagged("asks", False))).alias("k")).select("k.block", "id", "k.centre")
-    many = keys.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("centre").alias("any"), F.count(F.lit(1)).alias("n"))
-    many = keep(many.where("lo < hi and any").select("block", "lo", "hi", "n"), "line-keys")
-    # Two rows of a block are its least and greatest id; the others are looked up.
-    ends = many.select(F.explode(F.array("lo", "hi")).alias("id"))
-    more = keys.join(sized(many.where("n > 2").select("block")), "block", "left_semi").select("id")
-    return keep(ends.union(more).distinct(), "line-ids")
+    many = keys.groupBy("block").agg(F.max("centre").alias("any"), F.count(F.lit(1)).alias("n"))
+    many = keep(many.where("n > 1 and any").select("block"), "line-keys")
+    rows = keep(keys.join(sized(many), "block", "left_semi").select("block", "id"), "line-asks")
+    # A line of repeated words may have a key twice: such a block has no other line.
+    apart = rows.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    return keep(rows.join(apart.select("block"), "block", "left_semi").select("id").distinct(), "line-ids")
 
 
 def _linked(rows: DataFrame, classes: DataFrame, edits: Tolerance) -> DataFrame | None:
@@ -457,14 +532,24 @@ def _linked(rows: DataFrame, classes: DataFrame, edits: Tolerance) -> DataFrame
         return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(edits), "a binary, b binary")
 
     stars = Stars(verify, "line")
-    blocks = texts.mapInArrow(_first_level(edits), _BLOCKS)
+    level, source = partial(_first_level, edits), texts
     while True:
-        many = blocks.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("centre").alias("any"))
-        blocks = keep(blocks.join(many.where("lo < hi and any").select("block"), "block"), "line-level")
-        if blocks.isEmpty():
+        # The gaps are made once the blocks of two lines and more are known.
+        names = source.mapInArrow(level(_names), _NAMES)
+        many = names.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("centre").alias("any"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        few = (F.col("n") <= _FEW) & (F.col("bytes") <= _FEW_BYTES)
+        many = keep(many.where("lo < hi and any").select("block", few.alias("few")), "line-many")
+        if many.isEmpty():
+            return stars.found
+        blocks = source.mapInArrow(level(), _BLOCKS)
+        blocks = keep(blocks.join(sized(many), "block"), "line-level")
+        small = blocks.where("few").groupBy("block").agg(F.collect_list(F.struct("id", "centre", "gaps")).alias("members"))
+        with arrow_rows(rows.sparkSession, 8):
+            stars.compare(small.select("members").mapInArrow(_finish, "id binary, other binary"))
+        if many.where("not few").isEmpty():
             return stars.found
-        left = stars.open(stars.turn(blocks))
-        blocks = left.where(F.size("gaps") > 0).select("block", "id", "gaps").mapInArrow(_next_level, _BLOCKS)
+        left = stars.open(stars.turn(blocks.where("not few").drop("few")))
+        source, level = keep(left.where(F.size("gaps") > 0).select("block", "id", "gaps"), "line-left"), _next_level
 
 
 def _classes(docs: DataFrame, edits: Tolerance = Tolerance(), short: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_graph import thue_morse, union_find
-from veilframe.llm.linededup import Tolerance, line_classes, within, without_repeats
+from veilframe.llm.linededup import Tolerance, line_classes, near, within, without_repeats
 from veilframe.llm.minhash import near_duplicates, signatures, without_near_duplicates
 from veilframe.llm.topk import top_k
 from veilframe.llm.vecdedup import near_duplicate_vectors, pair_links
@@ -123,8 +123,22 @@ def brute_lines(docs, edits, short=False):
     return {p: found.get(p, p) for p, _, ws in flat if short or allowed(len(ws))}
 
 
+def test_near_is_edit_distance():
+    rng = random.Random(8)
+    for _ in range(4000):
+        x = [rng.randrange(3) for _ in range(rng.randint(0, 7))]
+        y = list(x) if rng.random() < 0.7 else [rng.randrange(3) for _ in range(rng.randint(0, 7))]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = rng.choice([[], [rng.randrange(3)]])
+        for t in (0, 1, 2):
+            assert near(np.array(x, np.int64).tobytes(), np.array(y, np.int64).tobytes(), t) == (lev(x, y) <= t)
+
+
+@pytest.mark.parametrize("few", [2, 128])
 @pytest.mark.parametrize(("edits", "n", "size"), [(Tolerance(3), 240, 14), (Tolerance(3, 3), 240, 14), (Tolerance(5, 9), 240, 14), (Tolerance(), 50, 150)])
-def test_line_classes_are_brute_force(spark, edits, n, size):
+def test_line_classes_are_brute_force(spark, monkeypatch, edits, n, size, few):
+    monkeypatch.setattr("veilframe.llm.linededup._FEW", few)
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3))) for _ in range(12)] + ["é", "春", "眠 眠"]
     base = [[rng.choice(words) for _ in range(rng.randint(size - 10, size))] for _ in range(8 if size < 20 else 2)]

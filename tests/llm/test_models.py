@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,22 @@ def test_profiles_are_bound_permuted_and_bundled():
     assert np.array_equal(base, np.roll(b, -1, axis=1)) and np.array_equal(base, c)
 
 
+def test_profiles_hold_few_trigrams_at_a_time():
+    """Memory of a chunk of rare trigrams, and the same sums whatever the blocks."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 262))) for _ in range(1000)]
+    tracemalloc.start()
+    langid.profiles(texts, 1024)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    want, known = langid.profiles(texts[:40], 64)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "_TRIGRAMS", 7)
+        got, also = langid.profiles(texts[:40], 64)
+    assert np.array_equal(got, want) and np.array_equal(known, also)
+
+
 def test_rates_solve_the_dual(spark):
     rng = random.Random(2)
     cells = [(s, size, rng.randint(1, 30)) for s in ("a", None) for size in (1, 3, 10, 50, 400)]

@@ -5,8 +5,9 @@ its letters' vectors, each permuted (rotated) by its place, and a text is the bu
 (sum) of its trigrams' vectors. A language's prototype is the bundle of all its training
 texts; a text takes the language whose prototype has the largest cosine with it.
 
-A chunk of texts is handled as counts of its distinct trigrams times their vectors, so
-that no vector is made for a letter of text. Bundles are whole numbers, and their sums
+A chunk of texts is handled as counts of its distinct trigrams times their vectors, a block
+of trigrams at a time, so that no vector is made for a letter of text and memory does not
+grow with a chunk's trigrams. Bundles are whole numbers, and their sums
 do not depend on order. Prototypes are ``dimensions`` numbers a language: what goes to
 each task is bounded by the number of languages.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 _SYMBOLS = 1024
 _MOST = 10_000
 _CHARS = 1 << 18
+#: Distinct trigrams, and counts of them in texts, that are held at a time.
+_TRIGRAMS, _COUNTS = 2048, 1 << 22
 
 
 @lru_cache(1)
@@ -63,9 +66,19 @@ def profiles(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]
     doc = np.searchsorted(starts, at[centre], "right") - 1
     both, n = np.unique((doc << 30) | codes, return_counts=True)
     distinct, column = np.unique(both & ((1 << 30) - 1), return_inverse=True)
-    counts = np.zeros((len(texts), len(distinct)), np.float32)
-    counts[both >> 30, column] = n
-    return counts @ _trigram_vectors(distinct, dimensions), counts.any(axis=1)
+    kind = np.float32 if len(symbols) < 1 << 24 else np.float64  # sums stay whole numbers
+    out = np.zeros((len(texts), dimensions), kind)
+    order = np.argsort(column, kind="stable")
+    doc, column, n = (both >> 30)[order], column[order], n[order]
+    width = min(_TRIGRAMS, max(64, _COUNTS // max(1, len(texts))))
+    for lo in range(0, len(distinct), width):
+        mine = slice(*np.searchsorted(column, [lo, lo + width]))
+        counts = np.zeros((len(texts), min(width, len(distinct) - lo)), kind)
+        counts[doc[mine], column[mine] - lo] = n[mine]
+        out += counts @ _trigram_vectors(distinct[lo : lo + width], dimensions)
+    known = np.zeros(len(texts), bool)
+    known[doc] = True
+    return out, known
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -104,14 +117,15 @@ def prototypes(train: DataFrame, dimensions: int) -> tuple[list[str], np.ndarray
     """
     parts = train.select("text", "lang").mapInArrow(_learn(dimensions), "lang string, at int, value long")
     sums = parts.groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    rows = sums.limit(_MOST * dimensions + 1).collect()
-    if len(rows) > _MOST * dimensions:
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    table = sums.groupBy("lang").agg(whole.alias("sums")).limit(_MOST + 1).toArrow()
+    if table.num_rows > _MOST:
         raise ValueError(f"lang has more than {_MOST} values")
-    langs = sorted({r.lang for r in rows})
-    out = np.zeros((len(langs), dimensions))
-    place = {lang: k for k, lang in enumerate(langs)}
-    for r in rows:
-        out[place[r.lang], r.at] = r.value
+    found = table["lang"].to_pylist()
+    order = sorted(range(len(found)), key=found.__getitem__)
+    langs = [found[k] for k in order]
+    flat = table["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    out = flat.reshape(len(found), dimensions)[order].astype(np.float64)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return langs, np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
 

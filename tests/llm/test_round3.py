@@ -15,6 +15,7 @@ from veilframe.llm._store import keep, looked_up
 from veilframe.llm.audit import interactions
 from veilframe.llm.codes import compress
 from veilframe.llm.decontaminate import contaminated
+from veilframe.llm.pii import find
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -182,3 +183,25 @@ def test_passages_are_those_of_brute_force(spark, rows, monkeypatch):
     none = contaminated(df, bf.limit(0)).collect()
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
     assert not any(r.contaminated for r in contaminated(df, bf.where("item_id = 24")).collect())
+
+
+def test_terms_of_one_text_are_no_evidence(spark):
+    """Precision and recall of planted terms among words of which most are rare."""
+    rng = random.Random(8)
+    word = lambda n: "".join("bcdfghjklmnprstvz"[(n >> 4 * k) % 17] + "aeiou"[(n >> 3 * k) % 5] for k in range(4))
+    rows, planted = [], {}
+    for i in range(1200):
+        ws = [word(int(2 ** (rng.random() * 17))) for _ in range(60)]
+        if i % 8 == 0:  # an address of its own, half of them of one site with a word that tells it
+            site = i % 16 == 0
+            ws[30:30] = (["Zorblax"] if site else []) + [f"u{i}@{'one.example' if site else f's{i}.example'}"]
+            planted[i] = site
+        rows.append((i, " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    share = {}
+    for z, least in ((0.0, 0.0), (1.2816, 0.5)):
+        got = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.terms] for r in find(df, deviations=z, least=least).collect()}
+        assert all(("Zorblax" in got[i]) == bool(planted.get(i)) for i, _ in rows)
+        spans = [w for ws in got.values() for w in ws]
+        share[z] = spans.count("Zorblax") / len(spans)
+    assert share[0.0] < 0.5 < 0.95 < share[1.2816], share

@@ -10,7 +10,11 @@ entity. The chance of the entity where the term stands is smoothed towards n / N
     q = (x m / k + prior n / N) / (x + prior),
 
 and the pointwise mutual information log(q N / n) is held against the entity's information
-content log(N / n). A term is disclosive if that ratio reaches ``disclosure``. All its
+content log(N / n). A term is disclosive if that ratio reaches ``disclosure``. With
+``deviations`` above 0, q is taken at the lower end of its score interval over x + prior
+texts, so that a word of one text tells nothing about a value of one text, which any rare
+word stands beside; and that end has to reach ``least``, as the ratio alone asks less of q
+the larger the corpus is. Values of one text have their domains and kinds as evidence. All its
 occurrences in the documents that hold the entity become spans of kind ``term``;
 ``sanitise`` replaces them by a general word, and entities by their kind.
 
@@ -24,6 +28,7 @@ the terms that matter, and exact joins follow.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +50,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+#: Distinct words that are counted before they are passed on.
+_WORDS = 1 << 17
 _FOUND = "doc_id long, h long, base array<struct<kind:int,start:long,end:long>>, pairs array<struct<entity:long,term:long>>"
 
 Span = tuple[int, int, int]
@@ -155,31 +162,40 @@ def _covered(text: str, spans: list[Span]) -> np.ndarray:
 
 
 def _count_terms(wanted: Bloom):
-    """(term, n): in how many texts of a batch each wanted term stands."""
+    """(term, n): in how many of some texts each wanted term stands."""
+
+    def counts(seen: Counter[str]) -> pa.RecordBatch:
+        h, n = _hash(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+        some = wanted.has(h)
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(n[some])], ["term", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
         for batch in batches:
-            seen: dict[int, int] = {}
-            for t in batch.column(0).to_pylist():
-                words = list({w.lower() for w in _WORD.findall(t)}) if t else []
-                if not words:
-                    continue
-                h = _hash(words)
-                for x in h[wanted.has(h)].tolist():
-                    seen[x] = seen.get(x, 0) + 1
-            if seen:
-                yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+            for t in batch.column(0):  # a text at a time
+                if t.is_valid:
+                    seen.update({w.lower() for w in set(_WORD.findall(t.as_py()))})
+                if len(seen) > _WORDS:  # words are hashed once, in how many texts they may stand
+                    yield counts(seen)
+                    seen.clear()
+        if seen:
+            yield counts(seen)
 
     return run
 
 
-def _places(wanted: Bloom):
-    """(doc_id, h, term, start, end) of the wanted terms in all of each text with entities."""
+def _places(wanted: Bloom, holders: Bloom):
+    """(doc_id, h, term, start, end) of the wanted terms in all of each text with entities.
+
+    holders: the texts with entities; of the others nothing is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, flat = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
+            known = batch.column(2).fill_null(0).to_numpy()
+            for k in np.flatnonzero(holders.has(known)).tolist():
+                t = batch.column(1)[k].as_py()
                 taken = entities(t) if t else []
                 if not taken:
                     continue
@@ -203,9 +219,19 @@ def _filter(pairs: DataFrame) -> Bloom:
     return Bloom(keep(pairs.select("term").distinct(), "pii-terms"), F.col("term"))
 
 
-def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: float = 0.5) -> DataFrame:
+def _held(both: DataFrame, each: DataFrame) -> DataFrame:
+    """both with n of its entity. Entities of a thousandth of all (text, entity) are sent to all tasks: a thousand at most."""
+    line = (each.agg(F.sum("n")).first()[0] or 0) / 1000
+    hot, rest = F.broadcast(each.where(F.col("n") >= line)), each.where(F.col("n") < line)
+    return both.join(hot, "entity").union(both.join(hot.select("entity"), "entity", "left_anti").join(rest, "entity"))
+
+
+def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: float = 0.5, deviations: float = 0.0, least: float = 0.0) -> DataFrame:
     """(doc_id, h, base, terms) of every row: spans of entities and of disclosive terms.
 
+    deviations: how many standard deviations below its estimate the chance of an entity
+    beside a term is taken; 0 is the estimate itself. least: what that chance has to reach.
+
     base: (kind number, start, end) in order of start and kind; terms: (start, end) in
     order; code points, end exclusive. h is a hash of the text. docs: doc_id long, text
     string; other columns are ignored. Null, empty and blank texts have no spans, but count as
@@ -223,18 +249,22 @@ def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: floa
     if both.isEmpty():
         return found.select("doc_id", "h", "base", none.alias("terms"))
     holders = some.select("doc_id", "h", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity"))
-    each = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    each = keep(holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "pii-entities")
     known = rows.select("text").mapInArrow(_count_terms(_filter(both)), "term long, n long").groupBy("term").agg(F.sum("n").alias("k"))
 
-    def ratio(m: Column) -> Column:
-        chance = (F.col("x") * m / F.col("k") + F.lit(prior) * F.col("n") / total) / (F.col("x") + F.lit(prior))
-        return F.log(chance * total / F.col("n")) / F.log(total / F.col("n"))
+    def tells(m: Column) -> Column:
+        """Grows with m, so that the most it could be says which terms are possible."""
+        n, texts, z2 = F.col("n"), F.col("x") + F.lit(prior), F.lit(deviations**2)
+        q = (F.col("x") * m / F.col("k") + F.lit(prior) * n / total) / texts
+        if deviations:
+            q = (q + z2 / (2 * texts) - deviations * F.sqrt(q * (1 - q) / texts + z2 / (4 * texts * texts))) / (1 + z2 / texts)
+        return (F.log(q * total / n) / F.log(total / n) >= disclosure) & (q >= least)
 
-    both = both.join(each, "entity").join(known, "term").where(F.col("n") < total)
-    both = keep(both.where(ratio(F.least("n", "k")) >= disclosure), "pii-possible")
+    both = _held(both, each).join(known, "term").where(F.col("n") < total)
+    both = keep(both.where(tells(F.least("n", "k"))), "pii-possible")
     if both.isEmpty():
         return found.select("doc_id", "h", "base", none.alias("terms"))
-    places = rows.select("doc_id", "text", "h").mapInArrow(_places(_filter(both)), "doc_id long, h long, term long, start long, end long")
+    places = rows.select("doc_id", "text", "h").mapInArrow(_places(_filter(both), Bloom(some, F.col("h"))), "doc_id long, h long, term long, start long, end long")
     places = keep(places.groupBy("doc_id", "h", "term").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "pii-places")
     # A row's doc_id and text, however often they are repeated.
     alike = holders.groupBy("doc_id", "h", "entity").agg(F.count(F.lit(1)).alias("rows"))
@@ -242,7 +272,7 @@ def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: floa
     met = alike.alias("a").join(places.alias("p"), same).select("p.doc_id", "p.h", "entity", "term", "rows", "spans").join(both, ["entity", "term"])
     met = keep(met, "pii-met")
     tell = met.groupBy("entity", "term").agg(F.sum("rows").alias("m"), *[F.first(c).alias(c) for c in ("x", "n", "k")])
-    tell = tell.where(ratio(F.least("m", "k")) >= disclosure).select("entity", "term")
+    tell = tell.where(tells(F.least("m", "k"))).select("entity", "term")
     spans = met.join(tell, ["entity", "term"]).select("doc_id", "h", F.explode("spans").alias("s"))
     spans = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("terms"))
     same = F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("f.h").eqNullSafe(F.col("s.h"))

@@ -64,8 +64,8 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_information_theoretic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data and disclosive terms in all documents."""
-    return digest(find(_table(spark, sf_dir, "documents")))
+    """Personal data and disclosive terms in all documents: better than even odds, at 90 % confidence."""
+    return digest(find(_table(spark, sf_dir, "documents"), deviations=1.2816, least=0.5))
 
 
 def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:

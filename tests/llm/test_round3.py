@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import codes as codes_module
 from veilframe.llm import decontaminate
+from veilframe.llm import vecdedup
 from veilframe.llm._store import keep, looked_up
 from veilframe.llm.audit import interactions
 from veilframe.llm.codes import compress
 from veilframe.llm.decontaminate import contaminated
 from veilframe.llm.pii import find
+from veilframe.llm.vecdedup import near_duplicate_vectors
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -205,3 +207,21 @@ def test_terms_of_one_text_are_no_evidence(spark):
         spans = [w for ws in got.values() for w in ws]
         share[z] = spans.count("Zorblax") / len(spans)
     assert share[0.0] < 0.5 < 0.95 < share[1.2816], share
+
+
+def test_vectors_of_a_hundred_lengths(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for d in range(1, 101):
+        one = [rng.gauss(0, 1) for _ in range(d)]
+        rows += [(4 * d, one, d % 3), (4 * d + 1, [2 * x + 1e-3 for x in one], d % 3), (4 * d + 2, [-x for x in one], d % 3), (4 * d + 3, one, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    want = {}
+    for i, v, g in rows:
+        near = [j for j, w, h in rows[4 * (i // 4 - 1) : 4 * (i // 4)] if j != i and h == g and cosine(v, w) >= 0.98]
+        want[i] = (len(near), min([i, *near]))
+    for most in (1 << 26, 1 << 20):  # all bases in one broadcast, and in three
+        monkeypatch.setattr(vecdedup, "MOST_BYTES", most)
+        assert len(list(vecdedup.groups(list(range(1, 101))))) == (1 if most == 1 << 26 else 3)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()} == want

@@ -2,7 +2,8 @@
 
 1. Equal vectors of a label collapse to one class with a count.
 2. The second moments of all unit vectors, summed on the executors, give an orthonormal
-   basis in order of variance. Rotation keeps every inner product.
+   basis in order of variance. Rotation keeps every inner product. Each length of vectors has
+   a basis; as many as ``MOST_BYTES`` hold are sent to tasks at a time.
 3. Vectors within ``cosine >= t`` differ by ``sqrt(2 - 2t)`` at most in each coordinate.
    Leading coordinates, cut at that width, are cells: links lie inside a cell or between
    touching ones. There are two of them, or more as long as that leaves fewer products to
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm._store import keep, sized
 from veilframe.llm._vectors import arrow_rows, finite, matrix, packed, tiles
@@ -30,8 +33,8 @@ from veilframe.llm.graph import components
 
 _MARGIN = 1e-9
 _MOST_COORDINATES = 6
-#: Vectors of more different lengths than this are a mistake in the table.
-_LENGTHS = 64
+#: Bases of lengths that are sent to tasks together.
+MOST_BYTES = 1 << 26
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +45,8 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.stack([v.values.to_numpy() for v, n in zip(batch.column(1), sizes, strict=True) if n == d])
             total[d] = total.get(d, 0) + x.T @ x
     for d, m in total.items():
-        yield pa.RecordBatch.from_pydict({"d": pa.array([d] * d * d, pa.int32()), "at": pa.array(range(d * d), pa.int32()), "value": pa.array(m.reshape(-1))})
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array((i * d + j).astype(np.int32)), pa.array(m[i, j])], ["d", "at", "value"])
 
 
 def touching(k: int) -> list[tuple[int, ...]]:
@@ -50,16 +54,28 @@ def touching(k: int) -> list[tuple[int, ...]]:
     return [(0,) * k, *[c for c in product((-1, 0, 1), repeat=k) if c > (0,) * k]]
 
 
-def basis(unit: DataFrame) -> dict[int, np.ndarray]:
-    """For each length d of vectors, the d x d eigenvectors of their second moments."""
-    lengths = unit.select("d").distinct().limit(_LENGTHS + 1).count()
-    if lengths > _LENGTHS:
-        raise ValueError(f"vectors have more than {_LENGTHS} different lengths")
-    rows = unit.select("d", "unit").mapInArrow(_moments, "d int, at int, value double").groupBy("d", "at").agg(F.sum("value").alias("value")).collect()
-    sums: dict[int, np.ndarray] = {}
-    for r in rows:
-        sums.setdefault(r.d, np.zeros(r.d * r.d))[r.at] = r.value
-    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in sums.items()}
+def groups(lengths: list[int]) -> Iterator[tuple[int, ...]]:
+    """Lengths in order, together as long as their bases fit ``MOST_BYTES``."""
+    group: list[int] = []
+    for d in sorted(lengths):
+        if group and 8 * sum(x * x for x in (*group, d)) > MOST_BYTES:
+            yield tuple(group)
+            group = []
+        group.append(d)
+    if group:
+        yield tuple(group)
+
+
+def basis(moments: DataFrame, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each of these lengths d, the d x d eigenvectors of the second moments (d, at, value)."""
+    rows = moments.where(F.col("d").between(lengths[0], lengths[-1])).toArrow()  # half of ``MOST_BYTES``, or one length's
+    size, at, value = (rows[c].to_numpy() for c in ("d", "at", "value"))
+    out = {}
+    for d in lengths:
+        mine, half = size == d, np.zeros(d * d)
+        half[at[mine]] = value[mine]
+        out[d] = np.linalg.eigh(half.reshape(d, d), UPLO="U")[1][:, ::-1].copy()
+    return out
 
 
 def pair_links(a: np.ndarray, b: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +129,30 @@ def _compare(bases: dict[int, np.ndarray], t: float):
     return run
 
 
-def _cells(unit: DataFrame, bases: dict[int, np.ndarray], width: float, tile: int) -> DataFrame:
-    """unit with cell: the places of the leading coordinates.
+def _place(bases: dict[int, np.ndarray], width: float):
+    """Adds cell, the places of the leading coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, units = np.asarray(batch.column("d")), batch.column("unit")
+            cell = np.zeros((len(sizes), _MOST_COORDINATES), np.int64)
+            for d in np.unique(sizes):
+                at, turn = np.flatnonzero(sizes == d), bases[d][:, :_MOST_COORDINATES]
+                x = units.take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
+                cell[at, : turn.shape[1]] = np.floor(x @ turn / width)
+            places = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * _MOST_COORDINATES, pa.array(cell.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, places], [*batch.schema.names, "cell"])
+
+    return run
+
+
+def _cells(out: DataFrame, tile: int) -> DataFrame:
+    """The rows with as much of their cell as makes for the least work.
 
     Each coordinate more makes cells smaller, and three times as many touch. The number of
     coordinates is the one, of two to ``_MOST_COORDINATES``, with the fewest products: the
     sum of squares over cells, and what sending each row to the cells that touch costs.
     """
-    out = None
-    for d, turn in bases.items():  # one branch for each length of vectors
-        each = [F.floor(F.aggregate(F.zip_with("unit", F.array(*map(F.lit, turn[:, k].tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / width) for k in range(min(_MOST_COORDINATES, d))]
-        zero = [F.lit(0).cast("long")] * (_MOST_COORDINATES - len(each))
-        mine = unit.where(F.col("d") == d).withColumn("cell", F.array(*each, *zero))
-        out = mine if out is None else out.union(mine)
-    out = keep(out, "placed")
     best, least = 2, math.inf
     for k in range(2, _MOST_COORDINATES + 1):
         sizes = out.groupBy("label", "d", F.slice("cell", 1, k).alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -162,13 +188,22 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, tile: int =
     classes = classes.withColumn("v", scaled).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
     unit = classes.select("h1", "h2", "rep", "n", "label", F.size("v").alias("d"), F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
     unit = keep(unit, "units")
-    bases = basis(unit)
+    together = list(groups([r.d for r in unit.select("d").distinct().collect()]))  # a number a length
     width = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
     out = rows.select("vec_id", "h1", "h2")
-    if not bases:
+    if not together:
         none = {"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.lit(True)}
         return out.select("vec_id").withColumns(none)
-    placed = _cells(unit, bases, width, tile)
+    moments = unit.select("d", "unit").mapInArrow(_moments, "d int, at int, value double").groupBy("d", "at").agg(F.sum("value").alias("value"))
+    moments = keep(moments, "moments")
+    bases = lru_cache(1)(lambda lengths: basis(moments, lengths))  # of one group of lengths at a time
+
+    def of(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+        return rows.where(F.col("d").between(lengths[0], lengths[-1]))
+
+    kind = T.StructType([*unit.schema.fields, T.StructField("cell", T.ArrayType(T.LongType()))])
+    placed = [keep(of(unit, g).mapInArrow(_place(bases(g), width), kind), "placed") for g in together]
+    placed = _cells(reduce(DataFrame.union, placed), tile)
     # A row for each cell; a full cell is dealt by hash into parts.
     count = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
     count = sized(keep(count, "cells"))
@@ -184,9 +219,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, tile: int =
     one = tiled.withColumnRenamed("members", "left")
     two = tiled.select("label", "d", F.col("cell").alias("cell_"), F.col("sub").alias("sub_"), "members")
     pairs = keys.join(one, own).join(two, ["label", "d", "cell_", "sub_"])
-    pairs = pairs.select(((F.col("at") == 0) & (F.col("sub") == F.col("sub_"))).alias("same"), "left", "members")
+    pairs = pairs.select(((F.col("at") == 0) & (F.col("sub") == F.col("sub_"))).alias("same"), "left", "members", "d")
     with arrow_rows(spark, 4):
-        found = keep(pairs.mapInArrow(_compare(bases, cosine), "rep long, links long, root long"), "vector-links")
+        found = [keep(of(pairs, g).drop("d").mapInArrow(_compare(bases(g), cosine), "rep long, links long, root long"), "vector-links") for g in together]
+    found = reduce(DataFrame.union, found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors")
     classes = unit.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")

@@ -6,11 +6,13 @@ import random
 import re
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import codes as codes_module
 from veilframe.llm import decontaminate
+from veilframe.llm import langid
 from veilframe.llm import vecdedup
 from veilframe.llm._store import keep, looked_up
 from veilframe.llm.audit import interactions
@@ -225,3 +227,37 @@ def test_vectors_of_a_hundred_lengths(spark, monkeypatch):
         monkeypatch.setattr(vecdedup, "MOST_BYTES", most)
         assert len(list(vecdedup.groups(list(range(1, 101))))) == (1 if most == 1 << 26 else 3)
         assert {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()} == want
+
+
+def test_languages_in_blocks_and_by_plain_cosine(spark, monkeypatch):
+    """Prototypes and the best cosine in NumPy alone, whatever the number of blocks."""
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(60)]
+    rows = []
+    for i in range(240):
+        mine = random.Random(i % 24).sample(stems, 12)
+        rows.append((i, " ".join(rng.choice(mine) for _ in range(rng.randint(1, 20))), f"x{i % 24}"))
+    rows += [(900, None, "x1"), (901, "12 34", "x2"), (902, "", None), (904, "abc ABC", None), (905, "\u4e00" * 3000, None), (None, "abc", "never")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums = {}
+    for i, t, g in rows:
+        if i is not None and i % 4 != 2 and t is not None and g is not None:
+            sums[g] = sums.get(g, 0) + langid.profiles([t], 256)[0][0].astype(float)
+    langs = sorted(sums)
+    unit = np.array([sums[g] / max(np.linalg.norm(sums[g]), 1e-30) for g in langs])  # of a language without letters: zero
+    want = {}
+    for i, t, _ in rows:
+        v, known = langid.profiles([t or ""], 256)
+        if not known[0]:
+            want[i] = {"und": 0.0}
+            continue
+        cosine = unit @ v[0] / max(np.linalg.norm(v[0]), 1e-30)
+        want[i] = {g: min(1.0, max(0.0, c)) for g, c in zip(langs, cosine, strict=True) if c >= cosine.max() - 1e-6}
+    for most in (10_000, 5):
+        monkeypatch.setattr(langid, "_MOST", most)
+        got = langid.identify(df, F.col("doc_id") % 4 == 2, dimensions=256).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.lang_pred in want[r.doc_id] and abs(r.score - want[r.doc_id][r.lang_pred]) < 1e-5, r
+    assert {r.lang_pred for r in langid.identify(df.where("false"), F.lit(False)).collect()} == set()
+    assert {(r.lang_pred, r.score) for r in langid.identify(df, F.lit(True)).collect() if r.doc_id is not None} == {("und", 0.0)}

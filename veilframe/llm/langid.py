@@ -8,8 +8,8 @@ texts; a text takes the language whose prototype has the largest cosine with it.
 A chunk of texts is handled as counts of its distinct trigrams times their vectors, a block
 of trigrams at a time, so that no vector is made for a letter of text and memory does not
 grow with a chunk's trigrams. Bundles are whole numbers, and their sums
-do not depend on order. Prototypes are ``dimensions`` numbers a language: what goes to
-each task is bounded by the number of languages.
+do not depend on order. Prototypes are ``dimensions`` numbers a language; where there are
+very many languages they go to tasks in blocks, and a text takes the best of all blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm._store import keep
 
 _SYMBOLS = 1024
+#: Languages whose prototypes go to tasks together, give or take what a hash deals to a block.
 _MOST = 10_000
 _CHARS = 1 << 18
 #: Distinct trigrams, and counts of them in texts, that are held at a time.
@@ -109,40 +112,41 @@ def _learn(dimensions: int):
     return run
 
 
-def prototypes(train: DataFrame, dimensions: int) -> tuple[list[str], np.ndarray]:
-    """The learned languages in order, and their unit prototypes.
-
-    ``_MOST`` languages at most: prototypes go to every task, and more distinct values than
-    there are languages are a mistake in the table.
-    """
+def prototypes(train: DataFrame, dimensions: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Blocks of the learned languages, in order, and their unit prototypes."""
     parts = train.select("text", "lang").mapInArrow(_learn(dimensions), "lang string, at int, value long")
     sums = parts.groupBy("lang", "at").agg(F.sum("value").alias("value"))
     whole = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
-    table = sums.groupBy("lang").agg(whole.alias("sums")).limit(_MOST + 1).toArrow()
-    if table.num_rows > _MOST:
-        raise ValueError(f"lang has more than {_MOST} values")
-    found = table["lang"].to_pylist()
-    order = sorted(range(len(found)), key=found.__getitem__)
-    langs = [found[k] for k in order]
-    flat = table["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    out = flat.reshape(len(found), dimensions)[order].astype(np.float64)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return langs, np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
-
-
-def _predict(langs: list[str], unit: np.ndarray):
+    table = keep(sums.groupBy("lang").agg(whole.alias("sums")), "languages")
+    blocks = -(-table.count() // _MOST)
+    for k in range(blocks):
+        mine = table.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k).toArrow()
+        if not mine.num_rows:
+            continue
+        found = mine["lang"].to_pylist()
+        order = sorted(range(len(found)), key=found.__getitem__)
+        flat = mine["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out = flat.reshape(len(found), dimensions)[order].astype(np.float64)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        yield [found[k] for k in order], np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
+
+
+def _predict(block: Broadcast):
+    """(doc_id, held_out, text, lang, cosine) with the best of this block where it is better; lang is null before the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*langs, "und"], object)
+        langs, unit = block.value
         for batch in batches:
             for lo, texts in _pieces(batch.column(2).to_pylist()):
                 vectors, known = profiles(texts, unit.shape[1])
                 norm = np.linalg.norm(vectors, axis=1, keepdims=True)
                 cosine = np.divide(vectors @ unit.T, norm, out=np.zeros((len(texts), len(langs)), np.float32), where=norm > 0)
-                best = cosine.argmax(axis=1) if langs else np.zeros(len(texts), int)
-                score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(np.float64) if langs else np.zeros(len(texts))
-                known &= bool(langs)
-                own = [batch.column(k).slice(lo, len(texts)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(names[np.where(known, best, len(langs))].tolist(), pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+                best = cosine.argmax(axis=1)
+                score = cosine[np.arange(len(texts)), best].astype(np.float64).tolist()
+                rows = batch.slice(lo, len(texts))
+                old = zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True)
+                new = [(langs[b], s) if k and (lang is None or (-s, langs[b]) < (-was, lang)) else (lang, was) for (lang, was), k, b, s in zip(old, known, best, score, strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([x[0] for x in new], pa.string()), pa.array([x[1] for x in new], pa.float64())], ["doc_id", "held_out", "text", "lang", "cosine"])
 
     return run
 
@@ -160,5 +164,10 @@ def identify(docs: DataFrame, held_out: Column, dimensions: int = 1024) -> DataF
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.where("not held_out and doc_id is not null and lang is not null and text is not null")
-    langs, unit = prototypes(train, dimensions)
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(langs, unit), "doc_id long, held_out boolean, lang_pred string, score double")
+    none = {"lang": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")}
+    out = rows.select("doc_id", "held_out", "text").withColumns(none)
+    for block in prototypes(train, dimensions):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(_predict(sent), "doc_id long, held_out boolean, text string, lang string, cosine double")
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))))
+    return out.select("doc_id", "held_out", F.coalesce("lang", F.lit("und")).alias("lang_pred"), score.alias("score"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import codes as codes_module
 from veilframe.llm import decontaminate
-from veilframe.llm import langid
+from veilframe.llm import langid, linededup
 from veilframe.llm import vecdedup
 from veilframe.llm._store import keep, looked_up
 from veilframe.llm.audit import interactions
@@ -261,3 +261,34 @@ def test_languages_in_blocks_and_by_plain_cosine(spark, monkeypatch):
             assert r.lang_pred in want[r.doc_id] and abs(r.score - want[r.doc_id][r.lang_pred]) < 1e-5, r
     assert {r.lang_pred for r in langid.identify(df.where("false"), F.lit(False)).collect()} == set()
     assert {(r.lang_pred, r.score) for r in langid.identify(df, F.lit(True)).collect() if r.doc_id is not None} == {("und", 0.0)}
+
+
+@pytest.mark.parametrize("few", [1, 4, 48])
+def test_blocks_narrowed_in_memory_have_the_parts_of_all_pairs(monkeypatch, few):
+    monkeypatch.setattr(linededup, "_PAIRS", few)
+    for seed in range(12):
+        rng = random.Random(seed)
+        t = 1 + seed % 2
+        base = [[rng.randrange(6 if seed < 6 else 500) for _ in range(rng.choice([0, 3, 12, 40, 90]))] for _ in range(3)]
+        lines = []
+        for _ in range(120):
+            x = list(rng.choice(base))
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(x) + 1)
+                x[k : k + rng.randint(0, 1)] = rng.choice([[], [rng.randrange(500)]])
+            lines.append(np.array(x, np.int64).tobytes())
+        names = [bytes([k]) for k in range(len(lines))]
+        parts = linededup._Parts(names)
+        linededup.finish([(n, True, [(t, x)]) for n, x in zip(names, lines, strict=True)], parts)
+        want = list(range(len(lines)))
+        for i in range(len(lines)):
+            for j in range(i):
+                if want[i] != want[j] and linededup.near(lines[i], lines[j], t):
+                    a, b = sorted((want[i], want[j]))
+                    want = [a if w == b else w for w in want]
+        got = {}
+        for k, n in enumerate(names):
+            got.setdefault(parts.of[n], []).append(k)
+        first = {k: g[0] for g in got.values() for k in g}
+        assert [first[k] for k in range(len(lines))] == want, seed
+        assert len(parts.links) == len(lines) - len(got)

@@ -16,8 +16,9 @@ words (``Tolerance``).
    go through the same index with these smaller thresholds, inside their block, until a
    gap of one edit is short: it is looked up without each of its words, and all lines that
    meet there are within the threshold. Lines that only share a half are told apart so.
-4. A block of few lines is finished in one task, which compares the gaps of lines that it
-   has not joined yet and returns fewer links than lines. A larger one forms a star about
+4. A block of a few thousand lines at most is finished in one task, which narrows the gaps in
+   memory, compares those of lines that it has not joined yet once few lines are left, and
+   returns fewer links than lines. A larger one forms a star about
    one line (see ``graph.Stars``), never all pairs, and goes to the next level. A candidate
    is verified by edit distance, with bit-parallel arithmetic on a band. Blocks that are
    joined, and blocks of one line, are left out of the next level.
@@ -52,7 +53,9 @@ _GAP = 32
 #: Bytes of gaps in a batch.
 _HELD = 1 << 22
 #: A block of so many lines, with so many bytes of gaps, at most is finished in one task.
-_FEW, _FEW_BYTES = 128, 1 << 22
+_FEW, _FEW_BYTES = 4096, 1 << 22
+#: There, blocks of so many lines at most are compared line by line, larger ones are narrowed.
+_PAIRS = 48
 #: Words of all pairs that are verified side by side.
 _SIDE = 1 << 21
 
@@ -373,30 +376,71 @@ def near(x: bytes, y: bytes, edits: int) -> bool:
     return edits > 1 and any(near(a, b, edits - 1) for a, b in ((x[8:], y[8:]), (x[8:], y), (x, y[8:])))
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(members) of small blocks to links (id, other) that join what the block's links join.
+class _Parts:
+    """What links join in a block; a link is noted if it joins two parts."""
+
+    def __init__(self, names: list[bytes]) -> None:
+        self.of = {name: name for name in names}
+        self.members = {name: [name] for name in self.of}
+        self.links: list[tuple[bytes, bytes]] = []
+
+    def join(self, a: bytes, b: bytes) -> None:
+        x, y = self.of[a], self.of[b]
+        if x == y:
+            return
+        self.links.append((a, b))
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        gone = self.members.pop(y)
+        self.members[x] += gone
+        self.of.update(dict.fromkeys(gone, x))
+
+    def compare(self, one: tuple, others: list[tuple]) -> None:
+        """Joins a line with those of other parts that are linked with it: each of their gaps is within its edits."""
+        a, _, left = one
+        for b, _, right in others:
+            if self.of[a] != self.of[b] and len(left) == len(right):
+                if all(e == f and near(x, y, e) for (e, x), (f, y) in zip(left, right, strict=True)):
+                    self.join(a, b)
+
 
-    In a pair one line is indexed there, and each of its gaps is within the gap's edits.
+def finish(block: list[tuple[bytes, bool, list[tuple[int, bytes]]]], parts: _Parts) -> None:
+    """Joins what links join among lines (id, own, gaps) of a block; in a pair one is indexed there.
+
+    A large block is a star first, and then narrowed as in the next level; blocks of one
+    part are done with.
     """
+    block = sorted(block, key=lambda m: not m[1])
+    own = sum(m[1] for m in block)
+    if not own or len({parts.of[m[0]] for m in block}) < 2:
+        return
+    if len(block) <= _PAIRS:
+        for k in range(own):
+            parts.compare(block[k], block[k + 1 :])
+        return
+    parts.compare(block[0], block[1:])
+    if len({parts.of[m[0]] for m in block}) < 2:
+        return
+    blocks: dict[int, list[tuple]] = {}
+    for name, _, gaps in block:
+        if gaps:  # lines without a gap are linked with the first, if that has none
+            (t, words), *rest = gaps
+            for key, own_, left in narrower(0, words, [t] * (t + 1), rest):
+                blocks.setdefault(key, []).append((name, own_, left))
+    while blocks:
+        finish(blocks.popitem()[1], parts)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(members) of blocks to links (id, other) that join what the block's links join."""
     for batch in batches:
-        one, two = [], []
-        for members in batch.column(0).to_pylist():
-            lines_ = [(m["id"], m["centre"], [(g["edits"], g["words"]) for g in m["gaps"]]) for m in members]
-            lines_.sort(key=lambda m: not m[1])
-            part = {m[0]: m[0] for m in lines_}
-            groups = {name: [name] for name in part}
-            for k, (a, own, left) in enumerate(lines_):
-                if not own or len(groups) == 1:
-                    break
-                for b, _, right in lines_[k + 1 :]:
-                    if part[a] == part[b] or len(left) != len(right):
-                        continue
-                    if all(e == f and near(x, y, e) for (e, x), (f, y) in zip(left, right, strict=True)):
-                        one.append(a)
-                        two.append(b)
-                        gone = groups.pop(part[b])
-                        groups[part[a]] += gone
-                        part.update(dict.fromkeys(gone, part[a]))
+        links = []
+        for k in range(batch.num_rows):  # one block at a time
+            block = [(m["id"], m["centre"], [(g["edits"], g["words"]) for g in m["gaps"]]) for m in batch.column(0)[k].as_py()]
+            parts = _Parts([m[0] for m in block])
+            finish(block, parts)
+            links += parts.links
+        one, two = zip(*links, strict=True) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["id", "other"])
 
 

@@ -209,12 +209,12 @@ def _fetch(wanted: Bloom):
                 some = end > start
                 flat, at = normal(data, start[some], end[some])
                 raw = flat.tobytes()
-                texts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                names = [xxhash.xxh3_128_digest(t) for t in texts]
+                at = at.tolist()
+                names = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
                 at8 = np.frombuffer(b"".join(names), np.int64)[::2]
                 found = {names[k]: k for k in np.flatnonzero(wanted.has(at8)).tolist()}
                 rows = list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(at8[rows]), pa.array([texts[k] for k in rows], pa.binary())], ["id", "id8", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(at8[rows]), pa.array([raw[at[k] : at[k + 1]] for k in rows], pa.binary())], ["id", "id8", "text"])
 
     return run
 
@@ -435,8 +435,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(members) of blocks to links (id, other) that join what the block's links join."""
     for batch in batches:
         links = []
-        for k in range(batch.num_rows):  # one block at a time
-            block = [(m["id"], m["centre"], [(g["edits"], g["words"]) for g in m["gaps"]]) for m in batch.column(0)[k].as_py()]
+        members = batch.column(0).flatten()
+        names, own, gaps = (members.field(c) for c in ("id", "centre", "gaps"))
+        each = list(zip(*[gaps.flatten().field(c).to_pylist() for c in ("edits", "words")], strict=True))
+        at = np.concatenate([[0], np.cumsum(gaps.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        lines_ = [(n, c, each[a:b]) for n, c, a, b in zip(names.to_pylist(), own.to_pylist(), at, at[1:], strict=False)]
+        ends = np.concatenate([[0], np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            block = lines_[lo:hi]
             parts = _Parts([m[0] for m in block])
             finish(block, parts)
             links += parts.links

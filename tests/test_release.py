@@ -387,6 +387,18 @@ def test_distinct_counts_of_all_kinds(spark):
     assert "TakeOrdered" in plan and "Python" not in plan
 
 
+def test_detection_reads_all_of_a_table_within_its_limit(spark, sf, tmp_path):
+    """Twelve thousand suppliers are all read, and no task sorts them."""
+    from veilframe.operators.profile import detection_sample
+    from veilframe.plans.queries import queries
+
+    spark.range(12_000).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.read.parquet(f"{sf}/lineitem.parquet").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in queries()["detection_rows"](spark, str(tmp_path)).collect()] == [(1000, 12_000, 0)]
+    assert "TakeOrdered" not in detection_sample(spark.range(50), 50)._jdf.queryExecution().executedPlan().toString()
+    assert detection_sample(spark.range(51), 50).count() == 50
+
+
 def test_one_file_is_written_by_many_tasks(spark, tmp_path):
     """Parts in the order of rows behind one header, whatever the names of columns are."""
     from veilframe.sinks import write_csv

@@ -107,10 +107,13 @@ def is_card(s: Column) -> Column:
 def detection_sample(df: DataFrame, limit: int, seed: int = 0) -> DataFrame:
     """At most ``limit`` rows for detection: those with the least hash of all columns.
 
-    Each task keeps so many of its own, and only they are shuffled.
+    Each task keeps so many of its own, and only they are shuffled. A table of no more rows is
+    returned as it is.
     """
     if limit <= 0:
         return df.limit(0)
+    if df.count() <= limit:
+        return df
     columns = [F.array_sort(F.map_entries(qcol(f.name))) if isinstance(f.dataType, T.MapType) else qcol(f.name) for f in df.schema.fields]
     return df.orderBy(F.xxhash64(F.lit(seed), *columns)).limit(limit)
 

@@ -207,11 +207,11 @@ def named_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT least(1000, count(*)) AS sampled, count(*) AS small, 0 AS none FROM lineitem".replace("count(*) AS small", "(SELECT count(*) FROM supplier) AS small"))
 def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows detection reads: so many at most, all of a small table, none if none are wanted; twice the same ones."""
-    df = _t(spark, sf_dir, "lineitem")
+    """How many rows detection reads: so many at most, all of a table that is no larger, none if none are wanted; twice the same ones."""
+    df, small = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "supplier")
     one, two = detection_sample(df, 1000), detection_sample(df.repartition(3), 1000)
     n = one.intersectAll(two).count()
-    return spark.createDataFrame([(n, detection_sample(_t(spark, sf_dir, "supplier"), 10_000).count(), detection_sample(df, 0).count())], "sampled long, small long, none int")
+    return spark.createDataFrame([(n, detection_sample(small, max(10_000, small.count())).count(), detection_sample(df, 0).count())], "sampled long, small long, none int")
 
 
 _MAILS = "CASE WHEN c_custkey % 6 > 0 THEN 'u' || c_custkey || '@site.example' WHEN c_custkey % 12 = 0 THEN 'none' END"

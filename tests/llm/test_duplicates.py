@@ -275,3 +275,53 @@ def test_top_k_is_brute_force(spark):
     assert got == want
     assert top_k(df.limit(3), F.col("vec_id") % 20 == 0, k=7).count() == 2
     assert top_k(df.where("false"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("few", [2, 5, 64])
+def test_families_within_families_lose_no_link(spark, monkeypatch, few):
+    """Members of one block with shared deviations: components are those of all pairs, however few are compared at once."""
+    from veilframe.llm import minhash
+
+    monkeypatch.setattr(minhash, "_FEW", few)
+    rng = random.Random(11)
+    sides = [[1000 * s + k for k in range(14)] for s in range(1, 7)]
+    sets = {}
+    for i in range(160):
+        own = set(range(60)) - set(rng.sample(range(60), rng.randint(0, 4))) | set(rng.sample(rng.choice(sides), rng.randint(0, 12)))
+        sets[f"{i:04d}".encode()] = own | {10_000 + 10 * i + k for k in range(rng.randint(0, 4))}
+    open_ = spark.createDataFrame([(1, i, i) for i in sets], "block long, id binary, component binary")
+    full = spark.createDataFrame([(i, len(s), list(s)) for i, s in sets.items()], "id binary, n_shingles long, shingles array<long>")
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    got = {tuple(sorted((bytes(r.id), bytes(r.other)))) for r in minhash.rest_pairs(open_, full, 80).collect()}
+    ids = sorted(sets)
+    assert union_find([p for p in got if linked(*p)]) == union_find([(a, b) for k, a in enumerate(ids) for b in ids[:k] if linked(a, b)])
+
+
+def test_a_member_of_many_shared_elements_is_in_few_families(spark):
+    """Ten elements of which each misses one of 100 members make one family of theirs; too large for that, one each."""
+    from veilframe.llm.minhash import _hot
+
+    rows = [(1, 10 * i + e, e, f"{i:03d}".encode()) for i in range(100) for e in range(10) if i != 90 + e]
+    each = spark.createDataFrame([(f, e, i) for f, _, e, i in rows], "family long, e long, id binary")
+    first = each.groupBy("family", "e").agg(F.min("id").alias("lead"))
+    for members, families, most in ((200, 1, 100), (150, 10, 990)):
+        got = _hot(each, first, spark.createDataFrame([(1, members)], "family long, members long"))
+        assert (got.select("family").distinct().count(), got.count(), got.distinct().count()) == (families, most, most)
+
+
+def test_members_that_few_have_first_make_no_family(spark, monkeypatch):
+    """An element that many members have, but none among its first, is no reason to compare them."""
+    from veilframe.llm import minhash
+
+    rounds, pairs = [], minhash._family_pairs
+    monkeypatch.setattr(minhash, "_family_pairs", lambda rows, percent: rounds.append(rows.count()) or pairs(rows, percent))
+    monkeypatch.setattr(minhash, "_FEW", 20)
+    # 80 of 200 share 40 elements, but 70 of these have 50 rarer ones each, shared with one other member.
+    side = set(range(500, 540))
+    rare = lambda i: {1000 + 50 * (i // 2) + k for k in range(50)} if i < 70 else set()
+    sets = {i: set(range(100)) | (side | rare(i) if i < 80 else {900 + i}) for i in range(200)}
+    ids = {i: f"{i:04d}".encode() for i in sets}
+    open_ = spark.createDataFrame([(1, x, x) for x in ids.values()], "block long, id binary, component binary")
+    full = spark.createDataFrame([(ids[i], len(s), list(s)) for i, s in sets.items()], "id binary, n_shingles long, shingles array<long>")
+    minhash.rest_pairs(open_, full, 80).count()
+    assert rounds == [200]

@@ -125,8 +125,11 @@ def rest_pairs(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
       of frequency: k (|x| + |y|) / 2 + 1 of the one with the smaller D, k (|x| + |y|)
       + 1 of the other (prefix filter). Near-copies with edits of their own share few.
 
-    Few members that share an element are compared. Many of them are a family again, with
-    a consensus of its own; it has half of the members at most, so this comes to an end.
+    Few members with an element among their first are compared. Many of them are a family
+    again, with a consensus of its own; it has half of the members at most, so this comes to
+    an end. Elements of the same lead, the member of least hash among those that have them
+    first, make one family, so that a member of many such elements is not in a family for
+    each; if that is more than half of the members, each element makes its own.
 
     open_: (block, id, component), full: (id, n_shingles, shingles).
     """
@@ -174,15 +177,14 @@ def _family_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     place = F.row_number().over(Window.partitionBy("id", "family").orderBy("n", "e"))
     each = each.join(seen, ["family", "e"]).withColumn("place", place)
     reach = F.lit(k * (1 + 100 / percent)) * F.col("n_shingles") + 1e-6
-    each = each.where((F.col("n") > 1) & (F.col("place") <= F.floor(reach) + 1)).select("id", "family", "e", "n", (F.col("place") <= F.floor(reach / 2) + 1).alias("short"), "place")
+    each = each.where((F.col("n") > 1) & (F.col("place") <= F.floor(reach) + 1)).select("id", "family", "e", (F.col("place") <= F.floor(reach / 2) + 1).alias("short"), "place")
     each = keep(each, "minhash-prefix")
-    many = each.where(F.col("n") > _FEW)
-    # Elements that the same members share make one family.
-    group = many.groupBy("family", "e").agg(F.count(F.lit(1)).alias("members"), F.expr("sum(cast(xxhash64(id) as decimal(20,0)))").alias("total"))
-    group = group.groupBy("family", "members", "total").agg(F.min("e").alias("e")).where("members > 1")
-    hot = many.join(group, ["family", "e"]).select("id", F.xxhash64("family", "e").alias("family"))
+    # Only those that have an element among their first meet by it, however many others have it.
+    first = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("lead"))
+    first = keep(first.select("family", "e", "n", F.col("lead.id").alias("lead")), "minhash-first")
+    hot = keep(_hot(each, first.where(F.col("n") > _FEW), size), "minhash-hot")
 
-    each = each.where(F.col("n") <= _FEW).join(mine, ["id", "family"])
+    each = each.join(first.where((F.col("n") > 1) & (F.col("n") <= _FEW)).select("family", "e"), ["family", "e"]).join(mine, ["id", "family"])
     x, y = each.where("short").alias("x"), each.alias("y")
     both = F.col("x.n_shingles") + F.col("y.n_shingles")
     fits = (F.col("x.component") != F.col("y.component")) & ((F.col("x.nd") < F.col("y.nd")) | ((F.col("x.nd") == F.col("y.nd")) & (F.col("x.id") != F.col("y.id"))))
@@ -192,7 +194,21 @@ def _family_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     overlap = (F.col("x.nd") + F.col("y.nd") - k * both) / 2 - 1e-6
     fits = fits & (F.col("x.nd") - F.col("x.place") + 1 >= overlap) & (F.col("y.nd") - F.col("y.place") + 1 >= overlap)
     near = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e")) & fits)
-    return star.union(near.select("x.id", "y.id")), keep(hot, "minhash-hot")
+    return star.union(near.select("x.id", "y.id")), hot
+
+
+def _hot(each: DataFrame, many: DataFrame, size: DataFrame) -> DataFrame:
+    """(id, family) of the families that the members of elements in many make.
+
+    each: (family, e, id), many: (family, e, lead), size: (family, members).
+    """
+    rows = keep(each.select("family", "e", "id").join(many.select("family", "e", "lead"), ["family", "e"]), "minhash-many")
+    led = rows.select("family", "lead", "id").distinct()
+    wide = led.groupBy("family", "lead").agg(F.count(F.lit(1)).alias("n")).join(size, "family")
+    wide = keep(wide.select("family", "lead", (F.col("n") * 2 > F.col("members")).alias("wide")), "minhash-led")
+    one = led.join(wide.where("not wide"), ["family", "lead"]).select("id", F.xxhash64("family", "lead").alias("family"))
+    own = rows.join(wide.where("wide"), ["family", "lead"])
+    return one.union(own.select("id", F.xxhash64("family", "e").alias("family")))
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:

@@ -52,6 +52,9 @@ _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 #: Distinct words that are counted before they are passed on.
 _WORDS = 1 << 17
+#: Pairs of entities and words of a text that are looked up at once.
+_PAIRS = 1 << 18
+_MET = "doc_id long, h long, entity long, term long, starts array<long>, ends array<long>"
 _FOUND = "doc_id long, h long, base array<struct<kind:int,start:long,end:long>>, pairs array<struct<entity:long,term:long>>"
 
 Span = tuple[int, int, int]
@@ -184,15 +187,16 @@ def _count_terms(wanted: Bloom):
     return run
 
 
-def _places(wanted: Bloom, holders: Bloom):
-    """(doc_id, h, term, start, end) of the wanted terms in all of each text with entities.
+def _met(wanted: Bloom, possible: Bloom, holders: Bloom):
+    """(doc_id, h, entity, term, starts, ends): the possible pairs of the entities and the words of a text, and where these stand.
 
     holders: the texts with entities; of the others nothing is read.
     """
+    names = ["doc_id", "h", "entity", "term", "starts", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, flat = [], []
+            found, n_found = [], 0
             known = batch.column(2).fill_null(0).to_numpy()
             for k in np.flatnonzero(holders.has(known)).tolist():
                 t = batch.column(1)[k].as_py()
@@ -200,20 +204,47 @@ def _places(wanted: Bloom, holders: Bloom):
                 if not taken:
                     continue
                 covered = _covered(t, taken)
-                for m in _WORD.finditer(t):
-                    a, b = m.span()
-                    if covered[a] == covered[b]:
-                        rows.append(k)
-                        flat.append((m[0].lower(), a, b))
-            h = _hash([f[0] for f in flat])
-            some = np.flatnonzero(wanted.has(h))
-            at = pa.array(np.array(rows, np.int64)[some])
-            ends = [pa.array([flat[i][c] for i in some.tolist()], pa.int64()) for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(h[some]), *ends], ["doc_id", "h", "term", "start", "end"])
+                words = [(m[0].lower(), *m.span()) for m in _WORD.finditer(t) if covered[m.start()] == covered[m.end()]]
+                h = _hash([w[0] for w in words])
+                some = np.flatnonzero(wanted.has(h))
+                if not len(some):
+                    continue
+                some = some[np.argsort(h[some], kind="stable")]
+                term, first = np.unique(h[some], return_index=True)
+                edge = np.append(first, len(some))
+                start, end = (np.array([words[i][c] for i in some.tolist()], np.int64) for c in (1, 2))
+                entity = np.unique(_hash([e for kind, a, b in taken for e in _levels(kind, t[a:b].lower())]))
+                step = max(1, _PAIRS // len(term))
+                for lo in range(0, len(entity), step):
+                    each = entity[lo : lo + step]
+                    e, w = np.nonzero(possible.has(_pair(each[:, None], term[None, :]).reshape(-1)).reshape(len(each), len(term)))
+                    if not len(e):
+                        continue
+                    n = edge[w + 1] - edge[w]
+                    ends = np.concatenate([[0], np.cumsum(n)])
+                    at = np.repeat(edge[w] - ends[:-1], n) + np.arange(ends[-1])
+                    places = [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x[at])) for x in (start, end)]
+                    own = [batch.column(c).take(pa.array(np.full(len(e), k))) for c in (0, 2)]
+                    found.append([*own, pa.array(each[e]), pa.array(term[w]), *places])
+                    n_found += len(e)
+                    if n_found > _PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found, strict=True)], names)
+                        found, n_found = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found, strict=True)], names)
 
     return run
 
 
+def _pair(entity: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The hash of a pair of hashes; ``_PAIR`` is the same in Spark."""
+    term = term.view(np.uint64)
+    return entity ^ ((term << np.uint64(1)) | (term >> np.uint64(63))).view(np.int64)
+
+
+_PAIR = "entity ^ (shiftleft(term, 1) | shiftrightunsigned(term, 63))"
+
+
 def _filter(pairs: DataFrame) -> Bloom:
     """The filter of a table's terms."""
     return Bloom(keep(pairs.select("term").distinct(), "pii-terms"), F.col("term"))
@@ -264,13 +295,15 @@ def find(docs: DataFrame, window: int = 10, disclosure: float = 0.9, prior: floa
     both = keep(both.where(tells(F.least("n", "k"))), "pii-possible")
     if both.isEmpty():
         return found.select("doc_id", "h", "base", none.alias("terms"))
-    places = rows.select("doc_id", "text", "h").mapInArrow(_places(_filter(both), Bloom(some, F.col("h"))), "doc_id long, h long, term long, start long, end long")
-    places = keep(places.groupBy("doc_id", "h", "term").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "pii-places")
+    # Where a text's entities and words meet, a filter of the possible pairs is asked before anything is shuffled.
+    read = _met(_filter(both), Bloom(both, F.expr(_PAIR)), Bloom(some, F.col("h")))
+    met = rows.select("doc_id", "text", "h").mapInArrow(read, _MET).join(both, ["entity", "term"])
+    met = keep(met.dropDuplicates(["doc_id", "h", "entity", "term"]), "pii-places")
     # A row's doc_id and text, however often they are repeated.
     alike = holders.groupBy("doc_id", "h", "entity").agg(F.count(F.lit(1)).alias("rows"))
-    same = F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.h") == F.col("p.h"))
-    met = alike.alias("a").join(places.alias("p"), same).select("p.doc_id", "p.h", "entity", "term", "rows", "spans").join(both, ["entity", "term"])
-    met = keep(met, "pii-met")
+    same = F.col("a.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("a.h") == F.col("p.h")) & (F.col("a.entity") == F.col("p.entity"))
+    met = alike.alias("a").join(met.alias("p"), same).select("p.*", "rows")
+    met = keep(met.withColumn("spans", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))).drop("starts", "ends"), "pii-met")
     tell = met.groupBy("entity", "term").agg(F.sum("rows").alias("m"), *[F.first(c).alias(c) for c in ("x", "n", "k")])
     tell = tell.where(tells(F.least("m", "k"))).select("entity", "term")
     spans = met.join(tell, ["entity", "term"]).select("doc_id", "h", F.explode("spans").alias("s"))

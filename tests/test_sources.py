@@ -324,3 +324,35 @@ def test_dumps_do_not_depend_on_blocks(spark, tmp_path, small_blocks, monkeypatc
     assert sorted((r.col_0, r.col_1) for r in read_table(spark, str(tmp_path / "one.sql")).collect()) == [(k, f"v{k}, w") for k in range(500)]
     with pytest.raises(ParseError):
         read_table(spark, write(tmp_path, "bad.sql", whole + "INSERT INTO t (a, b, c) VALUES (1, 'open"))
+
+
+def test_lines_of_a_dump_are_scanned_as_tokens_are():
+    """From each state, the step of a line is that of its tokens, and comment marks that overlap quotes change nothing."""
+    import random
+
+    from veilframe.sources import sqldump
+
+    def by_tokens(state, text):
+        anew, depth, last = False, 0, ""
+        for state, token, _ in sqldump._tokens(text, state):
+            last = token or last
+            if token == ";":
+                anew, depth = True, 0
+            depth += (token == "(") - (token == ")")
+        return state, anew, depth, state == 0 and last in (",", ";")
+
+    rng, dump = random.Random(5), sqldump.Dump()
+    parts = ["'", "''", '"', '""', "`", "[", "]", "(", ")", ",", ";", "--", "-", "/", "*", "/*", "*/", "\\", "\\'", " ", "a", "INSERT INTO t VALUES", "0xF", "\n"]
+    for _ in range(30_000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12))) + rng.choice(["\n", ","])
+        for state in range(dump.states):
+            assert dump.line(state, text) == by_tokens(state, text), (state, text)
+
+
+def test_long_dumps_are_scanned_outside_of_python(monkeypatch):
+    """Lines without an end of what is open, or of whole strings, are not walked token by token."""
+    from veilframe.sources import sqldump
+
+    monkeypatch.setattr(sqldump, "_tokens", None)
+    line = "(0xFF, '1-URGENT -- it''s; (1),\n(''no'')', 2.5),\n"
+    assert sqldump.Dump().line(0, line) == (0, False, 0, True) and sqldump.last_header(line * 1000) is None

@@ -215,29 +215,46 @@ def _tokens(text: str, state: int) -> Iterator[tuple[int, str, int]]:
     yield state, "", len(text)
 
 
+#: What closes each state; without it a text ends in the state that it begins in.
+_CLOSERS = (None, "'", '"', "`", "]", "*/", "\n")
+#: Whole strings, quoted names and comments, of which a sign is left unless it is a comment.
+_STRING, _QUOTE, _TICK, _BRACKET = r"(?:[^'\\]++|\\.|'')*+'", r'(?:[^"\\]++|\\.|"")*+"', r"(?:[^`]++|``)*+`", r"[^\]]*+\]"
+_COMMENT = r"/\*.*?\*/|--[^\n]*+\n"
+_CLOSED = re.compile(rf"""(')(?:{_STRING})|(")(?:{_QUOTE})|(`)(?:{_TICK})|(\[)(?:{_BRACKET})|{_COMMENT}""", re.S)
+_OUTSIDE = re.compile(rf"""(?:[^'"`\[/-]++|'(?:{_STRING})|"(?:{_QUOTE})|`(?:{_TICK})|\[(?:{_BRACKET})|{_COMMENT}|/(?!\*)|-(?!-))*+""", re.S)
+
+
+def _outside(text: str, at: int = 0) -> tuple[str, int]:
+    """What is outside of strings and comments from a plain place on, a quote for each string, and the state at the end."""
+    end = _OUTSIDE.match(text, at).end()
+    state = _PLAIN if end == len(text) else _OPENS.get(text[end]) or _OPENS[text[end : end + 2]]
+    return _CLOSED.sub(r"\1\2\3\4", text[at:end]), state
+
+
 class Dump:
     """Records of a dump: what stands up to a comma or semicolon at a line's end, outside of brackets."""
 
     states = 7
 
     def line(self, state: int, text: str) -> Step:
-        anew, depth, last = False, 0, ""
-        for state, token, _ in _tokens(text, state):
-            if token:
-                last = token
-            if token == "(":
-                depth += 1
-            elif token == ")":
-                depth -= 1
-            elif token == ";":  # a statement ends, whatever was open
-                anew, depth = True, 0
-        return state, anew, depth, state == _PLAIN and last in (",", ";")
+        at = 0
+        if state != _PLAIN:
+            m = _ENDS[state].match(text) if _CLOSERS[state] in text else None
+            if not m:
+                return state, False, 0, False
+            at = m.end()
+        plain, state = _outside(text, at)
+        _, anew, rest = plain.rpartition(";")  # a statement ends, whatever was open
+        return state, bool(anew), rest.count("(") - rest.count(")"), state == _PLAIN and plain.rstrip().endswith((",", ";"))
 
 
 def last_header(text: str) -> Header | str | None:
     """The INSERT whose rows a text of whole records ends in; an empty string if no statement is open, None if the text does not say."""
     if ";" not in text and not _INSERT.search(text):
         return None
+    plain, state = _outside(text)
+    if state == _PLAIN and ";" not in plain and not _INSERT.search(plain):
+        return None
     found: Header | str | None = None
     depth = 0
     for _, token, at in _tokens(text, _PLAIN):

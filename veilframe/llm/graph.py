@@ -10,7 +10,9 @@ compares its members with one centre, the member with most links so far, and lea
 members that have already joined the centre's component. A centre is then done with and
 leaves the block. What is still open are pairs of *different* components; the caller
 splits the blocks further (``linededup``) or has a way of its own for them
-(``star_closure``), so that no link between two components is lost.
+(``star_closure``), so that no link between two components is lost. Blocks of few members
+are compared pair by pair there, which leaves nothing open: the same pair is in many of
+them, so that this makes no more pairs than stars do.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm._store import drop, keep, scratch
 
+#: All pairs of a block of so many members at most are compared.
+_PAIRS = 16
+
 
 def _are_stars(e: DataFrame) -> bool:
     """Whether every edge (u, v) has its own u, and no v has an edge of its own."""
@@ -91,21 +96,32 @@ class Stars:
         self.found = keep(rows, self.name)
         drop(old)
 
-    def turn(self, blocks: DataFrame) -> DataFrame:
+    def turn(self, blocks: DataFrame, more: DataFrame | None = None) -> DataFrame:
         """Compares the members of each open block with one centre; the open blocks without it.
 
         blocks: (block long, id, centre boolean, ...); the centre is the member with most
-        links so far, and members of its component are not compared. It is then done with.
+        links so far, then most ``weight`` if there is one, and members of its component are
+        not compared. It is then done with. more: pairs (id, other) to compare along with them.
         """
         state = self.open(blocks)
-        best = F.when(F.col("centre"), F.struct("degree", F.xxhash64("id").alias("h"), "id", "component"))
+        first = [c for c in ("degree", "weight") if c in state.columns]
+        best = F.when(F.col("centre"), F.struct(*first, F.xxhash64("id").alias("h"), "id", "component"))
         star = state.groupBy("block").agg(F.max(best).alias("c")).select("block", F.col("c.id").alias("other"), F.col("c.component").alias("c_component"))
         state = keep(state.join(star, "block").where("id <> other"), f"{self.name}-open")
-        self.compare(state.where("component <> c_component").select("id", "other"))
+        pairs = state.where("component <> c_component").select("id", "other")
+        self.compare(pairs if more is None else pairs.union(more))
         return state.select(*blocks.columns)
 
 
-def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, rest: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame | None:
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    """(id, other) of all pairs of a block, one of the two its possible centre; rows: (block, id, centre)."""
+    members = rows.groupBy("block").agg(F.collect_list(F.struct("id", "centre")).alias("m"))
+    behind = F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.lit(_PAIRS)), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    pairs = members.select(F.explode(F.flatten(behind)).alias("p")).where("p.x.centre or p.y.centre")
+    return pairs.select(F.col("p.x.id").alias("id"), F.col("p.y.id").alias("other"))
+
+
+def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, rest: Callable[[DataFrame], DataFrame], stars: int = 1) -> DataFrame | None:
     """Components of the confirmed links among members of one block.
 
     blocks: distinct (block long, id, centre boolean); a pair is a candidate if it
@@ -117,13 +133,20 @@ def star_closure(blocks: DataFrame, prepare: Callable[[DataFrame], Callable[[Dat
     """
     with scratch(blocks.sparkSession) as stay:
         many = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("any")).where("n > 1 and any")
-        rows = keep(blocks.join(many.select("block"), "block"), f"{name}-blocks")
+        rows = keep(blocks.join(many.select("block", "n"), "block"), f"{name}-blocks")
         state = Stars(prepare(keep(rows.select("id").distinct(), f"{name}-ids")), name)
-        for _ in range(stars):
-            rows = state.turn(rows)
-        rows = keep(state.open(rows).select("block", "id", "component"), f"{name}-open")
-        if not rows.isEmpty():
-            state.compare(rest(rows))
+        few, rows = _few_pairs(rows.where(F.col("n") <= _PAIRS)), rows.where(F.col("n") > _PAIRS)
+        # Who meets most others is alike to most: one centre for all blocks of a group, and few pairs.
+        weight = rows.groupBy("id").agg(F.sum("n").alias("weight"))
+        rows = keep(rows.join(weight, "id").select("block", "id", "centre", "weight"), f"{name}-large")
+        if rows.isEmpty():
+            state.compare(few)
+        else:
+            for k in range(stars):
+                rows = state.turn(rows, few if k == 0 else None)
+            rows = keep(state.open(rows).select("block", "id", "component"), f"{name}-open")
+            if not rows.isEmpty():
+                state.compare(rest(rows))
         if state.found is not None:
             stay.append(state.found)
     return state.found

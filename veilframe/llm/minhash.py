@@ -7,7 +7,7 @@
    borrows from a filled one picked by a hash of bin and attempt (optimal densification).
 3. Each band of ``rows`` bins is a bucket. In a bucket candidates form stars, not all
    pairs (see ``graph.star_closure``); what the stars leave open goes through an exact
-   prefix filter (see ``rest_pairs``).
+   prefix filter (see ``rest_pairs``), or in one task where few members are left.
 4. Every candidate edge is confirmed on the full shingle sets with integer arithmetic,
    once by each half of the shingles' hashes. A second pass over the texts makes those
    sets, only for texts that share a bucket.
@@ -27,6 +27,7 @@ from veilframe.columns import qcol, unused
 from veilframe.llm import _text
 from veilframe.llm._bloom import Bloom
 from veilframe.llm._store import drop, keep, sized
+from veilframe.llm._vectors import arrow_rows
 from veilframe.llm.graph import components, star_closure
 
 _U = np.uint64
@@ -37,6 +38,8 @@ _FULL = "id binary, n_shingles long, shingles array<long>, high array<long>"
 #: more of them are a family of their own.
 _FEW = 64
 _PART = 1000
+#: A family of so many members, with so many shingles (8 MB), at most is finished in one task.
+_HELD, _HELD_SHINGLES = 8192, 1 << 20
 
 
 def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -133,11 +136,38 @@ def rest_pairs(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     open_: (block, id, component), full: (id, n_shingles, shingles).
     """
-    first = open_.groupBy("block").agg(F.min("id").alias("b"))
-    family = components(open_.join(first, "block").select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "minhash-family")
-    family = family.select("id", F.xxhash64("component").alias("family"))
-    known = open_.select("id", "component").distinct()
-    rows = keep(full.select("id", "n_shingles", "shingles").join(family, "id").join(known, "id"), "minhash-members")
+    return _narrowed(_families(open_, full), percent)
+
+
+def rest_links(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """``rest_pairs``, but a family of a few thousand members at most is compared in one task.
+
+    That goes by the same differences (see ``joins``), and returns fewer links than members.
+    """
+    rows = _families(open_, full)
+    few = (F.count(F.lit(1)) <= _HELD) & (F.sum("n_shingles") <= _HELD_SHINGLES)
+    size = keep(rows.groupBy("family").agg(few.alias("few")), "minhash-few")
+    few = rows.join(sized(size).where("few"), "family").groupBy("family").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("members"))
+    with arrow_rows(open_.sparkSession, 2):
+        found = keep(few.select("members").mapInArrow(_finish(percent), "id binary, other binary"), "minhash-finished")
+    large = size.where("not few").select("family")
+    return found if large.isEmpty() else found.union(_narrowed(keep(rows.join(large, "family"), "minhash-members"), percent))
+
+
+def _families(open_: DataFrame, full: DataFrame) -> DataFrame:
+    """(family, id, component, n_shingles, shingles) of members of open blocks; who shares a block has one family.
+
+    Members of one component stay together, so that a family is few steps away from its largest one.
+    """
+    first = open_.groupBy("block").agg(F.min("component").alias("b"))
+    family = components(open_.join(first, "block").select(F.col("component").alias("a"), "b"), "minhash-family")
+    family = family.select(F.col("id").alias("component"), F.xxhash64("component").alias("family"))
+    known = open_.select("id", "component").distinct().join(family, "component")
+    return keep(full.select("id", "n_shingles", "shingles").join(known, "id"), "minhash-members")
+
+
+def _narrowed(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (id, other) within families, family by family within them."""
     found = []
     while True:
         pairs, hot = _family_pairs(rows, percent)
@@ -148,6 +178,56 @@ def rest_pairs(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
+def joins(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of sets that join what links join; part: numbers of the parts that are joined before.
+
+    What two differences from the consensus share is counted along the lists of their
+    elements, for one set and all others at once. An element that half of the sets differ in
+    is the most, and sets of the largest part are looked at from the others only.
+    """
+    part, n = part.copy(), np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    values, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = seen * 2 > len(sets)
+    has = np.zeros((len(sets), int(common.sum())), bool)
+    on = common[code]
+    has[row[on], (np.cumsum(common) - 1)[code[on]]] = True
+    lacks, lacked = np.nonzero(~has)
+    row, code = np.concatenate([row[~on], lacks]), np.concatenate([code[~on], lacked + len(values)])
+    apart = np.bincount(row, minlength=len(sets))
+    by_code, by_row = np.argsort(code, kind="stable"), np.argsort(row, kind="stable")
+    holders, ends = row[by_code], np.searchsorted(code[by_code], np.arange(len(values) + has.shape[1] + 1)).tolist()
+    mine, at = code[by_row].tolist(), np.searchsorted(row[by_row], np.arange(len(sets) + 1)).tolist()
+    sizes = np.bincount(part)
+    found = []
+    for x in np.flatnonzero(part != sizes.argmax()).tolist():
+        lists = [holders[ends[c] : ends[c + 1]] for c in mine[at[x] : at[x + 1]]]
+        shared = np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else 0
+        both = n + n[x]
+        same = (both - (apart + apart[x] - 2 * shared)) // 2
+        for y in np.flatnonzero((same * 100 >= (both - same) * percent) & (part != part[x])).tolist():
+            if part[x] != part[y]:
+                found.append((x, y))
+                part[part == part[y]] = part[x]
+    return found
+
+
+def _finish(percent: int):
+    """(members) of families to links (id, other) that join what the family's links join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for family in batch.column(0):
+                members = family.values
+                ids, lists = members.field("id"), members.field("shingles")
+                part = np.unique(np.array(members.field("component").to_pylist(), object), return_inverse=True)[1]
+                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+                links = np.array(joins(np.split(flat, ends[:-1]), part, percent), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)) for x in links.T], ["id", "other"])
+
+    return run
+
+
 def _family_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidates within families, and (id, family) of members that go on as families of their own.
 
@@ -172,19 +252,22 @@ def _family_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     star = rows.join(sized(keep(best, "minhash-best")), "family").where((F.col("slack") + F.col("m.slack") >= -1e-6) & (F.col("component") != F.col("m.component")))
     star = star.select("id", F.col("m.id").alias("other"))
 
-    each = rows.select("id", "family", "n_shingles", F.explode("d").alias("e"))
-    seen = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("id", "family").orderBy("n", "e"))
+    # Elements of one component's members only join nothing: they come first in the order, and are not looked at.
+    each = rows.select("id", "family", "component", "n_shingles", "nd", F.explode("d").alias("e"))
+    ends = F.min("component").alias("lo"), F.max("component").alias("hi")
+    seen = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"), *ends).where("lo < hi").select("family", "e", "n")
+    mine_ = Window.partitionBy("id", "family")
+    place = F.col("nd") - F.count(F.lit(1)).over(mine_) + F.row_number().over(mine_.orderBy("n", "e"))
     each = each.join(seen, ["family", "e"]).withColumn("place", place)
     reach = F.lit(k * (1 + 100 / percent)) * F.col("n_shingles") + 1e-6
-    each = each.where((F.col("n") > 1) & (F.col("place") <= F.floor(reach) + 1)).select("id", "family", "e", (F.col("place") <= F.floor(reach / 2) + 1).alias("short"), "place")
+    each = each.where(F.col("place") <= F.floor(reach) + 1).select("id", "family", "component", "e", (F.col("place") <= F.floor(reach / 2) + 1).alias("short"), "place")
     each = keep(each, "minhash-prefix")
     # Only those that have an element among their first meet by it, however many others have it.
-    first = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("lead"))
-    first = keep(first.select("family", "e", "n", F.col("lead.id").alias("lead")), "minhash-first")
+    first = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("lead"), *ends)
+    first = keep(first.where("lo < hi").select("family", "e", "n", F.col("lead.id").alias("lead")), "minhash-first")
     hot = keep(_hot(each, first.where(F.col("n") > _FEW), size), "minhash-hot")
 
-    each = each.join(first.where((F.col("n") > 1) & (F.col("n") <= _FEW)).select("family", "e"), ["family", "e"]).join(mine, ["id", "family"])
+    each = each.drop("component").join(first.where(F.col("n") <= _FEW).select("family", "e"), ["family", "e"]).join(mine, ["id", "family"])
     x, y = each.where("short").alias("x"), each.alias("y")
     both = F.col("x.n_shingles") + F.col("y.n_shingles")
     fits = (F.col("x.component") != F.col("y.component")) & ((F.col("x.nd") < F.col("y.nd")) | ((F.col("x.nd") == F.col("y.nd")) & (F.col("x.id") != F.col("y.id"))))
@@ -240,11 +323,11 @@ def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -
             both = both.where(F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent)
             same = F.least(*[F.size(F.array_intersect(f"{c}_a", f"{c}_b")) for c in ("shingles", "high")])
             both = both.select("a", "b", (F.col("n_shingles_a") + F.col("n_shingles_b")).alias("n"), same.alias("same"))
-            return both.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b").distinct()
+            return both.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b")
 
         return verify
 
-    found = star_closure(blocks.withColumn("centre", F.lit(True)), prepare, "minhash", rest=lambda open_: rest_pairs(open_, made[0], percent))
+    found = star_closure(blocks.withColumn("centre", F.lit(True)), prepare, "minhash", rest=lambda open_: rest_links(open_, made[0], percent))
     old, sets = sets, keep(sets.drop("bands"), "minhash-rows")
     drop(old, classes)
     if found is None:

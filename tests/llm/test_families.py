@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import graph, minhash
+from veilframe.llm import graph, minhash, toxicity
 
 from .test_graph import union_find
 
@@ -69,3 +70,12 @@ def test_small_blocks_are_compared_pair_by_pair(spark):
     chain = lambda pairs: pairs.where(F.abs(F.col("a").cast("int") - F.col("b").cast("int")) == 1)
     found = graph.star_closure(blocks, lambda ids: chain, "chain", rest=None)
     assert {(r.id, r.component) for r in found.collect()} == {(i, "00") for i in names}
+
+
+def test_features_of_text_are_made_in_small_chunks(monkeypatch):
+    """Workers keep what a chunk of features took, so that chunks of 2 MB of texts are small ones."""
+    sizes, old = [], toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda data, offsets: sizes.append(len(data)) or old(data, offsets))
+    texts = pa.array([f"word{i} " * 300 for i in range(1000)])
+    out = list(toxicity._featurise(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    assert sum(b.num_rows for b in out) == 1000 and sum(sizes) > 2_000_000 and max(sizes) <= 1 << 18

@@ -25,6 +25,8 @@ from veilframe.llm._store import drop, keep
 
 BITS = 18
 _WIDTH = 1 << BITS
+#: Bytes of text whose features are made at once: they take some fifty times that, which a worker keeps.
+_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ def fit_chain(x: Sample, y: np.ndarray, fold: np.ndarray) -> list[Model]:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in _text.text_chunks(batch.column(0)):
+        for lo, hi, data, offsets in _text.text_chunks(batch.column(0), _CHUNK):
             at, ends = features(data, offsets)
             rows = [batch.column(k).slice(lo, hi - lo) for k in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(at)), *rows], ["at", *batch.schema.names[1:]])
@@ -232,7 +234,7 @@ def _chained(models: list[Model], data: np.ndarray, offsets: np.ndarray) -> np.n
 def _predict(models: list[Model], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in _text.text_chunks(batch.column(0)):
+            for lo, hi, data, offsets in _text.text_chunks(batch.column(0), _CHUNK):
                 p = _chained(models, data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *[pa.array(p[:, k]) for k in range(len(names))]], ["doc_id", *names])
 
@@ -272,7 +274,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in _text.text_chunks(batch.column(text)):
+            for lo, hi, data, offsets in _text.text_chunks(batch.column(text), _CHUNK):
                 yield batch.slice(lo, hi - lo).filter(pa.array(_chained(models, data, offsets)[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,8 +11,8 @@ members that have already joined the centre's component. A centre is then done w
 leaves the block. What is still open are pairs of *different* components; the caller
 splits the blocks further (``linededup``) or has a way of its own for them
 (``star_closure``), so that no link between two components is lost. Blocks of few members
-are compared pair by pair there, which leaves nothing open: the same pair is in many of
-them, so that this makes no more pairs than stars do.
+are compared pair by pair there, which leaves nothing open; the same pair is in many of
+them, and is compared once.
 """
 
 from __future__ import annotations

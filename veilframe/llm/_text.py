@@ -147,7 +147,7 @@ def counts_by_doc(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets, "left")
 
 
-def _loads(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+def loads(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The n bytes (8 at most, none if below 1) that begin at each place, as one number."""
     wide = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
     n = np.clip(n, 0, 8)
@@ -164,7 +164,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     n = end - start
     padded = np.zeros(len(data) + 16, np.uint8)
     padded[: len(data)] = data
-    one, two = _loads(padded, start, n), _loads(padded, start + 8, n - 8)
+    one, two = loads(padded, start, n), loads(padded, start + 8, n - 8)
     size = n.astype(np.uint64)
     low = mix(one + mix(two ^ _COMBINE[0]) + size * _COMBINE[1])
     high = mix(two + mix(one ^ _COMBINE[2]) + size * _COMBINE[3])

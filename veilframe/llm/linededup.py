@@ -10,7 +10,8 @@ words (``Tolerance``).
    one segment of the shorter is untouched in the longer, near the same place: the index
    has (length, number, segment), and a line probes it with its own runs of words for
    each length it may pair with (multi-match-aware windows).
-3. Classes that meet in the index are read again. Where segment number i is the first
+3. Classes that meet in the index are read again, each at one of its places. A key of two
+   classes is a pair to verify. Of larger ones: where segment number i is the first
    that no edit touches, at most i edits stand before it and the rest of the threshold
    behind it. So what the two lines share is taken out, and the gaps before and behind it
    go through the same index with these smaller thresholds, inside their block, until a
@@ -41,13 +42,15 @@ from pyspark.sql import functions as F
 from veilframe.columns import unused
 from veilframe.llm import _text
 from veilframe.llm._bloom import Bloom
-from veilframe.llm._store import drop, keep, scratch, sized
+from veilframe.llm._store import keep, scratch, sized
 from veilframe.llm._vectors import arrow_rows
 from veilframe.llm.graph import Stars
 
 _U = np.uint64
-_AS_IS = np.arange(256, dtype=np.uint8)
-_LINES = "doc_id long, h long, line long, bytes long, id binary, id8 long, keys array<long>, asks array<long>"
+#: A-Z in lower case, and all white space as 32.
+_NORMAL = np.where(_text.SPACE, 32, _text.LOWER).astype(np.uint8)
+_LINES = "doc_id long, h long, line long, bytes long, id binary, id8 long, place long, probes array<long>"
+_SIZE = _U(0x9E3779B97F4A7C15)
 #: Gaps of so many words at most are looked up without each of their words, and done with.
 _GAP = 32
 #: Bytes of gaps in a batch.
@@ -80,36 +83,45 @@ class Tolerance:
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, number in it, start, end) of each line, white space at its ends left out."""
-    doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     cut = np.flatnonzero(data == 10)
     edges = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], cut + 1]))
     edges = edges[edges < len(data)]
-    doc = doc_of[edges]
-    end = np.minimum(np.append(edges[1:], len(data)), offsets[doc + 1])
+    doc = np.searchsorted(offsets, edges, "right") - 1
+    end = np.minimum(np.append(edges[1:], len(data)), offsets[doc + 1]) if len(edges) else edges
     # A document's k-th line follows k line breaks of its own.
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    number = breaks[edges] - breaks[offsets[doc]]
-    black = np.flatnonzero(~_text.SPACE[data])
-    first, last = np.searchsorted(black, edges), np.searchsorted(black, end) - 1
+    number = np.searchsorted(cut, edges) - np.searchsorted(cut, offsets[doc])
+    return doc, number, *_trim(data, edges, end)
+
+
+def _trim(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines without white space at their ends; a blank one is empty."""
+    for _ in range(4):
+        some = start < end
+        front = some & _text.SPACE[data[np.where(some, start, 0)]] if len(some) else some
+        back = some & _text.SPACE[data[np.where(some, end - 1, 0)]] if len(some) else some
+        if not front.any() and not back.any():
+            return start, end
+        start = start + front
+        end = np.maximum(end - back, start)
+    black = np.flatnonzero(~_text.SPACE[data])  # long runs of white space
+    first, last = np.searchsorted(black, start), np.searchsorted(black, end) - 1
     some = last >= first
-    start = np.where(some, black[np.minimum(first, max(0, len(black) - 1))] if len(black) else 0, edges)
-    end = np.where(some, (black[np.maximum(last, 0)] if len(black) else 0) + 1, edges)
-    return doc, number, start, end
-
-
-def normal(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of lines one after another: A-Z lower-cased, a run of white space as one space."""
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, end, -1)
-    on = np.cumsum(inside[:-1]) > 0
-    black = ~_text.SPACE[data]
-    on[:-1] &= black[:-1] | black[1:]  # of a run of white space the last byte stays
-    if len(on):
-        on[-1] &= black[-1]
-    out = np.where(black, _text.LOWER[data], 32)[on]
-    before = np.concatenate([[0], np.cumsum(on)])
-    return out.astype(np.uint8), np.append(before[start], before[end[-1]] if len(end) else 0)
+    black = black if len(black) else np.zeros(1, np.int64)
+    return np.where(some, black[np.minimum(first, len(black) - 1)], start), np.where(some, black[np.maximum(last, 0)] + 1, start)
+
+
+def normal(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of lines one after another: A-Z lower-cased, a run of white space as one space.
+
+    start: where the lines of data that are not blank begin, all of them.
+    """
+    out = _NORMAL[data]
+    black = out != 32
+    on = black.copy()
+    on[:-1] |= black[1:]  # of a run of white space the last byte stays
+    before = start[start > 0] - 1
+    on[before] &= black[before]  # but not before a line
+    return out[on], np.append(start - np.searchsorted(np.flatnonzero(~on), start), np.count_nonzero(on))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +170,28 @@ def windows(n: np.ndarray, edits: Tolerance) -> Iterator[tuple[np.ndarray, np.nd
                     yield rows[ok], long[ok], i, (at + shift)[ok], size[ok], less == 0 and shift == 0
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; for keys, which only make candidates."""
+    n = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    out = _text.loads(padded, start, n)
+    rows, k = np.flatnonzero(n > 8), 8
+    while len(rows) and k < 64:
+        out[rows] = _text.mix(out[rows]) + _text.loads(padded, start[rows] + k, n[rows] - k)
+        k += 8
+        rows = rows[n[rows] > k]
+    if len(rows):
+        raw = data.tobytes()
+        out[rows] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[rows].tolist(), end[rows].tolist(), strict=True)]
+    return _text.mix(out + n.astype(np.uint64) * _SIZE)
+
+
+def _places(doc_id: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the place of each line."""
+    return _text.combine([x.astype(np.int64).view(np.uint64) for x in (doc_id, h, line)]).view(np.int64)
+
+
 def _lists(rows: list[np.ndarray], keys: list[np.ndarray], n: int) -> pa.ListArray:
     row, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, keys))
     order = np.argsort(row, kind="stable")
@@ -165,56 +199,56 @@ def _lists(rows: list[np.ndarray], keys: list[np.ndarray], n: int) -> pa.ListArr
 
 
 def _read(edits: Tolerance, short: bool):
-    """The places and names of lines, and their keys: own ones, and those that only ask."""
+    """The places and names of lines, and their keys: own ones are odd, those that only ask are even.
+
+    A line that a chunk holds again has its keys once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            doc_id, h = (batch.column(k).to_numpy() for k in (0, 1))
             for lo, _, data, offsets in _text.text_chunks(batch.column(2)):
                 doc, number, start, end = lines(data, offsets)
                 some = end > start
-                doc, number, start, end = doc[some], number[some], start[some], end[some]
-                flat, at = normal(data, start, end)
+                doc, number, start, end = doc[some] + lo, number[some], start[some], end[some]
+                flat, at = normal(data, start)
                 first, last, place = tokens(flat, at)
                 n = np.diff(place)
-                if not short:
-                    good = n >= edits.least
-                else:
-                    good = np.ones(len(n), bool)
-                word = _text.span_hash(_text.prefix_hashes(flat, _AS_IS), first, last)
-                prefix = _text.sequence_hashes(word)
-                rows, keys = ([], []), ([], [])
-                for r, asked, i, shift, size, own in windows(n, edits):
+                raw, ends = flat.tobytes(), at.tolist()
+                names = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                at8 = np.frombuffer(b"".join(names), np.int64)[::2]
+                fresh = np.zeros(len(n), np.int64)
+                fresh[np.unique(at8, return_index=True)[1]] = 1
+                prefix = _text.sequence_hashes(_word_hashes(flat, first, last))
+                rows, keys = [], []
+                for r, asked, i, shift, size, own in windows(n * fresh, edits):
                     a = place[r] + shift
                     key = _text.combine([_text.span_hash(prefix, a, a + size), asked.astype(np.uint64), np.full(len(r), i, np.uint64)])
-                    rows[own].append(r)
-                    keys[own].append(key.view(np.int64))
-                raw = flat.tobytes()
-                names = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                at8 = np.frombuffer(b"".join(names), np.int64)[::2]
-                own = [batch.column(k).take(pa.array(doc + lo)) for k in (0, 1)]
-                out = [*own, pa.array(number), pa.array(end - start), pa.array(names, pa.binary()), pa.array(at8), _lists(rows[True], keys[True], len(n)), _lists(rows[False], keys[False], len(n))]
-                good = pa.array(good)
-                yield pa.RecordBatch.from_arrays([c.filter(good) for c in out], ["doc_id", "h", "line", "bytes", "id", "id8", "keys", "asks"])
+                    rows.append(r)
+                    keys.append((key | _U(1) if own else key & ~_U(1)).view(np.int64))
+                places = _places(doc_id[doc], h[doc], number)
+                columns = (doc_id[doc], h[doc], number, end - start, pa.array(names, pa.binary()), at8, places, _lists(rows, keys, len(n)))
+                out = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "h", "line", "bytes", "id", "id8", "place", "probes"])
+                yield out if short else out.filter(pa.array(n >= edits.least))
 
     return run
 
 
 def _fetch(wanted: Bloom):
-    """(id, id8, text) of lines that pass the filter, as normal lines."""
+    """(id, text) of lines whose place passes the filter, as normal lines; no other line is made normal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in _text.text_chunks(batch.column(0)):
-                _, _, start, end = lines(data, offsets)
-                some = end > start
-                flat, at = normal(data, start[some], end[some])
-                raw = flat.tobytes()
-                at = at.tolist()
-                names = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
-                at8 = np.frombuffer(b"".join(names), np.int64)[::2]
-                found = {names[k]: k for k in np.flatnonzero(wanted.has(at8)).tolist()}
-                rows = list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(at8[rows]), pa.array([raw[at[k] : at[k + 1]] for k in rows], pa.binary())], ["id", "id8", "text"])
+            doc_id, h = (batch.column(k).to_numpy() for k in (0, 1))
+            for lo, _, data, offsets in _text.text_chunks(batch.column(2)):
+                doc, number, start, end = lines(data, offsets)
+                found = np.flatnonzero(wanted.has(_places(doc_id[doc + lo], h[doc + lo], number)) & (end > start))
+                start, end = start[found], end[found]
+                held = b"".join([data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+                flat, at = normal(np.frombuffer(held, np.uint8), np.cumsum(end - start) - (end - start))
+                raw, at = flat.tobytes(), at.tolist()
+                rows = {xxhash.xxh3_128_digest(x): x for x in (raw[a:b] for a, b in zip(at, at[1:], strict=False))}
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in (rows, rows.values())], ["id", "text"])
 
     return run
 
@@ -528,14 +562,14 @@ def alike(texts: list[pa.Array], edits: Tolerance) -> np.ndarray:
     allowed = edits.of(np.minimum(n[:half], n[half:]))
     pairs = [_trimmed(code[place[k] : place[k + 1]], code[place[half + k] : place[half + k + 1]]) for k in range(half)]
     size = np.array([max(len(x), len(y)) for x, y in pairs], np.int64)
-    out = size == 0
-    for t in (1, 2):
-        todo = np.flatnonzero((allowed == t) & ~out)
-        todo = todo[np.argsort(size[todo])]
-        while len(todo):  # as many side by side as memory is set aside for
-            fit = max(1, int(np.searchsorted(size[todo] * np.arange(1, len(todo) + 1), _SIDE, "right")))
-            mine, todo = todo[:fit], todo[fit:]
-            out[mine] = within([pairs[k][0] for k in mine], [pairs[k][1] for k in mine], t)
+    # What is left differs at both ends, so that one edit is not enough for two words and more.
+    out = size <= allowed
+    todo = np.flatnonzero((allowed > 1) & ~out)
+    todo = todo[np.argsort(size[todo])]
+    while len(todo):  # as many side by side as memory is set aside for
+        fit = max(1, int(np.searchsorted(size[todo] * np.arange(1, len(todo) + 1), _SIDE, "right")))
+        mine, todo = todo[:fit], todo[fit:]
+        out[mine] = within([pairs[k][0] for k in mine], [pairs[k][1] for k in mine], 2)
     return out & (allowed > 0)
 
 
@@ -551,38 +585,47 @@ def _verify(edits: Tolerance):
 # --- the join ----------------------------------------------------------------------------
 
 
-def _ids(keyed: DataFrame) -> DataFrame:
-    """(id) of the classes that share a key with another, one of the two indexed there. keyed: (id8, keys, asks)."""
+def _candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes by id8 that share a key with another, one of the two indexed there.
 
-    def flagged(column: str, own: bool) -> Column:
-        return F.transform(column, lambda k: F.struct(k.alias("block"), F.lit(own).alias("centre")))
-
-    keys = keyed.select(F.col("id8").alias("id"), F.explode(F.concat(flagged("keys", True), flagged("asks", False))).alias("k")).select("k.block", "id", "k.centre")
-    many = keys.groupBy("block").agg(F.max("centre").alias("any"), F.count(F.lit(1)).alias("n"))
-    many = keep(many.where("n > 1 and any").select("block"), "line-keys")
-    rows = keep(keys.join(sized(many), "block", "left_semi").select("block", "id"), "line-asks")
-    # A line of repeated words may have a key twice: such a block has no other line.
-    apart = rows.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    return keep(rows.join(apart.select("block"), "block", "left_semi").select("id").distinct(), "line-ids")
-
-
-def _linked(rows: DataFrame, classes: DataFrame, edits: Tolerance) -> DataFrame | None:
+    Those of keys of two classes as pairs (id, other); and all as (id8, more), more where a
+    key has others besides.
+    """
+    probes = found.where(F.size("probes") > 0).select(F.col("id8").alias("id"), F.explode("probes").alias("probe"))
+    keys = probes.select(F.col("probe").bitwiseAND(F.lit(-2)).alias("block"), "id", F.col("probe").bitwiseAND(F.lit(1)).alias("own"))
+    # A line of repeated words, or with copies, may have a key twice: such a block has no other line.
+    many = keys.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("any"))
+    many = keep(many.where("lo < hi and any = 1").select("block"), "line-keys")
+    rows = keep(keys.join(sized(many), "block", "left_semi").select("block", "id").distinct(), "line-asks")
+    each = rows.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    pairs = keep(each.where("n = 2").select(F.col("lo").alias("id"), F.col("hi").alias("other")).distinct(), "line-twos")
+    more = rows.join(each.where("n > 2").select("block"), "block", "left_semi").select(F.col("id").alias("id8"), F.lit(True).alias("more"))
+    two = pairs.select(F.explode(F.array("id", "other")).alias("id8"), F.lit(False).alias("more"))
+    return pairs, keep(more.union(two).groupBy("id8").agg(F.max("more").alias("more")), "line-ids")
+
+
+def _linked(rows: DataFrame, found: DataFrame, edits: Tolerance) -> DataFrame | None:
     """(id, component) of classes that links join; None without links."""
     with scratch(rows.sparkSession) as stay:
-        ids = _ids(classes.where(F.size("keys") > 0).select("id8", "keys", "asks"))
+        pairs, ids = _candidates(found.select("id8", "probes"))
         if ids.isEmpty():
             return None
-        texts = rows.select("text").mapInArrow(_fetch(Bloom(ids, F.col("id"))), "id binary, id8 long, text binary").groupBy("id").agg(F.first("id8").alias("id8"), F.first("text").alias("text"))
-        texts = keep(texts.join(ids.withColumnRenamed("id", "id8"), "id8", "left_semi").select("id", "text"), "line-texts")
-        stay.append(texts)
+        # One place of each class is read again.
+        wanted = keep(found.join(ids, "id8").groupBy("id", "id8", "more").agg(F.min("place").alias("place")), "line-wanted")
+        texts = rows.mapInArrow(_fetch(Bloom(wanted, F.col("place"))), "id binary, text binary").join(wanted.select("id", "more"), "id")
+        texts = keep(texts.groupBy("id", "more").agg(F.first("text").alias("text")), "line-texts")
+        names = wanted.select("id8", F.col("id").alias("name"))
+        twos = pairs.join(names.withColumnsRenamed({"id8": "id", "name": "a"}), "id").join(names.withColumnsRenamed({"id8": "other", "name": "b"}), "other")
+        twos = keep(twos.select(F.col("a").alias("id"), F.col("b").alias("other")), "line-twos")
+        stay += [texts, twos]
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(edits), "a binary, b binary")
 
-    stars = Stars(verify, "line")
-    level, source = partial(_first_level, edits), texts
+    stars, pairs = Stars(verify, "line"), twos
+    level, source = partial(_first_level, edits), texts.where("more").select("id", "text")
     while True:
         # The gaps are made once the blocks of two lines and more are known.
         names = source.mapInArrow(level(_names), _NAMES)
@@ -590,38 +633,39 @@ def _linked(rows: DataFrame, classes: DataFrame, edits: Tolerance) -> DataFrame
         few = (F.col("n") <= _FEW) & (F.col("bytes") <= _FEW_BYTES)
         many = keep(many.where("lo < hi and any").select("block", few.alias("few")), "line-many")
         if many.isEmpty():
+            if pairs is not None:
+                stars.compare(pairs)
             return stars.found
         blocks = source.mapInArrow(level(), _BLOCKS)
         blocks = keep(blocks.join(sized(many), "block"), "line-level")
         small = blocks.where("few").groupBy("block").agg(F.collect_list(F.struct("id", "centre", "gaps")).alias("members"))
         with arrow_rows(rows.sparkSession, 8):
-            stars.compare(small.select("members").mapInArrow(_finish, "id binary, other binary"))
+            links = keep(small.select("members").mapInArrow(_finish, "id binary, other binary"), "line-finished")
+        # Verified outside: there a batch has as many pairs as usual.
+        stars.compare(links if pairs is None else links.union(pairs))
         if many.where("not few").isEmpty():
             return stars.found
         left = stars.open(stars.turn(blocks.where("not few").drop("few")))
-        source, level = keep(left.where(F.size("gaps") > 0).select("block", "id", "gaps"), "line-left"), _next_level
+        source, level, pairs = keep(left.where(F.size("gaps") > 0).select("block", "id", "gaps"), "line-left"), _next_level, None
 
 
 def _classes(docs: DataFrame, edits: Tolerance = Tolerance(), short: bool = False) -> DataFrame:
     """(doc_id, h, line, bytes, name, copies) of every line; name is (doc_id, line, h) of its class's first."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    found = keep(rows.mapInArrow(_read(edits, short), _LINES), "lines")
+    places = found.select("doc_id", "h", "line", "bytes", "id")
     with scratch(docs.sparkSession) as stay:
-        found = keep(rows.mapInArrow(_read(edits, short), _LINES), "lines")
-        firsts = [F.first(c).alias(c) for c in ("id8", "keys", "asks")]
-        classes = found.groupBy("id").agg(F.min(F.struct("doc_id", "line", "h")).alias("first"), F.count(F.lit(1)).alias("n"), *firsts)
-        classes = keep(classes, "line-classes")
-        places = keep(found.select("doc_id", "h", "line", "bytes", "id"), "line-places")
-        drop(found)
-        stay += [classes, places]
-    with scratch(docs.sparkSession) as stay:
-        linked = _linked(rows, classes, edits)
-        some = classes.where("n > 1") if linked is None else classes.join(linked, "id", "left").where("n > 1 or component is not null")
-        part = F.col("id") if linked is None else F.coalesce("component", "id")
-        some = keep(some.select("id", "first", "n", part.alias("part")), "line-some")
+        linked = _linked(rows, found, edits)
+        # Lines of which there is one, and which are linked with none, name themselves.
+        some = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        if linked is None:
+            some = some.withColumn("part", F.col("id"))
+        else:
+            some = some.join(linked, "id", "full").select("id", F.coalesce("component", "id").alias("part"))
+        some = keep(some, "line-parts")
+        names = places.join(some, "id").groupBy("part").agg(F.min(F.struct("doc_id", "line", "h")).alias("name"), F.count(F.lit(1)).alias("copies"))
+        some = keep(some.join(names, "part").select("id", "name", "copies"), "line-some")
         stay.append(some)
-    drop(classes)
-    names = some.groupBy("part").agg(F.min("first").alias("name"), F.sum("n").alias("copies"))
-    some = some.join(names, "part").select("id", "name", "copies")
     out = places.join(some, "id", "left")
     return out.select("doc_id", "h", "line", "bytes", F.coalesce("name", F.struct("doc_id", "line", "h")).alias("name"), F.coalesce("copies", F.lit(1)).alias("copies"))
 

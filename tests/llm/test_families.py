@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import graph, minhash, toxicity
+from veilframe.llm import _store, graph, minhash, toxicity
 
 from .test_graph import union_find
 
@@ -79,3 +79,38 @@ def test_features_of_text_are_made_in_small_chunks(monkeypatch):
     texts = pa.array([f"word{i} " * 300 for i in range(1000)])
     out = list(toxicity._featurise(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
     assert sum(b.num_rows for b in out) == 1000 and sum(sizes) > 2_000_000 and max(sizes) <= 1 << 18
+
+
+def test_narrowed_families_leave_no_join_to_the_caller(spark, monkeypatch):
+    """Each family's pairs are kept on their own: a plan of all of them would broadcast all their tables at once."""
+    monkeypatch.setattr(minhash, "_FEW", 4)
+    got = minhash.rest_pairs(*tables(spark, near_copies(120)), 80)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Spark would broadcast a table of 10 MB as a file, which takes many times that in the driver's memory."""
+    keys, old, seen = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), _store.keep, []
+    before = [spark.conf.get(k, None) for k in keys]
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "keep", lambda df, name: seen.append([int(spark.conf.get(k) or -2) for k in keys]) or old(df, name))
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    docs = spark.createDataFrame([(i, " ".join([*words, *[f"{w}{i // 3}" for w in words], f"x{i}"])) for i in range(30)], "doc_id long, text string")
+    out = minhash.near_duplicates(docs, width=2, percent=80)
+    assert seen and all(0 < files <= 1 << 18 and 0 < rows <= 1 << 21 for files, rows in seen)
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, i // 3 * 3) for i in range(30)}
+
+
+@pytest.mark.parametrize(("own", "files", "rows"), [("10485760b", 1 << 18, 1 << 21), ("64k", 1 << 16, 1 << 16), ("-1", -1, -1)])
+def test_smaller_settings_of_the_session_hold(spark, own, files, rows):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    spark.conf.set(keys[0], own)
+    try:
+        with pytest.raises(ZeroDivisionError), _store.bounded(spark):
+            assert [int(spark.conf.get(k)) for k in keys] == [files, rows]
+            raise ZeroDivisionError
+        assert spark.conf.get(keys[0]) == own and spark.conf.get(keys[1], None) is None
+    finally:
+        spark.conf.unset(keys[0])

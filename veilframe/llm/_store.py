@@ -19,6 +19,8 @@ _written: dict[str, SparkSession] = {}
 
 #: A table of so many rows at most may be sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Bytes up to which Spark may broadcast by itself within ``bounded``: of files, and of rows as it has counted them.
+_BY_FILES, _BY_ROWS = 256 << 10, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +76,34 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _bytes(size: str) -> int:
+    """Bytes of one of Spark's sizes, as 10485760b, 256k or -1."""
+    n, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]?)[a-z]*\s*", size.lower()).groups()
+    return int(n) << 10 * "bkmgtp".index(unit or "b")
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark broadcasts small tables only, but for those of ``sized``.
+
+    By itself it goes by the size of files, up to 10 MB. Names and lists of numbers that repeat
+    take many times that as rows, and more where lists are taken apart; the driver has to hold
+    each such table while it is sent. Smaller settings of the session hold.
+    """
+    files, rows = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before, own = {key: spark.conf.get(key, None) for key in (files, rows)}, spark.conf.get(files)
+    for key, most in ((files, _BY_FILES), (rows, _BY_ROWS)):
+        spark.conf.set(key, str(min(most, _bytes(before[key] or own))))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, values: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """Kept rows with the values of a kept table: one row a key (null is one), and in n how many rows hold it.
 

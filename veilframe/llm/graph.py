@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm._store import drop, keep, scratch
+from veilframe.llm._store import bounded, drop, keep, scratch
 
 #: All pairs of a block of so many members at most are compared.
 _PAIRS = 16
@@ -37,18 +37,19 @@ def _are_stars(e: DataFrame) -> bool:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of all nodes with an edge (a, b); component is the least id."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = keep(e.distinct(), name)
-    while not _are_stars(e):
-        # Large star: the neighbours above u go to the least of u and its neighbours.
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its neighbours below go to the least of those.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, e = e, keep(small.union(least.select("u", "m")).where("u <> v").distinct(), name)
-        drop(old)
+    with bounded(edges.sparkSession):
+        e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        e = keep(e.distinct(), name)
+        while not _are_stars(e):
+            # Large star: the neighbours above u go to the least of u and its neighbours.
+            both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            # Small star: u and its neighbours below go to the least of those.
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            old, e = e, keep(small.union(least.select("u", "m")).where("u <> v").distinct(), name)
+            drop(old)
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from veilframe.columns import qcol, unused
 from veilframe.llm import _text
 from veilframe.llm._bloom import Bloom
-from veilframe.llm._store import drop, keep, sized
+from veilframe.llm._store import bounded, drop, keep, scratch, sized
 from veilframe.llm._vectors import arrow_rows
 from veilframe.llm.graph import components, star_closure
 
@@ -170,8 +170,11 @@ def _narrowed(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates (id, other) within families, family by family within them."""
     found = []
     while True:
-        pairs, hot = _family_pairs(rows, percent)
-        found.append(pairs)
+        # One family's tables at a time: a plan of all of them would broadcast those of each at once.
+        with scratch(rows.sparkSession) as stay:
+            pairs, hot = _family_pairs(rows, percent)
+            found.append(keep(pairs, "minhash-near"))
+            stay.extend((found[-1], hot))
         if hot.isEmpty():
             break
         rows = keep(rows.drop("family").dropDuplicates(["id"]).join(hot, "id"), "minhash-members")
@@ -310,8 +313,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -
     made: list[DataFrame] = []
 
     def prepare(ids: DataFrame):
-        some = classes.select("id", "row").join(ids, "id")
+        some = keep(classes.select("id", "row").join(ids, "id").select("row"), "minhash-wanted")
         wanted = Bloom(some, F.col("row"))
+        drop(some)
         found = text.where("text is not null").select("row", "text").mapInArrow(_full(width, wanted), _FULL)
         found = found.join(ids, "id", "left_semi").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "shingles", "high")])
         full = keep(found, "minhash-full")
@@ -357,12 +361,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     A pair at the threshold s misses all buckets with probability (1 - s**rows)**bands:
     5e-8 at 0.80 and 6e-11 at 0.85 with the defaults.
     """
-    sets, parts = _grouped(docs, width, percent, bands, rows)
-    least = sets.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")).join(parts, "id", "left")
+    with bounded(docs.sparkSession):
+        sets, parts = _grouped(docs, width, percent, bands, rows)
+    # All of these grow with the documents: the caller's plan sorts them, whatever it may broadcast.
+    least = sets.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")).join(parts.hint("merge"), "id", "left")
     least = least.withColumn("part", F.coalesce("part", "id"))
     names = least.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = least.join(names, "part").select("id", "component_id")
-    out = sets.join(named, "id", "left")
+    named = least.join(names.hint("merge"), "part").select("id", "component_id")
+    out = sets.join(named.hint("merge"), "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -376,7 +382,8 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     are judged by their own text. Rows with null, empty or blank text all stay. Columns
     stay as they are, and an empty table stays empty.
     """
-    sets, parts = _grouped(docs, width, percent, bands, rows)
+    with bounded(docs.sparkSession):
+        sets, parts = _grouped(docs, width, percent, bands, rows)
     each = sets.where("n_shingles > 0").groupBy("id", "doc_id", "row").agg(F.count(F.lit(1)).alias("n")).join(parts, "id", "left")
     each = keep(each.select(F.coalesce("part", "id").alias("part"), "doc_id", "row", "n"), "minhash-groups")
     first = each.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.sum("n").alias("all"))
